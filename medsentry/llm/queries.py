@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, packing, pieces, pii, simhash, urls
+from . import decontaminate, hamming, language, packing, pieces, pii, simhash, urls
 from .subwords import public_path
 
 
@@ -28,6 +28,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.count(table(spark, sf_dir, "documents"), public_path("piece_bpe_32k.model"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -36,5 +40,28 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filters, op4_pii, op5_packing, op6_token_counts, op8_language_id, op9_simhash)}
-ORACLE_SQL: dict[str, str] = {}
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return hamming.top_k(rows, rows.filter("vec_id % 50 = 0"))
+
+
+QUERIES = {f.__name__: f for f in (op2_url_filters, op4_pii, op5_packing, op6_token_counts, op7_decontamination, op8_language_id, op9_simhash, op10_topk)}
+
+_URL_PARTS = """
+SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN translate(regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+    CASE WHEN contains(coalesce(url, ''), '://') THEN regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path
+FROM pages"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_url_filters": f"""
+WITH u AS ({_URL_PARTS}),
+listed(rhost, rpath, action) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+best AS (SELECT page_id, host, path, (SELECT arg_max(struct_pack(r := rhost || rpath, a := action), length(rhost || rpath)) FROM listed WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)) AS b FROM u)
+SELECT page_id, host, path, b.r AS rule, coalesce(b.a, CASE WHEN regexp_matches(host || path, '^([^/]*[.-])?(casino|pills|bets|spam|ads|porn|viagra|malware|phishing|warez)[.-]') THEN 'block' ELSE 'allow' END) AS verdict
+FROM best""",
+    "op10_topk": """
+WITH c AS (SELECT vec_id AS id, list_transform(range(1, 65), lambda i: coalesce(embedding[i] > 0, false)) AS code FROM embeddings),
+d AS (SELECT q.id AS query_id, c.id AS id, CAST(list_sum(list_transform(range(1, 65), lambda i: CAST(q.code[i] <> c.code[i] AS INTEGER))) AS INTEGER) AS distance FROM c AS q, c WHERE q.id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INTEGER) AS rank, id, distance FROM d
+QUALIFY rank <= 10""",
+}
