@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, hamming, language, packing, pieces, pii, quality, simhash, urls
+from . import decontaminate, hamming, language, packing, pieces, pii, quality, scoring, simhash, urls
 from .subwords import public_path
 
 
@@ -12,6 +12,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score(table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json"))
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
@@ -49,7 +53,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming.top_k(rows, rows.filter("vec_id % 50 = 0"))
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filters, op3_quality, op4_pii, op5_packing, op6_token_counts, op7_decontamination, op8_language_id, op9_simhash, op10_topk)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_url_filters, op3_quality, op4_pii, op5_packing, op6_token_counts, op7_decontamination, op8_language_id, op9_simhash, op10_topk)}
 
 _URL_PARTS = """
 SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN translate(regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
