@@ -1 +1 @@
-
+"""Continuous ingest: an extension beyond batch quarters."""
