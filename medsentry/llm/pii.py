@@ -77,7 +77,7 @@ _DIGITS = {w: str(i) for i, w in enumerate("zero one two three four five six sev
 _ODD = re.compile("[­Ͱ-ԯ​-‏‐-―․⁠−。﹒﹫﻿！-～٠-٩۰-۹⁰-₉\U0001d400-\U0001d7ff]")
 _SPOKEN = re.compile(r"(?i)\b(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)(?:[ ,.-]{1,2}(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|double|triple|dot|point|dash|[0-9])){5,}\b")
 _WORD = re.compile(r"(?i)\s*[\[({<]\s*(at|dot|punkt|punto|point|arroba|chez|@|\.)\s*[\])}>]\s*")
-_LOOSE = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?: ?(?:dot|\.) ?[A-Za-z0-9_%+-]+){0,3} (?:at|arroba) [A-Za-z0-9-]+(?: dot [A-Za-z0-9-]+)+(?![A-Za-z0-9])")
+_LOOSE = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?: ?(?:dot|\.) ?[A-Za-z0-9_%+-]+){0,3} (?:at|arroba) [A-Za-z0-9-]+(?: dot [A-Za-z0-9-]+)* dot (?:com|org|net|edu|gov|mil|int|info|biz|io|co|me|app|dev|eu|uk|us|ca|au|nz|in|de|fr|es|it|nl|be|ch|se|no|dk|pl|pt|br|mx|jp|cn|ru)(?![A-Za-z0-9])")
 _SPACED = re.compile(r"[A-Za-z0-9._%+-]+\s?@\s?[A-Za-z0-9-]+(?:\s?\.\s?[A-Za-z0-9-]+)+")
 _AT, _DOT = {"at", "arroba", "chez", "@"}, {"dot", "punkt", "punto", "point", "."}
 
