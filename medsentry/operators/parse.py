@@ -1,7 +1,7 @@
 """Parsing of the source tables: all-text rows in, typed rows of the stored datasets out.
 
-Casts never raise; what they lose is counted. Each table has a parse function and a dict of named
-conditions over its raw rows; ``tally`` counts all of a table's conditions in one pass.
+Casts never raise; what they lose is counted. Each table has a parse function and named conditions
+over its raw rows; ``tally`` counts all of a table's conditions in one pass.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..errors import IngestError
 from ..functions import text as t
-from ..sources.schema import DATASETS, TABLE_OF
+from ..sources.schema import DATASETS
 
 
 def _long(name: str) -> Column:
@@ -56,29 +56,35 @@ def _lost_date(name: str) -> Column:
     return (t.date_precision(F.col(name)) != "missing") & t.partial_date(F.col(name)).isNull()
 
 
-_bad_unit = _given(F.col("wt_cod")) & ~t.strip(F.col("wt_cod")).isin(*t.WEIGHT_UNIT_KG)
-_no_weight = t.weight_in_kg(F.col("wt"), F.col("wt_cod")).isNull()
-_from_reporter = t.country(F.col("occr_country")).isNull() & t.country(F.col("reporter_country")).isNotNull()
-DEMO_TALLY: dict[str, Column] = {
-    "age_missing_or_unconvertible": _given(F.col("age")) & t.age_in_years(F.col("age"), F.col("age_cod")).isNull(),
-    "weight_missing_or_unconvertible": _given(F.col("wt")) & _no_weight & ~_bad_unit,
-    "weight_implausible_unit": _bad_unit,
-    "sex_missing": t.sex(F.col("sex")).isNull(),
-    "country_missing": t.country(F.col("occr_country")).isNull() & t.country(F.col("reporter_country")).isNull(),
-    "country_from_reporter_fallback": _from_reporter,
-    "country_stated_unknown": F.coalesce(F.upper(t.strip(F.col("occr_country"))).isin(*t.UNKNOWN_COUNTRIES), F.lit(False)),
-    "event_dt_unparseable": _lost_date("event_dt_raw"),
-}
-REAC_TALLY = {"pt_missing": F.col("pt").isNotNull() & t.term(F.col("pt")).isNull()}
-DRUG_TALLY = {"drugname_missing": t.term(F.col("drugname_raw")).isNull(), "prod_ai_absent": t.term(F.col("prod_ai")).isNull()}
-THER_TALLY = {"start_dt_unparseable": _lost_date("start_dt_raw"), "end_dt_unparseable": _lost_date("end_dt_raw")}
-INDI_TALLY = {"indi_pt_missing": F.col("indi_pt").isNotNull() & t.term(F.col("indi_pt")).isNull()}
-TALLIES = {"DEMO": DEMO_TALLY, "DRUG": DRUG_TALLY, "REAC": REAC_TALLY, "THER": THER_TALLY, "INDI": INDI_TALLY}
+def conditions(table: str) -> dict[str, Column]:
+    """The named conditions over a source table's raw rows; empty for tables that only cast ids."""
+    c, term = F.col, t.term
+    if table == "DEMO":
+        occurred, reported = t.country(c("occr_country")), t.country(c("reporter_country"))
+        bad_unit = _given(c("wt_cod")) & ~t.strip(c("wt_cod")).isin(*t.WEIGHT_UNIT_KG)
+        return {
+            "age_missing_or_unconvertible": _given(c("age")) & t.age_in_years(c("age"), c("age_cod")).isNull(),
+            "weight_missing_or_unconvertible": _given(c("wt")) & t.weight_in_kg(c("wt"), c("wt_cod")).isNull() & ~bad_unit,
+            "weight_implausible_unit": bad_unit,
+            "sex_missing": t.sex(c("sex")).isNull(),
+            "country_missing": occurred.isNull() & reported.isNull(),
+            "country_from_reporter_fallback": occurred.isNull() & reported.isNotNull(),
+            "country_stated_unknown": F.coalesce(F.upper(t.strip(c("occr_country"))).isin(*t.UNKNOWN_COUNTRIES), F.lit(False)),
+            "event_dt_unparseable": _lost_date("event_dt_raw"),
+        }
+    return {
+        "REAC": lambda: {"pt_missing": c("pt").isNotNull() & term(c("pt")).isNull()},
+        "DRUG": lambda: {"drugname_missing": term(c("drugname_raw")).isNull(), "prod_ai_absent": term(c("prod_ai")).isNull()},
+        "THER": lambda: {f"{d}_unparseable": _lost_date(f"{d}_raw") for d in ("start_dt", "end_dt")},
+        "INDI": lambda: {"indi_pt_missing": c("indi_pt").isNotNull() & term(c("indi_pt")).isNull()},
+    }.get(table, dict)()
 
 
-def tally(raw: DataFrame, conditions: dict[str, Column]) -> DataFrame:
-    """One row: how many raw rows meet each condition, and how many rows there are."""
-    return raw.agg(F.count("*").alias("rows"), *(F.count_if(c).alias(n) for n, c in conditions.items()))
+def tally(raw: DataFrame, table: str) -> DataFrame:
+    """One row: how many raw rows meet each of the table's conditions, and how many rows there are."""
+    if table == "DRUG" and "prod_ai" not in raw.columns:
+        raw = raw.withColumn("prod_ai", F.lit(None).cast("string"))
+    return raw.agg(F.count("*").alias("rows"), *(F.count_if(c).alias(n) for n, c in conditions(table).items()))
 
 
 def drug(raw: DataFrame) -> DataFrame:
@@ -140,6 +146,3 @@ def surviving(child: DataFrame, cases: DataFrame) -> DataFrame:
 def dataset(parsed: DataFrame, name: str) -> DataFrame:
     """The stored columns of a dataset, in their order; absent ones are null."""
     return parsed.select(*(F.col(f.name).cast(f.dataType) if f.name in parsed.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in DATASETS[name]))
-
-
-__all__ = ["PARSERS", "TABLE_OF", "TALLIES"]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import chains, dedup, parse
 from ..sources import files, store
 from ..sources.quarter import Quarter
-from ..sources.schema import DATASETS, TABLE_OF
+from ..sources.schema import TABLE_OF
 
 
 def ingest_quarter(spark: SparkSession, folder: str | Path, root: str, quarter: Quarter, tables: tuple[str, ...] | None = None) -> dict:
@@ -22,11 +22,7 @@ def ingest_quarter(spark: SparkSession, folder: str | Path, root: str, quarter:
     raw = {t: files.read_table(spark, files.find_file(folder, t), t, quarter) for t in (tables or tuple(sorted({*TABLE_OF.values()})))}
     withdrawn_at = files.find_deleted(folder)
     parse.check_age_units(raw["DEMO"])
-    tallies = {}
-    for t, conditions in parse.TALLIES.items():
-        if t in raw:
-            source = raw[t] if t != "DRUG" or "prod_ai" in raw[t].columns else raw[t].withColumn("prod_ai", F.lit(None).cast("string"))
-            tallies[t] = parse.tally(source, conditions).first().asDict()
+    tallies = {t: parse.tally(df, t).first().asDict() for t, df in raw.items() if parse.conditions(t)}
     parsed = {t: parse.PARSERS[t](df) for t, df in raw.items()}
     cases = parsed["DEMO"]
     if "OUTC" in parsed:
@@ -74,6 +70,3 @@ def persist(every: DataFrame, path: str) -> dict:
     store.write_whole(every, path)
     edges = every.sparkSession.read.parquet(path)
     return chains.report(chains.resolve(edges), edges).first().asDict()
-
-
-__all__ = ["DATASETS", "duplicates", "ingest_archive", "ingest_quarter", "persist"]

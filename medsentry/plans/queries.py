@@ -362,7 +362,7 @@ def parse_partial_dates(c):
     count(*) FILTER (WHERE sex IS NULL) AS sex_missing, count(*) FILTER (WHERE coalesce(occurred, reported) IS NULL) AS country_missing, count(*) FILTER (WHERE occurred IS NULL AND reported IS NOT NULL) AS country_from_reporter_fallback, count(*) FILTER (WHERE k % 5 = 2) AS country_stated_unknown, count(*) FILTER (WHERE event_dt_precision <> 'missing' AND event_dt IS NULL) AS event_dt_unparseable FROM parsed"""
 )
 def parse_null_tally(c):
-    return parse.tally(_raw_demo(c), parse.DEMO_TALLY)
+    return parse.tally(_raw_demo(c), "DEMO")
 
 
 @query(

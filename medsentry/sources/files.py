@@ -11,6 +11,7 @@ from tempfile import TemporaryDirectory
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import IngestError
 from .quarter import Quarter
@@ -65,7 +66,8 @@ def read_table(spark: SparkSession, path: str | Path, table: str, quarter: Quart
         check_header(table, quarter, f.readline().rstrip("\r\n").split("$"))
     names = [f.name for f in source_fields(table, quarter)]
     if encoding == "cp1252":
-        raw = spark.read.format("binaryFile").load(str(path)).select(F.explode(F.split(_decode(F.col("content")), "\r?\n")).alias("value"))
+        decoded = F.udf(lambda content: bytes(content).decode("cp1252"), T.StringType())
+        raw = spark.read.format("binaryFile").load(str(path)).select(F.explode(F.split(decoded(F.col("content")), "\r?\n")).alias("value"))
         raw = raw.filter("value <> ''").withColumn("id", F.monotonically_increasing_id()).filter("id > 0")
         parts = F.split("value", r"\$")
         return raw.select(*(F.when(F.get(parts, F.lit(i)) != "", F.get(parts, F.lit(i))).alias(n) for i, n in enumerate(names)))
@@ -73,11 +75,6 @@ def read_table(spark: SparkSession, path: str | Path, table: str, quarter: Quart
     return df.withColumn(names[-1], F.regexp_replace(names[-1], r"\r+$", ""))
 
 
-@F.udf("string")
-def _decode(content: bytes) -> str:
-    return bytes(content).decode("cp1252")
-
-
 def read_deleted(spark: SparkSession, path: str | Path | None) -> DataFrame | None:
     """(caseid) of the withdrawn cases; lines that are no number are skipped. No list gives None."""
     if path is None:
