@@ -13,12 +13,11 @@ from pyspark.sql import functions as F
 
 from ..errors import ContingencyError
 from ..functions.text import fold
+from ..storage import written
 from .dedup import latest_publication
 
 ROLES = {"ps_ss": ("PS", "SS"), "ps": ("PS",)}
 KEYS = ("ingredient", "raw_string")
-#: Terms whose margins are broadcast at most; beyond it Spark chooses the join.
-BROADCAST_TERMS = 200_000
 
 
 @dataclass(frozen=True)
@@ -101,7 +100,7 @@ def pair_table(drugs: DataFrame, reactions: DataFrame, people: DataFrame) -> Dat
 
 def build(cases: DataFrame, drugs: DataFrame, reactions: DataFrame, duplicates: DataFrame, spec: Spec = Spec(), normalized: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:  # noqa: B008
     """The pair table of a specification. Counting by ingredient needs the three normalization tables."""
-    people = population(cases, duplicates, spec)
+    people = written(population(cases, duplicates, spec), "population")  # it is used three times
     if spec.drug_key == "raw_string":
         named = raw_drugs(drugs, spec)
     elif normalized is None:

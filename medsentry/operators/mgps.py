@@ -64,7 +64,7 @@ def squash(table: DataFrame, bin_size: int = BIN, keep: int = KEEP, min_bins: in
     within = ranged.withColumn("r", F.row_number().over(Window.partitionBy("part", "a").orderBy("expected")))
     sizes = ranged.groupBy("part", "a").agg(F.count("*").alias("n"))
     before = sizes.withColumn("first", F.coalesce(F.sum("n").over(Window.partitionBy("a").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("size", F.sum("n").over(Window.partitionBy("a"))).drop("n")
-    rows = within.join(F.broadcast(before), ["part", "a"]) if ranged.rdd.getNumPartitions() * 1000 < 10_000_000 else within.join(before, ["part", "a"])
+    rows = within.join(before, ["part", "a"])
     rank = F.col("first") + F.col("r")
     single = (F.col("size") < keep + bin_size * min_bins) | (rank > F.col("size") - keep)
     group = F.when(single, -rank).otherwise(F.floor((rank - 1) / bin_size))
