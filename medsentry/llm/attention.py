@@ -13,9 +13,9 @@ from __future__ import annotations
 
 import numpy as np
 
-CONTEXT, SCORED, WIDTH = 16, 32, 16
+CONTEXT, SCORED, WIDTH = 8, 24, 16
 LENGTH = CONTEXT + SCORED
-OWN, SHARED = 96, 31
+OWN, SHARED = 60, 19
 CLASSES = OWN + SHARED
 BLANK = CLASSES  # the input before a text's start
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import attention as net
 from .common import id_crc, stored
-from .subwords import Table, WordBpe
+from .subwords import Numbered, Table, WordBpe
 
 END = 49407
 #: Frequent words whose counts every worker holds, at most, and their longest length in bytes.
@@ -220,49 +220,52 @@ def score(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col
 
         def look(word: bytes):
             raw = np.frombuffer(bpe(word), "<u4")
-            return of[raw].tobytes(), float(share[raw].sum(dtype=float)), len(raw), known.get(word, 0)
+            return of[raw].tobytes(), share[raw].sum(dtype=float), len(raw), known.get(word, 0)
 
-        table = Table(look)
-        end = (of[[END]].tobytes(), float(share[END]), 1, ends)
-        names = ("doc_id", "mark", "word", "logp", "n", "known", "base", "score")
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.float32()), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        table = Numbered(look, (float, np.int64, float))
+        last = of[[END]].tobytes()
+        schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("word", pa.binary()), ("logp", pa.float64()), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
         for batch in batches:
-            at = 0
+            at, ids, marks = 0, batch.column(0).to_pylist(), batch.column(2).to_pylist()
             while at < batch.num_rows:
                 group, parts, size = [], [], 0
                 while at < batch.num_rows and size < 20_000:  # texts whose windows go through the model together
                     own_words = words(batch.column(1)[at].as_py())
-                    got = [*map(table.__getitem__, own_words), end]
-                    group.append((batch.column(0)[at].as_py(), batch.column(2)[at].as_py(), own_words, got))
-                    parts.append(net.windows(np.frombuffer(b"".join([g[0] for g in got]), np.uint8)))
+                    number = table.of(own_words)
+                    codes = table.codes
+                    parts.append(net.windows(np.frombuffer(b"".join([codes[i] for i in number.tolist()]) + last, np.uint8)))
+                    spelt, lengths, counts_ = (np.append(column[number], x) for column, x in zip(table.columns, (share[END], 1, ends), strict=True))
+                    group.append((ids[at], marks[at], own_words, _earlier(number), spelt, lengths, counts_))
                     size, at = size + len(own_words), at + 1
+                    table.trim()
                 inputs, targets, real = (np.concatenate(x) for x in zip(*parts, strict=True))
-                logp = (net.log_probs(p, inputs, targets)[real] / math.log(10)).astype(float)
-                out, start = [], 0
-                for name, mark, own_words, got in group:
-                    lengths = np.array([g[2] for g in got])
-                    begins = np.cumsum(lengths) - lengths
-                    n = int(lengths.sum())
-                    spelled = _sums(logp[start : start + n], begins, lengths) + np.array([g[1] for g in got])
-                    start += n
-                    before = np.array([*_earlier(own_words), 0]) / (np.arange(len(got)) + PRIOR)
-                    spelled = np.log10(SO_FAR * before + (1 - own - SO_FAR) * 10.0 ** np.maximum(spelled, -290))
-                    c = np.array([g[3] for g in got], float)
+                logp = np.cumsum(np.append(0.0, net.log_probs(p, inputs, targets)[real].astype(float))) / math.log(10)
+                whole, rare, rare_words, start = [], [], [], 0
+                for name, mark, own_words, before, spelt, lengths, c in group:
+                    stops = start + np.cumsum(lengths)
+                    spelled = logp[stops] - logp[stops - lengths] + spelt
+                    start = int(stops[-1])
+                    spelled = np.log10(SO_FAR * before / (np.arange(len(c)) + PRIOR) + (1 - own - SO_FAR) * 10.0 ** np.maximum(spelled, -290))
                     sure = c > 0
                     mixed = np.log10(own * c[sure] / max(total, 1) + 10.0 ** spelled[sure])
-                    out.append((name, mark, None, None, len(got), int(sure.sum()), float(np.log10(c[sure] + 1).sum()) - per * int(sure.sum()), float(mixed.sum())))
-                    rest: dict[bytes, list[float]] = {}
-                    for i in np.nonzero(~sure)[0].tolist():
-                        rest.setdefault(own_words[i] if i < len(own_words) else b"", []).append(float(spelled[i]))
-                    out += [(name, mark, w, x, 0, 0, 0.0, 0.0) for w, x in rest.items()]
-                yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=list(names))
+                    whole.append((name, mark, len(c), int(sure.sum()), float(np.log10(c[sure] + 1).sum()) - per * int(sure.sum()), float(mixed.sum())))
+                    left = np.nonzero(~sure)[0]
+                    rare_words += [own_words[i] if i < len(own_words) else None for i in left.tolist()]
+                    rare.append((np.full(len(left), -1 if name is None else name), np.full(len(left), mark), spelled[left], np.full(len(left), name is None)))
+                names, hashes, n, known_n, base, score_ = zip(*whole, strict=True)
+                k = len(whole)
+                yield pa.record_batch([pa.array(names, pa.int64()), pa.array(hashes, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.float64()), pa.array(n, pa.int64()), pa.array(known_n, pa.int64()), pa.array(base, pa.float64()), pa.array(score_, pa.float64())], schema=schema)
+                name, mark, value, missing = (np.concatenate(x) for x in zip(*rare, strict=True))
+                if k := len(name):
+                    # The end is a rare word only if nothing was learned; it stands as the empty word then.
+                    yield pa.record_batch([pa.array(name, pa.int64(), mask=missing), pa.array(mark, pa.int64()), pa.array([w or b"" for w in rare_words], pa.binary()), pa.array(value, pa.float64()), *(pa.nulls(k, f.type) for f in list(schema)[4:])], schema=schema)
 
     marked = rows.select("doc_id", "text", F.xxhash64("text").alias("mark"))
-    found = stored(marked.mapInArrow(run, "doc_id bigint, mark bigint, word binary, logp array<float>, n bigint, known bigint, base double, score double"), "scores")
-    rare = found.filter("word is not null").join(counts, "word", "left")
-    c, times = F.coalesce("c", F.lit(0)), F.size("logp")
-    mixed = F.aggregate("logp", F.lit(0.0), lambda a, x: a + F.log10(F.lit(own) * c / F.lit(float(max(total, 1))) + F.pow(F.lit(10.0), x.cast("double"))))
-    rest = rare.select("doc_id", "mark", F.lit(0).cast("bigint").alias("rows"), F.lit(0).cast("bigint").alias("n"), F.when(c > 0, times).otherwise(0).cast("bigint").alias("known"), (times * (F.log10(c + 1.0) - F.lit(per))).alias("base"), mixed.alias("score"))
+    found = stored(marked.mapInArrow(run, "doc_id bigint, mark bigint, word binary, logp double, n bigint, known bigint, base double, score double"), "scores")
+    rare = found.filter("word is not null").select("doc_id", "mark", "word", "logp").join(counts, "word", "left")
+    c = F.coalesce("c", F.lit(0))
+    mixed = F.log10(F.lit(own) * c / F.lit(float(max(total, 1))) + F.pow(F.lit(10.0), "logp"))
+    rest = rare.select("doc_id", "mark", F.lit(0).cast("bigint").alias("rows"), F.lit(0).cast("bigint").alias("n"), (c > 0).cast("bigint").alias("known"), (F.log10(c + 1.0) - F.lit(per)).alias("base"), mixed.alias("score"))
     first = found.filter("word is null").select("doc_id", "mark", F.lit(1).cast("bigint").alias("rows"), "n", "known", "base", "score")
     # Equal rows give equal parts, so a group's sums are those of one row times their number.
     summed = first.unionByName(rest).groupBy("doc_id", "mark").agg(*(F.sum(x).alias(x) for x in ("rows", "n", "known", "base", "score")))
@@ -270,18 +273,12 @@ def score(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col
     return one.select("doc_id", held_out("doc_id").alias("held_out"), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(total).cast("bigint").alias("train_tokens"), F.col("base").alias("base_score"), "score")
 
 
-def _earlier(own: list[bytes]) -> list[int]:
-    """How often each word occurred before it."""
-    seen: dict[bytes, int] = {}
-    out = []
-    for w in own:
-        n = seen.get(w, 0)
-        out.append(n)
-        seen[w] = n + 1
+def _earlier(number: np.ndarray) -> np.ndarray:
+    """How often each word occurred before it, and a zero for the end."""
+    order = np.argsort(number, kind="stable")
+    ordered = number[order]
+    new = np.append(True, ordered[1:] != ordered[:-1]) if len(order) else np.zeros(0, bool)
+    at = np.arange(len(order))
+    out = np.zeros(len(order) + 1)
+    out[order] = at - np.maximum.accumulate(np.where(new, at, 0))
     return out
-
-
-def _sums(values: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Sums of consecutive runs, of which some may be empty."""
-    total = np.concatenate(([0.0], np.cumsum(values)))
-    return total[begins + lengths] - total[begins]

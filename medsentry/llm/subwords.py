@@ -104,3 +104,36 @@ class Table(dict):
                         self.spare.clear()
                     self.spare[word] = value
         return value
+
+
+class Numbered(dict):
+    """Word -> number, for properties kept in arrays. ``describe(word)`` gives a row for ``columns``; ``codes`` has its first value.
+
+    The first ``keep`` words stay; ``trim`` (between texts) drops later ones when there are ``most``.
+    """
+
+    def __init__(self, describe: Callable, kinds: tuple, keep: int = 150_000, most: int = 300_000):
+        super().__init__()
+        self.describe, self.keep, self.most = describe, keep, most
+        self.names, self.codes, self.columns = [], [], [np.zeros(most, k) for k in kinds]
+
+    def __missing__(self, word):
+        i = len(self.names)
+        self.names.append(word)
+        code, *row = self.describe(word)
+        self.codes.append(code)
+        if i >= len(self.columns[0]):
+            self.columns = [np.concatenate((c, np.zeros_like(c))) for c in self.columns]
+        for column, value in zip(self.columns, row, strict=True):
+            column[i] = value
+        self[word] = i
+        return i
+
+    def of(self, words: list) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+    def trim(self) -> None:
+        if len(self.names) > self.most:
+            for word in self.names[self.keep :]:
+                del self[word]
+            del self.names[self.keep :], self.codes[self.keep :]
