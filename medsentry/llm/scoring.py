@@ -218,9 +218,11 @@ def score(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col
         of, share, flat, known = sent.value
         p, bpe = net.unpacked(flat), WordBpe(tokenizer_path)
 
+        class_of, share_of = of.tolist(), share.tolist()
+
         def look(word: bytes):
-            raw = np.frombuffer(bpe(word), "<u4")
-            return of[raw].tobytes(), share[raw].sum(dtype=float), len(raw), known.get(word, 0)
+            ids = bpe.numbers(word)
+            return bytes([class_of[i] for i in ids]), sum([share_of[i] for i in ids]), len(ids), known.get(word, 0)
 
         table = Numbered(look, (float, np.int64, float))
         last = of[[END]].tobytes()

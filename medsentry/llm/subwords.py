@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -59,17 +60,21 @@ class WordBpe:
             if ranks.setdefault(raw(a) + raw(b), len(ids)) == len(ids):
                 ids.append(model["vocab"][a + b])
         self.core = tiktoken.Encoding("words", pat_str=r".+", mergeable_ranks=ranks, special_tokens={})._core_bpe
-        self.raw = [i.to_bytes(4, "little") for i in ids]
+        self.ids = ids
         self.size = self.library.get_vocab_size()
 
-    def __call__(self, word: bytes) -> bytes:
+    def numbers(self, word: bytes) -> list[int]:
+        """The word's ids."""
+        ids = self.ids
+        if word.isalpha():  # ASCII letters: one part
+            return [ids[i] for i in self.core.encode_single_piece(word.lower() + b"\xff")]
         text = word.decode()
         if not _PLAIN.fullmatch(text) or "<|" in text:
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        raw = self.raw
-        if word.isalpha():  # ASCII letters: one part
-            return b"".join([raw[i] for i in self.core.encode_single_piece(word.lower() + b"\xff")])
-        return b"".join([raw[i] for part in _SPLIT.findall(text.lower()) for i in self.core.encode_single_piece(part.encode() + b"\xff")])
+            return self.library.encode(text, add_special_tokens=False).ids
+        return [ids[i] for part in _SPLIT.findall(text.lower()) for i in self.core.encode_single_piece(part.encode() + b"\xff")]
+
+    def __call__(self, word: bytes) -> bytes:
+        return array("I", self.numbers(word)).tobytes()
 
 
 def _byte_letters(byte_level) -> list[str]:
@@ -112,7 +117,7 @@ class Numbered(dict):
     The first ``keep`` words stay; ``trim`` (between texts) drops later ones when there are ``most``.
     """
 
-    def __init__(self, describe: Callable, kinds: tuple, keep: int = 150_000, most: int = 300_000):
+    def __init__(self, describe: Callable, kinds: tuple, keep: int = 300_000, most: int = 450_000):
         super().__init__()
         self.describe, self.keep, self.most = describe, keep, most
         self.names, self.codes, self.columns = [], [], [np.zeros(most, k) for k in kinds]
