@@ -52,9 +52,11 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, segments: int | No
     done, best, r = [], None, 0
     left = open_.count()
     while left and math.comb(width, r) <= probes and r <= width:
-        flips = F.array(*[F.lit(sum(1 << b for b in bits)).cast("bigint") for bits in combinations(range(width), r)])
+        flips = F.split(F.lit(",".join(str(sum(1 << b for b in bits)) for bits in combinations(range(width), r))), ",").cast("array<bigint>")
         asked = open_.select("code", F.explode(F.array(*[F.struct(F.lit(j).alias("seg"), _segment("code", j, width).alias("own")) for j in range(m)])).alias("s")).select("code", "s.seg", F.col("s.own").alias("own"), F.explode(flips).alias("flip"))
-        met = asked.select("code", "seg", F.col("own").bitwiseXOR(F.col("flip")).alias("value")).join(cut, ["seg", "value"])
+        met = asked.select("code", "seg", F.col("own").bitwiseXOR(F.col("flip")).alias("value"))
+        # Spark's size estimate doesn't see the exploded look-ups; without the hint it may broadcast them.
+        met = met.hint("merge").join(cut.hint("merge"), ["seg", "value"])
         # A pair belongs to the first segment of those in which it differs least; so it is met once in all rounds.
         apart = [F.bit_count(_segment("code", j, width).bitwiseXOR(_segment("other", j, width))) for j in range(m)]
         for j in range(m):
