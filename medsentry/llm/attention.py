@@ -46,17 +46,22 @@ def fresh(seed: int = 0) -> dict[str, np.ndarray]:
 _MASK = np.where(np.arange(LENGTH)[None, :] <= CONTEXT + np.arange(SCORED)[:, None], 0.0, -1e9).astype(np.float32)
 
 
+def whole_windows(classes: np.ndarray) -> np.ndarray:
+    """[n, CONTEXT + 1 + SCORED]: the consecutive windows of one text, each with the classes before its targets."""
+    n = -(-len(classes) // SCORED)
+    padded = np.full(CONTEXT + 1 + n * SCORED, BLANK, np.uint8)
+    padded[CONTEXT + 1 : CONTEXT + 1 + len(classes)] = classes
+    return np.lib.stride_tricks.sliding_window_view(padded, CONTEXT + 1 + SCORED)[::SCORED][:n]
+
+
 def windows(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Inputs [n, LENGTH], targets [n, SCORED] and which targets are real, for one text.
 
     Input p is the class before target p - CONTEXT, so a target never sees itself.
     """
-    n = -(-len(classes) // SCORED)
-    padded = np.full(CONTEXT + 1 + n * SCORED, BLANK, np.uint8)
-    padded[CONTEXT + 1 : CONTEXT + 1 + len(classes)] = classes
-    inputs = np.lib.stride_tricks.sliding_window_view(padded, LENGTH)[::SCORED][:n]
-    targets = padded[CONTEXT + 1 :].reshape(n, SCORED)
-    return inputs, targets, targets != BLANK
+    full = whole_windows(classes)
+    targets = full[:, CONTEXT + 1 :]
+    return full[:, :LENGTH], targets, targets != BLANK
 
 
 def log_probs(p: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, chunk: int = 32) -> np.ndarray:
@@ -90,6 +95,14 @@ def _forward(p: dict[str, np.ndarray], inputs: np.ndarray):
     return x, a, (q, v, mixed), logits
 
 
+def _add_rows(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """out[at[i]] += rows[i] for all i, by sums over sorted runs."""
+    order = np.argsort(at, kind="stable")
+    ordered = at[order]
+    first = np.nonzero(np.append(True, ordered[1:] != ordered[:-1]))[0]
+    out[ordered[first]] += np.add.reduceat(rows[order], first, axis=0)
+
+
 class Trainer:
     """Adam over batches of windows; the bigram table starts from counts and is learned on."""
 
@@ -111,7 +124,7 @@ class Trainer:
         y *= (real / max(1, real.sum()))[..., None].astype(np.float32)
         flat = y.reshape(-1, CLASSES)
         g = {"O": mixed.reshape(-1, WIDTH).T @ flat, "B": np.zeros_like(p["B"])}
-        np.add.at(g["B"], inputs[:, CONTEXT:].reshape(-1), flat)
+        _add_rows(g["B"], inputs[:, CONTEXT:].reshape(-1), flat)
         dm = (flat @ p["O"].T).reshape(mixed.shape)
         da = np.matmul(dm, v.transpose(0, 2, 1))
         dv = np.matmul(a.transpose(0, 2, 1), dm)
@@ -124,7 +137,7 @@ class Trainer:
         dx = dk @ p["K"].T + dv @ p["V"].T
         dx[:, CONTEXT:] += dm + dq @ p["Q"].T * half
         g["P"], g["E"] = dx.sum(0), np.zeros_like(p["E"])
-        np.add.at(g["E"], inputs.reshape(-1), dx.reshape(-1, WIDTH))
+        _add_rows(g["E"], inputs.reshape(-1), dx.reshape(-1, WIDTH))
         self.step += 1
         for name, grad in g.items():
             m, s = self.m[name], self.v[name]

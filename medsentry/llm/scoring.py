@@ -1,7 +1,7 @@
 """Language-model scores of whole texts, and a word-count baseline.
 
 Counts of all training words are taken over the whole corpus. A causal self-attention model over
-subword ids is trained on one window of every training document, spread over the executors: each
+subword ids is trained on every window of every training document, spread over the executors: each
 round, tasks train copies on their windows and the copies are averaged. A word's probability is a
 mixture of what the attention model gives its subwords, its share of the training words, and its
 share of the text's words before it; so frequent words are remembered whole and unknown ones are
@@ -79,37 +79,29 @@ def subword_counts(counts: DataFrame, path: str, size: int) -> np.ndarray:
     return out
 
 
-def training_windows(rows: DataFrame, path: str, classes: np.ndarray, per_document: int = 2) -> DataFrame:
-    """(slice, bigram rows are counted from) windows of class sequences: ``per_document`` places of every document.
+def training_windows(rows: DataFrame, path: str, classes: np.ndarray) -> DataFrame:
+    """(round, window of class sequences): every document cut into consecutive windows, so each id is a target once.
 
-    The places follow from a hash of the text, so a task that runs again gives the same windows.
+    A window's round follows from a hash of the text and its place, so a task that runs again
+    gives the same windows, and a long text is spread over the rounds.
     """
+    width = net.CONTEXT + 1 + net.SCORED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
 
-        table, end = Table(WordBpe(path)), classes[END]
+        class_of, bpe, end = classes.tolist(), WordBpe(path), classes[[END]].tobytes()
+        table = Table(lambda word: bytes([class_of[i] for i in bpe.numbers(word)]))
         for batch in batches:
-            out, part = [], []
             for text in batch.column(0):
                 own = words(text.as_py())
                 seed = zlib.crc32(b" ".join(own))
-                for k in range(per_document):
-                    draw = (seed * (2 * k + 1) * 2654435761 >> 7) % (1 << 32)
-                    at = draw % max(1, len(own) - net.SCORED // 2 + 1) if k else 0
-                    lead = max(0, at - net.CONTEXT)
-                    before = np.frombuffer(b"".join(table[w] for w in own[lead:at]), "<u4")[-net.CONTEXT :]
-                    after = np.frombuffer(b"".join(table[w] for w in own[at : at + net.SCORED]), "<u4")
-                    full = classes[np.concatenate([before, after]).astype(np.int64)]
-                    if at + net.SCORED >= len(own):
-                        full = np.append(full, end)
-                    full = full[: len(before) + net.SCORED]
-                    blank = np.full(net.CONTEXT + 1 + net.SCORED, net.BLANK, np.uint8)
-                    start = net.CONTEXT + 1 - len(before)
-                    blank[start : start + len(full)] = full
-                    out.append(blank.tobytes())
-                    part.append((draw >> 3) % ROUNDS)
-            yield pa.record_batch({"part": pa.array(part, pa.int32()), "window": pa.array(out, pa.binary())})
+                cut = net.whole_windows(np.frombuffer(b"".join([table[w] for w in own]) + end, np.uint8))
+                for at in range(0, len(cut), 10_000):
+                    raw = cut[at : at + 10_000].tobytes()
+                    n = len(raw) // width
+                    part = (seed + at + np.arange(n)) % ROUNDS
+                    yield pa.record_batch({"part": pa.array(part, pa.int32()), "window": pa.array([raw[i : i + width] for i in range(0, len(raw), width)], pa.binary())})
 
     return rows.select("text").mapInArrow(run, "part int, window binary")
 
@@ -128,7 +120,8 @@ def train(windows: DataFrame, rate: float = 0.01, batch: int = 32, steps: int =
         total = np.zeros((net.CLASSES + 1, net.CLASSES))
         for b in batches:
             inputs, targets, real = _arrays(b.column(0).to_pylist())
-            np.add.at(total, (inputs[:, net.CONTEXT :][real], targets[real]), 1)
+            pairs = inputs[:, net.CONTEXT :][real].astype(np.int64) * net.CLASSES + targets[real]
+            total += np.bincount(pairs, minlength=total.size).reshape(total.shape)
         yield pa.record_batch({"i": pa.array(np.arange(total.size), pa.int64()), "x": pa.array(total.ravel(), pa.float64())})
 
     def gathered(df: DataFrame, how) -> np.ndarray:

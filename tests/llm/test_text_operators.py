@@ -73,6 +73,22 @@ def test_model_is_causal_and_normalised():
     assert np.allclose(total, 1, atol=1e-4)
 
 
+def test_every_training_id_is_a_target(spark):
+    from medsentry.llm.subwords import WordBpe
+
+    bpe = WordBpe(BPE)
+    classes = (np.arange(bpe.size) % attention.CLASSES).astype(np.uint8)
+    texts = ["a few words", "", " ".join(f"word{i} and more" for i in range(500))]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = scoring.training_windows(df, BPE, classes).collect()
+    inputs, targets, real = scoring._arrays([bytes(r.window) for r in got])
+    ids = [[*(i for w in scoring.words(t) for i in bpe.numbers(w)), scoring.END] for t in texts]
+    assert Counter(targets[real].tolist()) == Counter(classes[i] for part in ids for i in part)
+    assert {r.part for r in got} == set(range(scoring.ROUNDS))
+    before = Counter(zip(inputs[:, attention.CONTEXT :][real].tolist(), targets[real].tolist(), strict=True))
+    assert before == Counter(p for part in ids for p in zip([attention.BLANK, *classes[part].tolist()], classes[part].tolist(), strict=False))
+
+
 def test_gradient():
     rng = np.random.default_rng(0)
     p = {k: v.astype(np.float64) for k, v in attention.fresh(2).items()}
