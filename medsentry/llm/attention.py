@@ -13,9 +13,9 @@ from __future__ import annotations
 
 import numpy as np
 
-CONTEXT, SCORED, WIDTH = 8, 24, 16
+CONTEXT, SCORED, WIDTH = 16, 32, 16
 LENGTH = CONTEXT + SCORED
-OWN, SHARED = 60, 19
+OWN, SHARED = 96, 31
 CLASSES = OWN + SHARED
 BLANK = CLASSES  # the input before a text's start
 
@@ -69,7 +69,7 @@ def log_probs(p: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray,
 
     In chunks whose arrays fit a core's cache.
     """
-    out = np.empty(targets.shape, np.float32)
+    out = np.empty(targets.shape, p["E"].dtype)
     for i in range(0, len(inputs), chunk):
         logits = _forward(p, inputs[i : i + chunk])[-1].reshape(-1, CLASSES)
         t = targets[i : i + chunk].reshape(-1).astype(np.int64)

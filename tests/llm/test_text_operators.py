@@ -73,6 +73,18 @@ def test_model_is_causal_and_normalised():
     assert np.allclose(total, 1, atol=1e-4)
 
 
+def test_window_start_sees_sixteen_ids_back():
+    rng = np.random.default_rng(0)
+    p = attention.fresh(1)
+    p["O"] = rng.normal(0, 1, p["O"].shape).astype(np.float32)
+    c = rng.integers(0, 60, 3 * attention.SCORED).astype(np.uint8)
+    d = c.copy()
+    first = attention.SCORED  # the second window's first target
+    d[first - 16] = (d[first - 16] + 1) % 60
+    a, b = (attention.log_probs(p, *attention.windows(x)[:2])[1, 0] for x in (c, d))
+    assert a != b and attention.SCORED == 32 and attention.CLASSES == 127
+
+
 def test_every_training_id_is_a_target(spark):
     from medsentry.llm.subwords import WordBpe
 
