@@ -167,7 +167,22 @@ class Matcher:
             groups[-1].append(h)
         # A copy may straddle the border of two groups, so neighbours are looked at together as well.
         groups += [a + b for a, b in zip(groups, groups[1:], strict=False)]
-        return max(self._agreeing(self.items[name], g, t) for g in groups)
+        return max(self._agreeing(self.items[name], g, t) for g in groups + self._aligned(name, hits))
+
+    def _aligned(self, name: int, hits: list) -> list[list]:
+        """Hits that would begin the item at about the same word: copies beside each other are looked at apart."""
+        slack, out, end = max(1, len(self.items[name]) // 4), [], 0
+        need = self.contained * self.total[name] - 1e-9
+        hits = sorted(hits, key=lambda h: h[0] - h[1])
+        starts = [p - i for p, i, *_ in hits]
+        for at, start in enumerate(starts):
+            if at and start == starts[at - 1]:
+                continue
+            while end < len(hits) and starts[end] <= start + slack:
+                end += 1
+            if end - at >= need:
+                out.append(hits[at:end])
+        return out
 
     @staticmethod
     def _agreeing(slots: list, hits: list, t: Text) -> int:

@@ -71,6 +71,14 @@ def test_inconsistent_slots():
     assert m.match(good) and not m.match(bad)
 
 
+def test_variants_beside_each_other():
+    def variant(a, b, c, d):
+        return ITEM.replace("Maria", a).replace("12", b).replace("5 kg", c).replace("Tom", d)
+
+    both = f"{variant('Elena', '40', '9 miles', 'Ivan')} {variant('Zoe', '30', '7 grams', 'Adam')}"
+    assert decontaminate.Matcher([(1, ITEM)]).match(both) == [(1, 1.0)]
+
+
 def test_scan_against_substrings(spark):
     docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "benchmark"))
     flat = lambda t: " ".join(t.lower().split())
