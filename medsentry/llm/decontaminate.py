@@ -28,7 +28,7 @@ _EDGE = re.compile(r"^[^\w%$€£]+|[^\w%$€£]+$")
 _NUMBER = re.compile(r"[$€£]?[+-]?\d[\d.,:/]*")
 #: Spelled numbers and units of measure.
 _SPELLED = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
-_UNITS = frozenset("% percent kg g mg kilogram kilograms gram grams km m cm mm kilometer kilometers kilometre kilometres meter meters metre metres mile miles inch inches foot feet yard yards second seconds minute minutes hour hours day days week weeks month months year years dollar dollars euro euros cent cents pound pounds ounce ounces liter liters litre litres ml gallon gallons degree degrees".split())
+_UNITS = frozenset("% percent kg g mg kilogram kilograms gram grams km m cm mm kilometer kilometers kilometre kilometres meter meters metre metres mile miles inch inches foot feet yard yards second seconds minute minutes hour hours day days week weeks month months year years dollar dollars euro euros cent cents pound pounds ounce ounces liter liters litre litres ml gallon gallons degree degrees lbs oz ft yd yds mph kph km/h ms sec secs min mins hr hrs ton tons tonne tonnes milligram milligrams millimeter millimeters millimetre millimetres centimeter centimeters centimetre centimetres milliliter milliliters millilitre millilitres quart quarts pint pints cup cups tsp tbsp teaspoon teaspoons tablespoon tablespoons acre acres hectare hectares decade decades celsius fahrenheit watt watts kw kwh".split())
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
@@ -85,7 +85,10 @@ class Words:
 
 
 class Text:
-    """A text's words without bare punctuation: hashes of both forms, and which are slots."""
+    """A text's words without bare punctuation: hashes of their forms, and which are slots.
+
+    ``form`` leaves sentences' first words as they are, ``open_form`` takes capitalised ones for names as well.
+    """
 
     def __init__(self, text: str, words: Words):
         raw = text.encode().split()
@@ -96,10 +99,11 @@ class Text:
         n, ends = n[keep], ends[keep]
         name = words.name[n] & ~ends
         self.literal, self.form, self.slot = words.literal[n], np.where(name, np.uint64(_NAME), words.form[n]), words.slot[n] | name
+        self.open_form, self.open_slot = np.where(words.name[n], np.uint64(_NAME), words.form[n]), words.slot[n] | words.name[n]
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the literal and of the template windows of ``size`` words."""
-        return tuple(_roll(x, size) for x in (self.literal, self.form))
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of the literal and of the two kinds of template windows of ``size`` words."""
+        return tuple(_roll(x, size) for x in (self.literal, self.form, self.open_form))
 
     def value(self, i: int) -> str:
         return _EDGE.sub("", self.words[i].decode()).lower()
@@ -126,13 +130,15 @@ class Matcher:
             size = min(window, len(t.words))
             if not size:
                 continue
-            slots = [t.value(i) if s else None for i, s in enumerate(t.slot.tolist())]
-            literal, form = (w.tolist() for w in t.windows(size))
-            self.items[name], self.total[name] = slots, len(literal)
-            for i, (a, b) in enumerate(zip(literal, form, strict=True)):
-                self.posts[size][a].append((name, i, False))
+            slots, open_slots = ([t.value(i) if s else None for i, s in enumerate(x.tolist())] for x in (t.slot, t.open_slot))
+            literal, form, open_form = (w.tolist() for w in t.windows(size))
+            self.items[name], self.total[name] = (slots, open_slots), len(literal)
+            for i, (a, b, c) in enumerate(zip(literal, form, open_form, strict=True)):
+                self.posts[size][a].append((name, i, 0))
                 if b != a:
-                    self.posts[size][b].append((name, i, True))
+                    self.posts[size][b].append((name, i, 1))
+                if c != b:
+                    self.posts[size][c].append((name, i, 2))
         self.filters = {}
         for size, posts in self.posts.items():
             bits = np.zeros(1 << 22, bool)
@@ -146,11 +152,13 @@ class Matcher:
         t = Text(text, self.words)
         found: dict[int, list] = defaultdict(list)
         for size, posts in self.posts.items():
-            for h in t.windows(size):
+            literal, form, open_form = t.windows(size)
+            changed = np.nonzero(open_form != form)[0]
+            for at, h in ((None, literal), (None, form), (changed, open_form[changed])):
                 maybe = np.nonzero(self.filters[size][(h & np.uint64((1 << 22) - 1)).astype(np.int64)])[0]
-                for p, x in zip(maybe.tolist(), h[maybe].tolist(), strict=True):
-                    for name, i, template in posts.get(x, ()):
-                        found[name].append((p, i, template, size))
+                for p, x in zip((maybe if at is None else at[maybe]).tolist(), h[maybe].tolist(), strict=True):
+                    for name, i, kind in posts.get(x, ()):
+                        found[name].append((p, i, kind, size))
         out = []
         for name, hits in found.items():
             need = self.contained * self.total[name] - 1e-9
@@ -160,7 +168,7 @@ class Matcher:
 
     def _best(self, name: int, hits: list, t: Text) -> int:
         """The most windows of the item in one place of the text whose slots agree."""
-        reach, groups = 2 * len(self.items[name]) + 8, []
+        reach, groups = 2 * len(self.items[name][0]) + 8, []
         for h in hits:
             if not groups or h[0] - groups[-1][0][0] > reach:
                 groups.append([])
@@ -171,7 +179,7 @@ class Matcher:
 
     def _aligned(self, name: int, hits: list) -> list[list]:
         """Hits that would begin the item at about the same word: copies beside each other are looked at apart."""
-        slack, out, end = max(1, len(self.items[name]) // 4), [], 0
+        slack, out, end = max(1, len(self.items[name][0]) // 4), [], 0
         need = self.contained * self.total[name] - 1e-9
         hits = sorted(hits, key=lambda h: h[0] - h[1])
         starts = [p - i for p, i, *_ in hits]
@@ -185,20 +193,25 @@ class Matcher:
         return out
 
     @staticmethod
-    def _agreeing(slots: list, hits: list, t: Text) -> int:
-        plain = {i for _, i, template, _ in hits if not template}
-        votes: dict[str, Counter] = defaultdict(Counter)
+    def _agreeing(slots: tuple[list, list], hits: list, t: Text) -> int:
+        """Windows whose slots agree: each value of the item has one value in the text; two may have the same."""
+        plain = {i for _, i, kind, _ in hits if not kind}
         filled = []
-        for p, i, template, size in hits:
-            if template and i not in plain:
-                pairs = [(slots[i + k], t.value(p + k)) for k in range(size) if slots[i + k] is not None]
-                filled.append((i, pairs))
-                for a, b in pairs:
-                    votes[a][b] += 1
-        one = {a: max(v, key=lambda b: (v[b], b)) for a, v in votes.items()}
-        back = Counter(one.values())  # two values of the item must not fall together
-        fits = {i for i, pairs in filled if all(one[a] == b and (back[b] == 1 or a == b) for a, b in pairs)}
-        return len(plain | fits)
+        for p, i, kind, size in hits:
+            if kind and i not in plain:
+                own = slots[kind - 1]
+                filled.append((i, kind, [(own[i + k], t.value(p + k)) for k in range(size) if own[i + k] is not None]))
+        best = len(plain)
+        for most in (1, 2):  # without and with names that begin a sentence
+            votes: dict[str, Counter] = defaultdict(Counter)
+            for _, kind, pairs in filled:
+                if kind <= most:
+                    for a, b in pairs:
+                        votes[a][b] += 1
+            one = {a: max(v, key=lambda b: (v[b], b)) for a, v in votes.items()}
+            fits = {i for i, kind, pairs in filled if kind <= most and all(one[a] == b for a, b in pairs)}
+            best = max(best, len(plain | fits))
+        return best
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int):
