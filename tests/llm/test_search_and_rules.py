@@ -125,19 +125,42 @@ def as_code(v):
     return sum(1 << i for i, x in enumerate((v or [])[:64]) if x is not None and x > 0)
 
 
-@pytest.mark.parametrize("probes", [4096, 10, 0])
-def test_top_k(spark, sf_dir, probes):
+@pytest.mark.parametrize("how", [{}, {"segments": 2}, {"shard": 20, "most": 3}, {"segments": 3, "shard": 100}])
+def test_top_k(spark, how):
     rng = np.random.default_rng(0)
     same = [1.0] * 64
-    rows = [(i, same if i % 3 == 0 else rng.normal(size=64).tolist(), "c") for i in range(400)] + [(1000, None, "c"), (1001, [], "c")]
+    near = [[-1.0 if j in (i, i + 7) else 1.0 for j in range(64)] for i in range(40)]  # one hot value in most segments
+    rows = [(i, same if i % 3 == 0 else near[i % 40] if i % 3 == 1 else rng.normal(size=64).tolist(), "c") for i in range(400)] + [(1000, None, "c"), (1001, [], "c"), (1050, [float("nan")] * 64, "c")]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, code string")
     index = df.select(df.vec_id.alias("id"), hamming.code("embedding").alias("code"))
-    found = hamming.search(index, index.filter("id % 50 = 0"), probes=probes)
+    found = hamming.search(index, index.filter("id % 50 = 0"), **how)
     codes = {i: as_code(v) for i, v, _ in rows}
     want = {(codes[q], i, d) for q, _, i, d in brute(codes, [i for i in codes if i % 50 == 0])}
     assert {(r.code % 2**64, r.id, r.distance) for r in found.collect()} == want
 
 
+@pytest.mark.parametrize("lead", [0, 3])
+def test_look_up_meets_each_code_once(lead):
+    """All shards and radii together give every code for every query, at its distance, one time."""
+    rng = np.random.default_rng(1)
+    codes = np.unique(np.concatenate([rng.integers(0, 2**63, 60, dtype=np.uint64), np.arange(40, dtype=np.uint64) << np.uint64(30)]))
+    cut, asked = hamming.Cut(5, lead), codes[::9]
+    met = []
+    for j in range(cut.segments):
+        prefixes = cut.segment(codes, j) >> np.uint64(cut.low(j))
+        for p in np.unique(prefixes):
+            mine = codes[prefixes == p]
+            q, c, d, _ = hamming.look_up(cut, j, int(p), mine, np.arange(len(mine)), asked, np.full(len(asked), 64), tuple(range(cut.width + 1)), len(codes))
+            met += zip(q.tolist(), c.tolist(), d.tolist(), strict=True)
+    assert sorted(met) == sorted((i, c, (int(a) ^ c).bit_count()) for i, a in enumerate(asked) for c in codes.tolist())
+
+
+def test_wide_vectors_raise(spark):
+    df = spark.createDataFrame([(0, [1.0] * 65)], "vec_id bigint, embedding array<double>")
+    with pytest.raises(Exception, match="more than 64"):
+        hamming.top_k(df, df).collect()
+
+
 def test_top_k_small_tables(spark):
     df = spark.createDataFrame([(0, [1.0, -1.0]), (1, [1.0, 1.0]), (None, [1.0])], "vec_id bigint, embedding array<double>")
     rows = hamming.top_k(df, df.filter("vec_id = 0")).collect()
