@@ -1,9 +1,13 @@
 """A causal self-attention model over classes of subword ids, in numpy.
 
 The frequent ids are a class each, the others share classes of about equal frequency. The model
-predicts the next id's class from the classes before it: logits are the previous class's row of
-a bigram table plus an attention read-out. An id's share of its class comes from corpus counts, so
-the probabilities of all ids sum to one.
+predicts the next id's class from the classes before it, in two steps: its group of classes, then
+the class within the group. The logits of both are what corpus counts give after the previous
+class, plus an attention read-out. An id's share of its class comes from corpus counts, so the
+probabilities of all ids sum to one.
+
+Attention is a single head of full width, so the products of its query and key matrices, and of
+its value and output matrices, are held as one matrix each.
 
 Texts are scored in windows of ``CONTEXT + SCORED`` positions that overlap by ``CONTEXT``: every
 token is scored once, and has at least CONTEXT positions before it (blanks before the start).
@@ -15,8 +19,10 @@ import numpy as np
 
 CONTEXT, SCORED, WIDTH = 16, 32, 16
 LENGTH = CONTEXT + SCORED
-OWN, SHARED = 96, 31
-CLASSES = OWN + SHARED
+GROUPS, EACH = 12, 11
+CLASSES = GROUPS * EACH
+SHARED = 32
+OWN = CLASSES - SHARED
 BLANK = CLASSES  # the input before a text's start
 
 
@@ -36,124 +42,198 @@ class Classes:
 
 
 def fresh(seed: int = 0) -> dict[str, np.ndarray]:
+    """E: classes, P: positions, A: queries by keys, U and W: read-outs of the group and of the class in each group."""
     rng = np.random.default_rng(seed)
     d = WIDTH
-    init = {"E": rng.normal(0, 0.5, (CLASSES + 1, d)), "P": rng.normal(0, 0.1, (LENGTH, d)), "Q": rng.normal(0, d**-0.5, (d, d)), "K": rng.normal(0, d**-0.5, (d, d)), "V": rng.normal(0, d**-0.5, (d, d)), "O": np.zeros((d, CLASSES)), "B": np.zeros((CLASSES + 1, CLASSES))}
+    init = {"E": rng.normal(0, 0.5, (CLASSES + 1, d)), "P": rng.normal(0, 0.1, (LENGTH, d)), "A": rng.normal(0, 0.1, (d, d)), "U": np.zeros((2 * d, GROUPS)), "W": np.zeros((GROUPS, 2 * d, EACH))}
     return {k: v.astype(np.float32) for k, v in init.items()}
 
 
-# Query i (0-based among the scored) stands at position CONTEXT + i - 1's successor: it sees inputs 0 .. CONTEXT + i.
-_MASK = np.where(np.arange(LENGTH)[None, :] <= CONTEXT + np.arange(SCORED)[:, None], 0.0, -1e9).astype(np.float32)
+def bigrams(counts: np.ndarray, weight: float = 5.0) -> tuple[np.ndarray, np.ndarray]:
+    """Log probabilities after each class: of each group, and of each class in its group [class * GROUPS + group, class].
+
+    They are drawn towards those without regard to the previous class by ``weight`` counts.
+    """
+    n = counts.reshape(-1, GROUPS, EACH)
 
+    def towards(n: np.ndarray) -> np.ndarray:
+        one = n.sum(0, keepdims=True) + 0.5
+        one /= one.sum(-1, keepdims=True)
+        return np.log((n + weight * one) / (n.sum(-1, keepdims=True) + weight)).astype(np.float32)
 
-def whole_windows(classes: np.ndarray) -> np.ndarray:
-    """[n, CONTEXT + 1 + SCORED]: the consecutive windows of one text, each with the classes before its targets."""
-    n = -(-len(classes) // SCORED)
-    padded = np.full(CONTEXT + 1 + n * SCORED, BLANK, np.uint8)
-    padded[CONTEXT + 1 : CONTEXT + 1 + len(classes)] = classes
-    return np.lib.stride_tricks.sliding_window_view(padded, CONTEXT + 1 + SCORED)[::SCORED][:n]
+    return towards(n.sum(2)), towards(n).reshape(-1, EACH)
 
 
-def windows(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Inputs [n, LENGTH], targets [n, SCORED] and which targets are real, for one text.
+# Query i (0-based among the scored) stands at position CONTEXT + i and predicts what follows it.
+# The least of a logit and this hides later positions, and keeps exponents within float32.
+_CAP = np.where(np.arange(LENGTH)[None, :] <= CONTEXT + np.arange(SCORED)[:, None], 30.0, -1e9).astype(np.float32)
+
+
+def whole_windows(classes: np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:
+    """[n, CONTEXT + 1 + SCORED]: the consecutive windows of texts that stand one after another, each with the classes before its targets."""
+    sizes = np.array([len(classes)]) if sizes is None else np.asarray(sizes)
+    n = -(-sizes // SCORED)
+    lead = CONTEXT + 1
+    at = np.cumsum(lead + n * SCORED) - (lead + n * SCORED)  # where each text begins in ``padded``
+    padded = np.full(int((lead + n * SCORED).sum()), BLANK, np.uint8)
+    padded[np.arange(len(classes)) + np.repeat(at + lead - (np.cumsum(sizes) - sizes), sizes)] = classes
+    first = np.repeat(at - SCORED * (np.cumsum(n) - n), n) + SCORED * np.arange(n.sum())
+    return np.lib.stride_tricks.sliding_window_view(padded, lead + SCORED)[first]
+
+
+def parts(full: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs [n, LENGTH], targets [n, SCORED] and which targets are real.
 
     Input p is the class before target p - CONTEXT, so a target never sees itself.
     """
-    full = whole_windows(classes)
     targets = full[:, CONTEXT + 1 :]
     return full[:, :LENGTH], targets, targets != BLANK
 
 
-def log_probs(p: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, chunk: int = 32) -> np.ndarray:
+def windows(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return parts(whole_windows(classes))
+
+
+class _Targets:
+    """Flat targets by group: ``order`` sorts them by group, ``runs`` are the groups' slices of that order."""
+
+    def __init__(self, inputs: np.ndarray, targets: np.ndarray):
+        t = targets.reshape(-1)
+        self.group, self.member = t // np.uint8(EACH), t % np.uint8(EACH)
+        blank = t == BLANK
+        if blank.any():
+            self.group[blank], self.member[blank] = 0, 0
+        self.order = np.argsort(self.group, kind="stable")
+        ends = np.cumsum(np.bincount(self.group, minlength=GROUPS)).tolist()
+        self.runs = [(g, a, b) for g, (a, b) in enumerate(zip([0, *ends], ends, strict=False)) if a < b]
+        self.before = inputs[:, CONTEXT:].reshape(-1).astype(np.int64)
+        self.inner_before = (self.before * GROUPS + self.group).take(self.order)
+        self.sorted_member = self.member.take(self.order)
+        at = np.arange(len(t))
+        self.in_groups, self.in_members = at * GROUPS + self.group, at * EACH + self.sorted_member
+
+
+def _sums(x: np.ndarray) -> np.ndarray:
+    """Sums over the last axis."""
+    return x @ np.ones(x.shape[-1], x.dtype)
+
+
+def _attend(p: dict[str, np.ndarray], inputs: np.ndarray):
+    x = p["E"].take(inputs.astype(np.int64), 0)
+    x += p["P"]
+    across = np.ascontiguousarray(x.transpose(0, 2, 1))
+    own = np.ascontiguousarray(x[:, CONTEXT:])
+    q = (own.reshape(-1, WIDTH) @ p["A"]).reshape(own.shape)
+    a = np.matmul(q, across)
+    np.minimum(a, _CAP, out=a)
+    np.exp(a, out=a)
+    scale = (1 / _sums(a))[..., None]
+    h = np.matmul(a, x)
+    h *= scale
+    return x, across, own, q, a, scale, h, np.concatenate((h, own), -1).reshape(-1, 2 * WIDTH)
+
+
+def _logits(p: dict[str, np.ndarray], grams: tuple[np.ndarray, np.ndarray], f: np.ndarray, t: _Targets) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logits of the groups; of the classes in the target's group, in ``t.order``; and f in that order."""
+    y = f @ p["U"]
+    y += grams[0].take(t.before, 0)
+    fs = f.take(t.order, 0)
+    z = np.empty((len(f), EACH), f.dtype)
+    for g, a, b in t.runs:
+        np.matmul(fs[a:b], p["W"][g], out=z[a:b])
+    z += grams[1].take(t.inner_before, 0)
+    return y, z, fs
+
+
+def log_probs(p: dict[str, np.ndarray], grams: tuple[np.ndarray, np.ndarray], inputs: np.ndarray, targets: np.ndarray, chunk: int = 64) -> np.ndarray:
     """log of the probability of each target class, [n, SCORED]; blanks get that of class 0.
 
     In chunks whose arrays fit a core's cache.
     """
     out = np.empty(targets.shape, p["E"].dtype)
     for i in range(0, len(inputs), chunk):
-        logits = _forward(p, inputs[i : i + chunk])[-1].reshape(-1, CLASSES)
-        t = targets[i : i + chunk].reshape(-1).astype(np.int64)
-        t[t == BLANK] = 0
-        chosen = logits[np.arange(len(t)), t]
-        np.exp(logits, out=logits)
-        out[i : i + chunk] = (chosen - np.log(logits.sum(1))).reshape(-1, SCORED)
+        t = _Targets(inputs[i : i + chunk], targets[i : i + chunk])
+        y, z, _ = _logits(p, grams, _attend(p, inputs[i : i + chunk])[-1], t)
+        inner = z.take(t.in_members)
+        inner -= np.log(_sums(np.exp(z, out=z)))
+        flat = y.take(t.in_groups)
+        flat -= np.log(_sums(np.exp(y, out=y)))
+        flat[t.order] += inner
+        out[i : i + chunk] = flat.reshape(-1, SCORED)
     return out
 
 
-def _forward(p: dict[str, np.ndarray], inputs: np.ndarray):
-    x = p["E"][inputs] + p["P"]
-    q = x[:, CONTEXT:] @ (p["Q"] * np.float32(WIDTH**-0.5))
-    a = np.matmul(q, (x @ p["K"]).transpose(0, 2, 1))
-    a += _MASK
-    np.exp(np.minimum(a, 30, out=a), out=a)
-    a /= a.sum(-1, keepdims=True)
-    v = x @ p["V"]
-    mixed = np.matmul(a, v) + x[:, CONTEXT:]
-    logits = mixed.reshape(-1, WIDTH) @ p["O"]
-    logits = logits.reshape(len(inputs), SCORED, CLASSES)
-    logits += p["B"][inputs[:, CONTEXT:]]
-    return x, a, (q, v, mixed), logits
-
-
 def _add_rows(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     """out[at[i]] += rows[i] for all i, by sums over sorted runs."""
     order = np.argsort(at, kind="stable")
-    ordered = at[order]
+    ordered = at.take(order)
     first = np.nonzero(np.append(True, ordered[1:] != ordered[:-1]))[0]
-    out[ordered[first]] += np.add.reduceat(rows[order], first, axis=0)
+    out[ordered[first]] += np.add.reduceat(rows.take(order, 0), first, axis=0)
 
 
 class Trainer:
-    """Adam over batches of windows; the bigram table starts from counts and is learned on."""
-
-    def __init__(self, params: dict[str, np.ndarray], rate: float):
-        self.p, self.rate, self.step = {k: v.copy() for k, v in params.items()}, rate, 0
-        self.m = {k: np.zeros_like(v) for k, v in params.items()}
-        self.v = {k: np.zeros_like(v) for k, v in params.items()}
+    """Adam over batches of windows; the tables of counts stay as they are."""
+
+    def __init__(self, params: dict[str, np.ndarray], grams: tuple[np.ndarray, np.ndarray], rate: float):
+        self.rate, self.step, self.grams = rate, 0, grams
+        self.names, kind = sorted(params), params["E"].dtype
+        self.flat = np.concatenate([params[k].ravel() for k in self.names])
+        self.grad, self.m, self.v = (np.zeros_like(self.flat) for _ in range(3))
+        self.p, self.g, at = {}, {}, 0
+        for k in self.names:  # views, so one step moves all of them
+            n, shape = params[k].size, params[k].shape
+            self.p[k], self.g[k] = self.flat[at : at + n].reshape(shape), self.grad[at : at + n].reshape(shape)
+            at += n
+        assert self.flat.dtype == kind
 
     def update(self, inputs: np.ndarray, targets: np.ndarray, real: np.ndarray) -> float:
-        p = self.p
-        x, a, (q, v, mixed), y = _forward(p, inputs)
-        y -= y.max(-1, keepdims=True)
-        np.exp(y, out=y)
-        y /= y.sum(-1, keepdims=True)
-        t = np.where(real, targets, 0).astype(np.int64)
-        i, j = np.indices(t.shape)
-        loss = float(-(np.log(y[i, j, t] + 1e-30) * real).sum() / max(1, real.sum()))
-        y[i, j, t] -= 1
-        y *= (real / max(1, real.sum()))[..., None].astype(np.float32)
-        flat = y.reshape(-1, CLASSES)
-        g = {"O": mixed.reshape(-1, WIDTH).T @ flat, "B": np.zeros_like(p["B"])}
-        _add_rows(g["B"], inputs[:, CONTEXT:].reshape(-1), flat)
-        dm = (flat @ p["O"].T).reshape(mixed.shape)
-        da = np.matmul(dm, v.transpose(0, 2, 1))
-        dv = np.matmul(a.transpose(0, 2, 1), dm)
-        ds = a * (da - (a * da).sum(-1, keepdims=True))
-        k = x @ p["K"]
-        dq, dk = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q)
-        flat_x, half = x.reshape(-1, WIDTH), np.float32(WIDTH**-0.5)
-        g["Q"] = x[:, CONTEXT:].reshape(-1, WIDTH).T @ dq.reshape(-1, WIDTH) * half
-        g["K"], g["V"] = flat_x.T @ dk.reshape(-1, WIDTH), flat_x.T @ dv.reshape(-1, WIDTH)
-        dx = dk @ p["K"].T + dv @ p["V"].T
-        dx[:, CONTEXT:] += dm + dq @ p["Q"].T * half
-        g["P"], g["E"] = dx.sum(0), np.zeros_like(p["E"])
+        p, g = self.p, self.g
+        t = _Targets(inputs, targets)
+        x, across, own, q, a, scale, h, f = _attend(p, inputs)
+        y, z, fs = _logits(p, self.grams, f, t)
+        live = real.reshape(-1)
+        weight = (live / max(1, live.sum())).astype(f.dtype)
+        loss = 0.0
+        for part, at, w in ((y, t.in_groups, weight), (z, t.in_members, weight.take(t.order))):
+            chosen = part.take(at)
+            np.exp(part, out=part)
+            total = _sums(part)
+            loss += float(w @ (np.log(total) - chosen))
+            part *= (w / total)[:, None]
+            part.reshape(-1)[at] -= w
+        np.matmul(f.T, y, out=g["U"])
+        df, ds = y @ p["U"].T, np.empty_like(fs)
+        g["W"][:] = 0
+        for k, i, j in t.runs:
+            np.matmul(fs[i:j].T, z[i:j], out=g["W"][k])
+            np.matmul(z[i:j], p["W"][k].T, out=ds[i:j])
+        back = np.empty_like(t.order)
+        back[t.order] = np.arange(len(back))
+        df += ds.take(back, 0)
+        df = df.reshape(len(inputs), SCORED, 2 * WIDTH)
+        dh, down = np.ascontiguousarray(df[..., :WIDTH]), df[..., WIDTH:]
+        base = _sums(dh * h)[..., None]
+        dh *= scale  # ``a`` is not divided by its sums, so its gradients are
+        da = np.matmul(dh, across)
+        da -= base * scale
+        da *= a
+        dx = np.matmul(a.transpose(0, 2, 1), dh)
+        dx += np.matmul(da.transpose(0, 2, 1), q)
+        dq = np.matmul(da, x).reshape(-1, WIDTH)
+        np.matmul(own.reshape(-1, WIDTH).T, dq, out=g["A"])
+        down = down + (dq @ p["A"].T).reshape(down.shape)
+        dx[:, CONTEXT:] += down
+        np.matmul(np.ones(len(dx), dx.dtype), dx.reshape(len(dx), -1), out=g["P"].reshape(-1))
+        g["E"][:] = 0
         _add_rows(g["E"], inputs.reshape(-1), dx.reshape(-1, WIDTH))
         self.step += 1
-        for name, grad in g.items():
-            m, s = self.m[name], self.v[name]
-            m += 0.1 * (grad - m)
-            s += 0.01 * (grad * grad - s)
-            p[name] -= self.rate * (m / (1 - 0.9**self.step)) / (np.sqrt(s / (1 - 0.99**self.step)) + 1e-8)
+        grad = self.grad
+        self.m += 0.1 * (grad - self.m)
+        self.v += 0.01 * (grad * grad - self.v)
+        self.flat -= (self.rate / (1 - 0.9**self.step)) * self.m / (np.sqrt(self.v * (1 / (1 - 0.99**self.step))) + 1e-8)
         return loss
 
 
-def bigrams(counts: np.ndarray, weight: float = 5.0) -> np.ndarray:
-    """Log bigram probabilities, drawn towards the unigram ones by ``weight`` counts."""
-    one = counts.sum(0) + 0.5
-    one = one / one.sum()
-    return np.log((counts + weight * one) / (counts.sum(1, keepdims=True) + weight)).astype(np.float32)
-
-
 def packed(params: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([params[k].ravel() for k in sorted(params)])
 

@@ -47,16 +47,16 @@ def _clean() -> None:
             return
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """``df``, written once as a Parquet table in the shared folder and read back.
 
     It cuts the lineage: what follows survives the loss of executors without computing ``df``
-    again, and no stage computes it twice.
+    again, and no stage computes it twice. ``by``: a column of few values to partition the table by.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _made.append((spark, path))
-    df.write.option("compression", "zstd").parquet(path)
+    (df.write.partitionBy(by) if by else df.write).option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,7 +2,8 @@
 
 Counts of all training words are taken over the whole corpus. A causal self-attention model over
 subword ids is trained on every window of every training document, spread over the executors: each
-round, tasks train copies on their windows and the copies are averaged. A word's probability is a
+round, copies are trained on slices of its windows and averaged. The slices follow from a hash, so
+the model doesn't depend on the cluster's layout. A word's probability is a
 mixture of what the attention model gives its subwords, its share of the training words, and its
 share of the text's words before it; so frequent words are remembered whole and unknown ones are
 spelled, once at full cost.
@@ -10,9 +11,11 @@ spelled, once at full cost.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,15 +24,19 @@ from pyspark.sql import functions as F
 
 from . import attention as net
 from .common import id_crc, stored
-from .subwords import Numbered, Table, WordBpe
+from .subwords import Numbered, WordBpe
 
 END = 49407
-#: Frequent words whose counts every worker holds, at most, and their longest length in bytes.
-FREQUENT, LONGEST = 200_000, 64
+#: Frequent words whose counts every worker holds, at most; longer words than this many bytes are held by their SHA-256.
+FREQUENT, LONGEST = 400_000, 64
 #: Weights of a word's share of the training words and of the text so far (in which PRIOR more
 #: words are held unseen); the spelling has the rest.
 OWN_SHARE, SO_FAR, PRIOR = 0.4, 0.15, 5.0
-ROUNDS = 3
+#: Rounds of training, windows that a slice has about, windows that go as one row at most, and the steps of a slice at least.
+ROUNDS, SLICE, TOGETHER, STEPS = 4, 8_192, 256, 128
+
+#: The end of a text: the empty word, which no text has. It is number 0 of a worker's table.
+_THE_END, _END_NUMBER = b"", np.zeros(1, np.int64)
 
 
 def held_out(id_col: str) -> Column:
@@ -80,41 +87,47 @@ def subword_counts(counts: DataFrame, path: str, size: int) -> np.ndarray:
 
 
 def training_windows(rows: DataFrame, path: str, classes: np.ndarray) -> DataFrame:
-    """(round, window of class sequences): every document cut into consecutive windows, so each id is a target once.
+    """(part, h, n, windows): every document cut into consecutive windows of class sequences, so each id is a target once.
 
-    A window's round follows from a hash of the text and its place, so a task that runs again
-    gives the same windows, and a long text is spread over the rounds.
+    A row has up to TOGETHER windows of one document. Its round ``part`` and its hash ``h``, from which its slice
+    follows, depend on the document and the place alone; so a task that runs again gives the same, and
+    a long text is spread over rounds and slices.
     """
-    width = net.CONTEXT + 1 + net.SCORED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
+        import xxhash
 
-        class_of, bpe, end = classes.tolist(), WordBpe(path), classes[[END]].tobytes()
-        table = Table(lambda word: bytes([class_of[i] for i in bpe.numbers(word)]))
+        bpe = WordBpe(path)
+        table = Numbered(lambda word: (classes[bpe.numbers(word)],), ())
+        end = classes[[END]]
         for batch in batches:
-            for text in batch.column(0):
+            out: dict[str, list] = {"part": [], "h": [], "n": [], "windows": []}
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 own = words(text.as_py())
-                seed = zlib.crc32(b" ".join(own))
-                cut = net.whole_windows(np.frombuffer(b"".join([table[w] for w in own]) + end, np.uint8))
-                for at in range(0, len(cut), 10_000):
-                    raw = cut[at : at + 10_000].tobytes()
-                    n = len(raw) // width
-                    part = (seed + at + np.arange(n)) % ROUNDS
-                    yield pa.record_batch({"part": pa.array(part, pa.int32()), "window": pa.array([raw[i : i + width] for i in range(0, len(raw), width)], pa.binary())})
+                cut = net.whole_windows(np.append(table.codes(table.of(own))[0], end))
+                table.trim()
+                for at in range(0, len(cut), TOGETHER):
+                    some = cut[at : at + TOGETHER]
+                    raw = some.tobytes()
+                    h = xxhash.xxh64_intdigest(raw, (name or 0) % 2**63 + at) >> 1
+                    for k, v in zip(out, (h % ROUNDS, h // ROUNDS, len(some), raw), strict=True):
+                        out[k].append(v)
+            yield pa.record_batch([pa.array(out["part"], pa.int32()), pa.array(out["h"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["windows"], pa.binary())], names=list(out))
 
-    return rows.select("text").mapInArrow(run, "part int, window binary")
+    return rows.select("doc_id", "text").mapInArrow(run, "part int, h bigint, n bigint, windows binary")
 
 
 def _arrays(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    full = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, net.CONTEXT + 1 + net.SCORED)
-    targets = full[:, net.CONTEXT + 1 :]
-    return full[:, : net.LENGTH], targets, targets != net.BLANK
+    return net.parts(np.frombuffer(b"".join(raw), np.uint8).reshape(-1, net.CONTEXT + 1 + net.SCORED))
 
 
-def train(windows: DataFrame, rate: float = 0.01, batch: int = 32, steps: int = 200) -> dict[str, np.ndarray]:
-    """Averaged parameters after ROUNDS rounds. Every window is used in one round; a task with few of them repeats them to make ``steps`` steps."""
-    sc = windows.sparkSession.sparkContext
+def _gathered(df: DataFrame, how: Column) -> np.ndarray:
+    rows = df.groupBy("i").agg(how.alias("x")).toPandas().sort_values("i")  # one row a parameter
+    return rows.x.to_numpy()
+
+
+def bigram_counts(windows: DataFrame) -> np.ndarray:
+    """How often each class follows each class, over all windows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((net.CLASSES + 1, net.CLASSES))
@@ -124,48 +137,62 @@ def train(windows: DataFrame, rate: float = 0.01, batch: int = 32, steps: int =
             total += np.bincount(pairs, minlength=total.size).reshape(total.shape)
         yield pa.record_batch({"i": pa.array(np.arange(total.size), pa.int64()), "x": pa.array(total.ravel(), pa.float64())})
 
-    def gathered(df: DataFrame, how) -> np.ndarray:
-        rows = df.groupBy("i").agg(how.alias("x")).toPandas().sort_values("i")  # one row a parameter
-        return rows.x.to_numpy()
-
-    params = net.fresh()
-    grams = gathered(windows.select("window").mapInArrow(count, "i bigint, x double"), F.sum("x"))
-    if not len(grams):
-        return params
-    params["B"] = net.bigrams(grams.reshape(net.CLASSES + 1, net.CLASSES))
-    for r in range(ROUNDS):
-        sent = sc.broadcast(net.packed(params))
-
-        def run(batches: Iterator[pa.RecordBatch], r=r, sent=sent) -> Iterator[pa.RecordBatch]:
-            trainer, done, seen, some = net.Trainer(net.unpacked(sent.value), rate / (r + 1)), 0, 0, None
-            rng = np.random.default_rng(r)
-
-            def over(raw: list[bytes]) -> int:
-                inputs, targets, real = _arrays(raw)
-                order = rng.permutation(len(raw))
+    flat = _gathered(windows.select("windows").mapInArrow(count, "i bigint, x double"), F.sum("x"))
+    return flat.reshape(net.CLASSES + 1, net.CLASSES) if len(flat) else np.zeros((net.CLASSES + 1, net.CLASSES))
+
+
+def train(windows: DataFrame, rate: float = 0.01, batch: int = 64, steps: int = STEPS) -> tuple[dict[str, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Averaged parameters after ROUNDS rounds, and the tables of counts.
+
+    Every window is used in one round, in one slice; a slice with few of them repeats them to make ``steps`` steps.
+    """
+    sc = windows.sparkSession.sparkContext
+    params, grams = net.fresh(), net.bigrams(bigram_counts(windows))
+    total = windows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    slices = max(1, round(total / ROUNDS / SLICE))
+
+    def slice_trainer(r: int, sent):
+        def run(table: pa.Table) -> pa.Table:
+            flat, grams = sent.value
+            trainer, rng, done = net.Trainer(net.unpacked(flat), grams, rate / (r + 1)), np.random.default_rng(r), 0
+            table = table.sort_by([("h", "ascending"), ("windows", "ascending")])
+            inputs, targets, real = _arrays(table.column("windows").to_pylist())
+            while done < steps:
+                order = rng.permutation(len(inputs))
                 for at in range(0, len(order), batch):
                     i = order[at : at + batch]
                     trainer.update(inputs[i], targets[i], real[i])
-                return -(-len(order) // batch)
+                    done += 1
+            return pa.table({"seen": pa.array([len(inputs)], pa.int64()), "flat": pa.array([net.packed(trainer.p).tobytes()], pa.binary())})
+
+        return run
 
+    for r in range(ROUNDS if total else 0):
+        sent = sc.broadcast((net.packed(params), grams))
+
+        def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, seen = np.zeros(len(net.packed(net.fresh()))), 0
             for b in batches:
-                raw = b.column(0).to_pylist()
-                if raw:
-                    done, seen, some = done + over(raw), seen + len(raw), raw if some is None else some
-            while some and done < steps:
-                done += over(some)
+                for n, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    total, seen = total + n * np.frombuffer(raw, np.float32).astype(float), seen + n
             if seen:
-                flat = net.packed(trainer.p).astype(float)
-                yield pa.record_batch({"i": pa.array(np.arange(len(flat)), pa.int64()), "x": pa.array(flat * seen, pa.float64()), "w": pa.array(np.full(len(flat), float(seen)), pa.float64())})
+                yield pa.record_batch({"i": pa.array(np.arange(len(total)), pa.int64()), "x": pa.array(total, pa.float64()), "w": pa.array(np.full(len(total), float(seen)), pa.float64())})
 
-        flat = gathered(windows.filter(F.col("part") == r).select("window").mapInArrow(run, "i bigint, x double, w double"), F.sum("x") / F.sum("w"))
+        mine = windows.filter(F.col("part") == r).select(F.pmod("h", F.lit(slices)).alias("slice"), "h", "windows")
+        trained = mine.groupBy("slice").applyInArrow(slice_trainer(r, sent), "seen bigint, flat binary").mapInArrow(added, "i bigint, x double, w double")
+        flat = _gathered(trained, F.sum("x") / F.sum("w"))
         if len(flat):
             params = net.unpacked(flat.astype(np.float32))
-    return params
+    return params, grams
+
+
+def _held(word: bytes) -> bytes:
+    """The key under which a word is held: itself, or 0xFF, which UTF-8 never has, and its SHA-256."""
+    return word if len(word) <= LONGEST else b"\xff" + hashlib.sha256(word).digest()
 
 
 def _frequent(counts: DataFrame, most: int) -> DataFrame:
-    """The words above the lowest count that at most ``most`` words reach, short ones only.
+    """(word, c): the words, as they are held, above the lowest count that at most ``most`` words reach.
 
     The count is read from a histogram over counts on a logarithmic scale, which has at most some
     thousand steps however large the corpus.
@@ -177,7 +204,32 @@ def _frequent(counts: DataFrame, most: int) -> DataFrame:
         if held + r.n > most:
             break
         held, least = held + r.n, r.s
-    return counts.filter(F.lit(False) if least is None else (step >= least) & (F.length("word") <= LONGEST))
+    key = F.when(F.length("word") <= LONGEST, F.col("word")).otherwise(F.concat(F.lit(bytearray(b"\xff")), F.unhex(F.sha2("word", 256))))
+    return counts.filter(F.lit(False) if least is None else step >= least).select(key.alias("word"), "c")
+
+
+class Learned(NamedTuple):
+    """What is learned from the training rows: the words' counts, and what every worker gets."""
+
+    counts: DataFrame
+    ends: int
+    total: int
+    distinct: int
+    classes: net.Classes
+    params: dict[str, np.ndarray]
+    grams: tuple[np.ndarray, np.ndarray]
+
+
+def learn(rows: DataFrame, tokenizer_path: str) -> Learned:
+    """Counts and the trained model of the rows (doc_id, text)."""
+    counts = stored(word_counts(rows), "words")
+    ends = rows.count()
+    facts = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    ids = subword_counts(counts, tokenizer_path, WordBpe(tokenizer_path).size)
+    ids[END] += ends
+    classes = net.Classes(ids)
+    params, grams = train(stored(training_windows(rows, tokenizer_path, classes.of), "windows", by="part"))
+    return Learned(counts, ends, facts.n + ends, facts.v + (1 if ends else 0), classes, params, grams)
 
 
 def score(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
@@ -188,72 +240,58 @@ def score(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col
     without training rows N and V are 0 and the model gives every word its spelling by an even
     distribution; long texts and words are read whole; other columns are not read.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    learned = rows.filter(~held_out("doc_id"))
-    counts = stored(word_counts(learned), "words")
-    ends = learned.count()
-    facts = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    total, distinct = facts.n + ends, facts.v + (1 if ends else 0)
+    return scored(rows, learn(rows.filter(~held_out("doc_id")), tokenizer_path), tokenizer_path, frequent)
 
-    size = WordBpe(tokenizer_path).size
-    ids = subword_counts(counts, tokenizer_path, size)
-    ids[END] += ends
-    classes = net.Classes(ids)
-    params = train(stored(training_windows(learned, tokenizer_path, classes.of), "windows"))
-    known = {bytes(r.word): r.c for r in _frequent(counts, frequent).toLocalIterator()}
-    sent = spark.sparkContext.broadcast((classes.of, classes.share, net.packed(params), known))
 
-    per = math.log10(total + distinct + 1)
+def scored(rows: DataFrame, model: Learned, tokenizer_path: str, frequent: int = FREQUENT) -> DataFrame:
+    """The scores of ``rows`` (doc_id, text) under a model."""
+    total, ends, counts = model.total, model.ends, model.counts
+    known = {bytes(r.word): r.c for r in _frequent(counts, frequent).toLocalIterator()}
+    sent = rows.sparkSession.sparkContext.broadcast((model.classes.of, model.classes.share, net.packed(model.params), model.grams, known))
+    per = math.log10(total + model.distinct + 1)
     own = OWN_SHARE if total else 0.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, share, flat, known = sent.value
+        of, share, flat, grams, known = sent.value
         p, bpe = net.unpacked(flat), WordBpe(tokenizer_path)
 
-        class_of, share_of = of.tolist(), share.tolist()
-
         def look(word: bytes):
-            ids = bpe.numbers(word)
-            return bytes([class_of[i] for i in ids]), sum([share_of[i] for i in ids]), len(ids), known.get(word, 0)
+            c, ids = (ends, [END]) if not word else (known.get(_held(word), 0), bpe.numbers(word))
+            return of[ids], share[ids].sum(dtype=float), c, math.log10(c + 1)
 
-        table = Numbered(look, (float, np.int64, float))
-        last = of[[END]].tobytes()
+        table = Numbered(look, (float, np.int64, float), (_THE_END,))
         schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("word", pa.binary()), ("logp", pa.float64()), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
         for batch in batches:
-            at, ids, marks = 0, batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            at, texts = 0, batch.column(1)
             while at < batch.num_rows:
-                group, parts, size = [], [], 0
+                first, numbers, size = at, [], 0
                 while at < batch.num_rows and size < 20_000:  # texts whose windows go through the model together
-                    own_words = words(batch.column(1)[at].as_py())
-                    number = table.of(own_words)
-                    codes = table.codes
-                    parts.append(net.windows(np.frombuffer(b"".join([codes[i] for i in number.tolist()]) + last, np.uint8)))
-                    spelt, lengths, counts_ = (np.append(column[number], x) for column, x in zip(table.columns, (share[END], 1, ends), strict=True))
-                    group.append((ids[at], marks[at], own_words, _earlier(number), spelt, lengths, counts_))
-                    size, at = size + len(own_words), at + 1
-                    table.trim()
-                inputs, targets, real = (np.concatenate(x) for x in zip(*parts, strict=True))
-                logp = np.cumsum(np.append(0.0, net.log_probs(p, inputs, targets)[real].astype(float))) / math.log(10)
-                whole, rare, rare_words, start = [], [], [], 0
-                for name, mark, own_words, before, spelt, lengths, c in group:
-                    stops = start + np.cumsum(lengths)
-                    spelled = logp[stops] - logp[stops - lengths] + spelt
-                    start = int(stops[-1])
-                    spelled = np.log10(SO_FAR * before / (np.arange(len(c)) + PRIOR) + (1 - own - SO_FAR) * 10.0 ** np.maximum(spelled, -290))
-                    sure = c > 0
-                    mixed = np.log10(own * c[sure] / max(total, 1) + 10.0 ** spelled[sure])
-                    whole.append((name, mark, len(c), int(sure.sum()), float(np.log10(c[sure] + 1).sum()) - per * int(sure.sum()), float(mixed.sum())))
-                    left = np.nonzero(~sure)[0]
-                    rare_words += [own_words[i] if i < len(own_words) else None for i in left.tolist()]
-                    rare.append((np.full(len(left), -1 if name is None else name), np.full(len(left), mark), spelled[left], np.full(len(left), name is None)))
-                names, hashes, n, known_n, base, score_ = zip(*whole, strict=True)
-                k = len(whole)
-                yield pa.record_batch([pa.array(names, pa.int64()), pa.array(hashes, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.float64()), pa.array(n, pa.int64()), pa.array(known_n, pa.int64()), pa.array(base, pa.float64()), pa.array(score_, pa.float64())], schema=schema)
-                name, mark, value, missing = (np.concatenate(x) for x in zip(*rare, strict=True))
-                if k := len(name):
-                    # The end is a rare word only if nothing was learned; it stands as the empty word then.
-                    yield pa.record_batch([pa.array(name, pa.int64(), mask=missing), pa.array(mark, pa.int64()), pa.array([w or b"" for w in rare_words], pa.binary()), pa.array(value, pa.float64()), *(pa.nulls(k, f.type) for f in list(schema)[4:])], schema=schema)
+                    numbers += (table.of(words(texts[at].as_py())), _END_NUMBER)
+                    size, at = size + len(numbers[-2]), at + 1
+                lengths = np.array([len(x) + 1 for x in numbers[::2]])
+                number = np.concatenate(numbers)
+                begin = np.cumsum(lengths) - lengths
+                place = np.arange(len(number)) - np.repeat(begin, lengths)
+                codes, n = table.codes(number)
+                full = net.whole_windows(codes, np.add.reduceat(n, begin))
+                inputs, targets, real = net.parts(full)
+                logp = np.cumsum(np.append(0.0, net.log_probs(p, grams, inputs, targets)[real].astype(float))) / math.log(10)
+                stops = np.cumsum(n)
+                spelt, c, logs = (x.take(number) for x in table.columns)
+                spelled = logp[stops] - logp[stops - n] + spelt
+                share_of = SO_FAR * _earlier(number, place) / (place + PRIOR) + (1 - own - SO_FAR) * 10.0 ** np.maximum(spelled, -290)
+                share_of += own * c / max(total, 1)
+                value, sure = np.log10(share_of), c > 0
+                sums = [np.add.reduceat(np.where(sure, x, 0), begin) for x in (1, logs - per, value)]
+                k = len(lengths)
+                name, mark = batch.column(0).slice(first, k), batch.column(2).slice(first, k)
+                yield pa.record_batch([name, mark, pa.nulls(k, pa.binary()), pa.nulls(k, pa.float64()), pa.array(lengths, pa.int64()), pa.array(sums[0], pa.int64()), pa.array(sums[1], pa.float64()), pa.array(sums[2], pa.float64())], schema=schema)
+                rare = np.nonzero(~sure)[0]
+                if m := len(rare):
+                    text = pa.array(np.searchsorted(begin, rare, "right") - 1)
+                    yield pa.record_batch([name.take(text), mark.take(text), pa.array([table.names[i] for i in number[rare].tolist()], pa.binary()), pa.array(value[rare], pa.float64()), *(pa.nulls(m, f.type) for f in list(schema)[4:])], schema=schema)
+                table.trim()
 
     marked = rows.select("doc_id", "text", F.xxhash64("text").alias("mark"))
     found = stored(marked.mapInArrow(run, "doc_id bigint, mark bigint, word binary, logp double, n bigint, known bigint, base double, score double"), "scores")
@@ -268,12 +306,13 @@ def score(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col
     return one.select("doc_id", held_out("doc_id").alias("held_out"), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(total).cast("bigint").alias("train_tokens"), F.col("base").alias("base_score"), "score")
 
 
-def _earlier(number: np.ndarray) -> np.ndarray:
-    """How often each word occurred before it, and a zero for the end."""
-    order = np.argsort(number, kind="stable")
-    ordered = number[order]
-    new = np.append(True, ordered[1:] != ordered[:-1]) if len(order) else np.zeros(0, bool)
-    at = np.arange(len(order))
-    out = np.zeros(len(order) + 1)
-    out[order] = at - np.maximum.accumulate(np.where(new, at, 0))
+def _earlier(number: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """How often each word occurred before it in its text; ``place`` is each word's place in its text."""
+    at = np.arange(len(number))
+    ordered = np.sort((number << 32) | at)  # by word, then position
+    position, which = ordered & 0xFFFFFFFF, ordered >> 32
+    text = position - place[position]  # where the text begins
+    new = np.append(True, (which[1:] != which[:-1]) | (text[1:] != text[:-1]))
+    out = np.zeros(len(number))
+    out[position] = at - np.maximum.accumulate(np.where(new, at, 0))
     return out

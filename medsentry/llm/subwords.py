@@ -112,23 +112,34 @@ class Table(dict):
 
 
 class Numbered(dict):
-    """Word -> number, for properties kept in arrays. ``describe(word)`` gives a row for ``columns``; ``codes`` has its first value.
+    """Word -> number, for properties kept in arrays. ``describe(word)`` gives a word's codes and a row for ``columns``.
 
-    The first ``keep`` words stay; ``trim`` (between texts) drops later ones when there are ``most``.
+    The words of ``fixed`` come first and stay. So do the first ``keep`` words; ``trim`` (between
+    texts) drops later ones when there are ``most``, or when the words have ``room`` bytes.
     """
 
-    def __init__(self, describe: Callable, kinds: tuple, keep: int = 300_000, most: int = 450_000):
+    def __init__(self, describe: Callable, kinds: tuple, fixed: tuple = (), keep: int = 300_000, most: int = 450_000, room: int = 64_000_000):
         super().__init__()
-        self.describe, self.keep, self.most = describe, keep, most
-        self.names, self.codes, self.columns = [], [], [np.zeros(most, k) for k in kinds]
+        self.describe, self.keep, self.most, self.room = describe, keep, most, room
+        self.names, self.held, self.columns = [], 0, [np.zeros(most, k) for k in kinds]
+        self.flat, self.begin, self.length = np.zeros(4 * most, np.uint8), np.zeros(most + 1, np.int64), np.zeros(most, np.int64)
+        for word in fixed:
+            self.__missing__(word)
+            del self[word]  # its number is known to the caller alone
 
     def __missing__(self, word):
         i = len(self.names)
+        codes, *row = self.describe(word)
         self.names.append(word)
-        code, *row = self.describe(word)
-        self.codes.append(code)
-        if i >= len(self.columns[0]):
+        self.held += len(word)
+        if i >= len(self.length):
             self.columns = [np.concatenate((c, np.zeros_like(c))) for c in self.columns]
+            self.begin, self.length = np.concatenate((self.begin, np.zeros_like(self.begin))), np.concatenate((self.length, np.zeros_like(self.length)))
+        a, n = self.begin[i], len(codes)
+        while a + n > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        self.flat[a : a + n] = codes
+        self.begin[i + 1], self.length[i] = a + n, n
         for column, value in zip(self.columns, row, strict=True):
             column[i] = value
         self[word] = i
@@ -137,8 +148,16 @@ class Numbered(dict):
     def of(self, words: list) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
+    def codes(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words' codes one after another, and how many each word has."""
+        n = self.length.take(numbers)
+        ends = np.cumsum(n)
+        return self.flat.take(np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begin.take(numbers) - (ends - n), n)), n
+
     def trim(self) -> None:
-        if len(self.names) > self.most:
-            for word in self.names[self.keep :]:
-                del self[word]
-            del self.names[self.keep :], self.codes[self.keep :]
+        while len(self.names) > self.most or self.held > self.room and len(self.names) > 1:
+            keep = self.keep if len(self.names) > self.most else len(self.names) // 2
+            for word in self.names[keep:]:
+                self.pop(word, None)
+                self.held -= len(word)
+            del self.names[keep:]
