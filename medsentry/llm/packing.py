@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import map_batches, stored
-from .subwords import Table, WordBpe
+from .subwords import word_ids
 
 DIMS, BITS, BUCKETS = 3, 10, 64
 _OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -78,15 +78,18 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str
     """
 
     def make():
-        bpe = WordBpe(tokenizer_path)
-        if bpe.size > 1 << 16:
-            raise ValueError(f"{tokenizer_path} has {bpe.size} ids; 16 bits hold 65,536")
-        table, curve, end = Table(bpe), Curve(bpe.size), np.array([end_id], "<u4").tobytes()
+        table = word_ids(tokenizer_path, end_id)
+        if table.bpe.size > 1 << 16:
+            raise ValueError(f"{tokenizer_path} has {table.bpe.size} ids; 16 bits hold 65,536")
+        curve = Curve(table.bpe.size)
 
         def each(batch):
             names, texts = batch.column(0), batch.column(1)
             for at in range(0, len(texts), 256):
-                part = [np.frombuffer(b"".join(map(table.__getitem__, (t or "").encode().split())) + end, "<u4") for t in texts.slice(at, 256).to_pylist()]
+                part = []
+                for t in texts.slice(at, 256):
+                    part.append(table.ids(np.append(table.of((t.as_py() or "").encode().split()), 0))[0])
+                    table.trim()
                 yield {"doc_id": names.slice(at, 256), "key": curve.keys(part), "ids": [p.astype("<u2").tobytes() for p in part]}
 
         return each

@@ -15,6 +15,7 @@ import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import attention as net
 from .common import id_crc, stored
-from .subwords import Numbered, WordBpe
+from .subwords import word_bpe, word_ids
 
 END = 49407
 #: Frequent words whose counts every worker holds, at most; longer words than this many bytes are held by their SHA-256.
@@ -35,8 +36,8 @@ OWN_SHARE, SO_FAR, PRIOR = 0.4, 0.15, 5.0
 #: Rounds of training, windows that a slice has about, windows that go as one row at most, and the steps of a slice at least.
 ROUNDS, SLICE, TOGETHER, STEPS = 4, 8_192, 256, 128
 
-#: The end of a text: the empty word, which no text has. It is number 0 of a worker's table.
-_THE_END, _END_NUMBER = b"", np.zeros(1, np.int64)
+#: The end of a text is number 0 of a worker's table.
+_END_NUMBER = np.zeros(1, np.int64)
 
 
 def held_out(id_col: str) -> Column:
@@ -71,12 +72,11 @@ def subword_counts(counts: DataFrame, path: str, size: int) -> np.ndarray:
     """How often each id occurs in the training words, from the table of distinct words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, total = WordBpe(path), np.zeros(size)
+        bpe, total = word_bpe(path), np.zeros(size)
         for batch in batches:
-            ids = [np.frombuffer(bpe(w), "<u4") for w in batch.column(0).to_pylist()]
-            n = np.repeat(batch.column(1).to_numpy().astype(float), [len(i) for i in ids])
-            if len(n):
-                total += np.bincount(np.concatenate(ids), n, size)
+            ranks = [bpe.ranks(w) for w in batch.column(0).to_pylist()]
+            n = np.repeat(batch.column(1).to_numpy().astype(float), [len(r) for r in ranks])
+            total += np.bincount(bpe.ids[np.fromiter(chain.from_iterable(ranks), np.int64, len(n))], n, size)
         seen = np.nonzero(total)[0]
         yield pa.record_batch({"id": pa.array(seen, pa.int64()), "n": pa.array(total[seen], pa.float64())})
 
@@ -97,14 +97,12 @@ def training_windows(rows: DataFrame, path: str, classes: np.ndarray) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        bpe = WordBpe(path)
-        table = Numbered(lambda word: (classes[bpe.numbers(word)],), ())
-        end = classes[[END]]
+        table = word_ids(path, END)
         for batch in batches:
             out: dict[str, list] = {"part": [], "h": [], "n": [], "windows": []}
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 own = words(text.as_py())
-                cut = net.whole_windows(np.append(table.codes(table.of(own))[0], end))
+                cut = net.whole_windows(classes.take(table.ids(np.append(table.of(own), 0))[0]))
                 table.trim()
                 for at in range(0, len(cut), TOGETHER):
                     some = cut[at : at + TOGETHER]
@@ -225,7 +223,7 @@ def learn(rows: DataFrame, tokenizer_path: str) -> Learned:
     counts = stored(word_counts(rows), "words")
     ends = rows.count()
     facts = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    ids = subword_counts(counts, tokenizer_path, WordBpe(tokenizer_path).size)
+    ids = subword_counts(counts, tokenizer_path, word_bpe(tokenizer_path).size)
     ids[END] += ends
     classes = net.Classes(ids)
     params, grams = train(stored(training_windows(rows, tokenizer_path, classes.of), "windows", by="part"))
@@ -254,13 +252,9 @@ def scored(rows: DataFrame, model: Learned, tokenizer_path: str, frequent: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, share, flat, grams, known = sent.value
-        p, bpe = net.unpacked(flat), WordBpe(tokenizer_path)
+        p, table = net.unpacked(flat), word_ids(tokenizer_path, END)
+        counts, filled = np.zeros(table.most, np.int64), 0
 
-        def look(word: bytes):
-            c, ids = (ends, [END]) if not word else (known.get(_held(word), 0), bpe.numbers(word))
-            return of[ids], share[ids].sum(dtype=float), c, math.log10(c + 1)
-
-        table = Numbered(look, (float, np.int64, float), (_THE_END,))
         schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("word", pa.binary()), ("logp", pa.float64()), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
         for batch in batches:
             at, texts = 0, batch.column(1)
@@ -273,17 +267,22 @@ def scored(rows: DataFrame, model: Learned, tokenizer_path: str, frequent: int =
                 number = np.concatenate(numbers)
                 begin = np.cumsum(lengths) - lengths
                 place = np.arange(len(number)) - np.repeat(begin, lengths)
-                codes, n = table.codes(number)
-                full = net.whole_windows(codes, np.add.reduceat(n, begin))
+                ids, n = table.ids(number)
+                if filled < len(table.names):
+                    if len(table.names) > len(counts):
+                        counts = np.concatenate((counts, np.zeros(len(table.names), np.int64)))
+                    counts[filled : len(table.names)] = [known.get(_held(w), 0) for w in table.names[filled:]]
+                    counts[0], filled = ends, len(table.names)
+                full = net.whole_windows(of.take(ids), np.add.reduceat(n, begin))
                 inputs, targets, real = net.parts(full)
                 logp = np.cumsum(np.append(0.0, net.log_probs(p, grams, inputs, targets)[real].astype(float))) / math.log(10)
                 stops = np.cumsum(n)
-                spelt, c, logs = (x.take(number) for x in table.columns)
-                spelled = logp[stops] - logp[stops - n] + spelt
+                c = counts.take(number)
+                spelled = logp[stops] - logp[stops - n] + np.add.reduceat(share.take(ids), stops - n)
                 share_of = SO_FAR * _earlier(number, place) / (place + PRIOR) + (1 - own - SO_FAR) * 10.0 ** np.maximum(spelled, -290)
                 share_of += own * c / max(total, 1)
                 value, sure = np.log10(share_of), c > 0
-                sums = [np.add.reduceat(np.where(sure, x, 0), begin) for x in (1, logs - per, value)]
+                sums = [np.add.reduceat(np.where(sure, x, 0), begin) for x in (1, np.log10(c + 1.0) - per, value)]
                 k = len(lengths)
                 name, mark = batch.column(0).slice(first, k), batch.column(2).slice(first, k)
                 yield pa.record_batch([name, mark, pa.nulls(k, pa.binary()), pa.nulls(k, pa.float64()), pa.array(lengths, pa.int64()), pa.array(sums[0], pa.int64()), pa.array(sums[1], pa.float64()), pa.array(sums[2], pa.float64())], schema=schema)
@@ -292,6 +291,7 @@ def scored(rows: DataFrame, model: Learned, tokenizer_path: str, frequent: int =
                     text = pa.array(np.searchsorted(begin, rare, "right") - 1)
                     yield pa.record_batch([name.take(text), mark.take(text), pa.array([table.names[i] for i in number[rare].tolist()], pa.binary()), pa.array(value[rare], pa.float64()), *(pa.nulls(m, f.type) for f in list(schema)[4:])], schema=schema)
                 table.trim()
+                filled = min(filled, len(table.names))
 
     marked = rows.select("doc_id", "text", F.xxhash64("text").alias("mark"))
     found = stored(marked.mapInArrow(run, "doc_id bigint, mark bigint, word binary, logp double, n bigint, known bigint, base double, score double"), "scores")

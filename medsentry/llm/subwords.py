@@ -13,6 +13,8 @@ import os
 import re
 from array import array
 from collections.abc import Callable
+from functools import cache
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -60,18 +62,22 @@ class WordBpe:
             if ranks.setdefault(raw(a) + raw(b), len(ids)) == len(ids):
                 ids.append(model["vocab"][a + b])
         self.core = tiktoken.Encoding("words", pat_str=r".+", mergeable_ranks=ranks, special_tokens={})._core_bpe
-        self.ids = ids
-        self.size = self.library.get_vocab_size()
+        self.size, self.own = self.library.get_vocab_size(), len(ids)
+        #: Id of each rank of the core, and after these of each of the library's ids.
+        self.ids = np.array([*ids, *range(self.size)], np.uint32)
 
-    def numbers(self, word: bytes) -> list[int]:
-        """The word's ids."""
-        ids = self.ids
+    def ranks(self, word: bytes) -> list[int]:
+        """The word's ids as places in ``self.ids``."""
         if word.isalpha():  # ASCII letters: one part
-            return [ids[i] for i in self.core.encode_single_piece(word.lower() + b"\xff")]
+            return self.core.encode_single_piece(word.lower() + b"\xff")
         text = word.decode()
         if not _PLAIN.fullmatch(text) or "<|" in text:
-            return self.library.encode(text, add_special_tokens=False).ids
-        return [ids[i] for part in _SPLIT.findall(text.lower()) for i in self.core.encode_single_piece(part.encode() + b"\xff")]
+            return [self.own + i for i in self.library.encode(text, add_special_tokens=False).ids]
+        return [i for part in _SPLIT.findall(text.lower()) for i in self.core.encode_single_piece(part.encode() + b"\xff")]
+
+    def numbers(self, word: bytes) -> list[int]:
+        """The word's ids."""
+        return self.ids[self.ranks(word)].tolist()
 
     def __call__(self, word: bytes) -> bytes:
         return array("I", self.numbers(word)).tobytes()
@@ -111,53 +117,68 @@ class Table(dict):
         return value
 
 
-class Numbered(dict):
-    """Word -> number, for properties kept in arrays. ``describe(word)`` gives a word's codes and a row for ``columns``.
+class WordIds(dict):
+    """Word -> number, with the ids of all numbered words in one array. Number 0 is the end of a text.
 
-    The words of ``fixed`` come first and stay. So do the first ``keep`` words; ``trim`` (between
-    texts) drops later ones when there are ``most``, or when the words have ``room`` bytes.
+    The first ``keep`` words stay; ``trim`` (between texts) drops later ones when there are
+    ``most``, or when the words have ``room`` bytes.
     """
 
-    def __init__(self, describe: Callable, kinds: tuple, fixed: tuple = (), keep: int = 300_000, most: int = 450_000, room: int = 64_000_000):
+    def __init__(self, bpe: WordBpe, end: int, keep: int = 300_000, most: int = 450_000, room: int = 64_000_000):
         super().__init__()
-        self.describe, self.keep, self.most, self.room = describe, keep, most, room
-        self.names, self.held, self.columns = [], 0, [np.zeros(most, k) for k in kinds]
-        self.flat, self.begin, self.length = np.zeros(4 * most, np.uint8), np.zeros(most + 1, np.int64), np.zeros(most, np.int64)
-        for word in fixed:
-            self.__missing__(word)
-            del self[word]  # its number is known to the caller alone
-
-    def __missing__(self, word):
-        i = len(self.names)
-        codes, *row = self.describe(word)
-        self.names.append(word)
-        self.held += len(word)
-        if i >= len(self.length):
-            self.columns = [np.concatenate((c, np.zeros_like(c))) for c in self.columns]
+        self.bpe, self.keep, self.most, self.room = bpe, keep, most, room
+        self.names, self.held = [b""], 0
+        self.flat, self.begin, self.length = np.zeros(4 * most, np.uint32), np.zeros(most + 1, np.int64), np.zeros(most, np.int64)
+        self.flat[0], self.begin[1], self.length[0] = end, 1, 1
+
+    def _add(self, words: list[bytes]) -> None:
+        at, names = len(self.names), self.names
+        for word in words:
+            if word not in self:
+                self[word] = len(names)
+                names.append(word)
+        new = [self.bpe.ranks(word) for word in names[at:]]
+        n = np.fromiter(map(len, new), np.int64, len(new))
+        a = int(self.begin[at])
+        b = a + int(n.sum())
+        while len(names) > len(self.length):
             self.begin, self.length = np.concatenate((self.begin, np.zeros_like(self.begin))), np.concatenate((self.length, np.zeros_like(self.length)))
-        a, n = self.begin[i], len(codes)
-        while a + n > len(self.flat):
+        while b > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-        self.flat[a : a + n] = codes
-        self.begin[i + 1], self.length[i] = a + n, n
-        for column, value in zip(self.columns, row, strict=True):
-            column[i] = value
-        self[word] = i
-        return i
-
-    def of(self, words: list) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-
-    def codes(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The words' codes one after another, and how many each word has."""
+        self.flat[a:b] = self.bpe.ids.take(np.fromiter(chain.from_iterable(new), np.int64, b - a))
+        self.length[at : len(names)], self.begin[at + 1 : len(names) + 1] = n, a + np.cumsum(n)
+        self.held += sum(map(len, names[at:]))
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        numbers = np.fromiter(map(self.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.nonzero(numbers < 0)[0]
+        if len(missing):
+            new = [words[i] for i in missing.tolist()]
+            self._add(new)
+            numbers[missing] = [self[w] for w in new]
+        return numbers
+
+    def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words' ids one after another, and how many each word has."""
         n = self.length.take(numbers)
         ends = np.cumsum(n)
         return self.flat.take(np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begin.take(numbers) - (ends - n), n)), n
 
     def trim(self) -> None:
         while len(self.names) > self.most or self.held > self.room and len(self.names) > 1:
-            keep = self.keep if len(self.names) > self.most else len(self.names) // 2
+            keep = self.keep if len(self.names) > self.most else (len(self.names) + 1) // 2
             for word in self.names[keep:]:
-                self.pop(word, None)
+                del self[word]
                 self.held -= len(word)
             del self.names[keep:]
+
+
+@cache
+def word_bpe(path: str) -> WordBpe:
+    """One for each process: Python workers run many tasks."""
+    return WordBpe(path)
+
+
+@cache
+def word_ids(path: str, end: int) -> WordIds:
+    return WordIds(word_bpe(path), end)
