@@ -29,7 +29,7 @@ from .subwords import word_bpe, word_ids
 
 END = 49407
 #: Frequent words whose counts every worker holds, at most; longer words than this many bytes are held by their SHA-256.
-FREQUENT, LONGEST = 400_000, 64
+FREQUENT, LONGEST = 300_000, 64
 #: Weights of a word's share of the training words and of the text so far (in which PRIOR more
 #: words are held unseen); the spelling has the rest.
 OWN_SHARE, SO_FAR, PRIOR = 0.4, 0.15, 5.0

@@ -124,7 +124,7 @@ class WordIds(dict):
     ``most``, or when the words have ``room`` bytes.
     """
 
-    def __init__(self, bpe: WordBpe, end: int, keep: int = 300_000, most: int = 450_000, room: int = 64_000_000):
+    def __init__(self, bpe: WordBpe, end: int, keep: int = 200_000, most: int = 300_000, room: int = 64_000_000):
         super().__init__()
         self.bpe, self.keep, self.most, self.room = bpe, keep, most, room
         self.names, self.held = [b""], 0

@@ -199,10 +199,85 @@ def test_language_odd_rows(odd, none):
     assert kept.columns == odd.columns and not {3, 4, 5, 9} & {r.doc_id for r in kept.collect()}
 
 
-def test_code_lengths_are_probabilities():
-    tables = [(np.array([0, 0, 1]), np.array([(1 << 14) + (2 << 7) + 3, (1 << 14) + (2 << 7) + 4, 5]), np.array([3.0, 1.0, 2.0]))] * 2
-    _, bits = language._freeze(tables, 2)
-    assert np.allclose(np.exp2(-bits.astype(float)).reshape(-1, language.SYMBOLS, 2).sum(1), 1, atol=1e-4)
+def folded(text):
+    """Symbols of a text: letters a-z and bytes beyond ASCII as they are, other bytes as blanks."""
+    return bytes(c if c >= 0x80 or ord("a") <= c <= ord("z") else 0x20 for c in b"   " + text.lower().encode())
+
+
+def plain_lengths(training, text):
+    """Bits of a text in each language by PPM with escape C and exclusion, symbol by symbol."""
+    out = {}
+    for lang in sorted({name for _, name in training}):
+        counts = [{} for _ in range(4)]
+        for t, name in training:
+            s = folded(t)
+            for i in range(3, len(s)) if name == lang else ():
+                for k in range(4):
+                    own = counts[k].setdefault(s[i - k : i], Counter())
+                    own[s[i]] += 1
+        every, s, bits = {0x20, *range(ord("a"), ord("z") + 1), *range(0x80, 0xC0), *range(0xC2, 0xF5)}, folded(text), 0.0
+
+        def below(k, context):
+            """Probabilities of all symbols after the last k of the context."""
+            if k < 0:
+                return dict.fromkeys(every, 1 / len(every))
+            lower = below(k - 1, context)
+            own = counts[k].get(context[3 - k :])
+            if not own:
+                return lower
+            total, left = sum(own.values()), 1 - sum(lower[x] for x in own)
+            escape = 0 if len(own) == len(every) or left <= 1e-12 else len(own)
+            return {x: own[x] / (total + escape) if x in own else lower[x] * escape / (total + escape) / left for x in every}
+
+        for i in range(3, len(s)):
+            bits -= math.log2(below(3, s[i - 3 : i])[s[i]])
+        out[lang] = bits
+    return out
+
+
+TRAINING = [
+    ("the cat sat on the mat and the dog sat on the rug", "en"), ("a cat and a dog, 12 of them", "en"), ("le chat est sur la table, été comme hiver", "fr"),
+    ("le chien est là où le chat dort", "fr"), ("der Hund schläft über der Tür", "de"), ("кошка спит на столе", "ru"), ("", "en"), ("🙂 é", "fr"),
+]
+
+
+def test_code_lengths_by_hand(spark):
+    texts = ["the dog", "le chat là-bas", "zzz qqq", "Тест кошка 日本", "", "a", "½ é 🙂🙂", "over the rug and under the table"]
+    docs = spark.createDataFrame(TRAINING, "text string, lang string")
+    for max_cells in (language.MAX_CELLS, 1):
+        got = [{} for _ in texts]
+        for model in language.models(docs, max_cells=max_cells):
+            bits, n = model.lengths(texts)
+            assert n.tolist() == [len(t.encode()) for t in texts]
+            for own, row in zip(got, bits, strict=True):
+                own |= dict(zip(model.languages, row.tolist(), strict=True))
+        for t, own in zip(texts, got, strict=True):
+            assert own == pytest.approx(plain_lengths(TRAINING, t), rel=1e-4), t
+
+
+def test_code_lengths_are_probabilities(spark):
+    (model,) = language.models(spark.createDataFrame(TRAINING, "text string, lang string"))
+    for context in (0, 5, 20 * 142 + 8, 1 * 142**2 + 3 * 142 + 20):
+        assert np.allclose(np.exp2(-model.order.bits(context * 142 + np.arange(142)).astype(float)).sum(0), 1, atol=1e-4)
+
+
+def test_forty_languages_in_blocks(spark):
+    """More languages than fit at once give the same results as all together, and the naive code lengths' best."""
+    rng = np.random.default_rng(0)
+    words = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(12)] for _ in range(40)]
+    rows = [(i * 40 + k, " ".join(rng.choice(words[k], 9)), f"l{k:02d}") for i in range(6) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    by = [sorted((r.doc_id, r.lang_pred, round(r.score, 4)) for r in language.identify(docs, max_cells=m).collect()) for m in (language.MAX_CELLS, 20_000)]
+    assert by[0] == by[1] and len(list(language.models(docs, max_cells=20_000))) > 3
+    training = [(t, name) for i, t, name in rows if crc(i) % 3 != 1]
+    for i, t, _ in rows[:4]:
+        own = plain_lengths(training, t)
+        assert by[0][i][1] == min(own, key=lambda k: (own[k], k))
+
+
+def test_number_characters_are_no_letters(spark):
+    docs = spark.createDataFrame([(1, "½ ² ①", "en"), (2, "the cat", "en"), (3, "Ⅷ 12", "en"), (4, "日", "en"), (5, "the dog", "en")], "doc_id bigint, text string, lang string")
+    assert {r.doc_id: r.lang_pred for r in language.identify(docs).collect()} == {1: "und", 2: "en", 3: "und", 4: "en", 5: "en"}
 
 
 # --- personal data ---
