@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from .common import id_crc, stored
 
 #: Words of a passage, and labelled documents that the model is fitted to at most (in expectation:
-#: a hash of the id selects the share of them that gives this number).
-PASSAGE, SAMPLE = 48, 12_000
+#: a hash of the id selects the share of them that gives this number). Their passages are at most about
+#: PASSAGES (60 MB on the driver), else fewer documents are taken; a document with more than a
+#: sixteenth of that is not learned from.
+PASSAGE, SAMPLE, PASSAGES = 48, 12_000, 400_000
 THRESHOLD = 0.7
 _MARKS = "!|%&*$#.,?:;<>{}=@/\\_-"
 WIDTH = 15 + len(_MARKS)
@@ -119,8 +121,8 @@ def held_out(id_col: str) -> Column:
     return F.pmod(id_crc(id_col), F.lit(4)) == 2
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
-    """Fit to at most about ``sample`` labelled documents outside the held-out fold.
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, passages: int = PASSAGES) -> Model:
+    """Fit to at most about ``sample`` labelled documents with ``passages`` passages, outside the held-out fold.
 
     Labels that repeat for an id are averaged; null labels and ids are skipped. Without a label of
     both kinds the model gives the share of label 1, or one half.
@@ -134,7 +136,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def bag(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: encode(t).tobytes())
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id").select("y", bag("text").alias("bag")).toPandas()  # about ``sample`` rows
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")  # about ``sample`` rows are broadcast
+    bags = stored(own.select("id", "y", bag("text").alias("bag")).withColumn("n", F.length("bag") / (4 * WIDTH)).filter(F.col("n") <= passages // 16), "bags")
+    total = bags.agg(F.sum("n").alias("n")).first().n or 0
+    # Repeated rows and long texts count in ``total``, so what is collected is bounded in bytes.
+    kept = bags.filter(F.pmod(F.xxhash64("id", F.lit(23)), F.lit(1 << 20)) < F.lit(int(min(1.0, passages / max(1, total)) * (1 << 20))))
+    rows = kept.orderBy("id", "bag").select("y", "bag").toPandas()
     model = Model()
     if len(rows):
         y = rows.y.to_numpy()
@@ -161,8 +168,9 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 def assess(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """Learn from ``labels`` and score all of ``docs``.
 
-    Cases: null and empty texts are one passage of zeros and have its score; long texts have many
-    passages; repeated rows each give a row; a null id counts as empty text for the fold and has no
+    Cases: null, empty and blank texts are one passage of zeros and have its score; long texts have as
+    many passages as it takes and every one is read; repeated rows each give a row and each count in
+    learning; without labels every score is one half; a null id counts as empty text for the fold and has no
     label; other columns are not read.
     """
     return scored(docs, learn(docs, labels, id_col, text_col, label_col), id_col, text_col)

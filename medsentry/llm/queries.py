@@ -65,7 +65,7 @@ ORACLE_SQL: dict[str, str] = {
 WITH u AS ({_URL_PARTS}),
 listed(rhost, rpath, action) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
 best AS (SELECT page_id, host, path, (SELECT arg_max(struct_pack(r := rhost || rpath, a := action), length(rhost || rpath)) FROM listed WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)) AS b FROM u)
-SELECT page_id, host, path, b.r AS rule, coalesce(b.a, CASE WHEN regexp_matches(host || path, '^([^/]*[.-])?(casino|pills|bets|spam|ads|porn|viagra|malware|phishing|warez)[.-]') THEN 'block' ELSE 'allow' END) AS verdict
+SELECT page_id, host, path, b.r AS rule, coalesce(b.a, CASE WHEN regexp_matches(host || path, '^([^/]*[.-])?({"|".join((*urls.HOST_WORDS, *("-".join(p) for p in urls.HOST_PAIRS)))})[.-]|^[^/]*/([^/]*/)*({"|".join(p.replace(".", "[.]") for p in urls.PATH_PARTS)})(/|$)') THEN 'block' ELSE 'allow' END) AS verdict
 FROM best""",
     "op10_topk": """
 WITH c AS (SELECT vec_id AS id, list_transform(range(1, 65), lambda i: coalesce(embedding[i] > 0, false)) AS code FROM embeddings),

@@ -11,15 +11,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, stored
 from .components import components
 
 #: Home fingerprints that a shard should have, members of a task's grid cell at most, and
-#: fingerprints from which the shards' vantage points are chosen.
-SHARD, CELL, SAMPLE = 32_768, 65_536, 4_096
+#: fingerprints from which the shards' vantage points are chosen: POINTS for each shard, SAMPLE at most.
+SHARD, CELL, POINTS, SAMPLE = 32_768, 65_536, 32, 1 << 20
 
 
 def fingerprint(text: str | None, size: int = 4, seed: int = 42) -> int:
@@ -41,16 +41,22 @@ def fingerprint(text: str | None, size: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint of each whole text as a signed 64-bit integer."""
+    """(doc_id, mark, fp): a hash and the fingerprint of each whole text as signed 64-bit integers."""
 
     def make():
         def each(batch):
             fps = np.array([fingerprint(t.as_py(), size, seed) for t in batch.column(1)], np.uint64)
-            yield {"doc_id": batch.column(0).to_pylist(), "fp": fps.view(np.int64)}
+            yield {"doc_id": batch.column(0).to_pylist(), "mark": batch.column(2).to_pylist(), "fp": fps.view(np.int64)}
 
         return each
 
-    return map_batches(docs.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}` text"), make, pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())]), "doc_id bigint, fp bigint")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), _mark(text_col).alias("mark"))
+    return map_batches(rows, make, pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("fp", pa.int64())]), "doc_id bigint, mark bigint, fp bigint")
+
+
+def _mark(text_col: str) -> Column:
+    """A hash that tells texts apart whose rows have the same id."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
 def vantage_tree(sample: np.ndarray, depth: int, seed: int = 7) -> list[tuple[int, int]]:
@@ -152,14 +158,15 @@ def link(fps: np.ndarray, home: np.ndarray, asks: np.ndarray, radius: int, small
 def linked(distinct: DataFrame, radius: int = 4, shard: int = SHARD, cell: int = CELL, sample: int = SAMPLE) -> DataFrame:
     """(u, v): a spanning forest of the links between the distinct values of column ``fp``.
 
-    The vantage points come from a bounded sample (the ``sample`` values of least hash); they
-    only steer the partitioning and the result doesn't depend on them. A shard with more members
+    The vantage points come from a bounded sample (POINTS values of least hash for each shard, ``sample``
+    at most); they only steer the partitioning and the result doesn't depend on them. The tree is as deep
+    as the sample can steer, so beyond SAMPLE / POINTS shards these become larger. A shard with more members
     than ``cell`` is dealt out as a grid of home blocks against query blocks, so no task holds
     more than two blocks.
     """
     n = distinct.count()
-    depth = max(0, int(np.ceil(np.log2(max(1, n / shard)))))
-    picked = distinct.select("fp", F.xxhash64("fp").alias("h")).orderBy("h", "fp").limit(sample).collect() if depth else []
+    depth = max(0, min(int(np.ceil(np.log2(max(1, n / shard)))), int(np.log2(max(1, sample / POINTS)))))
+    picked = distinct.select("fp", F.xxhash64("fp").alias("h")).orderBy("h", "fp").limit(POINTS << depth).collect() if depth else []
     nodes = vantage_tree(np.array([r.fp for r in picked], np.int64).view(np.uint64), depth)
 
     def make():
@@ -192,12 +199,12 @@ def linked(distinct: DataFrame, radius: int = 4, shard: int = SHARD, cell: int =
 
 
 def classes(prints: DataFrame, radius: int = 4, **sizes: int) -> DataFrame:
-    """(fp, component_id): each distinct fingerprint and the smallest doc_id of its component."""
+    """(fp, root, component_id): each distinct fingerprint, one that all of its component share, and the component's smallest doc_id."""
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprints")
     roots = components(linked(distinct, radius, **sizes))
     rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "component_id")
+    return rooted.join(least, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, size: int = 4, id_col: str = "doc_id", text_col: str = "text", **sizes: int) -> DataFrame:
@@ -206,8 +213,8 @@ def near_duplicates(docs: DataFrame, radius: int = 4, size: int = 4, id_col: str
     Exact copies share a fingerprint and are one point of the search. Cases: null, empty and
     blank texts have fingerprint zero, linked like any other; repeated rows each give a row; a
     null id gives a row with a null id and counts for no component's smallest id (a component of
-    null ids alone has a null component_id); an empty table gives no rows; other columns aren't
-    read.
+    null ids alone has a null component_id); an empty table gives no rows; long texts are read
+    whole; other columns aren't read.
     """
     prints = stored(fingerprints(docs, size, id_col=id_col, text_col=text_col), "prints")
     by = classes(prints, radius, **sizes)
@@ -215,8 +222,23 @@ def near_duplicates(docs: DataFrame, radius: int = 4, size: int = 4, id_col: str
 
 
 def keep_one(docs: DataFrame, radius: int = 4, size: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is their component's smallest; of rows that repeat an id, one. Rows with a null id stay."""
-    found = near_duplicates(docs.filter(F.col(id_col).isNotNull()), radius, size, id_col, text_col)
-    heads = found.filter("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.join(heads, id_col, "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
+    """One row of ``docs`` for each component; all columns stay.
+
+    It is the one with the smallest id; of rows with that id the one whose text has the smallest hash,
+    and of rows that repeat id and text the smallest by the other columns in their order. Cases: rows
+    with a null id stay, as they can't stand for a component; null, empty and blank texts are copies of
+    each other; an empty table gives no rows; long texts are read whole; columns may have any names.
+    """
+    known = docs.filter(F.col(id_col).isNotNull())
+    prints = stored(fingerprints(known, size, id_col=id_col, text_col=text_col), "prints")
+    of = prints.join(classes(prints, radius), "fp").groupBy("root", "doc_id", "mark").agg(F.count("*").alias("n"))  # components may share an id
+    heads = of.groupBy("root").agg(F.min(F.struct("doc_id", "mark", "n")).alias("h")).select("h.*")
+    names = {x: f"_{x}" for x in ("doc_id", "mark", "n")}
+    while set(names.values()) & set(docs.columns):
+        names = {k: f"_{v}" for k, v in names.items()}
+    heads = stored(heads.withColumnsRenamed(names), "heads")
+    same = (F.col(id_col).cast("bigint") == F.col(names["doc_id"])) & (F.col(names["mark"]) == _mark(text_col))
+    single, several = (known.join(heads.filter(x), same, "left_semi") for x in (F.col(names["n"]) == 1, F.col(names["n"]) > 1))
+    # Each task reduces its repeated rows to one before the shuffle.
+    least = several.groupBy(F.col(id_col).alias(names["doc_id"])).agg(F.min(F.struct(*docs.columns)).alias(names["n"])).select(f"{names['n']}.*")
+    return single.unionByName(least).unionByName(docs.filter(F.col(id_col).isNull()))

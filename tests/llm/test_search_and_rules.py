@@ -17,6 +17,12 @@ URLS = [
     ("http://x.net/es/a#b", "x.net", "/es/a", "net/es/", "block"),
     ("http://m.free-bets.example.org/de/9", "m.free-bets.example.org", "/de/9", None, "block"),
     ("http://alphabets.example.org/de/9", "alphabets.example.org", "/de/9", None, "allow"),
+    ("http://my.win-prize.org/x", "my.win-prize.org", "/x", None, "block"),
+    ("http://win.prize.org/x", "win.prize.org", "/x", None, "allow"),
+    ("http://a.org/blog/wp-login.php?x", "a.org", "/blog/wp-login.php", None, "block"),
+    ("http://a.org/wp-login.php5/cgi-bin", "a.org", "/wp-login.php5/cgi-bin", None, "block"),
+    ("http://a.org/wp-loginxphp/my-banner", "a.org", "/wp-loginxphp/my-banner", None, "allow"),
+    ("http://a.org/" + "long/" * 20000, "a.org", "/" + "long/" * 20000, None, "allow"),
     ("no scheme", "", "", None, "allow"),
     ("", "", "", None, "allow"),
     (None, "", "", None, "allow"),
@@ -40,6 +46,20 @@ def test_index_agrees_with_all_rules(spark, sf_dir, in_memory):
         assert (r.rule, r.verdict) == bare.judge(*urls.parts(r.url))
 
 
+def test_many_rules_without_tokens(spark, sf_dir):
+    """20,000 rules that no token can find, and others, on both ways and by all rules on all URLs."""
+    free = tuple(urls.Rule(f"r{i}" if i % 3 else None, rf"/{i}(?:[.]html)?$", (), "block" if i % 2 else "allow") for i in range(20_000))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    rules = urls.LISTED + urls.WORDS + free
+    rows = [sorted(urls.judge(pages, rules, in_memory=m).collect()) for m in (200_000, 0)]
+    bare = urls.Index(tuple(urls.Rule(r.name, r.pattern, (), r.action) for r in rules), {})
+    assert rows[0] == rows[1] and len(rows[0]) == pages.count()
+    for r in rows[0]:
+        assert (r.rule, r.verdict) == bare.judge(r.host, r.path)
+    none = urls.judge(pages, (), in_memory=0).collect()
+    assert {(r.rule, r.verdict) for r in none} == {(None, "allow")}
+
+
 # --- decontamination ---
 
 ITEM = "A farmer named Maria has 12 apples and sells 5 kg of pears to Tom before Maria buys 12 more apples in June"

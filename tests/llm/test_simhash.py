@@ -69,5 +69,15 @@ def test_keep_one(odd):
     assert ids == ["1", "3", "6", "7", "8", "9", "None"]
 
 
+def test_keep_one_of_repeated_ids(spark):
+    """Rows that repeat an id, with the same text or others, leave one defined row a component, however they lie in tasks."""
+    texts = ["the first text has these seven words", "another text that is quite unlike the other"]
+    rows = [(1, texts[0], "b", 1), (1, texts[0], "a", 2), (1, texts[0], "a", 1), (1, texts[1], "c", 3), (2, texts[1], "d", 4), (None, texts[0], "e", 5), (3, None, "f", 6), (3, "", "f", 5), (4, " ", "f", 0)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, mark string, n int")
+    want = sorted(map(str, [(1, texts[0], "a", 1), (1, texts[1], "c", 3), (None, texts[0], "e", 5), (3, None, "f", 6)]))
+    for k in (1, 4):
+        assert sorted(str(tuple(r)) for r in simhash.keep_one(df.repartition(k)).collect()) == want
+
+
 def test_empty(none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0

@@ -389,6 +389,49 @@ def test_quality_held_out(spark):
     assert np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.9
 
 
+def plain_quality(model, text):
+    """The score of a text by loops over its passages."""
+    p, hidden, gates = model.p, [], []
+    for row in quality.encode(text):
+        x = [min(8.0, max(-8.0, (float(v) - m) / s)) for v, m, s in zip(row, model.mean, model.scale, strict=True)]
+        h = [math.tanh(sum(v * w for v, w in zip(x, column, strict=True)) + b) for column, b in zip(p["W"].T, p["b"], strict=True)]
+        dot = lambda m, h=h: [sum(v * w for v, w in zip(h, column, strict=True)) for column in m.T]
+        gate = [math.tanh(a) / (1 + math.exp(-b)) for a, b in zip(dot(p["V"]), dot(p["G"]), strict=True)]
+        hidden.append(h)
+        gates.append(math.exp(sum(g * u for g, u in zip(gate, p["u"], strict=True))))
+    z = [sum(g * h[k] for g, h in zip(gates, hidden, strict=True)) / sum(gates) for k in range(len(p["c"]))]
+    return 1 / (1 + math.exp(-sum(a * b for a, b in zip(z, p["c"], strict=True)) - p["d"][0]))
+
+
+def test_quality_passage_by_passage(spark, sf_dir, odd):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "labels"))
+    model = quality.learn(docs, labels)
+    assert np.abs(model.p["u"]).max() > 0.01  # attention is learned
+    for df in (docs, odd):
+        texts = Counter()
+        for r in df.collect():
+            texts[r.doc_id, round(plain_quality(model, r.text), 6)] += 1
+        assert Counter((r.doc_id, round(r.score, 6)) for r in quality.scored(df, model).collect()) == texts
+
+
+def test_passages():
+    text = " ".join(f"w{i}" for i in range(100)) + " Same same SAME ..."
+    rows = quality.encode(text)
+    assert rows.shape == (3, quality.WIDTH)  # 104 words
+    assert rows[0][0] == pytest.approx(len(" ".join(text.split()[:48])) / 48 / 10) and rows[2][3] == pytest.approx(4 / 30)
+    assert rows[2][5] == pytest.approx(1 / 8) and rows[2][6] == pytest.approx(1 / 8) and rows[2][15 + quality._MARKS.index(".")] == pytest.approx(3 / 8)
+    assert (quality.encode(None) == quality.encode(" \n")).all() and quality.encode("").shape == (1, quality.WIDTH)
+    assert len(quality.encode("word " * 20001)) == 417
+
+
+def test_quality_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i, "good text here " * (400 if i % 2 else 1)) for i in range(300)], "doc_id bigint, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality")
+    for passages in (quality.PASSAGES, 600, 16):
+        rows = quality.scored(docs, quality.learn(docs, labels, passages=passages)).collect()
+        assert len(rows) == 300 and (passages < 600 or all(r.predicted == r.doc_id % 2 for r in rows))
+
+
 def test_quality_odd_rows(odd, none):
     labels = odd.sparkSession.createDataFrame([(1, 1), (1, 1), (3, 0), (None, 1), (4, None), (7, 0)], "doc_id bigint, quality int")
     assert quality.assess(odd, labels).count() == 11
