@@ -72,14 +72,36 @@ def plain_spans(text: str) -> list[tuple[int, str, int]]:
 _LOOKS = dict(zip("АВЕЅІЈКМНОРСТХУаеѕіјорсухһԁԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧοια", "ABESIJKMHOPCTXYaesijopcyxhdqwABEZHIKMNOPTYXoia", strict=True))
 #: Characters that show nothing.
 _HIDDEN = frozenset("­​‌‍‎‏⁠﻿")
-#: Spoken digits.
-_DIGITS = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0"}
+#: Spoken digits of the corpus' languages.
+_DIGITS = {
+    w: str(i)
+    for words in ("zero one two three four five six seven eight nine", "null eins zwei drei vier fünf sechs sieben acht neun", "zéro un deux trois quatre cinq six sept huit neuf", "cero uno dos tres cuatro cinco seis siete ocho nueve", "zero um dois três quatro cinco seis sete oito nove")
+    for i, w in enumerate(words.split())
+} | {"oh": "0", "zwo": "2", "fuenf": "5", "ein": "1", "une": "1", "una": "1", "tres": "3"}
+_TIMES = {"double": 2, "triple": 3, "doppel": 2, "doble": 2}
+_PLUS = ("plus", "más", "mas", "mais")
+_POINTS = {"dot", "point", "punkt", "punto", "ponto"}
 _ODD = re.compile("[­Ͱ-ԯ​-‏‐-―․⁠−。﹒﹫﻿！-～٠-٩۰-۹⁰-₉\U0001d400-\U0001d7ff]")
-_SPOKEN = re.compile(r"(?i)\b(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)(?:[ ,.-]{1,2}(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|double|triple|dot|point|dash|[0-9])){5,}\b")
-_WORD = re.compile(r"(?i)\s*[\[({<]\s*(at|dot|punkt|punto|point|arroba|chez|@|\.)\s*[\])}>]\s*")
-_LOOSE = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?: ?(?:dot|\.) ?[A-Za-z0-9_%+-]+){0,3} (?:at|arroba) [A-Za-z0-9-]+(?: dot [A-Za-z0-9-]+)* dot (?:com|org|net|edu|gov|mil|int|info|biz|io|co|me|app|dev|eu|uk|us|ca|au|nz|in|de|fr|es|it|nl|be|ch|se|no|dk|pl|pt|br|mx|jp|cn|ru)(?![A-Za-z0-9])")
-_SPACED = re.compile(r"[A-Za-z0-9._%+-]+\s?@\s?[A-Za-z0-9-]+(?:\s?\.\s?[A-Za-z0-9-]+)+")
-_AT, _DOT = {"at", "arroba", "chez", "@"}, {"dot", "punkt", "punto", "point", "."}
+_NUMERAL = "|".join(f"{c}(?:{'|'.join(sorted((w[1:] for w in _DIGITS if w[0] == c), key=len, reverse=True))})" for c in sorted({w[0] for w in _DIGITS}))
+_SPOKEN = re.compile(rf"(?i)\b(?:{_NUMERAL})(?:[ ,.-]{{1,2}}(?:{_NUMERAL}|{'|'.join(_TIMES)}|{'|'.join(_POINTS)}|dash|[0-9])){{5,}}\b")
+_AT, _DOT = {"at", "arroba", "chez", "ät", "bei", "@"}, _POINTS | {"."}
+_WORD = re.compile(rf"(?i)\s*[\[({{<]\s*({'|'.join(sorted(x for x in (_AT | _DOT) if x.isalpha()))}|@|\.)\s*[\])}}>]\s*")
+#: Last parts of spoken or spaced addresses, so that "the at sign. Then" is none.
+_LAST = "com|org|net|edu|gov|mil|int|info|biz|io|co|me|app|dev|ai|xyz|online|site|shop|tv|eu|uk|us|ca|au|nz|in|de|at|ch|fr|es|it|nl|be|se|no|dk|fi|pl|cz|pt|br|mx|ar|cl|jp|cn|kr|ru|ie|gr|tr|za"
+_SAY_DOT = "|".join(sorted(_POINTS))
+_PART = r"(?!(?:a|an|the|this|that|one|each|der|die|das|le|la|les|un|une|el|los|las|uno|una)\b)[A-Za-z0-9-]+"
+# Local part, at, parts of the domain; either the at or a dot is spoken or spaced.
+_DOMAIN_SAID = (
+    rf"{_PART}(?:(?: (?:{_SAY_DOT}) | \. |\.)[A-Za-z0-9-]+)*?(?P<dot> (?:{_SAY_DOT}) | \. |\.)(?:{_LAST})(?![A-Za-z0-9]|\.[A-Za-z0-9]| ?(?:{_SAY_DOT}) (?:{_LAST})\b)"
+)
+_LOOSE = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?: (?:{_SAY_DOT}) |\.)[A-Za-z0-9_%+-]+){{0,3}}(?P<at> ?@ ?| (?:at|arroba) ){_DOMAIN_SAID}")
+# What shows that a transducer could change a text; the last two are for lower-case text.
+_AFTER = re.compile(rf"(?i) ?{_DOMAIN_SAID}")
+_BRACKET = re.compile(rf"[\[({{<]\s*(?:{'|'.join(sorted(x for x in (_AT | _POINTS) if x.isalpha()))}|@|\.)\s*[\])}}>]")
+_COUNTING = re.compile(rf"\b(?:{_NUMERAL})[ ,.-]{{1,2}}(?:(?:{_NUMERAL}|{'|'.join(_TIMES)}|{'|'.join(_POINTS)}|dash|[0-9])[ ,.-]{{1,2}}){{2}}")
+# "name at example.com" is ordinary speech; it is an address after such a word, or if the name looks like no word.
+_CUE = re.compile(r"(?i)\b(?:e-?mail|mail|mailto|contact|contacto|contacter|kontakt|reach|write|écrire|escribir|schreib\w*|courriel|correo|address|adresse|reply)\b[^.!?]{0,40}$")
+_UNWORDLY = re.compile(r"[0-9_%+.]|-")
 
 
 class Mapped:
@@ -113,13 +135,12 @@ def _unlike(m: Mapped) -> None:
 def _spell(m: Mapped) -> None:
     edits = []
     for hit in _SPOKEN.finditer(m.text):
-        parts, many = re.compile(r"[A-Za-z]+|[0-9]").finditer(hit[0]), 1
-        out = []
-        for p in parts:
+        out, many = [], 1
+        for p in re.finditer(r"[^\W\d_]+|[0-9]", hit[0]):
             w = p[0].lower()
-            if w in ("double", "triple"):
-                many = 2 if w == "double" else 3
-            elif w in ("dot", "point"):
+            if w in _TIMES:
+                many = _TIMES[w]
+            elif w in _POINTS:
                 out.append((p.start(), p.end(), "."))
             elif w != "dash":
                 out.append((p.start(), p.end(), _DIGITS.get(w, w) * many))
@@ -128,9 +149,12 @@ def _spell(m: Mapped) -> None:
         for i, (a, b, new) in enumerate(out):  # the gap after a digit goes with it, so digits join
             until = out[i + 1][0] if i + 1 < len(out) else b
             edits.append((at + a, at + until, new))
-        if m.text[:at].rstrip().lower().endswith("plus"):
-            p = m.text[:at].lower().rindex("plus")
-            edits.insert(len(edits) - len(out), (p, at, "+"))
+        before = m.text[max(0, at - 8) : at]
+        sign = next((w for w in _PLUS if before.rstrip().lower().endswith(w)), None)
+        if sign:
+            p = at - len(before) + len(before.rstrip()) - len(sign)
+            if not edits[: len(edits) - len(out)] or edits[len(edits) - len(out) - 1][1] <= p:
+                edits.insert(len(edits) - len(out), (p, at, "+"))
     m.rewrite(edits)
 
 
@@ -138,14 +162,26 @@ def _join(m: Mapped) -> None:
     m.rewrite([(h.start(), h.end(), "@" if h[1].lower() in _AT else ".") for h in _WORD.finditer(m.text)])
     edits = []
     for h in _LOOSE.finditer(m.text):
-        for w in re.finditer(r"(?i) ?\b(dot|at|arroba)\b ?| \. ?|\. ", h[0]):
-            edits.append((h.start() + w.start(), h.start() + w.end(), "@" if (w[1] or "").lower() in _AT else "."))
+        said_at, said_dot = h["at"].strip() != "@", any(x in _POINTS for x in h[0].lower().split())
+        if said_at and not said_dot:
+            name = h[0][: h.start("at") - h.start()]
+            if not _UNWORDLY.search(name) and not _CUE.search(m.text[max(0, h.start() - 60) : h.start()]):
+                continue
+        for w in re.finditer(rf"(?i) (?:{_SAY_DOT}|at|arroba) | ?@ ?| ?\. ?", h[0]):
+            edits.append((h.start() + w.start(), h.start() + w.end(), "@" if w[0].strip().lower() in _AT else "."))
     m.rewrite(edits)
 
 
 def disguised(text: str) -> bool:
     """Whether a transducer could change the text."""
-    return bool((not text.isascii() and _ODD.search(text)) or _WORD.search(text) or _SPOKEN.search(text) or (" dot " in (low := text.lower()) and (" at " in low or " arroba " in low)))
+    low = text.lower()
+    if (not text.isascii() and _ODD.search(text)) or _BRACKET.search(low) or _COUNTING.search(low):
+        return True
+    for sign in ("@", " at ", " arroba "):
+        # Lower-casing can move places, so such texts are looked through as a whole.
+        if sign in low and (len(low) != len(text) or any(_AFTER.match(text, m.end()) for m in re.finditer(sign, low))):
+            return True
+    return False
 
 
 def spans(text: str | None) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:
@@ -175,7 +211,9 @@ def listed(found: list[tuple[int, str, int]]) -> str:
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the number of plain spans of each kind, base_sha256, spans, n_added for each row.
 
-    Offsets count code points, ends are exclusive. Cases: a null or empty text has no spans;
+    Offsets count code points, ends are exclusive. Disguises are look-alike and hidden characters, digits
+    spelled in English, German, French, Spanish or Portuguese, and addresses whose at or dot is
+    bracketed, spoken or spaced. Cases: a null or empty text has no spans;
     repeated rows each give a row; very long texts are read whole in linear time; other columns
     are not read.
     """
@@ -209,7 +247,11 @@ def masked(text: str) -> str:
 
 
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """``docs`` with personal data masked and the length column, if there is one, set anew; null texts stay null."""
+    """``docs`` with personal data masked and the length column, if there is one, set anew; null texts stay null.
+
+    Cases: empty texts and texts without a span stay as they are; long texts are masked whole; repeated
+    rows and null ids are like any other; columns may have any names.
+    """
 
     @F.pandas_udf("string")
     def mask(texts: pd.Series) -> pd.Series:

@@ -336,8 +336,57 @@ def test_disguises(text, kind, part):
     assert (a, kind, a + len(part)) in every and set(base) <= set(every)
 
 
-def test_ordinary_text_is_left_alone():
-    text = "We met at the station at noon and one or two of them sat at a dot on the map. " * 3
+SAID = {
+    "en": "zero one two three four five six seven eight nine", "de": "null eins zwei drei vier fünf sechs sieben acht neun",
+    "fr": "zéro un deux trois quatre cinq six sept huit neuf", "es": "cero uno dos tres cuatro cinco seis siete ocho nueve",
+}
+
+
+def planted():
+    """(kind, disguised form) of addresses, cards, telephone numbers and hosts in many disguises."""
+    for name, host in (("jane", "example.com"), ("jane.doe", "mail.example.org"), ("j_smith7", "example.co.uk"), ("k-lee", "example.ai"), ("maria", "correo.example.es")):
+        for at, dot in ((" [at] ", " [dot] "), ("(at)", "(dot)"), (" at ", " dot "), (" @ ", " . "), ("@", " dot "), (" arroba ", " punto "), (" [arroba] ", " [ponto] "), (" {at} ", "."), (" at ", " punkt "), (" @ ", "."), ("@", " point "), ("@\u200b", "."), ("\uff20", ".")):
+            yield "email", name + at + host.replace(".", dot)
+        yield "email", (name + "@" + host).replace("a", "а").replace("e", "е")
+    for number in ("442079460958", "4930123456789", "33142685300"):
+        for said in SAID.values():
+            words = said.split()
+            yield "phone", "plus " + " ".join(words[int(d)] for d in number)
+            yield "phone", "plus " + ", ".join(words[int(d)] for d in number)
+        yield "phone", "+" + "".join(chr(0xFF10 + int(d)) for d in number)
+    for said in SAID.values():
+        yield "card", " ".join(said.split()[int(d)] for d in "4111111111111111")
+    yield "card", "".join(chr(0x0660 + int(d)) for d in "4111111111111111")
+    yield "ip", "one nine two dot one six eight dot zero dot one"
+    yield "ip", "１９２.168.0.1"
+
+
+def test_recall_of_planted_disguises():
+    cases = list(planted())
+    hits = 0
+    for kind, form in cases:
+        text = f"Before it, please note. Our new one is {form} since May, and after it more."
+        a = text.index(form)
+        hits += any(k == kind and x <= a + 5 and y >= a + len(form) - 1 and x >= a and y <= a + len(form) for x, k, y in pii.spans(text)[1])
+    assert len(cases) > 90 and hits / len(cases) >= 0.95, hits / len(cases)
+
+
+@pytest.mark.parametrize("text", ["mail jane at example.com today", "write to jane @ example . com", "jane@example dot com", "jane.doe at example.com", "jane at example dot ai", "jane arroba example punto com"])
+def test_half_disguised(text):
+    assert any(k == "email" for _, k, _ in pii.spans(text)[1])
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "We met at the station at noon and one or two of them sat at a dot on the map. " * 3,
+        "More of this at example.com or on the site.",
+        "She looked at the dot in the middle. He was @ school. In May we left.",
+        "Drei und vier sind sieben, eins zwei drei vier fünf.",
+        "un deux trois, on y va; uno dos tres cuatro",
+    ],
+)
+def test_ordinary_text_is_left_alone(text):
     assert pii.spans(text) == ([], []) and pii.masked(text) == text
 
 
