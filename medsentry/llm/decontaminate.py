@@ -12,6 +12,8 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -28,7 +30,7 @@ _EDGE = re.compile(r"^[^\w%$€£]+|[^\w%$€£]+$")
 _NUMBER = re.compile(r"[$€£]?[+-]?\d[\d.,:/]*")
 #: Spelled numbers and units of measure.
 _SPELLED = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
-_UNITS = frozenset("% percent kg g mg kilogram kilograms gram grams km m cm mm kilometer kilometers kilometre kilometres meter meters metre metres mile miles inch inches foot feet yard yards second seconds minute minutes hour hours day days week weeks month months year years dollar dollars euro euros cent cents pound pounds ounce ounces liter liters litre litres ml gallon gallons degree degrees lbs oz ft yd yds mph kph km/h ms sec secs min mins hr hrs ton tons tonne tonnes milligram milligrams millimeter millimeters millimetre millimetres centimeter centimeters centimetre centimetres milliliter milliliters millilitre millilitres quart quarts pint pints cup cups tsp tbsp teaspoon teaspoons tablespoon tablespoons acre acres hectare hectares decade decades celsius fahrenheit watt watts kw kwh".split())
+_UNITS = frozenset("% percent kg g mg kilogram kilograms gram grams km m cm mm kilometer kilometers kilometre kilometres meter meters metre metres mile miles inch inches foot feet yard yards second seconds minute minutes hour hours day days week weeks month months year years dollar dollars euro euros cent cents pound pounds ounce ounces liter liters litre litres ml gallon gallons degree degrees lb lbs oz ft yd yds mph kph km/h ms sec secs min mins hr hrs ton tons tonne tonnes milligram milligrams millimeter millimeters millimetre millimetres centimeter centimeters centimetre centimetres milliliter milliliters millilitre millilitres quart quarts pint pints cup cups tsp tbsp teaspoon teaspoons tablespoon tablespoons acre acres hectare hectares decade decades celsius fahrenheit watt watts kw kwh".split())
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
@@ -56,32 +58,50 @@ def canonical(word: str) -> tuple[str, str, bool, bool]:
     return low, form, bare[:1].isupper() and not bare.isupper() and form == low, word[-1:] in ".!?:|"
 
 
-class Words:
-    """Arrays of the words' properties, and the number of each word in them; emptied when full."""
+class Words(dict):
+    """Word -> number, and arrays of the words' properties. The first ``keep`` words stay; ``trim`` (between texts) drops later ones when there are ``most``."""
 
-    def __init__(self, most: int = 300_000):
-        self.most = most
-        self.clear()
+    def __init__(self, keep: int = 250_000, most: int = 400_000, room: int = 64_000_000):
+        super().__init__()
+        self.keep, self.most, self.room, self.names, self.held = keep, most, room, [], 0
+        self.literal, self.form = np.zeros(most, np.uint64), np.zeros(most, np.uint64)
+        self.slot, self.name, self.ends, self.bare = (np.zeros(most, bool) for _ in range(4))
 
-    def clear(self) -> None:
-        self.at: dict[bytes, int] = {}
-        self.literal, self.form = np.zeros(self.most, np.uint64), np.zeros(self.most, np.uint64)
-        self.slot, self.name, self.ends, self.bare = (np.zeros(self.most, bool) for _ in range(4))
+    def _add(self, word: bytes) -> None:
+        i = self[word] = len(self.names)
+        self.names.append(word)
+        self.held += len(word)
+        if i >= len(self.literal):
+            self.literal, self.form, self.slot, self.name, self.ends, self.bare = (np.concatenate((x, np.zeros_like(x))) for x in (self.literal, self.form, self.slot, self.name, self.ends, self.bare))
+        low, form, self.name[i], self.ends[i] = canonical(word.decode())
+        self.literal[i] = _hash(low)
+        self.form[i] = self.literal[i] if form is low else _hash(form)
+        self.slot[i], self.bare[i] = "<" in form, bool(low)
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        if len(self.at) + len(words) > self.most:
-            self.most = max(self.most, len(words))
-            self.clear()
-        at = self.at
-        try:
-            return np.fromiter(map(at.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            for w in words:
-                if w not in at:
-                    i = at[w] = len(at)
-                    low, form, self.name[i], self.ends[i] = canonical(w.decode())
-                    self.literal[i], self.form[i], self.slot[i], self.bare[i] = _hash(low), _hash(form), "<" in form, bool(low)
-            return np.fromiter(map(at.__getitem__, words), np.int64, len(words))
+        found = np.fromiter(map(self.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.nonzero(found < 0)[0]
+        if len(missing):
+            new = [words[i] for i in missing.tolist()]
+            for word in new:
+                if word not in self:
+                    self._add(word)
+            found[missing] = [self[word] for word in new]
+        return found
+
+    def trim(self) -> None:
+        while len(self.names) > self.most or self.held > self.room and len(self.names) > 1:
+            keep = self.keep if len(self.names) > self.most else (len(self.names) + 1) // 2
+            for word in self.names[keep:]:
+                del self[word]
+                self.held -= len(word)
+            del self.names[keep:]
+
+
+@cache
+def _words() -> Words:
+    """One for each process: Python workers run many tasks."""
+    return Words()
 
 
 class Text:
@@ -91,6 +111,7 @@ class Text:
     """
 
     def __init__(self, text: str, words: Words):
+        words.trim()
         raw = text.encode().split()
         n = words.numbers(raw)
         ends = np.concatenate(([True], words.ends[n[:-1]])) if len(n) else np.zeros(0, bool)
@@ -120,11 +141,16 @@ def _roll(x: np.ndarray, size: int) -> np.ndarray:
 
 
 class Matcher:
-    """Finds the benchmark items that a text has whole or nearly whole."""
+    """Finds the benchmark items that a text has whole or nearly whole.
+
+    An item of placeholders alone has no template to be known by; only its literal words find it.
+    """
 
     def __init__(self, items: list[tuple[int, str]], window: int = WINDOW, contained: float = CONTAINED):
-        self.contained, self.words, self.items, self.total = contained, Words(), {}, {}
+        self.contained, self.words, self.items, self.total = contained, _words(), {}, {}
         self.posts: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
+        #: Windows of placeholders alone, which any row of numbers fits: they find no item, but count where others do.
+        self.blank: dict[int, list] = defaultdict(list)
         for name, text in items:
             t = Text(text, self.words)
             size = min(window, len(t.words))
@@ -135,10 +161,11 @@ class Matcher:
             self.items[name], self.total[name] = (slots, open_slots), len(literal)
             for i, (a, b, c) in enumerate(zip(literal, form, open_form, strict=True)):
                 self.posts[size][a].append((name, i, 0))
-                if b != a:
-                    self.posts[size][b].append((name, i, 1))
-                if c != b:
-                    self.posts[size][c].append((name, i, 2))
+                for kind, h, known, slot in ((1, b, a, t.slot), (2, c, b, t.open_slot)):
+                    if h != known and slot[i : i + size].all():
+                        self.blank[name].append((i, kind, h, size))
+                    elif h != known:
+                        self.posts[size][h].append((name, i, kind))
         self.filters = {}
         for size, posts in self.posts.items():
             bits = np.zeros(1 << 22, bool)
@@ -151,8 +178,9 @@ class Matcher:
             return []
         t = Text(text, self.words)
         found: dict[int, list] = defaultdict(list)
+        forms = {}
         for size, posts in self.posts.items():
-            literal, form, open_form = t.windows(size)
+            literal, form, open_form = forms[size] = t.windows(size)
             changed = np.nonzero(open_form != form)[0]
             for at, h in ((None, literal), (None, form), (changed, open_form[changed])):
                 maybe = np.nonzero(self.filters[size][(h & np.uint64((1 << 22) - 1)).astype(np.int64)])[0]
@@ -160,6 +188,11 @@ class Matcher:
                     for name, i, kind in posts.get(x, ()):
                         found[name].append((p, i, kind, size))
         out = []
+        for name in found.keys() & self.blank.keys():
+            for start in {p - i for p, i, *_ in found[name]}:
+                for i, kind, h, size in self.blank[name]:
+                    if 0 <= start + i < len(forms[size][kind]) and forms[size][kind][start + i] == h:
+                        found[name].append((start + i, i, kind, size))
         for name, hits in found.items():
             need = self.contained * self.total[name] - 1e-9
             if len({h[1] for h in hits}) >= need and (best := self._best(name, sorted(set(hits)), t)) >= need:
@@ -265,7 +298,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` that contain no benchmark item; all columns stay."""
+    """The rows of ``docs`` that contain no benchmark item; all columns stay.
+
+    Cases: null and empty texts stay, as do all rows if the benchmark is empty; long texts are read whole;
+    of repeated rows all stay or go; null ids are like any other; columns may have any names.
+    """
     column = "found"
     while column in docs.columns:
         column += "_"

@@ -70,7 +70,7 @@ ITEM = "A farmer named Maria has 12 apples and sells 5 kg of pears to Tom before
     [
         (f"Some words before. {ITEM} and some after.", True),
         (ITEM.lower(), True),
-        (ITEM.replace("Maria", "Elena").replace("12", "40").replace("5 kg", "9 lb").replace("Tom", "Ivan"), False),
+        (ITEM.replace("Maria", "Elena").replace("12", "40").replace("5 kg", "9 lb").replace("Tom", "Ivan"), True),
         (ITEM.replace("Maria", "Elena").replace("12", "40").replace("5 kg", "9 miles").replace("Tom", "Ivan"), True),
         (ITEM.replace("12", "40", 1), True),
         ("A farmer named Maria has 12 apples", False),
@@ -111,6 +111,19 @@ def test_names_units_and_equal_values(item, text):
     assert decontaminate.Matcher([(1, item)]).match(text) == [(1, 1.0)]
 
 
+def test_rows_of_numbers():
+    """Items with rows of numbers: any numbers fit those windows, but only the item's own words find it."""
+    import time
+
+    items = [(i, f"the sum of item w{i} is " + " ".join(str(i * 7 + k) for k in range(8)) + f" as told in chapter c{i} of the book") for i in range(200)]
+    m = decontaminate.Matcher(items)
+    began = time.time()
+    assert m.match(" ".join(map(str, range(8000)))) == []
+    assert time.time() - began < 1
+    other = "the sum of item w5 is " + " ".join(str(900 + k) for k in range(8)) + " as told in chapter c5 of the book"
+    assert [i for i, _ in m.match(f"{other} and {' '.join(map(str, range(500)))}")] == [5]
+
+
 def test_scan_against_substrings(spark):
     docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "benchmark"))
     flat = lambda t: " ".join(t.lower().split())
