@@ -24,6 +24,8 @@ LOW = np.array([1e-6, 1e-6, 1e-6, 1e-6, 1e-6])
 HIGH = np.array([1e4, 1e4, 1e4, 1e4, 1 - 1e-6])
 STARTS = ((0.2, 0.1, 2.0, 4.0, 1 / 3), (0.5, 0.5, 2.0, 2.0, 0.1), (1.0, 1.0, 3.0, 3.0, 0.2), (2.0, 0.5, 2.0, 2.0, 0.1))
 BIN, KEEP, MIN_BINS, SQUASH_FROM = 300, 10, 50, 100_000
+#: Bins grow beyond this many pairs, so that about a million and a half points reach the driver at most.
+PAIRS = 450_000_000
 BISECTIONS, CEILING = 100, 1e18
 
 
@@ -52,23 +54,27 @@ class Prior:
 def squash(table: DataFrame, bin_size: int = BIN, keep: int = KEEP, min_bins: int = MIN_BINS) -> DataFrame:
     """(a, expected, weight): per count, the largest expected counts singly and the rest in bins of ``bin_size``.
 
-    Strata below ``keep + bin_size * min_bins`` rows stay as they are. The count a = 1 has most of all pairs,
-    so rows are not ranked by one window over a stratum: they are range-partitioned by (a, expected)
-    and numbered within each range, and the ranges' sizes, of which there are as many as
-    partitions, give each range its first rank.
+    Strata below ``keep + bin_size * min_bins`` rows stay as they are. Equal (a, expected) are counted
+    first and take a run of ranks, so pairs with equal margins don't meet in one task. The count a = 1
+    has most of all pairs, so rows are not ranked by one window over a stratum: they are
+    range-partitioned by (a, expected) and numbered within each range, and the ranges' sizes, of
+    which there are as many as partitions, give each range its first rank.
     """
     if bin_size < 1 or keep < 0:
         raise ValueError(f"bin_size {bin_size} and keep {keep} make no squashing")
-    ranged = table.select(F.col("a").cast("double").alias("a"), "expected").repartitionByRange("a", "expected").withColumn("part", F.spark_partition_id())
-    ranged = written(ranged, "squash")
-    within = ranged.withColumn("r", F.row_number().over(Window.partitionBy("part", "a").orderBy("expected")))
-    sizes = ranged.groupBy("part", "a").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("first", F.coalesce(F.sum("n").over(Window.partitionBy("a").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("size", F.sum("n").over(Window.partitionBy("a"))).drop("n")
-    rows = within.join(before, ["part", "a"])
-    rank = F.col("first") + F.col("r")
-    single = (F.col("size") < keep + bin_size * min_bins) | (rank > F.col("size") - keep)
-    group = F.when(single, -rank).otherwise(F.floor((rank - 1) / bin_size))
-    return rows.groupBy("a", group.alias("g")).agg(F.avg("expected").alias("expected"), F.count("*").cast("double").alias("weight")).select("a", "expected", "weight")
+    counted = table.groupBy(F.col("a").cast("double").alias("a"), "expected").agg(F.count("*").alias("n"))
+    ranged = written(counted.repartitionByRange("a", "expected").withColumn("part", F.spark_partition_id()), "squash")
+    within = ranged.withColumn("before", F.sum("n").over(Window.partitionBy("part", "a").orderBy("expected")) - F.col("n"))
+    sizes = ranged.groupBy("part", "a").agg(F.sum("n").alias("m"))
+    first = sizes.withColumn("first", F.coalesce(F.sum("m").over(Window.partitionBy("a").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("size", F.sum("m").over(Window.partitionBy("a"))).drop("m")
+    # Ranks low + 1 .. high; those up to ``cut`` are binned, the others stand alone.
+    rows = within.join(first, ["part", "a"]).withColumn("low", F.col("first") + F.col("before")).withColumn("high", F.col("low") + F.col("n"))
+    rows = rows.withColumn("cut", F.when(F.col("size") < keep + bin_size * min_bins, 0).otherwise(F.col("size") - keep))
+    binned = rows.filter("low < cut").withColumn("g", F.explode(F.expr(f"sequence(low div {bin_size}, (least(high, cut) - 1) div {bin_size})")))
+    share = F.least("high", "cut", (F.col("g") + 1) * bin_size) - F.greatest("low", F.col("g") * bin_size)
+    bins = binned.groupBy("a", "g").agg((F.sum(F.col("expected") * share) / F.sum(share)).alias("expected"), F.sum(share).cast("double").alias("weight"))
+    alone = rows.filter("high > cut").select("a", "expected", F.explode(F.expr("sequence(greatest(low, cut) + 1, high)")).alias("rank"))
+    return bins.select("a", "expected", "weight").unionByName(alone.select("a", "expected", F.lit(1.0).alias("weight")))
 
 
 def _log_parts(theta: np.ndarray, n: np.ndarray, e: np.ndarray, same: tuple[np.ndarray, np.ndarray] | None = None):
@@ -176,7 +182,7 @@ def fit_points(n: np.ndarray, e: np.ndarray, w: np.ndarray, allow_boundary: bool
 def points(table: DataFrame, squash_from: int = SQUASH_FROM) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """The weighted points of a table on the driver; squashed above ``squash_from`` pairs."""
     total = table.count()
-    rows = squash(table) if total > squash_from else table.groupBy(F.col("a").cast("double").alias("a"), "expected").agg(F.count("*").cast("double").alias("weight"))
+    rows = squash(table, max(BIN, -(-total * BIN // PAIRS))) if total > squash_from else table.groupBy(F.col("a").cast("double").alias("a"), "expected").agg(F.count("*").cast("double").alias("weight"))
     pdf = rows.toPandas()
     return pdf.a.to_numpy(), pdf.expected.to_numpy(), pdf.weight.to_numpy(), total
 

@@ -6,7 +6,7 @@ over its raw rows; ``tally`` counts all of a table's conditions in one pass.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import IngestError
@@ -135,8 +135,9 @@ def latest_versions(cases: DataFrame, withdrawn: DataFrame | None = None) -> Dat
     """
     if withdrawn is not None:
         cases = cases.join(withdrawn.select("caseid").distinct(), "caseid", "left_anti")
-    order = Window.partitionBy("caseid").orderBy(F.col("caseversion").desc_nulls_last(), F.col("primaryid").desc_nulls_last())
-    return cases.withColumn("_version", F.row_number().over(order)).filter("_version = 1").drop("_version")
+    # A max over structs: each task reduces its rows first, so the rows without a case id don't meet in one task.
+    order = F.struct(F.col("caseversion").isNotNull().alias("has_version"), "caseversion", F.col("primaryid").isNotNull().alias("has_id"), "primaryid", F.struct(*cases.columns).alias("row"))
+    return cases.groupBy(F.col("caseid").alias("_case")).agg(F.max(order).alias("_best")).select("_best.row.*")
 
 
 def surviving(child: DataFrame, cases: DataFrame) -> DataFrame:

@@ -1,7 +1,6 @@
 """Declared columns of the source tables in each era, and of the stored datasets.
 
-A column is written ``source>canonical:type``; without ``>`` both names agree, without a type it is
-text. The era follows from the quarter and is never guessed from a file.
+The era follows from the quarter and is never guessed from a file.
 """
 
 from __future__ import annotations
@@ -15,35 +14,175 @@ from .quarter import Quarter
 
 TABLES = ("DEMO", "DRUG", "INDI", "OUTC", "REAC", "RPSR", "THER")
 ERAS = ("2012q4_only", "pre_2014q3", "2014q3_onward")
-_KINDS = {"L": T.LongType(), "F": T.DoubleType(), "S": T.StringType(), "D": T.DateType(), "B": T.BooleanType(), "A": T.ArrayType(T.StringType())}
 
 # The published column orders.
-_CASE = "primaryid:L caseid:L"
-_DEMO = f"{_CASE} caseversion:L i_f_code event_dt>event_dt_raw mfr_dt>mfr_dt_raw init_fda_dt>init_fda_dt_raw fda_dt>fda_dt_raw rept_cod"
-_DEMO_END = "e_sub wt:F wt_cod rept_dt>rept_dt_raw to_mfr occp_cod reporter_country occr_country"
-_DEMO_OLD = f"{_DEMO} mfr_num mfr_sndr age:F age_cod gndr_cod>sex {_DEMO_END}"
-_DEMO_NEW = f"{_DEMO} auth_num mfr_num mfr_sndr lit_ref age:F age_cod age_grp sex {_DEMO_END}"
-_DRUG = f"{_CASE} drug_seq:L role_cod drugname>drugname_raw"
-_DRUG_END = "val_vbm route dose_vbm cum_dose_chr cum_dose_unit dechal rechal {lot}lot_num exp_dt>exp_dt_raw nda_num dose_amt dose_unit dose_form dose_freq"
-_SPELLED = {
-    "DEMO": (_DEMO_OLD, _DEMO_OLD, _DEMO_NEW),
-    "DRUG": (f"{_DRUG} {_DRUG_END.format(lot='lot_nbr>')}", f"{_DRUG} {_DRUG_END.format(lot='')}", f"{_DRUG} prod_ai {_DRUG_END.format(lot='')}"),
-    "INDI": (f"{_CASE} indi_drug_seq:L indi_pt",) * 3,
-    "OUTC": (f"{_CASE} outc_code>outc_cod", f"{_CASE} outc_cod", f"{_CASE} outc_cod"),
-    "REAC": (f"{_CASE} pt", f"{_CASE} pt", f"{_CASE} pt drug_rec_act"),
-    "RPSR": (f"{_CASE} rpsr_cod",) * 3,
-    "THER": (f"{_CASE} dsg_drug_seq:L start_dt>start_dt_raw end_dt>end_dt_raw dur:F dur_cod",) * 3,
+_COLUMNS = {
+    ("DEMO", "2012q4_only"): (
+        "primaryid", "caseid", "caseversion", "i_f_code", "event_dt", "mfr_dt", "init_fda_dt", "fda_dt", "rept_cod", "mfr_num", "mfr_sndr", "age",
+        "age_cod", "gndr_cod", "e_sub", "wt", "wt_cod", "rept_dt", "to_mfr", "occp_cod", "reporter_country", "occr_country",
+    ),
+    ("DEMO", "pre_2014q3"): (
+        "primaryid", "caseid", "caseversion", "i_f_code", "event_dt", "mfr_dt", "init_fda_dt", "fda_dt", "rept_cod", "mfr_num", "mfr_sndr", "age",
+        "age_cod", "gndr_cod", "e_sub", "wt", "wt_cod", "rept_dt", "to_mfr", "occp_cod", "reporter_country", "occr_country",
+    ),
+    ("DEMO", "2014q3_onward"): (
+        "primaryid", "caseid", "caseversion", "i_f_code", "event_dt", "mfr_dt", "init_fda_dt", "fda_dt", "rept_cod", "auth_num", "mfr_num",
+        "mfr_sndr", "lit_ref", "age", "age_cod", "age_grp", "sex", "e_sub", "wt", "wt_cod", "rept_dt", "to_mfr", "occp_cod", "reporter_country",
+        "occr_country",
+    ),
+    ("DRUG", "2012q4_only"): (
+        "primaryid", "caseid", "drug_seq", "role_cod", "drugname", "val_vbm", "route", "dose_vbm", "cum_dose_chr", "cum_dose_unit", "dechal",
+        "rechal", "lot_nbr", "exp_dt", "nda_num", "dose_amt", "dose_unit", "dose_form", "dose_freq",
+    ),
+    ("DRUG", "pre_2014q3"): (
+        "primaryid", "caseid", "drug_seq", "role_cod", "drugname", "val_vbm", "route", "dose_vbm", "cum_dose_chr", "cum_dose_unit", "dechal",
+        "rechal", "lot_num", "exp_dt", "nda_num", "dose_amt", "dose_unit", "dose_form", "dose_freq",
+    ),
+    ("DRUG", "2014q3_onward"): (
+        "primaryid", "caseid", "drug_seq", "role_cod", "drugname", "prod_ai", "val_vbm", "route", "dose_vbm", "cum_dose_chr", "cum_dose_unit",
+        "dechal", "rechal", "lot_num", "exp_dt", "nda_num", "dose_amt", "dose_unit", "dose_form", "dose_freq",
+    ),
+    ("INDI", "2012q4_only"): (
+        "primaryid", "caseid", "indi_drug_seq", "indi_pt",
+    ),
+    ("INDI", "pre_2014q3"): (
+        "primaryid", "caseid", "indi_drug_seq", "indi_pt",
+    ),
+    ("INDI", "2014q3_onward"): (
+        "primaryid", "caseid", "indi_drug_seq", "indi_pt",
+    ),
+    ("OUTC", "2012q4_only"): (
+        "primaryid", "caseid", "outc_code",
+    ),
+    ("OUTC", "pre_2014q3"): (
+        "primaryid", "caseid", "outc_cod",
+    ),
+    ("OUTC", "2014q3_onward"): (
+        "primaryid", "caseid", "outc_cod",
+    ),
+    ("REAC", "2012q4_only"): (
+        "primaryid", "caseid", "pt",
+    ),
+    ("REAC", "pre_2014q3"): (
+        "primaryid", "caseid", "pt",
+    ),
+    ("REAC", "2014q3_onward"): (
+        "primaryid", "caseid", "pt", "drug_rec_act",
+    ),
+    ("RPSR", "2012q4_only"): (
+        "primaryid", "caseid", "rpsr_cod",
+    ),
+    ("RPSR", "pre_2014q3"): (
+        "primaryid", "caseid", "rpsr_cod",
+    ),
+    ("RPSR", "2014q3_onward"): (
+        "primaryid", "caseid", "rpsr_cod",
+    ),
+    ("THER", "2012q4_only"): (
+        "primaryid", "caseid", "dsg_drug_seq", "start_dt", "end_dt", "dur", "dur_cod",
+    ),
+    ("THER", "pre_2014q3"): (
+        "primaryid", "caseid", "dsg_drug_seq", "start_dt", "end_dt", "dur", "dur_cod",
+    ),
+    ("THER", "2014q3_onward"): (
+        "primaryid", "caseid", "dsg_drug_seq", "start_dt", "end_dt", "dur", "dur_cod",
+    ),
 }
-#: Stored datasets: name -> (source table, columns).
-_STORED = {
-    "case": ("DEMO", "primaryid:L caseid:L caseversion:L quarter fda_dt:D fda_dt_raw fda_dt_precision event_dt:D event_dt_raw event_dt_precision sex age_years:F weight_kg:F country country_source occp_cod serious:B serious_death:B outcome_codes:A"),
-    "drug": ("DRUG", "primaryid:L drug_seq:L role_cod drugname_raw prod_ai route"),
-    "reaction": ("REAC", "primaryid:L pt drug_rec_act"),
-    "outcome": ("OUTC", "primaryid:L outc_cod"),
-    "therapy": ("THER", "primaryid:L dsg_drug_seq:L start_dt:D start_dt_raw start_dt_precision end_dt:D end_dt_raw end_dt_precision dur_days:F"),
-    "indication": ("INDI", "primaryid:L indi_drug_seq:L indi_pt"),
-    "report_source": ("RPSR", "primaryid:L rpsr_cod"),
+# Columns that are known by another name from here on.
+_RENAMED = {
+    "event_dt": "event_dt_raw",
+    "mfr_dt": "mfr_dt_raw",
+    "init_fda_dt": "init_fda_dt_raw",
+    "fda_dt": "fda_dt_raw",
+    "gndr_cod": "sex",
+    "rept_dt": "rept_dt_raw",
+    "drugname": "drugname_raw",
+    "lot_nbr": "lot_num",
+    "exp_dt": "exp_dt_raw",
+    "outc_code": "outc_cod",
+    "start_dt": "start_dt_raw",
+    "end_dt": "end_dt_raw",
 }
+# Numeric columns; all others are text.
+_LONG = {"primaryid", "caseid", "caseversion", "drug_seq", "indi_drug_seq", "dsg_drug_seq"}
+_DOUBLE = {"age", "wt", "dur"}
+
+#: Stored datasets.
+DATASETS = {
+    "case": T.StructType(
+        [
+            T.StructField("primaryid", T.LongType()),
+            T.StructField("caseid", T.LongType()),
+            T.StructField("caseversion", T.LongType()),
+            T.StructField("quarter", T.StringType()),
+            T.StructField("fda_dt", T.DateType()),
+            T.StructField("fda_dt_raw", T.StringType()),
+            T.StructField("fda_dt_precision", T.StringType()),
+            T.StructField("event_dt", T.DateType()),
+            T.StructField("event_dt_raw", T.StringType()),
+            T.StructField("event_dt_precision", T.StringType()),
+            T.StructField("sex", T.StringType()),
+            T.StructField("age_years", T.DoubleType()),
+            T.StructField("weight_kg", T.DoubleType()),
+            T.StructField("country", T.StringType()),
+            T.StructField("country_source", T.StringType()),
+            T.StructField("occp_cod", T.StringType()),
+            T.StructField("serious", T.BooleanType()),
+            T.StructField("serious_death", T.BooleanType()),
+            T.StructField("outcome_codes", T.ArrayType(T.StringType())),
+        ]
+    ),
+    "drug": T.StructType(
+        [
+            T.StructField("primaryid", T.LongType()),
+            T.StructField("drug_seq", T.LongType()),
+            T.StructField("role_cod", T.StringType()),
+            T.StructField("drugname_raw", T.StringType()),
+            T.StructField("prod_ai", T.StringType()),
+            T.StructField("route", T.StringType()),
+        ]
+    ),
+    "reaction": T.StructType(
+        [
+            T.StructField("primaryid", T.LongType()),
+            T.StructField("pt", T.StringType()),
+            T.StructField("drug_rec_act", T.StringType()),
+        ]
+    ),
+    "outcome": T.StructType(
+        [
+            T.StructField("primaryid", T.LongType()),
+            T.StructField("outc_cod", T.StringType()),
+        ]
+    ),
+    "therapy": T.StructType(
+        [
+            T.StructField("primaryid", T.LongType()),
+            T.StructField("dsg_drug_seq", T.LongType()),
+            T.StructField("start_dt", T.DateType()),
+            T.StructField("start_dt_raw", T.StringType()),
+            T.StructField("start_dt_precision", T.StringType()),
+            T.StructField("end_dt", T.DateType()),
+            T.StructField("end_dt_raw", T.StringType()),
+            T.StructField("end_dt_precision", T.StringType()),
+            T.StructField("dur_days", T.DoubleType()),
+        ]
+    ),
+    "indication": T.StructType(
+        [
+            T.StructField("primaryid", T.LongType()),
+            T.StructField("indi_drug_seq", T.LongType()),
+            T.StructField("indi_pt", T.StringType()),
+        ]
+    ),
+    "report_source": T.StructType(
+        [
+            T.StructField("primaryid", T.LongType()),
+            T.StructField("rpsr_cod", T.StringType()),
+        ]
+    ),
+}
+TABLE_OF = {"case": "DEMO", "drug": "DRUG", "reaction": "REAC", "outcome": "OUTC", "therapy": "THER", "indication": "INDI", "report_source": "RPSR"}
 
 
 @dataclass(frozen=True)
@@ -53,18 +192,12 @@ class Field:
     kind: T.DataType
 
 
-def _fields(spelled: str) -> tuple[Field, ...]:
-    out = []
-    for word in spelled.split():
-        names, _, kind = word.partition(":")
-        source, _, name = names.partition(">")
-        out.append(Field(source, name or source, _KINDS[kind or "S"]))
-    return tuple(out)
+def _field(source: str) -> Field:
+    kind = T.LongType() if source in _LONG else T.DoubleType() if source in _DOUBLE else T.StringType()
+    return Field(source, _RENAMED.get(source, source), kind)
 
 
-SOURCE = {(t, e): _fields(s) for t, by_era in _SPELLED.items() for e, s in zip(ERAS, by_era, strict=True)}
-DATASETS = {name: T.StructType([T.StructField(f.name, f.kind) for f in _fields(s)]) for name, (_, s) in _STORED.items()}
-TABLE_OF = {name: table for name, (table, _) in _STORED.items()}
+SOURCE = {key: tuple(_field(c) for c in columns) for key, columns in _COLUMNS.items()}
 
 
 def era(quarter: Quarter) -> str:

@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from ..errors import IngestError
 from .schema import DATASETS
 
-MANIFEST = "source string, unit string, checksum string, row_count bigint, row_counts map<string,bigint>, bytes_downloaded bigint, had_deleted_file boolean, status string, error string, started_at timestamp, finished_at timestamp"
-
 
 def write_quarter(df: DataFrame, root: str, name: str, quarter: str) -> None:
     """Replace one quarter's partition of a dataset; others stay. Doing it twice changes nothing."""
@@ -49,15 +47,38 @@ def replace_children(old: DataFrame, new: DataFrame, key: str = "primaryid") ->
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
+def _files(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    return hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
+
+
+def _move(spark: SparkSession, a: str, b: str) -> None:
+    fs, path = _files(spark, a)
+    if not fs.rename(path(a), path(b)):
+        raise IngestError(f"{a} could not take the place of {b}")
+
+
+def recovered(spark: SparkSession, path: str) -> bool:
+    """Whether there is a table at ``path``; one that a rebuild had moved aside when it was ended is moved back."""
+    fs, hadoop = _files(spark, path)
+    if not fs.exists(hadoop(path)) and fs.exists(hadoop(f"{path}.old")):
+        _move(spark, f"{path}.old", path)
+    return fs.exists(hadoop(path))
+
+
 def write_whole(df: DataFrame, path: str) -> None:
-    """Rebuild a table: written beside the old one, which is replaced only when the new one is complete."""
+    """Rebuild a table: the new one is written beside the old one, which is moved aside and deleted last.
+
+    Whenever this is ended, the old or the new table is whole, at ``path`` or where ``recovered`` finds it.
+    """
     spark, aside = df.sparkSession, f"{path}.{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(aside)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(hadoop(path), True)
-    if not fs.rename(hadoop(aside), hadoop(path)):
-        raise IngestError(f"{aside} could not take the place of {path}")
+    fs, hadoop = _files(spark, path)
+    if recovered(spark, path):
+        fs.delete(hadoop(f"{path}.old"), True)
+        _move(spark, path, f"{path}.old")
+    _move(spark, aside, path)
+    fs.delete(hadoop(f"{path}.old"), True)
 
 
 class Manifest:

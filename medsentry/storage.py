@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .errors import EngineError
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session, or a temporary folder where that is unset (on one machine)."""
+    """``spark.checkpoint.dir`` of the session. Where that is unset a temporary folder is made if all tasks run in this process; else it is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise EngineError("spark.checkpoint.dir is unset: executors need a folder that all of them see")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="engine-"))
         at = spark.sparkContext.getCheckpointDir()
     return at.rstrip("/")

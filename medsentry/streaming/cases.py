@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.schema import DATASETS
-from ..sources.store import upsert, write_whole
+from ..sources.store import recovered, upsert, write_whole
 
 
 def publications(spark: SparkSession, path: str) -> DataFrame:
@@ -19,14 +19,12 @@ def keep_current(stream: DataFrame, table: str, checkpoint: str, once: bool = Tr
 
     def apply(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        try:
+        if recovered(spark, table):
             old = spark.read.schema(batch.schema).parquet(table)
             stale = old.join(batch.select("primaryid", "quarter").withColumnRenamed("quarter", "new"), "primaryid").filter("quarter > new").select("primaryid").distinct()
             batch = batch.join(stale, "primaryid", "left_anti")
             merged = upsert(old, batch)
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        else:  # the first batch
             merged = upsert(batch.limit(0), batch)
         write_whole(merged, table)
 

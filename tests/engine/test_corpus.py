@@ -260,3 +260,44 @@ def test_streaming_upsert(spark, tmp_path):
         spark.createDataFrame([make(*r) for r in rows], kind).write.mode("append").parquet(str(tmp_path / "in"))
         streaming.keep_current(streaming.publications(spark, str(tmp_path / "in")), str(tmp_path / "now"), str(tmp_path / "mark")).awaitTermination()
     assert {(r.primaryid, r.quarter) for r in spark.read.parquet(str(tmp_path / "now")).collect()} == {(1, "2013Q2"), (2, "2013Q1")}
+
+
+def test_an_ended_rebuild_loses_nothing(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    store.write_whole(spark.range(3), path)
+    move, calls = store._move, []
+
+    def ends(*args):
+        calls.append(args)
+        if len(calls) == 2:  # between the old table's move and the new one's
+            raise RuntimeError("ended")
+        move(*args)
+
+    monkeypatch.setattr(store, "_move", ends)
+    with pytest.raises(RuntimeError):
+        store.write_whole(spark.range(5), path)
+    monkeypatch.undo()
+    assert store.recovered(spark, path) and spark.read.parquet(path).count() == 3
+    store.write_whole(spark.range(7), path)
+    assert spark.read.parquet(path).count() == 7 and not (tmp_path / "t.old").exists()
+
+
+def test_unset_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from medsentry import storage
+
+    there = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="yarn"))
+    with pytest.raises(EngineError, match="spark.checkpoint.dir"):
+        storage.shared_dir(there)
+
+
+def test_rows_without_a_case_id_are_one_case(spark):
+    df = spark.range(3000).selectExpr("id as primaryid", "cast(null as bigint) as caseid", "id % 7 as caseversion", "cast(id as string) as note")
+    assert [(r.primaryid, r.note) for r in parse.latest_versions(df).collect()] == [(2995, "2995")]
+
+
+def test_more_drug_strings(spark):
+    for raw, cleaned, n in (("A,AND B CREAM", "A,AND B", 1), ("AAA-AND-BBB", "AAA-AND-BBB", 2), ("DEXTROSE 5% INJ", "DEXTROSE 5%", 1), ("SANDOZ", "SANDOZ", 1), ("VITAMIN (NOS) ORAL SPRAY", "VITAMIN", 1), ("ABC\\DEF+GHI", "ABC\\DEF+GHI", 3), ("GEL", "GEL", 1)):
+        x = one(spark, drugnames.clean, raw)
+        assert (x.cleaned, len(x.components)) == (cleaned, n), raw
