@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,10 +20,13 @@ ASCII_SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where it is unset (tests on one machine), a temporary folder is made and set for the session.
+    Where it is unset and all tasks run in this process (tests), a temporary folder is made and set
+    for the session; on a cluster that is an error.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: executors need a folder that all of them see")
         at = tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(at)
         at = f"file://{at}"
