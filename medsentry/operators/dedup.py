@@ -1,9 +1,12 @@
 """Duplicate cases: superseded versions, and re-reports found by exact set similarity.
 
 Re-reports agree in sex, rounded age and country, and both their drug and their reaction sets
-have a Jaccard similarity of at least 0.8. Candidates come from a prefix-filtered equi-join on
-(block, token): tokens are ordered by how rare they are, so a frequent drug or reaction enters
-few prefixes and neither a large block nor a frequent token gathers its rows in one place.
+have a Jaccard similarity of at least 0.8. Rows that agree in block and both sets are a class, and
+classes are compared, not rows: a report that was sent a thousand times is one row of the join, and its
+copies' pairs are counted and resolved by class sizes and the classes' latest members. Candidates come
+from a prefix-filtered equi-join on (block, token): tokens are ordered by how rare they are, so a
+frequent drug or reaction enters few prefixes and neither a large block nor a frequent token gathers its
+rows in one place.
 """
 
 from __future__ import annotations
@@ -13,6 +16,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import EngineError
+from ..storage import written
+
 #: Fixed values.
 THRESHOLD_NUMERATOR, THRESHOLD_DENOMINATOR = 4, 5
 VERSION, SIMILAR = "version", "probabilistic"
@@ -91,12 +97,8 @@ def prefix_length(n: Column) -> Column:
     return F.greatest(F.lit(1), n - F.ceil(n * THRESHOLD_NUMERATOR / THRESHOLD_DENOMINATOR).cast("int") + 1)
 
 
-def similar_pairs(compared: DataFrame, block: tuple[str, ...] = BLOCK, first: str = "reactions", second: str | None = "drugs", rarest: bool = True) -> DataFrame:
-    """(l, r, first_jaccard[, second_jaccard]) for every pair of similar rows of a block, l < r.
-
-    Rows with the same ``caseid`` never pair (where there is one). Sets that are equal in all
-    respects are one row each, as in the source: nothing is capped.
-    """
+def candidates(compared: DataFrame, block: tuple[str, ...] = BLOCK, first: str = "reactions", rarest: bool = True) -> DataFrame:
+    """(l, r), l < r: every pair of rows of a block that shares a token of both prefixes and could be similar by size."""
     keys = list(block)
     sized = compared.withColumn("n", F.size(first)).filter("n > 0")
     token = sized.select("primaryid", "n", *keys, F.explode(first).alias("token"))
@@ -110,10 +112,19 @@ def similar_pairs(compared: DataFrame, block: tuple[str, ...] = BLOCK, first: st
     left = prefix.select(*keys, "token", F.col("primaryid").alias("l"), F.col("n").alias("ln"))
     right = prefix.select(*keys, "token", F.col("primaryid").alias("r"), F.col("n").alias("rn"))
     fits = (F.col("l") < F.col("r")) & (F.least("ln", "rn") * THRESHOLD_DENOMINATOR >= F.greatest("ln", "rn") * THRESHOLD_NUMERATOR)
-    candidates = left.join(right, [*keys, "token"]).filter(fits).select("l", "r").distinct()
-    own = [c for c in ("caseid", "quarter", "fda_dt", first, second) if c and c in compared.columns]
+    return left.join(right, [*keys, "token"]).filter(fits).select("l", "r").distinct()
+
+
+def similar_pairs(compared: DataFrame, block: tuple[str, ...] = BLOCK, first: str = "reactions", second: str | None = "drugs", rarest: bool = True, among: DataFrame | None = None) -> DataFrame:
+    """(l, r, first_jaccard[, second_jaccard]) for every pair of similar rows of a block, l < r.
+
+    Rows with the same ``caseid`` never pair (where there is such a column). It is exact and nothing is
+    capped, so equal rows should be made one beforehand. ``among``: the candidates, if there already.
+    """
+    pairs = candidates(compared, block, first, rarest) if among is None else among
+    own = [c for c in ("caseid", first, second) if c and c in compared.columns]
     side = {s: compared.select(F.col("primaryid").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in own)) for s in "lr"}
-    pairs = candidates.join(side["l"], "l").join(side["r"], "r")
+    pairs = pairs.join(side["l"], "l").join(side["r"], "r")
     if "caseid" in own:
         pairs = pairs.filter(~F.col("l_caseid").eqNullSafe(F.col("r_caseid")))
     for name in filter(None, (first, second)):
@@ -122,18 +133,76 @@ def similar_pairs(compared: DataFrame, block: tuple[str, ...] = BLOCK, first: st
     return pairs
 
 
-def canonical(pairs: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Similar:
+    """Rows and their classes. A class is known by its smallest primaryid."""
+
+    rows: DataFrame  # primaryid, caseid, quarter, fda_dt, class_id
+    linked: DataFrame  # class_id, other, drugs_jaccard, reactions_jaccard: both ways, and a class with itself if its sets aren't empty
+    candidates: DataFrame  # (l, r) of the classes that were compared
+
+
+def similar(compared: DataFrame) -> Similar:
+    """All similar rows, as links between classes of equal rows."""
+    equal = F.md5(F.to_json(F.struct(*BLOCK, "drugs", "reactions")))
+    keyed = written(compared.withColumn("_key", equal), "compared")
+    sets = keyed.groupBy("_key").agg(F.min("primaryid").alias("primaryid"), *(F.any_value(c).alias(c) for c in (*BLOCK, "drugs", "reactions")))
+    sets = written(sets, "classes")
+    rows = written(keyed.join(sets.select("_key", F.col("primaryid").alias("class_id")), "_key").select("primaryid", "caseid", "quarter", "fda_dt", "class_id"), "rows")
+    among = written(candidates(sets), "candidates")
+    links = written(similar_pairs(sets, among=among).select("l", "r", "drugs_jaccard", "reactions_jaccard"), "links")
+    own = sets.filter((F.size("drugs") > 0) & (F.size("reactions") > 0)).select("primaryid", F.col("primaryid").alias("other"), F.lit(1.0), F.lit(1.0))
+    both = links.union(links.select("r", "l", "drugs_jaccard", "reactions_jaccard")).union(own)
+    return Similar(rows, both.toDF("class_id", "other", "drugs_jaccard", "reactions_jaccard"), among)
+
+
+def link_counts(s: Similar) -> DataFrame:
+    """primaryid, class_id, links, cross_quarter: the number of a row's similar rows of other cases, and of those from other quarters.
+
+    A row's links are the sizes of the classes linked to its own, less the rows of its own case.
+    """
+    case = F.coalesce(F.col("caseid").cast("string"), F.lit("")).alias("case")
+    rows = s.rows.select("primaryid", "class_id", "quarter", case)
+    links = s.linked.select("class_id", "other")
+    sizes = rows.groupBy(F.col("class_id").alias("other"), "quarter").agg(F.count("*").alias("n"))
+    near = links.join(sizes, "other").groupBy("class_id", "quarter").agg(F.sum("n").alias("same"))
+    every = near.groupBy("class_id").agg(F.sum("same").alias("every"))
+    itself = links.filter("class_id = other").select("class_id", F.lit(1).alias("itself"))
+    # Cases with one row are only linked to themselves; the few others are counted by class.
+    several = rows.groupBy("case").agg(F.count("*").alias("m")).filter("m > 1").select("case")
+    repeated = rows.join(several, "case").groupBy("case", "class_id", "quarter").agg(F.count("*").alias("n"))
+    theirs = repeated.select("case", F.col("class_id").alias("other"), F.col("quarter").alias("q"), "n")
+    own = repeated.select("case", "class_id", "quarter").join(links, "class_id").join(theirs, ["case", "other"]).groupBy("case", "class_id", "quarter").agg(F.sum("n").alias("mine"), F.coalesce(F.sum(F.when(F.col("q") == F.col("quarter"), F.col("n"))), F.lit(0)).alias("mine_same"))
+    out = rows.join(every, "class_id", "left").join(near, ["class_id", "quarter"], "left").join(itself, "class_id", "left").join(own, ["case", "class_id", "quarter"], "left")
+    less = lambda x: F.coalesce(x, "itself", F.lit(0))
+    total, same = F.coalesce("every", F.lit(0)) - less(F.col("mine")), F.coalesce("same", F.lit(0)) - less(F.col("mine_same"))
+    return out.select("primaryid", "class_id", total.alias("links"), (total - same).alias("cross_quarter"))
+
+
+def canonical(s: Similar) -> DataFrame:
     """For each row that has a stronger partner, the strongest: (primaryid, canonical_primaryid, scores, cross_quarter).
 
-    The stronger of two is the one with the later date, then the larger id. Pointers are single
-    hops to partners actually matched; chains of them are legal.
+    The stronger of two is the one with the later date, then the larger id; rows of one case are no
+    partners. So of each class the strongest row and the strongest of any other case are enough.
+    Pointers are single hops to partners actually matched; chains of them are legal.
     """
-    later = F.struct("l_fda_dt", "l") > F.struct("r_fda_dt", "r")
-    side = lambda name: F.when(later, F.col(f"l_{name}")).otherwise(F.col(f"r_{name}"))
-    weak = F.when(later, F.col("r")).otherwise(F.col("l"))
-    best = F.struct(side("fda_dt").alias("fda_dt"), F.when(later, F.col("l")).otherwise(F.col("r")).alias("id"), "drugs_jaccard", "reactions_jaccard", (F.col("l_quarter") != F.col("r_quarter")).alias("cross"))
-    out = pairs.groupBy(weak.alias("primaryid")).agg(F.max(best).alias("b"))
-    return out.select("primaryid", F.col("b.id").alias("canonical_primaryid"), F.lit(SIMILAR).alias("method"), F.least("b.drugs_jaccard", "b.reactions_jaccard").alias("score"), F.col("b.drugs_jaccard").alias("drug_jaccard"), F.col("b.reactions_jaccard").alias("reaction_jaccard"), F.col("b.cross").alias("cross_quarter"))
+    member = F.struct("fda_dt", F.col("primaryid").alias("id"), "quarter")
+    cases = s.rows.groupBy("class_id", "caseid").agg(F.max(member).alias("m"))
+
+    def two_best(rows: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
+        """By class, the strongest row, and the strongest row of another case."""
+        row = F.struct("m", "caseid", *more)
+        first = written(rows.groupBy("class_id").agg(F.max(row).alias("best")), "best")
+        other = rows.join(first, "class_id").filter(~F.col("caseid").eqNullSafe(F.col("best.caseid")))
+        return first, written(other.groupBy("class_id").agg(F.max(row).alias("second")), "second")
+
+    first, second = two_best(cases)
+    tops = first.select(F.col("class_id").alias("other"), "best.*").unionByName(second.select(F.col("class_id").alias("other"), "second.*"))
+    first, second = two_best(s.linked.join(tops, "other"), "drugs_jaccard", "reactions_jaccard")
+    b = F.when(~F.col("caseid").eqNullSafe(F.col("best.caseid")), F.col("best")).otherwise(F.col("second"))
+    out = s.rows.join(first, "class_id").join(second, "class_id", "left").withColumn("b", b)
+    out = out.filter(F.col("b").isNotNull() & (F.struct(F.col("b.m.fda_dt").alias("d"), F.col("b.m.id").alias("i")) > F.struct(F.col("fda_dt").alias("d"), F.col("primaryid").alias("i"))))
+    return out.select("primaryid", F.col("b.m.id").alias("canonical_primaryid"), F.lit(SIMILAR).alias("method"), F.least("b.drugs_jaccard", "b.reactions_jaccard").alias("score"), F.col("b.drugs_jaccard").alias("drug_jaccard"), F.col("b.reactions_jaccard").alias("reaction_jaccard"), (F.col("quarter") != F.col("b.m.quarter")).alias("cross_quarter"))
 
 
 def combined(versions: DataFrame, similar: DataFrame) -> DataFrame:
@@ -157,8 +226,22 @@ def block_figures(compared: DataFrame) -> DataFrame:
     return n.agg(F.count("*").alias("blocks"), F.coalesce(F.max("n"), F.lit(0)).alias("largest_block"), F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).alias("naive_pairs"))
 
 
-def pair_figures(pairs: DataFrame) -> DataFrame:
-    return pairs.agg(F.count("*").alias("duplicate_pairs"), F.count_if(F.col("l_quarter") != F.col("r_quarter")).alias("cross_quarter_pairs"))
+def pair_figures(s: Similar) -> DataFrame:
+    """One row: similar pairs of rows, those across quarters, and the comparisons that it took (of classes)."""
+    found = link_counts(s).agg(F.expr("coalesce(sum(links), 0) div 2").alias("duplicate_pairs"), F.expr("coalesce(sum(cross_quarter), 0) div 2").alias("cross_quarter_pairs"))
+    return found.join(s.candidates.agg(F.count("*").alias("comparisons")), F.lit(True))  # one row each
+
+
+def discarded(versions: DataFrame, similar: DataFrame) -> DataFrame:
+    """One row: how many similar rows were superseded already and so weren't flagged again."""
+    return similar.join(versions.select("primaryid"), "primaryid", "left_semi").agg(F.count("*").alias("discarded"))
+
+
+def check_accounting(figures: dict) -> dict:
+    """Raise unless the classes of the population add up."""
+    if figures["evaluated"] != sum(figures[k] for k in ("superseded", "null_key", "empty_drug_set", "eligible")) or figures["eligible"] != figures["compared"] + figures["alone"] or figures["alone"] < 0:
+        raise EngineError(f"the population doesn't add up: {figures}")
+    return figures
 
 
 def method_figures(duplicates: DataFrame) -> DataFrame:

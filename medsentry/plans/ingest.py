@@ -60,9 +60,10 @@ def duplicates(cases: DataFrame, drugs: DataFrame, reactions: DataFrame, start:
     """(all duplicates, figures) of the corpus: versions over every quarter, re-reports within the range."""
     versions = dedup.superseded_versions(dedup.latest_publication(cases))
     p = dedup.population(dedup.latest_publication(cases, start, end), drugs, reactions)
-    pairs = dedup.similar_pairs(p.compared)
-    every = dedup.combined(versions, dedup.canonical(pairs))
-    return every, {"population": dedup.accounting(p), "blocks": dedup.block_figures(p.compared), "pairs": dedup.pair_figures(pairs)}
+    s = dedup.similar(p.compared)
+    found = dedup.canonical(s)
+    figures = {"population": dedup.accounting(p), "blocks": dedup.block_figures(p.compared), "pairs": dedup.pair_figures(s), "discarded": dedup.discarded(versions, found)}
+    return dedup.combined(versions, found), figures
 
 
 def persist(every: DataFrame, path: str) -> dict:

@@ -215,14 +215,41 @@ def dedup_block_figures(c):
     return dedup.block_figures(_population(c).compared)
 
 
-@query(_SIMILAR + "SELECT l, r, round(dj, 6) AS drugs_jaccard, round(rj, 6) AS reactions_jaccard FROM pairs")
+_CLASSES = (
+    _SIMILAR
+    + """,
+classes AS (SELECT *, min(primaryid) OVER (PARTITION BY sex, age_r, country, drugs, reactions) AS class_id FROM compared),
+heads AS (SELECT * FROM classes WHERE primaryid = class_id)"""
+)
+
+
+@query(_CLASSES + "SELECT c.primaryid, class_id, count(p.id) AS links, count(*) FILTER (WHERE p.cross_quarter) AS cross_quarter FROM classes c LEFT JOIN (SELECT l AS id, cross_quarter FROM pairs UNION ALL SELECT r, cross_quarter FROM pairs) p ON c.primaryid = p.id GROUP BY ALL")
+def dedup_similar_rows(c):
+    return dedup.link_counts(dedup.similar(_population(c).compared))
+
+
+@query(
+    _CLASSES
+    + """,
+near AS (SELECT l.class_id AS l, r.class_id AS r, len(list_intersect(l.drugs, r.drugs)) AS di, len(l.drugs) + len(r.drugs) AS dn, len(list_intersect(l.reactions, r.reactions)) AS ri, len(l.reactions) + len(r.reactions) AS rn
+    FROM heads l JOIN heads r ON l.sex = r.sex AND l.age_r = r.age_r AND l.country = r.country AND l.class_id < r.class_id)
+SELECT l, r, round(di / (dn - di), 6) AS drugs_jaccard, round(ri / (rn - ri), 6) AS reactions_jaccard FROM near WHERE di > 0 AND ri > 0 AND 5 * di >= 4 * (dn - di) AND 5 * ri >= 4 * (rn - ri)"""
+)
 def dedup_similar_pairs(c):
-    return rounded(dedup.similar_pairs(_population(c).compared).select("l", "r", "drugs_jaccard", "reactions_jaccard"))
+    """Between classes of equal rows; ``dedup_similar_rows`` has each row's class."""
+    linked = dedup.similar(_population(c).compared).linked.filter("class_id < other")
+    return rounded(linked.withColumnsRenamed({"class_id": "l", "other": "r"}))
 
 
 @query(_SIMILAR + "SELECT count(*) AS duplicate_pairs, count(*) FILTER (WHERE cross_quarter) AS cross_quarter_pairs FROM pairs")
 def dedup_pair_figures(c):
-    return dedup.pair_figures(dedup.similar_pairs(_population(c).compared))
+    return dedup.pair_figures(dedup.similar(_population(c).compared)).drop("comparisons")
+
+
+@query(_SIMILAR + "SELECT count(*) AS discarded FROM best SEMI JOIN superseded USING (primaryid)")
+def dedup_discarded(c):
+    versions = dedup.superseded_versions(dedup.latest_publication(c.publications()))
+    return dedup.discarded(versions, dedup.canonical(dedup.similar(_population(c).compared)))
 
 
 @query(_SIMILAR + "SELECT primaryid, canonical_primaryid, method, round(score, 6) AS score, round(drug_jaccard, 6) AS drug_jaccard, round(reaction_jaccard, 6) AS reaction_jaccard, cross_quarter FROM flagged")

@@ -301,3 +301,39 @@ def test_more_drug_strings(spark):
     for raw, cleaned, n in (("A,AND B CREAM", "A,AND B", 1), ("AAA-AND-BBB", "AAA-AND-BBB", 2), ("DEXTROSE 5% INJ", "DEXTROSE 5%", 1), ("SANDOZ", "SANDOZ", 1), ("VITAMIN (NOS) ORAL SPRAY", "VITAMIN", 1), ("ABC\\DEF+GHI", "ABC\\DEF+GHI", 3), ("GEL", "GEL", 1)):
         x = one(spark, drugnames.clean, raw)
         assert (x.cleaned, len(x.components)) == (cleaned, n), raw
+
+
+def test_rows_and_classes_by_brute_force(spark):
+    """Links, pairs and pointers of rows that repeat sets and cases, against all with all."""
+    rng = random.Random(7)
+    sets = [(["A", "B"], ["U", "V"]), (["A", "B", "C", "D", "E"], ["U", "V"]), (["A", "B", "C", "D"], ["U", "V"]), (["A"], []), (["Z"], ["W"])]
+    rows = [(i, rng.choice([None, i // 3, i // 3, i]), "F", 40.0, "US", rng.choice(["2013Q1", "2013Q2"]), rng.choice(["2013-01-01", "2013-02-01"]), *rng.choice(sets)) for i in range(90)]
+    df = spark.createDataFrame(rows, "primaryid bigint, caseid bigint, sex string, age_r double, country string, quarter string, fda_dt string, drugs array<string>, reactions array<string>")
+    near = lambda a, b: bool(a and b) and 5 * len({*a} & {*b}) >= 4 * len({*a} | {*b})
+    pairs = [(x, y) for x, y in itertools.permutations(rows, 2) if x[1] != y[1] and near(x[7], y[7]) and near(x[8], y[8])]
+    s = dedup.similar(df)
+    want = {x[0]: (sum(a is x for a, _ in pairs), sum(a is x and a[5] != b[5] for a, b in pairs)) for x in rows}
+    assert {r.primaryid: (r.links, r.cross_quarter) for r in dedup.link_counts(s).collect()} == want
+    f = dedup.pair_figures(s).first()
+    assert (f.duplicate_pairs, f.cross_quarter_pairs) == (len(pairs) // 2, sum(a[5] != b[5] for a, b in pairs) // 2) and f.comparisons <= 10
+    best = {}
+    for x, y in pairs:
+        if (y[6], y[0]) > (x[6], x[0]):
+            best[x[0]] = max(best.get(x[0], ("", -1)), (y[6], y[0]))
+    assert {r.primaryid: r.canonical_primaryid for r in dedup.canonical(s).collect()} == {k: v[1] for k, v in best.items()}
+
+
+def test_many_equal_reports(spark):
+    """100,000 reports with equal sets are one class: no pairs of them are made."""
+    df = spark.range(100_000).selectExpr("id as primaryid", "id as caseid", "'F' as sex", "40.0 as age_r", "'US' as country", "'2013Q1' as quarter", "'2013-01-01' as fda_dt", "array('A') as drugs", "array('U') as reactions")
+    s = dedup.similar(df)
+    f = dedup.pair_figures(s).first()
+    assert (f.duplicate_pairs, f.cross_quarter_pairs, f.comparisons) == (100_000 * 99_999 // 2, 0, 0)
+    assert dedup.canonical(s).agg(F.count("*"), F.min("canonical_primaryid"), F.max("canonical_primaryid")).first() == (99_999, 99_999, 99_999)
+
+
+def test_accounting_raises():
+    good = {"evaluated": 4, "superseded": 1, "null_key": 0, "empty_drug_set": 1, "eligible": 2, "compared": 2, "alone": 0}
+    assert dedup.check_accounting(good) == good
+    with pytest.raises(EngineError):
+        dedup.check_accounting(good | {"evaluated": 5})
