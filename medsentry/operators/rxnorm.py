@@ -9,10 +9,13 @@ Vocabulary tables: ``exact`` (term, rxcui, name, tty), ``approximate`` (term, rx
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import NormalizationError
 from ..functions.drugnames import clean
+from ..sources.store import recovered, write_whole
+from ..storage import written
 
 OVERRIDE, NOT_A_DRUG, EXACT, APPROXIMATE, UNMATCHED = "override", "override_not_a_drug", "exact", "approximate", "unmatched"
 
@@ -82,3 +85,21 @@ def tables(matches: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         link.select("source_field", "folded", F.col("i.ingredient_rxcui").alias("rxcui")).distinct(),
         link.groupBy(F.col("i.ingredient_rxcui").alias("rxcui")).agg(F.max("i.ingredient_name").alias("name"), F.max("i.ingredient_tty").alias("tty")),
     )
+
+
+TABLES = ("drug_string_match", "drug_string_ingredient", "drug_concept")
+
+
+def store(matches: DataFrame, root: str) -> None:
+    """Write the three tables, each as a whole: a string that is gone, or matches anew, leaves nothing behind."""
+    matches = written(matches, "matches")
+    for name, table in zip(TABLES, tables(matches), strict=True):
+        write_whole(table, f"{root}/{name}")
+
+
+def stored(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three tables as they were written; one that is missing raises."""
+    for name in TABLES:
+        if not recovered(spark, f"{root}/{name}"):
+            raise NormalizationError(f"{root} has no {name}")
+    return tuple(spark.read.parquet(f"{root}/{name}") for name in TABLES)

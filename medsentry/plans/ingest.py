@@ -11,6 +11,7 @@ from ..operators import chains, dedup, parse
 from ..sources import files, store
 from ..sources.quarter import Quarter
 from ..sources.schema import TABLE_OF
+from ..storage import written
 
 
 def ingest_quarter(spark: SparkSession, folder: str | Path, root: str, quarter: Quarter, tables: tuple[str, ...] | None = None) -> dict:
@@ -27,7 +28,7 @@ def ingest_quarter(spark: SparkSession, folder: str | Path, root: str, quarter:
     cases = parsed["DEMO"]
     if "OUTC" in parsed:
         cases = parse.attach_seriousness(cases, parsed["OUTC"])
-    kept = parse.latest_versions(cases.withColumn("quarter", F.lit(quarter.label)), files.read_deleted(spark, withdrawn_at)).cache()
+    kept = written(parse.latest_versions(cases.withColumn("quarter", F.lit(quarter.label)), files.read_deleted(spark, withdrawn_at)), "cases")
     rows = {}
     for name, table in TABLE_OF.items():
         if table in parsed:
@@ -36,7 +37,6 @@ def ingest_quarter(spark: SparkSession, folder: str | Path, root: str, quarter:
             store.write_quarter(out, root, name, quarter.label)
             rows[name] = store.read_dataset(spark, root, name).filter(F.col("quarter") == quarter.label).count()
     precision = {r.value: r.n for r in kept.groupBy(F.col("event_dt_precision").alias("value")).agg(F.count("*").alias("n")).collect()}
-    kept.unpersist()
     return {"quarter": quarter.label, "rows": rows, "tallies": tallies, "date_precision": precision, "had_deleted_file": withdrawn_at is not None}
 
 
@@ -71,3 +71,24 @@ def persist(every: DataFrame, path: str) -> dict:
     store.write_whole(every, path)
     edges = every.sparkSession.read.parquet(path)
     return chains.report(chains.resolve(edges), edges).first().asDict()
+
+
+def figures_from_store(cases: DataFrame, drugs: DataFrame, reactions: DataFrame, every: DataFrame, start: str | None = None, end: str | None = None) -> dict:
+    """What the stored corpus and duplicate table still tell of a pass.
+
+    The population is classified anew by the same function that the pass uses. Figures that only the pass
+    itself had are None: they are not measured, which isn't zero.
+    """
+    p = dedup.population(dedup.latest_publication(cases, start, end), drugs, reactions)
+    own = dedup.check_accounting(dedup.accounting(p).first().asDict())
+    methods = {r.method: r for r in dedup.method_figures(every).collect()}
+    count = lambda method, what: methods[method][what] if method in methods else 0
+    flagged = {m: count(m, "flagged") for m in (dedup.VERSION, dedup.SIMILAR)}
+    missing = dict.fromkeys(("blocks", "largest_block", "naive_pairs", "comparisons"))
+    return own | {"flagged": every.select("primaryid").distinct().count(), "flagged_by_method": flagged, "cross_quarter": count(dedup.SIMILAR, "cross_quarter"), "from_store": True} | missing
+
+
+def from_manifest(manifest: store.Manifest, start: str | None = None, end: str | None = None) -> list[dict]:
+    """The ingest results that the manifest recorded, for reports on the corpus as it is stored."""
+    rows = ((u, manifest.rows[u]) for u in manifest.completed(start, end))
+    return [{"quarter": u, "rows": r["row_counts"], "tallies": {}, "date_precision": {}, "had_deleted_file": r["had_deleted_file"], "bytes_downloaded": r["bytes_downloaded"]} for u, r in rows]

@@ -136,9 +136,38 @@ def mgps_squash(c):
     return mgps.squash(_pairs(c, "part"), 20, 3, 5).select("a", F.round("expected", 9).alias("expected"), "weight")
 
 
+#: A fixed prior with whole shapes: their gamma distributions are finite sums, so SQL can tell on which side of 2 the percentile lies.
+WHOLE = mgps.Prior(1.0, 0.5, 2.0, 2.0, 0.1)
+
+
+def _tail(shape: float, rate: float) -> str:
+    """That a gamma variable of shape a + ``shape`` and rate expected + ``rate`` is below 2."""
+    x = f"2 * (expected + {rate!r})"
+    return f"1 - list_sum(list_transform(range(0, a + {int(shape)}), lambda k: exp(k * ln({x}) - lgamma(k + 1) - {x})))"
+
+
+_PANEL = (
+    _pairs_sql("part")
+    + _ESTIMATES
+    + f""",
+post AS (SELECT *, 1 / (1 + exp(ln(1 - {WHOLE.p!r}) - ln({WHOLE.p!r}) + {_nb(WHOLE.alpha2, WHOLE.beta2)} - ({_nb(WHOLE.alpha1, WHOLE.beta1)}))) AS qn FROM scored),
+panel AS (SELECT *, flag_mgps AND flag_ror_prr_bcpnn AS flag_all_four FROM (SELECT *, qn * ({_tail(WHOLE.alpha1, WHOLE.beta1)}) + (1 - qn) * ({_tail(WHOLE.alpha2, WHOLE.beta2)}) < 0.05 AS flag_mgps FROM post))"""
+)
+
+
+@query(_PANEL + "SELECT drug, pt, a, flag_ror, flag_prr, flag_bcpnn, flag_mgps, flag_ror_prr_bcpnn, flag_all_four FROM panel")
+def signal_flags(c):
+    return signals.panel(_pairs(c, "part"), WHOLE).select("drug", "pt", "a", "flag_ror", "flag_prr", "flag_bcpnn", "flag_mgps", "flag_ror_prr_bcpnn", "flag_all_four")
+
+
 _COUNTS = ", ".join(f"count(*) FILTER (WHERE {f} AND NOT insufficient) AS {n}, count(*) FILTER (WHERE {f}) AS {n}_including_insufficient" for n, f in (("ror", "flag_ror"), ("prr", "flag_prr"), ("bcpnn", "flag_bcpnn"), ("ror_prr_bcpnn", "flag_ror_prr_bcpnn")))
 
 
+@query(_PANEL + f"SELECT count(*) AS pairs, count(*) FILTER (WHERE insufficient) AS insufficient, {_COUNTS}, " + ", ".join(f"count(*) FILTER (WHERE flag_{f} AND NOT insufficient) AS {f}, count(*) FILTER (WHERE flag_{f}) AS {f}_including_insufficient" for f in ("mgps", "all_four")) + " FROM panel")
+def signal_panel_counts(c):
+    return signals.flag_counts(signals.panel(_pairs(c, "part"), WHOLE))
+
+
 @query(_pairs_sql("part") + _ESTIMATES + f"SELECT count(*) AS pairs, count(*) FILTER (WHERE insufficient) AS insufficient, {_COUNTS} FROM scored")
 def signal_flag_counts(c):
     return signals.flag_counts(estimators.score(_pairs(c, "part")), ("ror", "prr", "bcpnn", "ror_prr_bcpnn"))

@@ -16,6 +16,7 @@ from .. import __version__
 from ..errors import EngineError
 from ..operators import contingency, estimators, mgps
 from ..sources.store import load_json, save_json
+from ..storage import written
 
 COLUMNS = "run_id drug pt a b c d n_cases expected ror ror_lower ror_upper prr prr_lower prr_upper chi2 ic ic025 ic_observed_expected ic025_exact ebgm ebgm05 qn corrected insufficient flag_ror flag_prr flag_bcpnn flag_mgps flag_ror_prr_bcpnn flag_all_four".split()
 #: Columns and keys under the names that early runs gave them.
@@ -68,12 +69,11 @@ def new_run_id(root: str | Path) -> str:
 def build(spark: SparkSession, root: str, spec: contingency.Spec, make: Callable[[], DataFrame], adjudicated: bool = False, snapshot: dict | None = None) -> dict:
     """Score the pair table that ``make`` returns and write it as a new run; other runs are never touched."""
     began, run_id = time.time(), new_run_id(root)
-    table = make().cache()
+    table = written(make(), "pairs")
     prior = mgps.fit(table, allow_boundary=True)
     scored = panel(table, prior, spec.min_a, adjudicated).withColumn("run_id", F.lit(run_id)).select(*COLUMNS)
     at = f"{root}/run={run_id}"
     scored.drop("run_id").write.mode("errorifexists").option("compression", "zstd").parquet(at)
-    table.unpersist()
     done = read_run(spark, root, run_id)
     counts, gaps = flag_counts(done).first().asDict(), ic_divergence(done).first().asDict()
     n_cases = done.agg(F.max("n_cases")).first()[0]

@@ -337,3 +337,89 @@ def test_accounting_raises():
     assert dedup.check_accounting(good) == good
     with pytest.raises(EngineError):
         dedup.check_accounting(good | {"evaluated": 5})
+
+
+def test_normalization_store(spark, tmp_path):
+    kind = "source_field string, folded string, method string, ingredients array<struct<ingredient_rxcui string, ingredient_name string, ingredient_tty string>>"
+    make = lambda rows: spark.createDataFrame([("drugname_raw", s, "exact", [(c, n, "IN") for c, n in i]) for s, i in rows], kind)
+    root = str(tmp_path)
+    with pytest.raises(NormalizationError):
+        rxnorm.stored(spark, root)
+    first = [("ASPIRIN", [("1", "ASPIRIN")]), ("AB", [("1", "ASPIRIN"), ("2", "CODEINE")])]
+    for _ in range(2):  # twice is the same as once
+        rxnorm.store(make(first), root)
+        assert [t.count() for t in rxnorm.stored(spark, root)] == [2, 3, 2]
+    rxnorm.store(make([("AB", [("3", "IBUPROFEN")])]), root)
+    match, link, concept = rxnorm.stored(spark, root)
+    assert match.count() == 1 and [(r.folded, r.rxcui) for r in link.collect()] == [("AB", "3")] and [r.name for r in concept.collect()] == ["IBUPROFEN"]
+
+
+def test_former_names_and_adjudication(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(i, i, 1, DAY, "F", "US", 40.0, "2013Q1") for i in range(200)]
+    c, d, r = corpus(spark, rows, {i: rng.sample("ABCDEF", 2) for i in range(200)}, {i: rng.sample("UVWXYZ", 2) for i in range(200)})
+    none = spark.createDataFrame([], "primaryid bigint")
+    spec = contingency.Spec("raw_string")
+    record = signals.build(spark, str(tmp_path), spec, lambda: contingency.build(c, d.withColumn("role_cod", F.lit("PS")), r, none, spec))
+    run_id = record["run_id"]
+    from medsentry.operators import mgps
+
+    prior = mgps.Prior(1e-6, 0.4, 2.0, 2.0, 0.1, on_boundary=("alpha1",))
+    found = signals.diagnose(spark, str(tmp_path), run_id, prior, points=4)
+    assert len(found["grid"]) == 4 and found["bound_is_optimum"] == (found["bound_nll"] <= found["argmin_nll"] + 1e-6 * max(1, abs(found["argmin_nll"])))
+    held = signals.adjudicated_counts(spark, str(tmp_path), run_id, {"parameter": "alpha1", "bound_is_optimum": False})
+    assert held["all_four"] is None and "alpha1" in held["withheld"]
+    ruled = signals.adjudicated_counts(spark, str(tmp_path), run_id, {"bound_is_optimum": True})
+    df = signals.read_run(spark, str(tmp_path), run_id)
+    assert ruled["all_four"] == df.filter("flag_ror_prr_bcpnn and flag_mgps and not insufficient").count() and ruled["withheld"] is None
+    df.drop("run_id").withColumnRenamed("flag_ror_prr_bcpnn", "flag_three_of_four").write.parquet(str(tmp_path / "run=20200101T000000Z"))
+    assert "flag_ror_prr_bcpnn" in signals.read_run(spark, str(tmp_path), "20200101T000000Z").columns
+
+
+def archive_of(folder, path):
+    import zipfile
+
+    with zipfile.ZipFile(path, "w") as z:
+        for f in folder.rglob("*.*"):
+            z.write(f, f.relative_to(folder))
+    return str(path)
+
+
+def test_archives(spark, tmp_path):
+    import zipfile
+
+    archive = archive_of(quarter_folder(tmp_path / "in", Quarter(2026, 2)), tmp_path / "a.zip")
+    assert files.check_archive(archive, least=10) == files.checksum(archive)
+    with pytest.raises(IngestError):
+        files.check_archive(archive)  # too small for a whole one
+    with zipfile.ZipFile(tmp_path / "bad.zip", "w") as z:
+        z.writestr("../out.txt", "x")
+    with pytest.raises(IngestError, match="leads out"), files.staged(tmp_path / "bad.zip"):
+        pass
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from medsentry import __version__, cli
+
+    q, root = Quarter(2026, 2), str(tmp_path / "root")
+    archive = archive_of(quarter_folder(tmp_path / "in", q), tmp_path / "a.zip")
+
+    def call(*args):
+        code = cli.main(["--root", root, *args], spark)
+        return code, capsys.readouterr().out
+
+    assert call("version") == (0, f"{__version__}\n")
+    code, out = call("ingest", archive, "2026Q2")
+    assert code == 0 and json.loads(out)["rows"]["case"] == 1
+    assert json.loads(call("ingest", archive, "2026Q2")[1]) == {"skipped": "2026Q2"}
+    assert json.loads(call("status")[1])["2026Q2"]["status"] == "completed"
+    code, out = call("dedup")
+    assert code == 0 and json.loads(out)["population"]["evaluated"] == 1 and json.loads(out)["pairs"]["comparisons"] == 0
+    code, out = call("quality", "--out", str(tmp_path / "q.json"))
+    assert code == 0 and "comparisons: not measured" in out and json.loads((tmp_path / "q.json").read_text())["rates"]["stage1"]["flagged"] == 0
+    assert call("build")[0] == 1  # no normalization tables
+    code, out = call("build", "--drug-key", "raw_string", "--roles", "ps", "--adjudicated")
+    assert code == 0 and json.loads(out)["pairs_written"] == 1
+    assert call("artifact", "--out", str(tmp_path / "h.json"))[0] == 0 and len(json.loads((tmp_path / "h.json").read_text())["runs"]) == 1
+    store.delete_quarter(spark, f"{root}/corpus", "drug", "2026Q2")
+    assert not (tmp_path / "root/corpus/drug/quarter=2026Q2").exists() and (tmp_path / "root/corpus/case/quarter=2026Q2").exists()

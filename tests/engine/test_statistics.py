@@ -122,3 +122,59 @@ def test_flags_and_withholding(spark):
     row = signals.flag_counts(signals.panel(t, held)).first()
     assert row.all_four is None and row.all_four_including_insufficient is None
     assert signals.flag_counts(signals.panel(t, held, adjudicated=True)).first().all_four == own.all_four
+
+
+def by_loops(theta, n, e):
+    """Log density of a count under each truncated component, pair by pair."""
+    import math
+
+    def log_nb(shape, rate):
+        f = math.lgamma(n + shape) - math.lgamma(shape) - math.lgamma(n + 1) + shape * math.log(rate / (rate + e)) + n * math.log(e / (rate + e))
+        return f, math.log(1 - (rate / (rate + e)) ** shape)
+
+    return log_nb(*theta[0:2]), log_nb(*theta[2:4])
+
+
+GRID = [(1, 0.1), (1, 3.0), (2, 0.4), (3, 0.02), (5, 5.0), (17, 2.5), (40, 61.0), (300, 20.0), (2500, 900.0)]
+THETA = (2.94073934, 0.38537165, 2.15410622, 2.03677734, 0.0720271218954894)
+
+
+def test_likelihood_by_loops():
+    import math
+
+    n, e = (np.array(x, float) for x in zip(*GRID, strict=True))
+    w = np.arange(1.0, len(n) + 1)
+    want = 0.0
+    for k, x, m in zip(n, e, w, strict=True):
+        (f1, s1), (f2, s2) = by_loops(THETA, k, x)
+        want -= m * math.log(THETA[4] * math.exp(f1 - s1) + (1 - THETA[4]) * math.exp(f2 - s2))
+    assert mgps.nll(np.array(THETA), n, e, w)[0] == pytest.approx(want, rel=1e-10)
+
+
+def test_scores_by_integration(spark):
+    """qn, EBGM and EBGM05 of single pairs against sums over a fine grid of the posterior density."""
+    import math
+
+    p = mgps.Prior(*THETA)
+    rows = mgps.score(spark.createDataFrame(GRID, "a bigint, expected double"), p).collect()
+    for r, (n, e) in zip(rows, GRID, strict=True):
+        (f1, _), (f2, _) = by_loops(THETA, n, e)
+        q = 1 / (1 + (1 - p.p) / p.p * math.exp(f2 - f1))
+        assert r.qn == pytest.approx(q, rel=1e-8)
+        x = np.exp(np.linspace(-14, 8, 400_001))
+        dense = sum(m * np.exp((s + n) * math.log(b + e) + (s + n) * np.log(x) - (b + e) * x - math.lgamma(s + n)) for m, s, b in ((q, p.alpha1, p.beta1), (1 - q, p.alpha2, p.beta2)))  # in log x
+        mass = (dense[1:] + dense[:-1]) / 2 * np.diff(np.log(x))
+        assert mass.sum() == pytest.approx(1, abs=1e-6)
+        assert math.log(r.ebgm) == pytest.approx(float((mass * (np.log(x[1:]) + np.log(x[:-1])) / 2).sum()), abs=1e-6)
+        assert r.ebgm05 == pytest.approx(float(np.interp(0.05, np.cumsum(mass), x[1:])), rel=1e-3)
+
+
+def test_profile_and_squash_of_equal_pairs(spark):
+    n, e, _ = simulated(1500)
+    start = np.array([0.5, 0.4, 2.2, 2.0, 0.3])
+    rows = mgps.profile(n, e, np.ones(len(n)), "alpha1", [0.3, 0.5], start)
+    assert {r["direction"] for r in rows} == {"forward", "backward"} and all(r["theta"][0] == pytest.approx(r["value"]) for r in rows)
+    same = spark.range(5000).selectExpr("1 as a", "if(id < 3000, 0.5, id / 1000) as expected")
+    out = mgps.squash(same, 20, 3, 5).toPandas()
+    # Ranks 1 to 3000 have one expected count: 150 bins of it; 1997 more in bins of 20, and 3 single ones.
+    assert out.weight.sum() == 5000 and (out.expected == 0.5).sum() == 150 and sorted(out.weight)[:3] == [1, 1, 1] and len(out) == 150 + 100 + 3
