@@ -137,7 +137,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return texts.map(lambda t: encode(t).tobytes())
 
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")  # about ``sample`` rows are broadcast
-    bags = stored(own.select("id", "y", bag("text").alias("bag")).withColumn("n", F.length("bag") / (4 * WIDTH)).filter(F.col("n") <= passages // 16), "bags")
+    bags = stored(own.select("id", "y", bag("text").alias("bag")), "bags").withColumn("n", F.length("bag") / (4 * WIDTH)).filter(F.col("n") <= passages // 16)
     total = bags.agg(F.sum("n").alias("n")).first().n or 0
     # Repeated rows and long texts count in ``total``, so what is collected is bounded in bytes.
     kept = bags.filter(F.pmod(F.xxhash64("id", F.lit(23)), F.lit(1 << 20)) < F.lit(int(min(1.0, passages / max(1, total)) * (1 << 20))))
