@@ -8,6 +8,8 @@ be strictly better, so of equal paths into a character the one with the longest
 
 from __future__ import annotations
 
+from functools import cache
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -74,6 +76,12 @@ class Counter:
         return count[n], score[n]
 
 
+@cache
+def _table(path: str) -> Table:
+    """Counts of words, one table for each process: Python workers run many tasks."""
+    return Table(Counter(vocabulary(path)))
+
+
 def words(text: str | None) -> list[bytes]:
     """The text cut before each space, as the mark that replaces spaces does; each without its mark."""
     if not text:
@@ -93,7 +101,7 @@ def count(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_co
     """
 
     def make():
-        table = Table(Counter(vocabulary(vocabulary_path)))
+        table = _table(vocabulary_path)
 
         def each(batch):
             texts = batch.column(1).to_pylist()
