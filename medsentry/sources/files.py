@@ -11,7 +11,6 @@ from tempfile import TemporaryDirectory
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..errors import IngestError
 from .quarter import Quarter
@@ -55,23 +54,27 @@ def encoding_of(path: Path) -> str:
     raise IngestError(f"{path}: not in any of {ENCODINGS}")
 
 
+def _cp1252_letters() -> tuple[str, str]:
+    """What the bytes 0x80 to 0x9F mean in Latin-1 and in CP1252; five of them mean nothing in CP1252."""
+    pairs = [(chr(b), c) for b in range(0x80, 0xA0) if (c := bytes([b]).decode("cp1252", "ignore"))]
+    return "".join(a for a, _ in pairs), "".join(c for _, c in pairs)
+
+
 def read_table(spark: SparkSession, path: str | Path, table: str, quarter: Quarter) -> DataFrame:
     """All columns as text under their canonical names; empty fields are null, rows too long are cut.
 
-    Single-byte files are decoded line by line, as the CSV reader knows UTF-8 only.
+    The CSV reader knows Latin-1 but not CP1252, which differs in 27 characters: those are exchanged
+    afterwards. So files of either encoding are split among tasks and decoded in the JVM.
     """
     path = Path(path)
     encoding = encoding_of(path)
     with open(path, encoding=encoding if encoding != "utf-8" else "utf-8-sig") as f:
         check_header(table, quarter, f.readline().rstrip("\r\n").split("$"))
     names = [f.name for f in source_fields(table, quarter)]
+    read_as = "ISO-8859-1" if encoding == "cp1252" else "UTF-8"
+    df = spark.read.csv(str(path), sep="$", header=True, quote="", inferSchema=False, mode="PERMISSIVE", encoding=read_as, enforceSchema=True, schema=", ".join(f"`{n}` string" for n in names))
     if encoding == "cp1252":
-        decoded = F.udf(lambda content: bytes(content).decode("cp1252"), T.StringType())
-        raw = spark.read.format("binaryFile").load(str(path)).select(F.explode(F.split(decoded(F.col("content")), "\r?\n")).alias("value"))
-        raw = raw.filter("value <> ''").withColumn("id", F.monotonically_increasing_id()).filter("id > 0")
-        parts = F.split("value", r"\$")
-        return raw.select(*(F.when(F.get(parts, F.lit(i)) != "", F.get(parts, F.lit(i))).alias(n) for i, n in enumerate(names)))
-    df = spark.read.csv(str(path), sep="$", header=True, quote="", inferSchema=False, mode="PERMISSIVE", encoding="UTF-8", enforceSchema=True, schema=", ".join(f"`{n}` string" for n in names))
+        df = df.select(*(F.translate(n, *_cp1252_letters()).alias(n) for n in names))
     return df.withColumn(names[-1], F.regexp_replace(names[-1], r"\r+$", ""))
 
 

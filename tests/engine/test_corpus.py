@@ -163,7 +163,7 @@ def quarter_folder(root, q, encoding="ascii", name="M"):
     return root
 
 
-@pytest.mark.parametrize(("encoding", "name"), [("ascii", "M"), ("utf-8", "MÜLLER"), ("cp1252", "MÜLLER")])
+@pytest.mark.parametrize(("encoding", "name"), [("ascii", "M"), ("utf-8", "MÜLLER"), ("cp1252", "MÜLLER"), ("cp1252", "MÜLLER – 5 € “Žižka™”")])
 def test_ingest(spark, tmp_path, encoding, name):
     q = Quarter(2026, 2)
     folder, root = quarter_folder(tmp_path / "in", q, encoding, name), str(tmp_path / "out")
