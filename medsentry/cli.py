@@ -13,10 +13,10 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 from . import __version__
-from .errors import EngineError
+from .errors import EngineError, IngestError
 from .operators import contingency, dedup, mgps, rxnorm
 from .plans import ingest, quality, signals
-from .sources import store
+from .sources import links, store, web
 from .sources.quarter import Quarter
 
 
@@ -25,8 +25,10 @@ def _parser() -> argparse.ArgumentParser:
     parser.add_argument("--root", default="data", help="folder of the corpus and its results")
     commands = parser.add_subparsers(dest="command", required=True)
     commands.add_parser("version", help="print the version")
+    p = commands.add_parser("discover", help="the archives that a page links to, by quarter")
+    p.add_argument("page", help="the page's url")
     p = commands.add_parser("ingest", help="ingest the archive of a quarter")
-    p.add_argument("archive")
+    p.add_argument("archive", help="a zip file or its url")
     p.add_argument("quarter", help="for example 2012Q4")
     p.add_argument("--force", action="store_true", help="also if it was ingested unchanged")
     p = commands.add_parser("status", help="the quarters that are ingested")
@@ -53,11 +55,25 @@ def _parser() -> argparse.ArgumentParser:
     return parser
 
 
+def _archives(spark: SparkSession, page: str) -> dict[str, str]:
+    answer = web.Client().get(page)
+    if answer.status != 200:
+        raise IngestError(f"{page}: status {answer.status}")
+    rows = spark.createDataFrame([(page, answer.body.decode("utf-8", "replace"))], "url string, html string")
+    return {r.quarter: r.link for r in links.archives(rows).collect()}
+
+
 def run(args: argparse.Namespace, spark: SparkSession) -> dict | list | str:
     root, corpus, runs = args.root, f"{args.root}/corpus", f"{args.root}/runs"
-    manifest = store.Manifest(Path(root, "manifest.json"))
+    manifest = store.Manifest(f"{root}/manifest.json")
     read = lambda name: store.read_dataset(spark, corpus, name)
+    if args.command == "discover":
+        return links.cached(Path(root, "archives.json"), lambda: _archives(spark, args.page))
     if args.command == "ingest":
+        if args.archive.startswith(("http://", "https://")):
+            at = Path(root, "raw", f"{Quarter.parse(args.quarter).label}.zip")
+            web.download(args.archive, at)
+            args.archive = str(at)
         return ingest.ingest_archive(spark, args.archive, corpus, Quarter.parse(args.quarter), manifest, args.force) or {"skipped": args.quarter}
     if args.command == "status":
         return {u: {"status": r["status"], "row_count": r["row_count"], "error": r["error"]} for u, r in sorted(manifest.rows.items())}
@@ -66,7 +82,7 @@ def run(args: argparse.Namespace, spark: SparkSession) -> dict | list | str:
         chain = ingest.persist(every, f"{root}/duplicate")
         out = {k: df.first().asDict() for k, df in figures.items()}
         dedup.check_accounting(out["population"])
-        store.save_json(Path(root, "dedup.json"), out | {"chains": chain})
+        store.save_json(f"{root}/dedup.json", out | {"chains": chain})
         return out | {"chains": chain}
     if args.command == "quality":
         every = spark.read.parquet(f"{root}/duplicate")

@@ -16,7 +16,7 @@ from .. import __version__
 from ..errors import EngineError
 from ..operators import contingency, estimators, mgps
 from ..sources.store import load_json, save_json
-from ..storage import written
+from ..storage import exists, names, written
 
 COLUMNS = "run_id drug pt a b c d n_cases expected ror ror_lower ror_upper prr prr_lower prr_upper chi2 ic ic025 ic_observed_expected ic025_exact ebgm ebgm05 qn corrected insufficient flag_ror flag_prr flag_bcpnn flag_mgps flag_ror_prr_bcpnn flag_all_four".split()
 #: Columns and keys under the names that early runs gave them.
@@ -61,7 +61,7 @@ def new_run_id(root: str | Path) -> str:
     """UTC to the second; a suffix if that second has a run already."""
     base = datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%SZ")
     name, k = base, 1
-    while Path(root, f"run={name}").exists():
+    while exists(f"{root}/run={name}"):
         name, k = f"{base}-{k}", k + 1
     return name
 
@@ -78,12 +78,12 @@ def build(spark: SparkSession, root: str, spec: contingency.Spec, make: Callable
     counts, gaps = flag_counts(done).first().asDict(), ic_divergence(done).first().asDict()
     n_cases = done.agg(F.max("n_cases")).first()[0]
     record = {"run_id": run_id, "created_at": datetime.now(timezone.utc).isoformat(), "code": __version__, "params": spec.params() | {"mgps_adjudicated": adjudicated}, "data_snapshot": snapshot, "n_cases": n_cases, "pairs_written": counts["pairs"], "flag_counts": counts, "ic_divergence": gaps, "prior": asdict(prior), "seconds": time.time() - began, "caveat": CAVEAT}
-    save_json(Path(root, "records", f"{run_id}.json"), record)
+    save_json(f"{root}/records/{run_id}.json", record)
     return record
 
 
 def runs(root: str | Path) -> list[str]:
-    return sorted(p.name[4:] for p in Path(root).glob("run=*"))
+    return [n[4:] for n in names(root) if n.startswith("run=")]
 
 
 def latest_run(root: str | Path) -> str:
@@ -103,7 +103,7 @@ def read_run(spark: SparkSession, root: str, run_id: str) -> DataFrame:
 
 
 def read_record(root: str | Path, run_id: str) -> dict:
-    return load_json(Path(root, "records", f"{run_id}.json"), FORMER)
+    return load_json(f"{root}/records/{run_id}.json", FORMER)
 
 
 def adjudicated_counts(spark: SparkSession, root: str, run_id: str, diagnostic: dict) -> dict:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import IngestError
+from ..storage import exists, read_text, write_text
 from .schema import DATASETS
 
 
@@ -85,12 +86,11 @@ class Manifest:
     """What was ingested: one record a quarter, in a JSON file."""
 
     def __init__(self, path: str | Path):
-        self.path = Path(path)
-        self.rows: dict[str, dict] = json.loads(self.path.read_text()) if self.path.exists() else {}
+        self.path = path
+        self.rows: dict[str, dict] = json.loads(read_text(path)) if exists(path) else {}
 
     def _save(self) -> None:
-        self.path.parent.mkdir(parents=True, exist_ok=True)
-        self.path.write_text(json.dumps(self.rows, indent=1, sort_keys=True, default=str))
+        write_text(self.path, json.dumps(self.rows, indent=1, sort_keys=True, default=str))
 
     def should_ingest(self, unit: str, checksum: str, force: bool = False) -> bool:
         """Only a completed quarter whose archive hasn't changed is skipped."""
@@ -115,13 +115,12 @@ class Manifest:
 
 
 def save_json(path: str | Path, value: dict) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(value, indent=1, sort_keys=True, default=str) + "\n")
+    write_text(path, json.dumps(value, indent=1, sort_keys=True, default=str) + "\n")
 
 
 def load_json(path: str | Path, renamed: dict[str, str] | None = None) -> dict:
     """A JSON record; a key under its former name is read as the present one. Keys that are absent stay so: unmeasured isn't zero."""
-    value = json.loads(Path(path).read_text())
+    value = json.loads(read_text(path))
     for old, new in (renamed or {}).items():
         if old in value and new not in value:
             value[new] = value.pop(old)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,3 +28,61 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _hadoop(path: str | Path):
+    """(file system, path) of a path under the session's Hadoop configuration; None without a session."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return None
+    at = spark._jvm.org.apache.hadoop.fs.Path(str(path))
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(path: str | Path) -> bool:
+    own = _hadoop(path)
+    return own[0].exists(own[1]) if own else Path(path).exists()
+
+
+def names(path: str | Path) -> list[str]:
+    """What a folder holds, sorted; nothing if there is no such folder."""
+    if not exists(path):
+        return []
+    own = _hadoop(path)
+    return sorted(s.getPath().getName() for s in own[0].listStatus(own[1])) if own else sorted(p.name for p in Path(path).iterdir())
+
+
+def read_text(path: str | Path) -> str:
+    """A small UTF-8 file, such as a record of a run."""
+    own = _hadoop(path)
+    if not own:
+        return Path(path).read_text(encoding="utf-8")
+    stream = own[0].open(own[1])
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_text(path: str | Path, value: str) -> None:
+    """Replace a small file: it is written beside the old one and takes its place when it is whole."""
+    own = _hadoop(path)
+    if not own:
+        Path(path).parent.mkdir(parents=True, exist_ok=True)
+        aside = Path(f"{path}.{uuid.uuid4().hex}")
+        aside.write_text(value, encoding="utf-8")
+        aside.replace(path)
+        return
+    fs, at = own
+    aside = at.suffix(f".{uuid.uuid4().hex}")
+    stream = fs.create(aside)
+    try:
+        stream.write(bytearray(value.encode()))
+    finally:
+        stream.close()
+    spark = SparkSession.getActiveSession()
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    how = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    how[0] = hadoop.Options.Rename.OVERWRITE
+    full = fs.makeQualified(at)
+    hadoop.FileContext.getFileContext(full.toUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(aside), full, how)

@@ -8,6 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from medsentry import storage
 from medsentry.errors import EngineError, IngestError, NormalizationError, ReferenceSetError, SchemaMismatchError
 from medsentry.functions import drugnames, text
 from medsentry.operators import chains, contingency, dedup, parse, rxnorm
@@ -194,6 +195,15 @@ def test_manifest(tmp_path):
     assert m.completed("2013Q1") == ["2013Q1"] and m.completed("2014Q1") == []
 
 
+def test_small_files(spark, tmp_path):
+    at = f"file://{tmp_path}/folder/x.json"
+    assert not storage.exists(at) and storage.names(f"file://{tmp_path}/folder") == []
+    for value in ("a", "é\n", ""):
+        storage.write_text(at, value)
+        assert storage.read_text(at) == value
+    assert [n for n in storage.names(f"file://{tmp_path}/folder") if not n.startswith(".")] == ["x.json"]
+
+
 def test_run_round_trip(spark, tmp_path):
     rng = random.Random(5)
     rows = [(i, i, 1, DAY, "F", "US", 40.0, "2013Q1") for i in range(300)]
