@@ -47,6 +47,7 @@ def cached(path: str | Path, fetch) -> dict[str, str]:
     links = fetch()
     if not links:
         raise IngestError("the page has no archive links")
+    path.parent.mkdir(parents=True, exist_ok=True)
     path.write_text(json.dumps(links, sort_keys=True))
     return links
 
