@@ -98,6 +98,17 @@ def pair_table(drugs: DataFrame, reactions: DataFrame, people: DataFrame) -> Dat
     return out.withColumns(cells).withColumn("expected", expected).select("drug", "pt", "a", "b", "c", "d", "n_cases", "expected")
 
 
+def ordered(table: DataFrame) -> DataFrame:
+    """For reading: the most frequent pairs first, equal ones by drug and term."""
+    return table.orderBy(F.desc("a"), "drug", "pt")
+
+
+def violations(table: DataFrame) -> DataFrame:
+    """One row: pairs, those with a negative cell, and those whose cells don't add up to the population."""
+    total = F.col("a") + F.col("b") + F.col("c") + F.col("d")
+    return table.agg(F.count("*").alias("pairs"), F.count_if(F.least("a", "b", "c", "d") < 0).alias("negative"), F.count_if(total != F.col("n_cases")).alias("unequal"))
+
+
 def build(cases: DataFrame, drugs: DataFrame, reactions: DataFrame, duplicates: DataFrame, spec: Spec = Spec(), normalized: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:  # noqa: B008
     """The pair table of a specification. Counting by ingredient needs the three normalization tables."""
     people = written(population(cases, duplicates, spec), "population")  # it is used three times

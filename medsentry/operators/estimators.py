@@ -86,6 +86,7 @@ def flags(min_a: int = 3) -> dict[str, Column]:
 
 
 def score(table: DataFrame, min_a: int = 3) -> DataFrame:
-    """The table with ROR, PRR, chi-squared, BCPNN and their flags, in one projection."""
-    out = table.withColumns({**ror(), **prr(), "chi2": chi2(), **bcpnn(), "corrected": corrected()})
+    """The table with ROR, PRR, chi-squared, BCPNN and their flags, in one projection. A negative cell raises."""
+    whole = F.assert_true(F.least("a", "b", "c", "d") >= 0, F.lit("a 2x2 table has a negative cell"))
+    out = table.filter(whole.isNull()).withColumns({**ror(), **prr(), "chi2": chi2(), **bcpnn(), "corrected": corrected()})
     return out.withColumns(flags(min_a))

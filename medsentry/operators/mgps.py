@@ -112,6 +112,21 @@ def nll(theta: np.ndarray, n: np.ndarray, e: np.ndarray, w: np.ndarray, same: tu
     return -float((w * total).sum()), -grad
 
 
+def log_likelihood(table: DataFrame, prior: Prior, weight: str | None = None) -> DataFrame:
+    """One row (pairs, log_likelihood) of a table (a, expected) under a prior, truncated at zero, without leaving Spark."""
+    a, e = F.col("a").cast("double"), F.col("expected")
+
+    def part(shape: float, rate: float) -> Column:
+        log_sum = F.log(e + rate)
+        log_p = F.lit(float(np.log(rate))) - log_sum
+        of_a = lgamma(a + shape) - F.lit(float(np_lgamma(np.array([shape]))[0])) - lgamma(a + 1)
+        return of_a + log_p * shape + a * (F.log(e) - log_sum) - F.log(-F.expm1(log_p * shape))
+
+    parts = table.select(F.lit(1.0).alias("w") if weight is None else F.col(weight).alias("w"), (F.lit(float(np.log(prior.p))) + part(prior.alpha1, prior.beta1)).alias("l1"), (F.lit(float(np.log1p(-prior.p))) + part(prior.alpha2, prior.beta2)).alias("l2"))
+    high = F.greatest("l1", "l2")
+    return parts.agg(F.sum("w").cast("bigint").alias("pairs"), F.sum(F.col("w") * (high + F.log1p(F.exp(F.least("l1", "l2") - high)))).alias("log_likelihood"))
+
+
 def minimize(f, start: np.ndarray, fixed: np.ndarray | None = None, steps: int = 500) -> tuple[np.ndarray, float, int, bool]:
     """Bounded quasi-Newton search in log (and, for p, logit) coordinates: (theta, value, iterations, converged).
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,9 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions import drugnames, special, text
 from ..operators import chains, contingency, dedup, estimators, mgps, parse, rxnorm
-from ..sources import links, store
-from ..storage import written
-from . import accessors, analogue, signals
+from ..sources import files, links, store
+from ..sources.quarter import Quarter
+from ..sources.schema import source_fields
+from ..storage import names, shared_dir, written
+from . import accessors, analogue, quality, signals
 from .ingest import duplicates as duplicate_pass
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,6 +88,16 @@ def contingency_primary_suspect(c):
     return rounded(_pairs(c, "part", contingency.Spec("raw_string", "ps")))
 
 
+@query(_pairs_sql("part") + "SELECT drug, pt, a FROM cells ORDER BY a DESC, drug, pt")
+def contingency_ordered(c):
+    return contingency.ordered(_pairs(c, "part").select("drug", "pt", "a"))
+
+
+@query(_pairs_sql("part") + "SELECT count(*) AS pairs, 0::BIGINT AS negative, count(*) FILTER (WHERE a + b + c + d <> n_cases) AS unequal FROM cells")
+def contingency_invariants(c):
+    return contingency.violations(_pairs(c, "part"))
+
+
 @query(_pairs_sql("name") + _ESTIMATES + "SELECT drug, pt, corrected, insufficient, flag_ror, flag_prr, " + ", ".join(f"round({x}, 6) AS {x}" for x in "ror ror_lower ror_upper prr prr_lower prr_upper chi2".split()) + " FROM scored")
 def estimators_ror_prr(c):
     return rounded(estimators.score(_pairs(c)).select("drug", "pt", "corrected", "insufficient", "flag_ror", "flag_prr", "ror", "ror_lower", "ror_upper", "prr", "prr_lower", "prr_upper", "chi2"))
@@ -136,6 +149,18 @@ def mgps_squash(c):
     return mgps.squash(_pairs(c, "part"), 20, 3, 5).select("a", F.round("expected", 9).alias("expected"), "weight")
 
 
+def _truncated(shape: float, rate: float) -> str:
+    return f"{_nb(shape, rate)} - lgamma(a + 1) - ln(1 - exp({shape!r} * (ln({rate!r}) - ln({rate!r} + expected))))"
+
+
+@query(
+    _pairs_sql("part")
+    + f", l AS (SELECT ln({PRIOR.p!r}) + {_truncated(PRIOR.alpha1, PRIOR.beta1)} AS l1, ln(1 - {PRIOR.p!r}) + {_truncated(PRIOR.alpha2, PRIOR.beta2)} AS l2 FROM cells) SELECT count(*) AS pairs, round(sum(greatest(l1, l2) + ln(1 + exp(least(l1, l2) - greatest(l1, l2)))), 3) AS log_likelihood FROM l"
+)
+def mgps_log_likelihood(c):
+    return rounded(mgps.log_likelihood(_pairs(c, "part"), PRIOR), 3)
+
+
 #: A fixed prior with whole shapes: their gamma distributions are finite sums, so SQL can tell on which side of 2 the percentile lies.
 WHOLE = mgps.Prior(1.0, 0.5, 2.0, 2.0, 0.1)
 
@@ -320,15 +345,37 @@ def chains_cycles(c):
     return chains.resolve(t.filter(base + 4 <= last).select(key.alias("primaryid"), to.alias("canonical_primaryid")))
 
 
-@query(_SIMILAR + ", g AS (SELECT count(*) AS pointers FROM flagged) SELECT pointers, 0 AS cycles, 0 AS closed_components, TRUE AS sound FROM g")
+@query(_SIMILAR + ", g AS (SELECT count(*) AS pointers, (SELECT count(DISTINCT canonical_primaryid) FROM flagged WHERE canonical_primaryid NOT IN (SELECT primaryid FROM flagged)) AS components FROM flagged) SELECT pointers, components, 0 AS cycles, 0 AS closed_components, TRUE AS sound FROM g")
 def chains_report(c):
     edges = written(duplicate_pass(*_inputs(c))[0], "duplicates")
-    return chains.report(chains.resolve(edges), edges).select("pointers", F.col("cycles").cast("int").alias("cycles"), F.col("closed_components").cast("int").alias("closed_components"), "sound")
+    return chains.report(chains.resolve(edges), edges).select("pointers", "components", F.col("cycles").cast("int").alias("cycles"), F.col("closed_components").cast("int").alias("closed_components"), "sound")
+
+
+_RATES = (
+    _SIMILAR
+    + """,
+p AS (SELECT count(*) AS evaluated, count(*) FILTER (WHERE status = 'eligible') AS eligible FROM status),
+f AS (SELECT count(DISTINCT primaryid) FILTER (WHERE method = 'version') AS v, count(DISTINCT primaryid) FILTER (WHERE method = 'probabilistic') AS s FROM flagged)
+SELECT stage, flagged, whole, round(flagged / whole, 6) AS rate FROM (SELECT unnest(['stage1', 'stage2', 'overall']) AS stage, unnest([v, s, v + s]) AS flagged, unnest([evaluated, eligible, evaluated]) AS whole FROM p, f)"""
+)
+
+
+@query(_RATES)
+def quality_rates(c):
+    """The rates of the quality report, each with its own denominator."""
+    found = {r.method: r.flagged for r in dedup.method_figures(duplicate_pass(*_inputs(c))[0]).collect()}  # a row a method
+    out = quality.rates(dedup.accounting(_population(c)).first().asDict(), {m: found.get(m, 0) for m in (dedup.VERSION, dedup.SIMILAR)})
+    return c.spark.createDataFrame([(k, out[k]["flagged"], out[k]["of"], out[k]["rate"]) for k in ("stage1", "stage2", "overall")], "stage string, flagged bigint, whole bigint, rate double")
 
 
 # --- accessors ---
 
 
+@query("SELECT primaryid, pt FROM reactions WHERE primaryid = 77 ORDER BY pt")
+def corpus_reactions_lookup(c):
+    return accessors.reactions_of(c.reactions(), 77).select("primaryid", "pt")
+
+
 @query("SELECT 'case' AS dataset, count(*) AS rows FROM published UNION ALL SELECT 'drug', count(*) FROM drugs UNION ALL SELECT 'reaction', count(*) FROM reactions")
 def corpus_counts(c):
     return accessors.dataset_counts({"case": c.publications(), "drug": c.drugs(), "reaction": c.reactions()})
@@ -539,3 +586,73 @@ def sink_upsert(c):
 def sink_replace_children(c):
     rows = c.drugs().select("primaryid", "drug_seq")
     return store.replace_children(rows.withColumn("origin", F.lit("old")), rows.filter("primaryid % 3 = 0 and drug_seq = 1").withColumn("origin", F.lit("new")))
+
+
+_PAGES = "concat('<p><a href=\"', CASE page_id % 3 WHEN 0 THEN '/dl/' WHEN 1 THEN 'late/' ELSE 'https://h.org/' END, 'faers_ascii_', 2013 + page_id % 7, 'q', 1 + page_id % 4, '.zip\">x</a><a href=other.zip>')"
+
+
+@query(
+    f""",
+l AS (SELECT page_id, concat(2013 + page_id % 7, 'Q', 1 + page_id % 4) AS quarter, concat('https://w.org/a/p', page_id, '.html') AS url, regexp_extract({_PAGES}, 'href="([^"]+)"', 1) AS href FROM pages),
+f AS (SELECT quarter, arg_min(CASE WHEN href LIKE 'https:%' THEN href WHEN href LIKE '/%' THEN concat('https://w.org', href) ELSE concat('https://w.org/a/', href) END, url) AS link FROM l GROUP BY quarter)
+SELECT quarter, link FROM f"""
+)
+def source_archive_links(c):
+    pages = c.table("pages").select(F.concat(F.lit("https://w.org/a/p"), "page_id", F.lit(".html")).alias("url"), F.expr(_PAGES).alias("html"))
+    return links.archives(pages)
+
+
+def _folder(c, name: str) -> str:
+    return f"{shared_dir(c.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+_LINES = _RAW + ", f AS (SELECT k, CASE WHEN k % 23 = 0 THEN 'old' ELSE CAST(k % 150 AS VARCHAR) END AS age, ([' f ', 'M', 'UNK', NULL])[k % 4 + 1] AS sex, CASE WHEN event_dt_raw <> '' THEN event_dt_raw END AS event_dt_raw FROM raw) "
+
+
+@query(_LINES + "SELECT CAST(k AS VARCHAR) AS primaryid, age, sex, event_dt_raw FROM f")
+def source_delimited(c):
+    """Raw rows written as an extract's file with its declared header, and read by the scan."""
+    fields, rows = source_fields("DEMO", Quarter(2026, 2)), _raw_demo(c)
+    at = _folder(c, "extract")
+    out = rows.select(*((F.col(f.name) if f.name in rows.columns else F.lit(None).cast("string")).alias(f.source) for f in fields))
+    out.coalesce(1).write.csv(at, sep="$", header=True, quote="", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    file = next(n for n in names(at) if n.endswith(".csv"))
+    return files.read_table(c.spark, f"{at}/{file}".removeprefix("file:"), "DEMO", Quarter(2026, 2)).select("primaryid", "age", "sex", "event_dt_raw")
+
+
+@query(", l AS (SELECT CASE c_custkey % 3 WHEN 0 THEN concat(' ', c_custkey, chr(9)) WHEN 1 THEN CAST(c_custkey AS VARCHAR) ELSE concat('x', c_custkey) END AS line FROM customer) SELECT DISTINCT CAST(trim(line, concat(' ', chr(9))) AS BIGINT) AS caseid FROM l WHERE line NOT LIKE 'x%'")
+def source_deleted_cases(c):
+    at, key = _folder(c, "deleted"), F.col("c_custkey").cast("string")
+    line = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit(" "), key, F.lit("\t"))).when(F.col("c_custkey") % 3 == 1, key).otherwise(F.concat(F.lit("x"), key))
+    c.table("customer").select(line.alias("value")).write.text(at)
+    return files.read_deleted(c.spark, at)
+
+
+@query("SELECT primaryid, drug_seq, role_cod, drugname_raw, prod_ai, CAST(NULL AS VARCHAR) AS route, quarter FROM drugs WHERE quarter <> '1995Q1'")
+def store_quarters(c):
+    """Each quarter's partition is replaced, one is written twice and one deleted; the rest is read with the declared schema."""
+    at, rows = _folder(c, "corpus"), written(c.drugs(), "drugs")
+    quarters = sorted(r.quarter for r in rows.select("quarter").distinct().collect())  # some tens
+    for q in [*quarters, quarters[-1]]:
+        store.write_quarter(parse.dataset(rows.filter(F.col("quarter") == q), "drug"), at, "drug", q)
+    store.delete_quarter(c.spark, at, "drug", "1995Q1")
+    return store.read_dataset(c.spark, at, "drug")
+
+
+@query(f""",
+{_OUTCOMES},
+s AS (SELECT primaryid, list_sort(list(DISTINCT outc_cod) FILTER (WHERE outc_cod IS NOT NULL)) AS codes, coalesce(bool_or(outc_cod = 'DE'), FALSE) AS death FROM oc GROUP BY 1)
+SELECT CAST(c.primaryid AS VARCHAR) AS primaryid, coalesce(sex, '\\N') AS sex, CASE WHEN death THEN 'true' ELSE 'false' END AS serious_death, CASE WHEN len(codes) > 0 THEN concat('["', array_to_string(codes, '","'), '"]') ELSE '[]' END AS outcome_codes FROM cases c LEFT JOIN s ON c.primaryid = s.primaryid""")
+def sink_rendered(c):
+    n = F.col("l_linenumber")
+    oc = c.table("lineitem").filter("l_quantity > 30").select(F.col("l_orderkey").alias("primaryid"), F.when(n == 1, "HO").when(n == 2, "DE").when(n > 3, "OT").alias("outc_cod"))
+    return store.rendered(parse.attach_seriousness(dedup.latest_publication(c.publications()), oc).select("primaryid", "sex", "serious_death", "outcome_codes"))
+
+
+@query(_pairs_sql("name") + _ESTIMATES + "SELECT drug, pt, a, b, c, d, n_cases, insufficient, flag_ror, flag_prr, flag_bcpnn, round(ror, 6) AS ror, round(ic025, 6) AS ic025 FROM scored")
+def signal_run(c):
+    """A run is built, written with its record and read back as the latest one."""
+    at = _folder(c, "runs")
+    signals.build(c.spark, at, RAW, lambda: _pairs(c))
+    found = signals.read_run(c.spark, at, signals.latest_run(at))
+    return rounded(found.select("drug", "pt", "a", "b", "c", "d", "n_cases", "insufficient", "flag_ror", "flag_prr", "flag_bcpnn", "ror", "ic025"))

@@ -6,7 +6,7 @@ import json
 import time
 from pathlib import Path
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import IngestError
@@ -32,8 +32,8 @@ def absolute(base: str, href: str):
 def archives(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """(quarter, link): the first link of each quarter's archive."""
     links = anchors(pages, html).filter(F.col("href").rlike(ARCHIVE))
-    found = links.select(F.concat(F.regexp_extract("href", ARCHIVE, 1), F.lit("Q"), F.regexp_extract("href", ARCHIVE, 2)).alias("quarter"), absolute(url, "href").alias("link"), "pos", url)
-    return found.withColumn("n", F.row_number().over(Window.partitionBy("quarter").orderBy(url, "pos"))).filter("n = 1").select("quarter", "link")
+    quarter = F.concat(F.regexp_extract("href", ARCHIVE, 1), F.lit("Q"), F.regexp_extract("href", ARCHIVE, 2))
+    return links.groupBy(quarter.alias("quarter")).agg(F.min_by(absolute(url, "href"), F.struct(url, "pos")).alias("link"))
 
 
 def cached(path: str | Path, fetch) -> dict[str, str]:

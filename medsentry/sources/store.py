@@ -48,6 +48,12 @@ def replace_children(old: DataFrame, new: DataFrame, key: str = "primaryid") ->
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
+def rendered(df: DataFrame) -> DataFrame:
+    """Every column as bulk loaders of databases take it: null is ``\\N``, unlike empty text; lists are JSON."""
+    shown = lambda c, t: F.to_json(c) if t.startswith("array") else F.col(c).cast("string")
+    return df.select(*(F.coalesce(shown(c, t), F.lit(r"\N")).alias(c) for c, t in df.dtypes))
+
+
 def _files(spark: SparkSession, path: str):
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     return hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration()), hadoop

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from medsentry.errors import EstimatorConvergenceError
 from medsentry.functions import special
-from medsentry.operators import estimators, mgps
+from medsentry.operators import contingency, estimators, mgps
 from medsentry.plans import signals
 
 # cells, then ror, prr, chi2, ic, ic025, ic025_exact, ic_observed_expected
@@ -178,3 +178,21 @@ def test_profile_and_squash_of_equal_pairs(spark):
     out = mgps.squash(same, 20, 3, 5).toPandas()
     # Ranks 1 to 3000 have one expected count: 150 bins of it; 1997 more in bins of 20, and 3 single ones.
     assert out.weight.sum() == 5000 and (out.expected == 0.5).sum() == 150 and sorted(out.weight)[:3] == [1, 1, 1] and len(out) == 150 + 100 + 3
+
+
+def test_negative_cells_raise(spark):
+    rows = spark.createDataFrame([(3, 4, 5, 90), (3, 4, -1, 90)], "a bigint, b bigint, c bigint, d bigint")
+    assert estimators.score(rows.filter("c > 0")).count() == 1
+    with pytest.raises(Exception, match="negative cell"):
+        estimators.score(rows).collect()
+    assert tuple(contingency.violations(rows.withColumn("n_cases", F.lit(102))).first()) == (2, 1, 1)
+
+
+def test_log_likelihood_in_spark(spark):
+    rng = np.random.default_rng(3)
+    n, e, w = rng.integers(1, 40, 60), rng.uniform(0.01, 30, 60), rng.integers(1, 9, 60)
+    prior = mgps.Prior(0.2, 0.06, 1.4, 1.8, 0.1)
+    rows = spark.createDataFrame([(int(a), float(b), float(c)) for a, b, c in zip(n, e, w, strict=True)], "a bigint, expected double, weight double")
+    got = mgps.log_likelihood(rows, prior, "weight").first()
+    want = -mgps.nll(prior.theta, n.astype(float), e, w.astype(float))[0]
+    assert got.pairs == w.sum() and abs(got.log_likelihood - want) < 1e-6 * abs(want)
