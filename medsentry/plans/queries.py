@@ -14,6 +14,7 @@ from ..sources import files, links, store
 from ..sources.quarter import Quarter
 from ..sources.schema import source_fields
 from ..storage import names, shared_dir, written
+from ..streaming import cases as stream
 from . import accessors, analogue, quality, signals
 from .ingest import duplicates as duplicate_pass
 
@@ -656,3 +657,13 @@ def signal_run(c):
     signals.build(c.spark, at, RAW, lambda: _pairs(c))
     found = signals.read_run(c.spark, at, signals.latest_run(at))
     return rounded(found.select("drug", "pt", "a", "b", "c", "d", "n_cases", "insufficient", "flag_ror", "flag_prr", "flag_bcpnn", "ror", "ic025"))
+
+
+@query("SELECT primaryid, quarter, caseid, caseversion FROM cases")
+def stream_current_cases(c):
+    """Publications arrive as files, the later ones in a second run of the stream, and keep a current table."""
+    at, rows = _folder(c, "stream"), parse.dataset(c.publications(), "case")
+    for part in (F.col("quarter") >= "1996Q1", F.col("quarter") < "1996Q1"):
+        rows.filter(part).write.mode("append").parquet(f"{at}/in")
+        stream.keep_current(stream.publications(c.spark, f"{at}/in"), f"{at}/now", f"{at}/mark").awaitTermination()
+    return stream.read_current(c.spark, f"{at}/now").select("primaryid", "quarter", "caseid", "caseversion")

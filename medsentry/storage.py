@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
@@ -30,9 +31,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _session() -> SparkSession | None:
+    """The session, also in threads such as those of streams, which have none of their own."""
+    return SparkSession.getActiveSession() or SparkSession._instantiatedSession
+
+
 def _hadoop(path: str | Path):
     """(file system, path) of a path under the session's Hadoop configuration; None without a session."""
-    spark = SparkSession.getActiveSession()
+    spark = _session()
     if spark is None:
         return None
     at = spark._jvm.org.apache.hadoop.fs.Path(str(path))
@@ -52,6 +58,17 @@ def names(path: str | Path) -> list[str]:
     return sorted(s.getPath().getName() for s in own[0].listStatus(own[1])) if own else sorted(p.name for p in Path(path).iterdir())
 
 
+def delete(path: str | Path) -> None:
+    """Delete a file or a folder with what it holds, if it is there."""
+    own = _hadoop(path)
+    if own:
+        own[0].delete(own[1], True)
+    elif Path(path).is_dir():
+        shutil.rmtree(path)
+    else:
+        Path(path).unlink(missing_ok=True)
+
+
 def read_text(path: str | Path) -> str:
     """A small UTF-8 file, such as a record of a run."""
     own = _hadoop(path)
@@ -80,7 +97,7 @@ def write_text(path: str | Path, value: str) -> None:
         stream.write(bytearray(value.encode()))
     finally:
         stream.close()
-    spark = SparkSession.getActiveSession()
+    spark = _session()
     hadoop = spark._jvm.org.apache.hadoop.fs
     how = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
     how[0] = hadoop.Options.Rename.OVERWRITE

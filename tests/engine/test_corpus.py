@@ -263,13 +263,36 @@ def test_links(spark, tmp_path):
         links.cached(tmp_path / "d.json", dict)
 
 
-def test_streaming_upsert(spark, tmp_path):
-    kind = schema.DATASETS["case"]
+def test_streaming_upsert(spark, tmp_path, monkeypatch):
+    kind, table = schema.DATASETS["case"], str(tmp_path / "now")
     make = lambda p, q: tuple(p if f.name == "primaryid" else q if f.name == "quarter" else None for f in kind)
-    for i, rows in enumerate([[(1, "2013Q1"), (2, "2013Q1")], [(1, "2013Q2")], [(2, "2012Q4")]]):
+
+    def arrive(*rows):
         spark.createDataFrame([make(*r) for r in rows], kind).write.mode("append").parquet(str(tmp_path / "in"))
-        streaming.keep_current(streaming.publications(spark, str(tmp_path / "in")), str(tmp_path / "now"), str(tmp_path / "mark")).awaitTermination()
-    assert {(r.primaryid, r.quarter) for r in spark.read.parquet(str(tmp_path / "now")).collect()} == {(1, "2013Q2"), (2, "2013Q1")}
+        return run()
+
+    def run(buckets=4):
+        streaming.keep_current(streaming.publications(spark, str(tmp_path / "in")), table, str(tmp_path / "mark"), buckets=buckets).awaitTermination()
+        return sorted((r.primaryid, r.quarter) for r in streaming.read_current(spark, table).collect())
+
+    assert streaming.read_current(spark, table).count() == 0
+    assert arrive((1, "2013Q1"), (2, "2013Q1"), (2, "2013Q1"), (3, "2012Q1"), (3, "2012Q2")) == [(1, "2013Q1"), (2, "2013Q1"), (3, "2012Q2")]
+    assert arrive((1, "2013Q2")) == [(1, "2013Q2"), (2, "2013Q1"), (3, "2012Q2")]
+    # An older and a newer publication in one batch; then a batch that ends before its last step and is replayed.
+    assert arrive((2, "2012Q4"), (2, "2014Q1"), (3, "2011Q1")) == [(1, "2013Q2"), (2, "2014Q1"), (3, "2012Q2")]
+    write = streaming.write_text
+    monkeypatch.setattr(streaming, "write_text", lambda *a: 1 / 0)
+    with pytest.raises(Exception, match="ZeroDivision|division"):
+        arrive((4, "2015Q1"))
+    assert streaming.read_current(spark, table).count() == 3
+    monkeypatch.setattr(streaming, "write_text", write)
+    assert run() == [(1, "2013Q2"), (2, "2014Q1"), (3, "2012Q2"), (4, "2015Q1")]
+    state = json.loads((tmp_path / "now/current.json").read_text())
+    assert {p.name for p in (tmp_path / "now").glob("v=*")} == {f"v={v}" for v in (*state["versions"].values(), *state["replaced"].values())}
+    with pytest.raises(Exception, match="buckets"):
+        arrive((5, "2015Q1"))
+        spark.createDataFrame([make(6, "2015Q1")], kind).write.mode("append").parquet(str(tmp_path / "in"))
+        run(8)
 
 
 def test_an_ended_rebuild_loses_nothing(spark, tmp_path, monkeypatch):
