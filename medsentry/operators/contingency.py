@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..errors import ContingencyError
 from ..functions.text import fold
 from ..storage import written
-from .dedup import latest_publication
+from .dedup import in_quarters
 
 ROLES = {"ps_ss": ("PS", "SS"), "ps": ("PS",)}
 KEYS = ("ingredient", "raw_string")
@@ -40,7 +40,7 @@ class Spec:
 
 def population(cases: DataFrame, duplicates: DataFrame, spec: Spec = Spec()) -> DataFrame:  # noqa: B008
     """The primaryids of the range, each once, without the duplicates."""
-    return latest_publication(cases, spec.start_quarter, spec.end_quarter).select("primaryid").join(duplicates.select("primaryid"), "primaryid", "left_anti")
+    return in_quarters(cases, spec.start_quarter, spec.end_quarter).select("primaryid").distinct().join(duplicates.select("primaryid"), "primaryid", "left_anti")
 
 
 def _term(name: str) -> Column:
