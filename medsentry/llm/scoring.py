@@ -20,6 +20,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,13 +29,15 @@ from .common import id_crc, stored
 from .subwords import word_bpe, word_ids
 
 END = 49407
-#: Frequent words whose counts every worker holds, at most; longer words than this many bytes are held by their SHA-256.
+#: Frequent words that every worker holds with their ids and counts, at most; longer words than this many bytes are held by their SHA-256.
 FREQUENT, LONGEST = 300_000, 64
 #: Weights of a word's share of the training words and of the text so far (in which PRIOR more
 #: words are held unseen); the spelling has the rest.
 OWN_SHARE, SO_FAR, PRIOR = 0.4, 0.15, 5.0
 #: Rounds of training, windows that a slice has about, windows that go as one row at most, and the steps of a slice at least.
 ROUNDS, SLICE, TOGETHER, STEPS = 4, 8_192, 256, 128
+#: Bytes of windows that a task holds at once, about, while it cuts or counts them.
+AT_ONCE = 2_000_000
 
 #: The end of a text is number 0 of a worker's table.
 _END_NUMBER = np.zeros(1, np.int64)
@@ -86,31 +89,44 @@ def subword_counts(counts: DataFrame, path: str, size: int) -> np.ndarray:
     return out
 
 
-def training_windows(rows: DataFrame, path: str, classes: np.ndarray) -> DataFrame:
+_WINDOWS = pa.schema([("part", pa.int32()), ("h", pa.int64()), ("n", pa.int64()), ("windows", pa.binary())])
+
+
+def cut_windows(batches: Iterator[pa.RecordBatch], path: str, classes: np.ndarray, first: bytes = b"") -> Iterator[pa.RecordBatch]:
+    """A task's part of ``training_windows``, in batches of about AT_ONCE bytes."""
+    import xxhash
+
+    table = word_ids(path, END, first)
+    out: dict[str, list] = {k: [] for k in _WINDOWS.names}
+    size = 0
+    for batch in batches:
+        for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            own = words(text.as_py())
+            cut = net.whole_windows(classes.take(table.ids(np.append(table.of(own), 0))[0]))
+            table.trim()
+            for at in range(0, len(cut), TOGETHER):
+                some = cut[at : at + TOGETHER]
+                raw = some.tobytes()
+                h = xxhash.xxh64_intdigest(raw, (name or 0) % 2**63 + at) >> 1
+                for k, v in zip(out, (h % ROUNDS, h // ROUNDS, len(some), raw), strict=True):
+                    out[k].append(v)
+                size += len(raw)
+                if size >= AT_ONCE:
+                    yield pa.record_batch(out, schema=_WINDOWS)
+                    out, size = {k: [] for k in _WINDOWS.names}, 0
+    yield pa.record_batch(out, schema=_WINDOWS)
+
+
+def training_windows(rows: DataFrame, path: str, classes: np.ndarray, sent: Broadcast | None = None) -> DataFrame:
     """(part, h, n, windows): every document cut into consecutive windows of class sequences, so each id is a target once.
 
     A row has up to TOGETHER windows of one document. Its round ``part`` and its hash ``h``, from which its slice
     follows, depend on the document and the place alone; so a task that runs again gives the same, and
-    a long text is spread over rounds and slices.
+    a long text is spread over rounds and slices. ``sent``: the frequent words, which workers hold.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        table = word_ids(path, END)
-        for batch in batches:
-            out: dict[str, list] = {"part": [], "h": [], "n": [], "windows": []}
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = words(text.as_py())
-                cut = net.whole_windows(classes.take(table.ids(np.append(table.of(own), 0))[0]))
-                table.trim()
-                for at in range(0, len(cut), TOGETHER):
-                    some = cut[at : at + TOGETHER]
-                    raw = some.tobytes()
-                    h = xxhash.xxh64_intdigest(raw, (name or 0) % 2**63 + at) >> 1
-                    for k, v in zip(out, (h % ROUNDS, h // ROUNDS, len(some), raw), strict=True):
-                        out[k].append(v)
-            yield pa.record_batch([pa.array(out["part"], pa.int32()), pa.array(out["h"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["windows"], pa.binary())], names=list(out))
+        yield from cut_windows(batches, path, classes, sent.value.words if sent else b"")
 
     return rows.select("doc_id", "text").mapInArrow(run, "part int, h bigint, n bigint, windows binary")
 
@@ -124,25 +140,40 @@ def _gathered(df: DataFrame, how: Column) -> np.ndarray:
     return rows.x.to_numpy()
 
 
-def bigram_counts(windows: DataFrame) -> np.ndarray:
-    """How often each class follows each class, over all windows."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((net.CLASSES + 1, net.CLASSES))
-        for b in batches:
-            inputs, targets, real = _arrays(b.column(0).to_pylist())
+def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's part of ``bigram_counts``; about AT_ONCE bytes of windows at a time, as their pairs take several times that."""
+    total = np.zeros((net.CLASSES + 1, net.CLASSES))
+    most = max(1, AT_ONCE // (TOGETHER * (net.CONTEXT + 1 + net.SCORED)))
+    for b in batches:
+        for at in range(0, b.num_rows, most):
+            inputs, targets, real = _arrays(b.column(0).slice(at, most).to_pylist())
             pairs = inputs[:, net.CONTEXT :][real].astype(np.int64) * net.CLASSES + targets[real]
             total += np.bincount(pairs, minlength=total.size).reshape(total.shape)
-        yield pa.record_batch({"i": pa.array(np.arange(total.size), pa.int64()), "x": pa.array(total.ravel(), pa.float64())})
+    yield pa.record_batch({"i": pa.array(np.arange(total.size), pa.int64()), "x": pa.array(total.ravel(), pa.float64())})
 
-    flat = _gathered(windows.select("windows").mapInArrow(count, "i bigint, x double"), F.sum("x"))
+
+def bigram_counts(windows: DataFrame) -> np.ndarray:
+    """How often each class follows each class, over all windows."""
+    flat = _gathered(windows.select("windows").mapInArrow(count_pairs, "i bigint, x double"), F.sum("x"))
     return flat.reshape(net.CLASSES + 1, net.CLASSES) if len(flat) else np.zeros((net.CLASSES + 1, net.CLASSES))
 
 
+def batches_of(n: int, size: int, steps: int, rng: np.random.Generator) -> Iterator[np.ndarray]:
+    """All of ``n`` places in an order by chance, ``size`` at a time; then more of them until there are ``steps`` batches."""
+    done = 0
+    while done < steps:
+        order, first = rng.permutation(n), done == 0
+        for at in range(0, n, size):
+            if done >= steps and not first:
+                return
+            yield order[at : at + size]
+            done += 1
+
+
 def train(windows: DataFrame, rate: float = 0.01, batch: int = 64, steps: int = STEPS) -> tuple[dict[str, np.ndarray], tuple[np.ndarray, np.ndarray]]:
     """Averaged parameters after ROUNDS rounds, and the tables of counts.
 
-    Every window is used in one round, in one slice; a slice with few of them repeats them to make ``steps`` steps.
+    Every window is used in one round, in one slice; a slice with few of them repeats as many as make ``steps`` steps.
     """
     sc = windows.sparkSession.sparkContext
     params, grams = net.fresh(), net.bigrams(bigram_counts(windows))
@@ -152,16 +183,12 @@ def train(windows: DataFrame, rate: float = 0.01, batch: int = 64, steps: int =
     def slice_trainer(r: int, sent):
         def run(table: pa.Table) -> pa.Table:
             flat, grams = sent.value
-            trainer, rng, done = net.Trainer(net.unpacked(flat), grams, rate / (r + 1)), np.random.default_rng(r), 0
+            trainer = net.Trainer(net.unpacked(flat), grams, rate / (r + 1))
             table = table.sort_by([("h", "ascending"), ("windows", "ascending")])
             inputs, targets, real = _arrays(table.column("windows").to_pylist())
-            while done < steps:
-                order = rng.permutation(len(inputs))
-                for at in range(0, len(order), batch):
-                    i = order[at : at + batch]
-                    trainer.update(inputs[i], targets[i], real[i])
-                    done += 1
-            return pa.table({"seen": pa.array([len(inputs)], pa.int64()), "flat": pa.array([net.packed(trainer.p).tobytes()], pa.binary())})
+            for i in batches_of(len(inputs), batch, steps, np.random.default_rng(r)):
+                trainer.update(inputs[i], targets[i], real[i])
+            return pa.table({"slice": table.column("slice").slice(0, 1), "seen": pa.array([len(inputs)], pa.int64()), "flat": pa.array([net.packed(trainer.p).tobytes()], pa.binary())})
 
         return run
 
@@ -177,7 +204,9 @@ def train(windows: DataFrame, rate: float = 0.01, batch: int = 64, steps: int =
                 yield pa.record_batch({"i": pa.array(np.arange(len(total)), pa.int64()), "x": pa.array(total, pa.float64()), "w": pa.array(np.full(len(total), float(seen)), pa.float64())})
 
         mine = windows.filter(F.col("part") == r).select(F.pmod("h", F.lit(slices)).alias("slice"), "h", "windows")
-        trained = mine.groupBy("slice").applyInArrow(slice_trainer(r, sent), "seen bigint, flat binary").mapInArrow(added, "i bigint, x double, w double")
+        # Dealt out again, so that one task doesn't have a worker that trains and one that adds.
+        trained = mine.groupBy("slice").applyInArrow(slice_trainer(r, sent), "slice bigint, seen bigint, flat binary").repartition("slice")
+        trained = trained.select("seen", "flat").mapInArrow(added, "i bigint, x double, w double")
         flat = _gathered(trained, F.sum("x") / F.sum("w"))
         if len(flat):
             params = net.unpacked(flat.astype(np.float32))
@@ -206,6 +235,20 @@ def _frequent(counts: DataFrame, most: int) -> DataFrame:
     return counts.filter(F.lit(False) if least is None else step >= least).select(key.alias("word"), "c")
 
 
+class Frequent(NamedTuple):
+    """Frequent words with line feeds between them, the most frequent first; their counts; and those of longer ones by their keys."""
+
+    words: bytes
+    counts: np.ndarray
+    long: dict[bytes, int]
+
+
+def frequent_words(counts: DataFrame, most: int) -> Frequent:
+    rows = [(-r.c, bytes(r.word)) for r in _frequent(counts, most).toLocalIterator()]
+    short = sorted(x for x in rows if x[1][:1] != b"\xff")
+    return Frequent(b"\n".join(w for _, w in short), np.array([-c for c, _ in short], np.int64), {w: -c for c, w in rows if w[:1] == b"\xff"})
+
+
 class Learned(NamedTuple):
     """What is learned from the training rows: the words' counts, and what every worker gets."""
 
@@ -218,7 +261,7 @@ class Learned(NamedTuple):
     grams: tuple[np.ndarray, np.ndarray]
 
 
-def learn(rows: DataFrame, tokenizer_path: str) -> Learned:
+def learn(rows: DataFrame, tokenizer_path: str, frequent: int = FREQUENT) -> Learned:
     """Counts and the trained model of the rows (doc_id, text)."""
     counts = stored(word_counts(rows), "words")
     ends = rows.count()
@@ -226,7 +269,10 @@ def learn(rows: DataFrame, tokenizer_path: str) -> Learned:
     ids = subword_counts(counts, tokenizer_path, word_bpe(tokenizer_path).size)
     ids[END] += ends
     classes = net.Classes(ids)
-    params, grams = train(stored(training_windows(rows, tokenizer_path, classes.of), "windows", by="part"))
+    sent = rows.sparkSession.sparkContext.broadcast(frequent_words(counts, frequent))
+    windows = stored(training_windows(rows, tokenizer_path, classes.of, sent), "windows", by="part")
+    sent.destroy()
+    params, grams = train(windows)
     return Learned(counts, ends, facts.n + ends, facts.v + (1 if ends else 0), classes, params, grams)
 
 
@@ -239,21 +285,21 @@ def score(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col
     distribution; long texts and words are read whole; other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return scored(rows, learn(rows.filter(~held_out("doc_id")), tokenizer_path), tokenizer_path, frequent)
+    return scored(rows, learn(rows.filter(~held_out("doc_id")), tokenizer_path, frequent), tokenizer_path, frequent)
 
 
 def scored(rows: DataFrame, model: Learned, tokenizer_path: str, frequent: int = FREQUENT) -> DataFrame:
     """The scores of ``rows`` (doc_id, text) under a model."""
     total, ends, counts = model.total, model.ends, model.counts
-    known = {bytes(r.word): r.c for r in _frequent(counts, frequent).toLocalIterator()}
-    sent = rows.sparkSession.sparkContext.broadcast((model.classes.of, model.classes.share, net.packed(model.params), model.grams, known))
+    sent = rows.sparkSession.sparkContext.broadcast((model.classes.of, model.classes.share, net.packed(model.params), model.grams, frequent_words(counts, frequent)))
     per = math.log10(total + model.distinct + 1)
     own = OWN_SHARE if total else 0.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, share, flat, grams, known = sent.value
-        p, table = net.unpacked(flat), word_ids(tokenizer_path, END)
-        counts, filled = np.zeros(table.most, np.int64), 0
+        p, table = net.unpacked(flat), word_ids(tokenizer_path, END, known.words)
+        counts, filled = np.zeros(table.most, np.int64), table.fixed
+        counts[0], counts[1:filled] = ends, known.counts
 
         schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("word", pa.binary()), ("logp", pa.float64()), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
         for batch in batches:
@@ -271,8 +317,8 @@ def scored(rows: DataFrame, model: Learned, tokenizer_path: str, frequent: int =
                 if filled < len(table.names):
                     if len(table.names) > len(counts):
                         counts = np.concatenate((counts, np.zeros(len(table.names), np.int64)))
-                    counts[filled : len(table.names)] = [known.get(_held(w), 0) for w in table.names[filled:]]
-                    counts[0], filled = ends, len(table.names)
+                    counts[filled : len(table.names)] = [known.long.get(_held(w), 0) if len(w) > LONGEST else 0 for w in table.names[filled:]]
+                    filled = len(table.names)
                 full = net.whole_windows(of.take(ids), np.add.reduceat(n, begin))
                 inputs, targets, real = net.parts(full)
                 logp = np.cumsum(np.append(0.0, net.log_probs(p, grams, inputs, targets)[real].astype(float))) / math.log(10)

@@ -120,16 +120,23 @@ class Table(dict):
 class WordIds(dict):
     """Word -> number, with the ids of all numbered words in one array. Number 0 is the end of a text.
 
-    The first ``keep`` words stay; ``trim`` (between texts) drops later ones when there are
-    ``most``, or when the words have ``room`` bytes.
+    The words ``first``, given with line feeds between them, have the numbers from 1 on and always stay.
+    So do the next ones up to ``keep`` words; ``trim`` (between texts) drops later ones when there are
+    ``spare`` more, or when the words have ``room`` bytes.
     """
 
-    def __init__(self, bpe: WordBpe, end: int, keep: int = 200_000, most: int = 300_000, room: int = 64_000_000):
+    def __init__(self, bpe: WordBpe, end: int, first: bytes = b"", keep: int = 200_000, spare: int = 100_000, room: int = 64_000_000):
         super().__init__()
+        self.first, given = first, first.split()
+        self.fixed = len(given) + 1
+        keep = max(keep, self.fixed)
+        most = keep + spare
         self.bpe, self.keep, self.most, self.room = bpe, keep, most, room
         self.names, self.held = [b""], 0
         self.flat, self.begin, self.length = np.zeros(4 * most, np.uint32), np.zeros(most + 1, np.int64), np.zeros(most, np.int64)
         self.flat[0], self.begin[1], self.length[0] = end, 1, 1
+        for at in range(0, len(given), 10_000):
+            self._add(given[at : at + 10_000])
 
     def _add(self, words: list[bytes]) -> None:
         at, names = len(self.names), self.names
@@ -165,8 +172,8 @@ class WordIds(dict):
         return self.flat.take(np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begin.take(numbers) - (ends - n), n)), n
 
     def trim(self) -> None:
-        while len(self.names) > self.most or self.held > self.room and len(self.names) > 1:
-            keep = self.keep if len(self.names) > self.most else (len(self.names) + 1) // 2
+        while len(self.names) > self.most or self.held > self.room and len(self.names) > self.fixed:
+            keep = max(self.fixed, self.keep if len(self.names) > self.most else (len(self.names) + 1) // 2)
             for word in self.names[keep:]:
                 del self[word]
                 self.held -= len(word)
@@ -179,6 +186,14 @@ def word_bpe(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-@cache
-def word_ids(path: str, end: int) -> WordIds:
-    return WordIds(word_bpe(path), end)
+_tables: dict[tuple[str, int], WordIds] = {}
+
+
+def word_ids(path: str, end: int, first: bytes = b"") -> WordIds:
+    """One for each process, as long as it is asked for with the same ``first`` words."""
+    table = _tables.get((path, end))
+    if table is None or table.first != first:
+        _tables.pop((path, end), None)
+        del table  # before the next one is made
+        table = _tables[path, end] = WordIds(word_bpe(path), end, first)
+    return table

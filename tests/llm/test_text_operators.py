@@ -109,6 +109,46 @@ def test_every_training_id_is_a_target(spark):
     assert counts.sum() == sum(before.values()) and all(counts[a, b] == n for (a, b), n in before.items())
 
 
+def test_windows_are_cut_and_counted_in_bounded_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    text = " ".join(["the cat sat on a mat"] * 250)
+    texts = pa.record_batch({"doc_id": pa.array(range(6000), pa.int64()), "text": pa.array([text] * 6000)})
+    classes = (np.arange(60_000) % attention.CLASSES).astype(np.uint8)
+    cut = list(scoring.cut_windows(iter([texts]), BPE, classes))
+    assert sum(sum(b.column(2).to_pylist()) for b in cut) == 6000 * -(-1501 // attention.SCORED)
+    assert max(b.nbytes for b in cut) < 2 * scoring.AT_ONCE < sum(b.nbytes for b in cut)
+    windows = pa.concat_tables([pa.table({"windows": b.column(3)}) for b in cut]).combine_chunks().to_batches()
+    assert len(windows) == 1
+    tracemalloc.start()
+    (counts,) = scoring.count_pairs(iter(windows))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(counts.column(1).to_pylist()) == 6000 * 1501 and peak < 10 * scoring.AT_ONCE
+
+
+@pytest.mark.parametrize(("n", "batches"), [(8_100, 128), (8_192, 128), (9_000, 141), (30, 128)])
+def test_a_slice_has_every_window_and_repeats_no_more_than_it_needs(n, batches):
+    got = list(scoring.batches_of(n, 64, 128, np.random.default_rng(0)))
+    assert len(got) == batches and sorted(np.concatenate(got[: -(-n // 64)]).tolist()) == list(range(n))
+
+
+def test_frequent_words_stay_in_the_table():
+    from medsentry.llm.subwords import WordBpe, WordIds
+
+    bpe = WordBpe(BPE)
+    frequent = [b"the", b"na\xc3\xafve,", b"x-ray", b"1234"]
+    table = WordIds(bpe, scoring.END, b"\n".join(frequent), keep=6, spare=4, room=200)
+    for i in range(30):
+        own = [f"word{i}-{k}".encode() for k in range(5)] + [b"y" * 90 * (i % 3)] * (i % 3 > 0) + frequent
+        ids, n = table.ids(table.of(own))
+        assert ids.tolist() == [x for w in own for x in bpe.numbers(w)] and n.tolist() == [len(bpe.numbers(w)) for w in own]
+        table.trim()
+        assert table.names[1:5] == frequent and table.of(frequent).tolist() == [1, 2, 3, 4] and len(table.names) <= 10
+
+
 def test_gradient():
     rng = np.random.default_rng(0)
     p, grams = a_model(2, np.float64)
