@@ -64,6 +64,14 @@ def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the table that ``stored`` made of ``df``; nothing that reads it may be used any more."""
+    spark, files = df.sparkSession, df.inputFiles()
+    for at in [m for m in _made if files and f"/{m[1].rsplit('/', 1)[1]}/" in files[0]]:
+        _made.remove(at)
+        delete(spark, at[1])
+
+
 def id_crc(column: str | Column) -> Column:
     """crc32 of the id as text; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string") if isinstance(column, str) else column, F.lit("")).cast("binary"))
