@@ -225,7 +225,8 @@ def routed_by_join(rows: DataFrame, words: DataFrame, table: dict[str, tuple[int
 
 def mined(sent: DataFrame, shards: dict[int, int], least: int) -> DataFrame:
     """(w, f): n-grams of 2 to 4 word numbers that occur ``least`` times or more, mined where their pivot's fragments are."""
-    schema = pa.schema([("w", pa.list_(pa.int32())), ("f", pa.int64()), ("whole", pa.bool_())])
+    schema = pa.schema([("w", pa.list_(pa.int32())), ("f", pa.int64())])
+    split = np.array(list(shards), np.int32)
 
     def grams(rows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         found, times = [], []
@@ -246,46 +247,47 @@ def mined(sent: DataFrame, shards: dict[int, int], least: int) -> DataFrame:
         return _summed(np.concatenate(found), np.concatenate(times))
 
     def out(rows: np.ndarray, n: np.ndarray, whole: bool) -> Iterator[pa.RecordBatch]:
-        split = np.isin(rows[:, WORDS], np.array(list(shards), np.int32)) if whole else np.ones(len(rows), bool)
-        keep = split | (n >= least)
-        rows, n, split = rows[keep], n[keep], split[keep]
+        rows, n = grams(rows, n)
+        keep = np.isin(rows[:, WORDS], split) | (n >= least) if whole else np.ones(len(rows), bool)
+        rows, n = rows[keep, :WORDS], n[keep]
         for a in range(0, len(rows), 100_000):
-            some = rows[a : a + 100_000, :WORDS]
+            some = rows[a : a + 100_000]
             ends = np.append(0, np.cumsum((some > 0).sum(1))).astype(np.int32)
-            yield pa.record_batch([pa.ListArray.from_arrays(pa.array(ends), pa.array(some[some > 0])), pa.array(n[a : a + 100_000]), pa.array(~split[a : a + 100_000])], schema=schema)
+            yield pa.record_batch([pa.ListArray.from_arrays(pa.array(ends), pa.array(some[some > 0])), pa.array(n[a : a + 100_000])], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        """Pivots come one after another; all that have ended are counted, and the last one waits for the rest of it."""
         parts: list[tuple[np.ndarray, np.ndarray]] = []
-        size, whole = 0, True
-
-        def take() -> None:
-            nonlocal parts, size
-            if parts:
-                held.append(grams(*(np.concatenate(p) for p in zip(*parts, strict=True))))
-                if len(held) > 8:
-                    held[:] = [_summed(*(np.concatenate(p) for p in zip(*held, strict=True)))]
-            parts, size = [], 0
-
+        size, over = 0, -1
         for batch in batches:
-            if batch.num_rows:
-                words = np.frombuffer(b"".join(batch.column("words").to_pylist()), np.int32).reshape(-1, 6)
-                parts.append((np.concatenate((batch.column("pivot").to_numpy()[:, None], words), 1), batch.column("n").to_numpy()))
-                size += batch.num_rows
-                if size > LOT // 4:
-                    take()
-                    if sum(len(r) for r, _ in held) > COUNTED:
-                        held[:] = [_summed(*(np.concatenate(p) for p in zip(*held, strict=True)))]
-                        if len(held[0][0]) > COUNTED // 2:  # what a task can't hold is added up after it
-                            yield from out(*held.pop(), False)
-                            whole = False
-        take()
-        if held:
-            yield from out(*_summed(*(np.concatenate(p) for p in zip(*held, strict=True))), whole)
+            if not batch.num_rows:
+                continue
+            words = np.frombuffer(b"".join(batch.column("words").to_pylist()), np.int32).reshape(-1, 6)
+            parts.append((np.concatenate((batch.column("pivot").to_numpy()[:, None], words), 1), batch.column("n").to_numpy()))
+            size += batch.num_rows
+            if size <= LOT // 4:
+                continue
+            rows, n = (np.concatenate(p) for p in zip(*parts, strict=True))
+            last = rows[-1, 0]
+            cut = int(np.searchsorted(rows[:, 0], last))
+            begun = rows[:cut, 0] == over
+            yield from out(rows[:cut][~begun], n[:cut][~begun], True)
+            yield from out(rows[:cut][begun], n[:cut][begun], False)
+            rows, n = rows[cut:], n[cut:]
+            if len(rows) > COUNTED:  # what a task can't hold of one pivot is added up after it
+                over = last
+                yield from out(rows, n, False)
+                rows, n = rows[:0], n[:0]
+            parts, size = [(rows, n)], 0 if len(rows) < LOT // 8 else -len(rows)
+        if parts:
+            rows, n = (np.concatenate(p) for p in zip(*parts, strict=True))
+            begun = rows[:, 0] == over
+            yield from out(rows[~begun], n[~begun], True)
+            yield from out(rows[begun], n[begun], False)
 
     parts = int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = stored(sent.repartition(parts, "pivot", "salt").mapInArrow(run, "w array<int>, f bigint, whole boolean"), "grams")
-    # Whole counts are final; a pivot's n-grams are either all whole or all in parts, unless a task ran over.
+    found = sent.repartition(parts, "pivot", "salt").sortWithinPartitions("pivot").mapInArrow(run, "w array<int>, f bigint")
+    # Those of one task are whole already; the few pivots with several shards are added up.
     return found.groupBy("w").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
 
 
