@@ -4,9 +4,9 @@ Re-reports agree in sex, rounded age and country, and both their drug and their
 have a Jaccard similarity of at least 0.8. Rows that agree in block and both sets are a class, and
 classes are compared, not rows: a report that was sent a thousand times is one row of the join, and its
 copies' pairs are counted and resolved by class sizes and the classes' latest members. Candidates come
-from a prefix-filtered equi-join on (block, token): tokens are ordered by how rare they are, so a
-frequent drug or reaction enters few prefixes and neither a large block nor a frequent token gathers its
-rows in one place.
+from a prefix-filtered equi-join on (block, reaction, drug): tokens are ordered by how rare they are, so a
+frequent drug or reaction enters few prefixes, and classes meet only where both of their sets may be
+alike, so neither a large block nor a frequent token gathers its rows in one place.
 """
 
 from __future__ import annotations
@@ -97,22 +97,44 @@ def prefix_length(n: Column) -> Column:
     return F.greatest(F.lit(1), n - F.ceil(n * THRESHOLD_NUMERATOR / THRESHOLD_DENOMINATOR).cast("int") + 1)
 
 
-def candidates(compared: DataFrame, block: tuple[str, ...] = BLOCK, first: str = "reactions", rarest: bool = True) -> DataFrame:
-    """(l, r), l < r: every pair of rows of a block that shares a token of both prefixes and could be similar by size."""
-    keys = list(block)
-    sized = compared.withColumn("n", F.size(first)).filter("n > 0")
-    token = sized.select("primaryid", "n", *keys, F.explode(first).alias("token"))
-    if rarest:
-        # Every token's frequency orders the sets; the prefix is taken by rank within the row's tokens.
-        frequency = token.groupBy("token").agg(F.count("*").alias("f"))
-        ranked = token.join(frequency, "token").groupBy("primaryid", "n", *keys).agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("ordered"))
-        prefix = ranked.select("primaryid", "n", *keys, F.explode(F.slice("ordered", F.lit(1), prefix_length(F.col("n")))).alias("p")).select("primaryid", "n", *keys, F.col("p.token").alias("token"))
-    else:
-        prefix = sized.select("primaryid", "n", *keys, F.explode(F.slice(first, F.lit(1), prefix_length(F.col("n")))).alias("token"))
-    left = prefix.select(*keys, "token", F.col("primaryid").alias("l"), F.col("n").alias("ln"))
-    right = prefix.select(*keys, "token", F.col("primaryid").alias("r"), F.col("n").alias("rn"))
-    fits = (F.col("l") < F.col("r")) & (F.least("ln", "rn") * THRESHOLD_DENOMINATOR >= F.greatest("ln", "rn") * THRESHOLD_NUMERATOR)
-    return left.join(right, [*keys, "token"]).filter(fits).select("l", "r").distinct()
+def _ordered(rows: DataFrame, sets: list[str], keys: list[str], rarest: bool) -> DataFrame:
+    """The rows with each set's tokens in one order for all rows: the rarest of the table first, or by name."""
+    if not rarest:
+        return rows.select("primaryid", *keys, *(F.array_sort(s).alias(s) for s in sets))
+    tag = lambda s: F.transform(s, lambda t: F.struct(F.lit(s).alias("set"), t.alias("token")))
+    tagged = F.concat(*map(tag, sets))
+    token = rows.select("primaryid", *keys, F.explode(tagged).alias("x")).select("primaryid", *keys, "x.set", "x.token")
+    frequency = token.groupBy("set", "token").agg(F.count("*").alias("f"))
+    ranked = token.join(frequency, ["set", "token"])
+    order = lambda s: F.array_sort(F.collect_list(F.when(F.col("set") == s, F.struct("f", "token"))))
+    ranked = ranked.groupBy("primaryid", *keys).agg(*(order(s).alias(s) for s in sets))
+    return ranked.select("primaryid", *keys, *(F.transform(s, lambda x: x["token"]).alias(s) for s in sets))
+
+
+def candidates(compared: DataFrame, block: tuple[str, ...] = BLOCK, first: str = "reactions", rarest: bool = True, second: str | None = None) -> DataFrame:
+    """(l, r), l < r, each once: pairs of rows of a block that could be similar in ``first``, and in ``second`` if given.
+
+    Rows meet under a signature, a token of the first set's prefix with one of the second's, so two sets
+    with one frequent token each and nothing in common otherwise never meet. A pair is taken at its first
+    common token of each set alone, which makes it unique without a shuffle, and only if sizes and the
+    tokens left after that place allow enough in common.
+    """
+    keys, sets = list(block), [first, *([second] if second else [])]
+    rows = _ordered(compared.filter(" and ".join(f"size({s}) > 0" for s in sets)), sets, keys, rarest)
+    rows = rows.select("primaryid", *keys, *(c for s in sets for c in (F.size(s).alias(f"n_{s}"), F.slice(s, F.lit(1), prefix_length(F.size(s))).alias(f"p_{s}"))))
+    for s in sets:
+        rows = rows.withColumn(f"t_{s}", F.explode(f"p_{s}"))
+    signature = [*keys, *(f"t_{s}" for s in sets)]
+    side = {k: rows.select(*signature, F.col("primaryid").alias(k), *(F.col(f"{x}_{s}").alias(f"{k}{x}_{s}") for s in sets for x in "np")) for k in "lr"}
+    pairs = side["l"].join(side["r"], signature).filter("l < r")
+    for s in sets:
+        n, m, t = F.col(f"ln_{s}"), F.col(f"rn_{s}"), F.col(f"t_{s}")
+        sized = F.least(n, m) * THRESHOLD_DENOMINATOR >= F.greatest(n, m) * THRESHOLD_NUMERATOR
+        here = F.get(F.array_intersect(f"lp_{s}", f"rp_{s}"), F.lit(0)) == t
+        # Nothing before the first common token is common, so this many can be.
+        common = 1 + F.least(n - F.array_position(f"lp_{s}", t), m - F.array_position(f"rp_{s}", t))
+        pairs = pairs.filter(sized & here & (common * (THRESHOLD_NUMERATOR + THRESHOLD_DENOMINATOR) >= (n + m) * THRESHOLD_NUMERATOR))
+    return pairs.select("l", "r")
 
 
 def similar_pairs(compared: DataFrame, block: tuple[str, ...] = BLOCK, first: str = "reactions", second: str | None = "drugs", rarest: bool = True, among: DataFrame | None = None) -> DataFrame:
@@ -121,7 +143,7 @@ def similar_pairs(compared: DataFrame, block: tuple[str, ...] = BLOCK, first: st
     Rows with the same ``caseid`` never pair (where there is such a column). It is exact and nothing is
     capped, so equal rows should be made one beforehand. ``among``: the candidates, if there already.
     """
-    pairs = candidates(compared, block, first, rarest) if among is None else among
+    pairs = candidates(compared, block, first, rarest, second) if among is None else among
     own = [c for c in ("caseid", first, second) if c and c in compared.columns]
     side = {s: compared.select(F.col("primaryid").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in own)) for s in "lr"}
     pairs = pairs.join(side["l"], "l").join(side["r"], "r")
@@ -149,7 +171,7 @@ def similar(compared: DataFrame) -> Similar:
     sets = keyed.groupBy("_key").agg(F.min("primaryid").alias("primaryid"), *(F.any_value(c).alias(c) for c in (*BLOCK, "drugs", "reactions")))
     sets = written(sets, "classes")
     rows = written(keyed.join(sets.select("_key", F.col("primaryid").alias("class_id")), "_key").select("primaryid", "caseid", "quarter", "fda_dt", "class_id"), "rows")
-    among = written(candidates(sets), "candidates")
+    among = written(candidates(sets, second="drugs"), "candidates")
     links = written(similar_pairs(sets, among=among).select("l", "r", "drugs_jaccard", "reactions_jaccard"), "links")
     own = sets.filter((F.size("drugs") > 0) & (F.size("reactions") > 0)).select("primaryid", F.col("primaryid").alias("other"), F.lit(1.0), F.lit(1.0))
     both = links.union(links.select("r", "l", "drugs_jaccard", "reactions_jaccard")).union(own)

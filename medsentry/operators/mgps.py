@@ -1,12 +1,14 @@
-"""Gamma-Poisson shrinkage: squashing in Spark, fitting on the driver, scoring in Spark.
+"""Gamma-Poisson shrinkage: squashing, fitting and scoring in Spark.
 
 The zero-truncated likelihood depends on a pair only through its count and expected count, so
-millions of pairs become weighted points before they reach the driver.
+millions of pairs become weighted points. Their likelihood and its derivatives are sums of Column
+expressions, so of each step of a fit six numbers a search reach the driver, however many points there
+are. Searches begin where a coarse grid of the points, of bounded size, has its optimum and curvature.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Generator, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,8 +26,8 @@ LOW = np.array([1e-6, 1e-6, 1e-6, 1e-6, 1e-6])
 HIGH = np.array([1e4, 1e4, 1e4, 1e4, 1 - 1e-6])
 STARTS = ((0.2, 0.1, 2.0, 4.0, 1 / 3), (0.5, 0.5, 2.0, 2.0, 0.1), (1.0, 1.0, 3.0, 3.0, 0.2), (2.0, 0.5, 2.0, 2.0, 0.1))
 BIN, KEEP, MIN_BINS, SQUASH_FROM = 300, 10, 50, 100_000
-#: Bins grow beyond this many pairs, so that about a million and a half points reach the driver at most.
-PAIRS = 450_000_000
+#: Cells an octave of the coarse grid. Counts and expected counts of 60 octaves make 230,000 cells at most; real tables fill some thousands.
+OCTAVE = 8
 BISECTIONS, CEILING = 100, 1e18
 
 
@@ -127,45 +129,104 @@ def log_likelihood(table: DataFrame, prior: Prior, weight: str | None = None) ->
     return parts.agg(F.sum("w").cast("bigint").alias("pairs"), F.sum(F.col("w") * (high + F.log1p(F.exp(F.least("l1", "l2") - high)))).alias("log_likelihood"))
 
 
-def minimize(f, start: np.ndarray, fixed: np.ndarray | None = None, steps: int = 500) -> tuple[np.ndarray, float, int, bool]:
-    """Bounded quasi-Newton search in log (and, for p, logit) coordinates: (theta, value, iterations, converged).
+_CONSTANTS = [f"{x}{i}" for i in (1, 2) for x in ("shape", "rate", "gamma", "psi")]
+
+
+def _slopes() -> tuple[list[dict[str, Column]], list[Column]]:
+    """Columns for derivatives(), stage by stage, and their sums. They name no theta, so a fit makes them once."""
+    a, e, stages = F.col("a"), F.col("e"), []
+    for i in (1, 2):
+        shape, rate, log_p, log_zero, survive = F.col(f"t.shape{i}"), F.col(f"t.rate{i}"), F.col(f"log_p{i}"), F.col(f"log_zero{i}"), F.col(f"survive{i}")
+        stages.append({f"log_p{i}": F.log(rate) - F.log(e + rate)})
+        stages.append({f"log_zero{i}": shape * log_p})
+        stages.append({f"survive{i}": F.greatest(-F.expm1(log_zero), F.lit(1e-300))})
+        slope, odds = e / (rate * (rate + e)), F.exp(log_zero) / survive
+        own = F.log("t.p") if i == 1 else F.log1p(-F.col("t.p"))
+        density = lgamma(a + shape) - F.col(f"t.gamma{i}") - lgamma(a + 1) + log_zero + a * (F.log(e) - F.log(e + rate)) - F.log(survive)
+        stages.append({f"l{i}": own + density, f"by_shape{i}": digamma(a + shape) - F.col(f"t.psi{i}") + log_p * (odds + 1), f"by_rate{i}": shape * slope * (odds + 1) - a / (rate + e)})
+    high = F.greatest("l1", "l2")
+    stages.append({"total": high + F.log1p(F.exp(F.least("l1", "l2") - high))})
+    stages.append({f"u{i}": F.col("w") * F.exp(F.col(f"l{i}") - F.col("total")) for i in (1, 2)})
+    sums = [F.sum("w").cast("bigint").alias("pairs"), F.sum(F.col("w") * F.col("total")).alias("log_likelihood")]
+    sums += [F.sum(F.col(f"u{i}") * F.col(f"by_{x}{i}")).alias(f"by_{n}{i}") for i in (1, 2) for x, n in (("shape", "alpha"), ("rate", "beta"))]
+    return stages, [*sums, F.sum(F.col("u1") / F.col("t.p") - F.col("u2") / (1 - F.col("t.p"))).alias("by_p")]
+
+
+def derivatives(table: DataFrame, thetas: list[np.ndarray], weight: str | None = None, columns: tuple[list[dict[str, Column]], list[Column]] | None = None) -> DataFrame:
+    """A row a theta (k): pairs, log_likelihood and its five derivatives (by_alpha1 ...) of a table (a, expected), truncated at zero.
+
+    The thetas are data, not code, so a fit compiles its aggregate once. A row of the table becomes one
+    for each theta inside the task and is summed there.
+    """
+
+    def constants(theta: np.ndarray) -> list[float]:
+        return [float(x) for i in (0, 2) for x in (theta[i], theta[i + 1], np_lgamma(theta[i]), np_digamma(theta[i]))]
+
+    values = ", ".join("named_struct('k', " + ", ".join([str(k), *(f"'{n}', {v!r}D" for n, v in zip([*_CONSTANTS, "p"], [*constants(t), float(t[4])], strict=True))]) + ")" for k, t in enumerate(thetas))
+    weighted = F.lit(1.0) if weight is None else F.col(weight)
+    rows = table.select(F.col("a").cast("double").alias("a"), F.col("expected").alias("e"), weighted.alias("w"), F.explode(F.expr(f"array({values})")).alias("t"))
+    stages, sums = columns or _slopes()
+    for stage in stages:
+        rows = rows.withColumns(stage)
+    return rows.groupBy(F.col("t.k").alias("k")).agg(*sums)
+
+
+#: What a search asks for (some thetas), what it is told (value and gradient of each), and its end: (theta, value, iterations, converged).
+Search = Generator[list[np.ndarray], list[tuple[float, np.ndarray]], tuple[np.ndarray, float, int, bool]]
+
+
+def _to(x: np.ndarray) -> np.ndarray:
+    return np.append(np.log(x[:4]), np.log(x[4] / (1 - x[4])))
+
+
+def _back(y: np.ndarray) -> np.ndarray:
+    return np.append(np.exp(y[:4]), 1 / (1 + np.exp(-y[4])))
+
+
+def search(start: np.ndarray, fixed: np.ndarray | None = None, steps: int = 500, curvature: Callable[[np.ndarray], np.ndarray] | None = None, fan: int = 1, still: float = 1e-11) -> Search:
+    """Bounded quasi-Newton search in log (and, for p, logit) coordinates.
 
     The coordinates make the scales alike; a step is projected on the bounds, and coordinates held at a
-    bound by their gradient leave the quasi-Newton update until it turns.
+    bound by their gradient leave the quasi-Newton update until it turns. ``curvature`` gives second
+    derivatives at a theta, in these coordinates: with it the steps are Newton's, with its directions of
+    no or negative curvature turned downhill. ``fan`` step lengths are asked for at once. A step that
+    gains a share of ``still`` or less is the last one.
     """
-    to = lambda x: np.append(np.log(x[:4]), np.log(x[4] / (1 - x[4])))
-    back = lambda y: np.append(np.exp(y[:4]), 1 / (1 + np.exp(-y[4])))
+    to, back = _to, _back
     lo, hi = to(LOW), to(HIGH)
     hold = np.zeros(5, bool) if fixed is None else fixed
 
-    def at(y):
-        x = np.clip(back(y), LOW, HIGH)
-        v, g = f(x)
-        g = g * np.append(x[:4], x[4] * (1 - x[4]))
-        g[hold] = 0
-        return v, g
+    def at(*ys):
+        xs = [np.clip(back(y), LOW, HIGH) for y in ys]
+        told = yield xs
+        return [(v, np.where(hold, 0, g * np.append(x[:4], x[4] * (1 - x[4])))) for x, (v, g) in zip(xs, told, strict=True)]
 
     y = np.clip(to(np.clip(start, LOW, HIGH)), lo, hi)
-    v, g = at(y)
+    ((v, g),) = yield from at(y)
     h = np.eye(5) / max(1.0, np.abs(g).max())
     for k in range(1, steps + 1):
         free = ~hold & ~((y <= lo + 1e-12) & (g > 0)) & ~((y >= hi - 1e-12) & (g < 0))
         if not free.any() or np.abs(g[free]).max() <= 1e-7 * max(1.0, abs(v)):
             return np.clip(back(y), LOW, HIGH), v, k, True
         d = np.zeros(5)
-        d[free] = -h[np.ix_(free, free)] @ g[free]
+        if curvature is not None:
+            values, vectors = np.linalg.eigh(curvature(np.clip(back(y), LOW, HIGH))[np.ix_(free, free)])
+            values = np.maximum(np.abs(values), 1e-7 * np.abs(values).max() + 1e-300)
+            d[free] = -vectors @ (vectors.T @ g[free] / values)
+        else:
+            d[free] = -h[np.ix_(free, free)] @ g[free]
         if d @ g >= 0:
             d = np.where(free, -g, 0) / max(1.0, np.abs(g).max())
             h = np.eye(5) / max(1.0, np.abs(g).max())
         d *= min(1.0, 4 / np.abs(d).max())
         t, done = 1.0, False
-        while t > 1e-12:
-            new = np.clip(y + t * d, lo, hi)
-            nv, ng = at(new)
-            if np.isfinite(nv) and nv <= v + 1e-4 * (g @ (new - y)):
-                done = True
-                break
-            t /= 2
+        while t > 1e-12 and not done:
+            tries = [np.clip(y + t / 2**i * d, lo, hi) for i in range(fan)]
+            for new, (nv, ng) in zip(tries, (yield from at(*tries)), strict=True):
+                if np.isfinite(nv) and nv <= v + 1e-4 * (g @ (new - y)):
+                    done = True
+                    break
+            t /= 2**fan
         if not done:
             return np.clip(back(y), LOW, HIGH), v, k, np.abs(g[free]).max() <= 1e-4 * max(1.0, abs(v))
         s, q = new - y, ng - g
@@ -173,17 +234,59 @@ def minimize(f, start: np.ndarray, fixed: np.ndarray | None = None, steps: int =
             r = 1 / (s @ q)
             i = np.eye(5) - r * np.outer(s, q)
             h = i @ h @ i.T + r * np.outer(s, s)
-        small = abs(v - nv) <= 1e-11 * max(1.0, abs(v))
+        small = abs(v - nv) <= still * max(1.0, abs(v))
         y, v, g = new, nv, ng
         if small:
             return np.clip(back(y), LOW, HIGH), v, k, True
     return np.clip(back(y), LOW, HIGH), v, steps, False
 
 
-def fit_points(n: np.ndarray, e: np.ndarray, w: np.ndarray, allow_boundary: bool = False, n_pairs: int | None = None) -> Prior:
-    """The best of the fixed starts. No convergence raises, and so does an optimum on a bound unless allowed."""
-    same = np.unique(n, return_inverse=True)
-    found = [minimize(lambda t: nll(t, n, e, w, same), np.array(s)) for s in STARTS]
+def minimize(f: Callable, start: np.ndarray, fixed: np.ndarray | None = None, steps: int = 500) -> tuple[np.ndarray, float, int, bool]:
+    """A search over a function of this process: (theta, value, iterations, converged)."""
+    running = search(start, fixed, steps)
+    try:
+        asked = next(running)
+        while True:
+            asked = running.send([f(t) for t in asked])
+    except StopIteration as end:
+        return end.value
+
+
+def minimize_together(rows: DataFrame, searches: list[Search]) -> list[tuple[np.ndarray, float, int, bool]]:
+    """Searches over the points (a, expected, weight) of a table, side by side: each round is one aggregate for all that still run."""
+    ends: list = [None] * len(searches)
+    asked = {k: next(s) for k, s in enumerate(searches)}
+    columns = _slopes()
+    while asked:
+        thetas = [t for k in asked for t in asked[k]]
+        told = {r.k: r for r in derivatives(rows, thetas, "weight", columns).collect()}  # a row a theta
+        nothing = (0.0, np.zeros(5))
+        value = [(-told[i].log_likelihood, -np.array([told[i][f"by_{n}"] for n in NAMES])) if i in told else nothing for i in range(len(thetas))]
+        at = 0
+        for k in list(asked):
+            own, at = value[at : at + len(asked[k])], at + len(asked[k])
+            try:
+                asked[k] = searches[k].send(own)
+            except StopIteration as end:
+                ends[k] = end.value
+                del asked[k]
+    return ends
+
+
+def curvature(f: Callable, theta: np.ndarray, step: float = 1e-4) -> np.ndarray:
+    """Second derivatives of ``f`` in the search's coordinates, by differences of its gradient."""
+
+    def slope(y):
+        x = np.clip(_back(y), LOW, HIGH)
+        return f(x)[1] * np.append(x[:4], x[4] * (1 - x[4]))
+
+    y = _to(np.clip(theta, LOW, HIGH))
+    h = np.array([(slope(y + d) - slope(y - d)) / (2 * step) for d in np.eye(5) * step])
+    return (h + h.T) / 2
+
+
+def _prior(found: list, allow_boundary: bool, n_pairs: int, n_rows: int) -> Prior:
+    """The best of the searches that converged. None raises, and so does an optimum on a bound unless allowed."""
     good = [x for x in found if x[3]]
     if not good:
         raise EstimatorConvergenceError("no start of the gamma mixture converged")
@@ -191,20 +294,52 @@ def fit_points(n: np.ndarray, e: np.ndarray, w: np.ndarray, allow_boundary: bool
     bound = tuple(k for k, x, a, b in zip(NAMES, theta, LOW, HIGH, strict=True) if x <= a * (1 + 1e-6) or x >= b * (1 - 1e-6))
     if bound and not allow_boundary:
         raise EstimatorConvergenceError(f"the fit ended on a bound in {', '.join(bound)}; allow_boundary accepts it as provisional")
-    return Prior(*map(float, theta), nll=value, iterations=steps, n_pairs=int(n_pairs if n_pairs is not None else w.sum()), n_fitted_rows=len(n), on_boundary=bound)
+    return Prior(*map(float, theta), nll=value, iterations=steps, n_pairs=n_pairs, n_fitted_rows=n_rows, on_boundary=bound)
+
+
+def fit_points(n: np.ndarray, e: np.ndarray, w: np.ndarray, allow_boundary: bool = False) -> Prior:
+    """The best of the fixed starts over points of this process."""
+    same = np.unique(n, return_inverse=True)
+    return _prior([minimize(lambda t: nll(t, n, e, w, same), np.array(s)) for s in STARTS], allow_boundary, int(w.sum()), len(n))
+
+
+def points(table: DataFrame, squash_from: int = SQUASH_FROM) -> DataFrame:
+    """The weighted points (a, expected, weight) of a table, in the shared folder; squashed above ``squash_from`` pairs."""
+    if table.count() > squash_from:
+        return written(squash(table), "points")
+    return written(table.groupBy(F.col("a").cast("double").alias("a"), "expected").agg(F.count("*").cast("double").alias("weight")), "points")
 
 
-def points(table: DataFrame, squash_from: int = SQUASH_FROM) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """The weighted points of a table on the driver; squashed above ``squash_from`` pairs."""
-    total = table.count()
-    rows = squash(table, max(BIN, -(-total * BIN // PAIRS))) if total > squash_from else table.groupBy(F.col("a").cast("double").alias("a"), "expected").agg(F.count("*").cast("double").alias("weight"))
-    pdf = rows.toPandas()
-    return pdf.a.to_numpy(), pdf.expected.to_numpy(), pdf.weight.to_numpy(), total
+#: A search over a table: a round is a job, so steps of 1 to 1/32 are tried in one.
+_FAR = {"fan": 6, "still": 1e-9}
 
 
-def fit(table: DataFrame, allow_boundary: bool = False) -> Prior:
-    n, e, w, total = points(table)
-    return fit_points(n, e, w, allow_boundary, total)
+def coarse(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Points summed up in cells of about a tenth of their size: as many as octaves allow, however many points there are."""
+    cell = lambda x: F.round(F.log2(x) * OCTAVE)
+    mean = lambda x: (F.sum(F.col(x) * F.col("weight")) / F.sum("weight")).alias(x)
+    pdf = rows.groupBy(cell("a").alias("i"), cell("expected").alias("j")).agg(mean("a"), mean("expected"), F.sum("weight").alias("weight")).toPandas()
+    return tuple(pdf[c].to_numpy(float) for c in ("a", "expected", "weight"))
+
+
+def fit(table: DataFrame, allow_boundary: bool = False, squash_from: int = SQUASH_FROM) -> Prior:
+    """The best optimum over all points of the table, found from those of its coarse grid.
+
+    Every start's optimum on the grid whose likelihood is within 1e-4 of the best one's is searched
+    on, once if several agree; where the grid gives none the fixed starts are.
+    """
+    rows = points(table, squash_from)
+    n, e, w = coarse(rows)
+    same = np.unique(n, return_inverse=True)
+    local = lambda t: nll(t, n, e, w, same)
+    near = sorted((x for x in (minimize(local, np.array(s)) for s in STARTS) if x[3]), key=lambda x: x[1])
+    starts: list[np.ndarray] = []
+    for theta, value, _, _ in near:
+        if value <= near[0][1] + 1e-4 * abs(near[0][1]) and all(np.abs(_to(theta) - _to(t)).max() > 0.01 for t in starts):
+            starts.append(theta)
+    searches = [search(t, curvature=lambda x: curvature(local, x), **_FAR) for t in starts] or [search(np.array(s), **_FAR) for s in STARTS]
+    size = rows.agg(F.count("*"), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+    return _prior(minimize_together(rows, searches), allow_boundary, round(size[1]), size[0])
 
 
 def profile(n: np.ndarray, e: np.ndarray, w: np.ndarray, name: str, grid: list[float], start: np.ndarray) -> list[dict]:
@@ -222,6 +357,17 @@ def profile(n: np.ndarray, e: np.ndarray, w: np.ndarray, name: str, grid: list[f
     return out
 
 
+def profile_of(rows: DataFrame, name: str, grid: list[float], start: np.ndarray) -> list[dict]:
+    """The same over the points of a table: both sweeps of its coarse grid give a start at each grid point, and all are searched on side by side."""
+    n, e, w = coarse(rows)
+    same, hold = np.unique(n, return_inverse=True), np.arange(5) == NAMES.index(name)
+    sweeps = profile(n, e, w, name, grid, start)
+    local = lambda t: nll(t, n, e, w, same)
+    searches = [search(np.array(r["theta"]), hold, curvature=lambda x: curvature(local, x), **_FAR) for r in sweeps]
+    ends = minimize_together(rows, searches)
+    return [r | {"nll": v, "iterations": r["iterations"] + steps, "theta": theta.tolist()} for r, (theta, v, steps, ok) in zip(sweeps, ends, strict=True) if ok]
+
+
 def qn(prior: Prior) -> Column:
     """Posterior weight of the first component."""
     a, e = F.col("a").cast("double"), F.col("expected")

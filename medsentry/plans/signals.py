@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .. import __version__
 from ..errors import EngineError
 from ..operators import contingency, estimators, mgps
+from ..operators.ranks import order_statistics
 from ..sources.store import load_json, save_json
 from ..storage import exists, names, written
 
@@ -48,13 +49,14 @@ def ic_divergence(scored: DataFrame) -> DataFrame:
     gap = F.abs(F.col("ic_observed_expected") - F.col("ic"))
     rows = scored.filter((F.col("ic_observed_expected") > float("-inf")) & (F.col("ic_observed_expected") < float("inf"))).select(gap.alias("gap"))
     zero = lambda x: F.coalesce(x, F.lit(0.0))
-    return rows.agg(zero(F.max("gap")).alias("max_gap"), zero(F.median("gap")).alias("median_gap"), zero(F.avg((F.col("gap") > 1).cast("double"))).alias("share_above_one"))
+    sums = rows.agg(zero(F.max("gap")).alias("max_gap"), zero(F.avg((F.col("gap") > 1).cast("double"))).alias("share_above_one"))
+    middle = order_statistics(rows, "gap", {"median_gap": 0.5})
+    return sums.join(middle, F.lit(True)).select("max_gap", zero(F.col("median_gap")).alias("median_gap"), "share_above_one")  # one row each
 
 
 def quantiles(scored: DataFrame, column: str) -> DataFrame:
     """One row of p50, p90, p99 and the maximum over pairs with enough reports."""
-    q = F.percentile(column, F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
-    return scored.filter("not insufficient").agg(q.alias("q"), F.max(column).alias("max")).select(F.col("q")[0].alias("p50"), F.col("q")[1].alias("p90"), F.col("q")[2].alias("p99"), "max")
+    return order_statistics(scored.filter("not insufficient"), column, {"p50": 0.5, "p90": 0.9, "p99": 0.99, "max": 1.0})
 
 
 def new_run_id(root: str | Path) -> str:
@@ -134,10 +136,9 @@ def diagnose(spark: SparkSession, root: str, run_id: str, prior: mgps.Prior, par
     bound and at the best point and the flagged pairs are counted at both.
     """
     scored = read_run(spark, root, run_id)
-    n, e, w, _ = mgps.points(scored)
     k = mgps.NAMES.index(parameter)
     grid = [float(mgps.LOW[k] * (1e4 if parameter != "p" else 1e3) ** (i / (points - 1))) for i in range(points)]
-    rows = mgps.profile(n, e, w, parameter, grid, prior.theta)
+    rows = mgps.profile_of(mgps.points(scored), parameter, grid, prior.theta)
     best = min(rows, key=lambda r: r["nll"])
     at_bound = min((r for r in rows if r["value"] == grid[0]), key=lambda r: r["nll"], default=None)
     if at_bound is None:

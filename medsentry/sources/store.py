@@ -21,6 +21,17 @@ def write_quarter(df: DataFrame, root: str, name: str, quarter: str) -> None:
     df.select(*own).write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/{name}/quarter={quarter}")
 
 
+def replace_quarters(df: DataFrame, root: str, name: str) -> None:
+    """Replace the partitions of all quarters that ``df`` (with its column ``quarter``) has, in one job; others stay.
+
+    Rows are dealt by quarter, and large quarters are split by their size, so a quarter becomes a few files.
+    New partitions take the place of the old ones when the whole job has succeeded.
+    """
+    own = [f.name for f in DATASETS[name] if f.name != "quarter"]
+    rows = df.select(*own, "quarter").hint("rebalance", "quarter")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("quarter").parquet(f"{root}/{name}")
+
+
 def read_dataset(spark: SparkSession, root: str, name: str) -> DataFrame:
     """A dataset with its declared schema, so columns that old partitions lack are null."""
     if name not in DATASETS:

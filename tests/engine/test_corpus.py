@@ -127,6 +127,28 @@ def test_similarity_join_is_exact(spark, rarest):
     assert {(r.l, r.r) for r in dedup.similar_pairs(df, rarest=rarest).collect()} == want and want
 
 
+def test_one_common_reaction_makes_no_candidates(spark):
+    """50,000 classes of one block that share their only reaction, with disjoint drugs; and some that really are alike."""
+    rows = spark.range(50_000).selectExpr("id as primaryid", "'F' as sex", "40.0 as age_r", "'US' as country", "array('NAUSEA') as reactions", "array(concat('D', id), concat('E', id)) as drugs")
+    assert dedup.candidates(rows, second="drugs").count() == 0
+    alike = rows.filter("primaryid < 3").selectExpr("primaryid + 90000 as primaryid", "sex", "age_r", "country", "reactions", "drugs")
+    assert {tuple(r) for r in dedup.candidates(rows.unionByName(alike), second="drugs").collect()} == {(i, i + 90000) for i in range(3)}
+
+
+@pytest.mark.parametrize("rarest", [True, False])
+@pytest.mark.parametrize("second", ["drugs", None])
+def test_candidates_lose_no_similar_pair(spark, rarest, second):
+    rng = random.Random(5)
+    near = lambda a, b: bool(a and b) and 5 * len({*a} & {*b}) >= 4 * len({*a} | {*b})
+    base = [[f"t{i}" for i in rng.sample(range(40), rng.randint(1, 14))] for _ in range(25)]
+    change = lambda s: sorted({*s} - {rng.choice(s)} | ({f"t{rng.randrange(40)}"} if rng.random() < 0.5 else set())) if rng.random() < 0.6 else sorted(s)
+    sets = {i: (change(base[i % 25]), change(base[(i * 3) % 25])) for i in range(200)}
+    df = spark.createDataFrame([(i, "F", 40.0, "US", *s) for i, s in sets.items()], "primaryid bigint, sex string, age_r double, country string, drugs array<string>, reactions array<string>")
+    want = {(i, j) for i, j in itertools.combinations(sets, 2) if near(sets[i][1], sets[j][1]) and (not second or near(sets[i][0], sets[j][0]))}
+    got = [tuple(r) for r in dedup.candidates(df, rarest=rarest, second=second).collect()]
+    assert want and want <= {*got} and len({*got}) == len(got) and len(got) < 200 * 199 / 4
+
+
 def test_chains(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1), (5, 6), (7, 6)], "primaryid bigint, canonical_primaryid bigint")
     rows = {r.node: (r.root, r.component, r.on_cycle, r.closed) for r in chains.resolve(edges).collect()}

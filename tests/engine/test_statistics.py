@@ -196,3 +196,72 @@ def test_log_likelihood_in_spark(spark):
     got = mgps.log_likelihood(rows, prior, "weight").first()
     want = -mgps.nll(prior.theta, n.astype(float), e, w.astype(float))[0]
     assert got.pairs == w.sum() and abs(got.log_likelihood - want) < 1e-6 * abs(want)
+
+
+# --- fits and profiles over tables ---
+
+
+def test_fit_of_a_table_is_the_fit_of_its_points(spark):
+    n, e, _ = simulated(8000)
+    rows = spark.createDataFrame([(int(a), float(b)) for a, b in zip(n, e, strict=True)], "a bigint, expected double")
+    every, one = mgps.fit_points(n, e, np.ones(len(n))), mgps.fit(rows)
+    assert one.nll == pytest.approx(every.nll, rel=1e-9) and one.theta == pytest.approx(every.theta, rel=1e-2)
+    assert one.n_pairs == one.n_fitted_rows == len(n) and not one.on_boundary
+    squashed = mgps.fit(rows, squash_from=100)
+    assert squashed.n_pairs == len(n)
+
+
+def test_derivatives_in_spark(spark):
+    rng = np.random.default_rng(4)
+    n, e, w = rng.integers(1, 60, 90), rng.uniform(0.01, 40, 90), rng.integers(1, 9, 90)
+    rows = spark.createDataFrame([(int(a), float(b), float(c)) for a, b, c in zip(n, e, w, strict=True)], "a bigint, expected double, weight double").repartition(4)
+    thetas = [np.array(t) for t in ((0.2, 0.06, 1.4, 1.8, 0.1), (1e-6, 1e-6, 50.0, 1e4, 1 - 1e-6), (3.0, 2.0, 0.5, 0.5, 0.5))]
+    got = {r.k: r for r in mgps.derivatives(rows, thetas, "weight").collect()}
+    for k, t in enumerate(thetas):
+        v, g = mgps.nll(t, n.astype(float), e, w.astype(float))
+        assert -got[k].log_likelihood == pytest.approx(v, rel=1e-9)
+        assert [-got[k][f"by_{x}"] for x in mgps.NAMES] == pytest.approx(g.tolist(), rel=1e-6, abs=1e-6)
+    assert mgps.derivatives(rows.limit(0), thetas).collect() == []
+
+
+def test_boundary_of_a_table(spark):
+    rows = spark.createDataFrame([(2, 2.0)] * 3000, "a bigint, expected double")
+    with pytest.raises(EstimatorConvergenceError):
+        mgps.fit(rows)
+    assert mgps.fit(rows, allow_boundary=True).on_boundary
+
+
+def test_profile_of_a_table(spark):
+    n, e, _ = simulated(1500)
+    w, grid, start = np.ones(len(n)), [0.2, 0.5, 1.0], np.array([0.5, 0.4, 2.2, 2.0, 0.3])
+    rows = spark.createDataFrame([(float(a), float(b), 1.0) for a, b in zip(n, e, strict=True)], "a double, expected double, weight double")
+    want = {(r["direction"], r["value"]): r["nll"] for r in mgps.profile(n, e, w, "alpha1", grid, start)}
+    got = {(r["direction"], r["value"]): r["nll"] for r in mgps.profile_of(rows, "alpha1", grid, start)}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-6) for k in want)
+
+
+# --- order statistics ---
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.sampled_from([0.0, 1.5, -2.0]), st.floats(-1e6, 1e6)), max_size=60), st.floats(0, 1))
+def test_order_statistics(spark, values, share):
+    from medsentry.operators.ranks import order_statistics
+
+    df = spark.createDataFrame([(v,) for v in values], "x double").repartition(3)
+    got = order_statistics(df, "x", {"low": 0.0, "some": share, "high": 1.0}).collect()
+    assert len(got) == 1
+    known = [v for v in values if v is not None]
+    if not known:
+        assert tuple(got[0]) == (None, None, None)
+    else:
+        assert tuple(got[0]) == pytest.approx(np.quantile(known, [0, share, 1]).tolist(), rel=1e-9, abs=1e-6)
+
+
+def test_order_statistics_have_no_percentile(spark):
+    from medsentry.operators.ranks import order_statistics
+
+    df = spark.range(30_000).selectExpr("cast(if(id % 3 = 0, 7, id) as double) as x")
+    out = order_statistics(df, "x", {"p50": 0.5, "p99": 0.99})
+    assert out.first().asDict() == pytest.approx(dict(zip(("p50", "p99"), np.quantile([7.0 if i % 3 == 0 else i for i in range(30_000)], [0.5, 0.99]).tolist(), strict=True)))
+    assert "percentile" not in out._jdf.queryExecution().toString()
