@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from ..operators import chains, dedup, parse
 from ..sources import files, store
 from ..sources.quarter import Quarter
 from ..sources.schema import TABLE_OF
-from ..storage import written
+from ..storage import delete, shared_dir, written
 
 
 def ingest_quarter(spark: SparkSession, folder: str | Path, root: str, quarter: Quarter, tables: tuple[str, ...] | None = None) -> dict:
@@ -42,16 +43,18 @@ def ingest_quarter(spark: SparkSession, folder: str | Path, root: str, quarter:
 
 def ingest_archive(spark: SparkSession, archive: str, root: str, quarter: Quarter, manifest: store.Manifest, force: bool = False) -> dict | None:
     """Ingest a zip archive under the manifest: skipped (None) if it is done and unchanged, recorded if it fails."""
-    checksum = files.check_archive(archive, least=0)
+    size, checksum, _ = files.inspected(spark, archive)
     if not manifest.should_ingest(quarter.label, checksum, force):
         return None
-    manifest.start(quarter.label, checksum, size=Path(archive).stat().st_size)
+    manifest.start(quarter.label, checksum, size=size)
+    at = f"{shared_dir(spark)}/archive-{uuid.uuid4().hex}"
     try:
-        with files.staged(archive) as folder:
-            report = ingest_quarter(spark, folder, root, quarter)
+        report = ingest_quarter(spark, files.unpacked(spark, archive, at), root, quarter)
     except Exception as e:
         manifest.fail(quarter.label, str(e)[:500])
         raise
+    finally:
+        delete(at)
     manifest.complete(quarter.label, report["rows"], report["had_deleted_file"])
     return report
 

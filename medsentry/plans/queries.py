@@ -683,13 +683,21 @@ _LINES = _RAW + ", f AS (SELECT k, CASE WHEN k % 23 = 0 THEN 'old' ELSE CAST(k %
 
 @query(_LINES + "SELECT CAST(k AS VARCHAR) AS primaryid, age, sex, event_dt_raw FROM f")
 def source_delimited(c):
-    """Raw rows written as an extract's file with its declared header, and read by the scan."""
+    """Raw rows written as an extract's files with the declared header, and read by the scan."""
     fields, rows = source_fields("DEMO", Quarter(2026, 2)), _raw_demo(c)
     at = _folder(c, "extract")
     out = rows.select(*((F.col(f.name) if f.name in rows.columns else F.lit(None).cast("string")).alias(f.source) for f in fields))
-    out.coalesce(1).write.csv(at, sep="$", header=True, quote="", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    file = next(n for n in names(at) if n.endswith(".csv"))
-    return files.read_table(c.spark, f"{at}/{file}".removeprefix("file:"), "DEMO", Quarter(2026, 2)).select("primaryid", "age", "sex", "event_dt_raw")
+    out.write.csv(at, sep="$", header=True, quote="", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return files.read_table(c.spark, at, "DEMO", Quarter(2026, 2)).select("primaryid", "age", "sex", "event_dt_raw")
+
+
+@query("SELECT o_orderkey % 6 AS kind, count(*) AS lines, CASE o_orderkey % 6 WHEN 0 THEN 'ascii' WHEN 1 THEN 'utf-8' WHEN 5 THEN NULL ELSE 'cp1252' END AS encoding FROM orders GROUP BY ALL")
+def source_encodings(c):
+    """Text files of six kinds: ASCII; UTF-8 of one to four bytes; CP1252; sequences cut by a line's end; overlong ones; bytes of no encoding."""
+    at, key = _folder(c, "encodings"), F.col("o_orderkey")
+    tail = F.element_at(F.array(*(F.unhex(F.lit(x)) for x in ("41", "C3A9E8AA9EF09F9880", "E9", "C3", "C0AF", "81"))), (key % 6 + 1).cast("int"))
+    c.table("orders").select((key % 6).alias("kind"), F.concat(key.cast("string").cast("binary"), tail).cast("string").alias("value")).write.partitionBy("kind").text(at)
+    return files.encodings(c.spark.read.text(at), "kind").select(F.col("kind").cast("bigint").alias("kind"), "lines", "encoding")
 
 
 @query(", l AS (SELECT CASE c_custkey % 3 WHEN 0 THEN concat(' ', c_custkey, chr(9)) WHEN 1 THEN CAST(c_custkey AS VARCHAR) ELSE concat('x', c_custkey) END AS line FROM customer) SELECT DISTINCT CAST(trim(line, concat(' ', chr(9))) AS BIGINT) AS caseid FROM l WHERE line NOT LIKE 'x%'")

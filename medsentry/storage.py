@@ -58,6 +58,25 @@ def names(path: str | Path) -> list[str]:
     return sorted(s.getPath().getName() for s in own[0].listStatus(own[1])) if own else sorted(p.name for p in Path(path).iterdir())
 
 
+def entries(path: str | Path) -> list[tuple[str, bool]]:
+    """(name, whether it is a folder) of what a folder holds, sorted; nothing if there is no such folder."""
+    own = _hadoop(path)
+    if own is None:
+        return sorted((p.name, p.is_dir()) for p in Path(path).iterdir()) if Path(path).is_dir() else []
+    if not own[0].exists(own[1]):
+        return []
+    return sorted((s.getPath().getName(), s.isDirectory()) for s in own[0].listStatus(own[1]))
+
+
+def move(a: str | Path, b: str | Path) -> None:
+    """Move a file or folder to a place where nothing is; folders above it are made."""
+    fs, source = _hadoop(a)
+    _, target = _hadoop(b)
+    fs.mkdirs(target.getParent())
+    if not fs.rename(source, target):
+        raise EngineError(f"{a} could not be moved to {b}")
+
+
 def delete(path: str | Path) -> None:
     """Delete a file or a folder with what it holds, if it is there."""
     own = _hadoop(path)

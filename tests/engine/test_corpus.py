@@ -4,6 +4,7 @@ import datetime as dt
 import itertools
 import json
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -449,8 +450,54 @@ def test_archives(spark, tmp_path):
         files.check_archive(archive)  # too small for a whole one
     with zipfile.ZipFile(tmp_path / "bad.zip", "w") as z:
         z.writestr("../out.txt", "x")
-    with pytest.raises(IngestError, match="leads out"), files.staged(tmp_path / "bad.zip"):
-        pass
+    with pytest.raises(IngestError, match="leads out"):
+        files.unpacked(spark, tmp_path / "bad.zip", str(tmp_path / "bad"))
+    (tmp_path / "no.zip").write_bytes(b"PK is not enough")
+    with pytest.raises(IngestError, match="not a complete archive"):
+        files.inspected(spark, tmp_path / "no.zip")
+
+
+def test_unpacked_members_keep_their_bytes(spark, tmp_path):
+    """CRLF and LF, CP1252 bytes, no line end at the end, empty members and folders, long members in order."""
+    import zipfile
+
+    long = b"\n".join(b"%d$\xe9" % i for i in range(300_000))
+    parts = {"ascii/DEMO26Q2.txt": b"a$b\r\n1$\xe9\x80\r\n", "ascii/REAC26Q2.TXT": long, "Deleted/DELETE26Q2.txt": b"\n10\n20", "ascii/EMPTY.txt": b"", "readme.pdf": b"x"}
+    with zipfile.ZipFile(tmp_path / "a.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.mkdir("ascii")
+        for name, content in parts.items():
+            z.writestr(name, content)
+    size, checksum, members = files.inspected(spark, tmp_path / "a.zip")
+    assert (size, checksum) == ((tmp_path / "a.zip").stat().st_size, files.checksum(tmp_path / "a.zip")) and set(members) == set(parts)
+    at = files.unpacked(spark, tmp_path / "a.zip", str(tmp_path / "out"))
+    read = lambda p: b"".join(f.read_bytes() for f in sorted(Path(p).glob("part-*")))
+    assert read(files.find_file(at, "DEMO")) == parts["ascii/DEMO26Q2.txt"] and read(files.find_file(at, "REAC")) == long + b"\n"
+    assert {r.caseid for r in files.read_deleted(spark, files.find_deleted(at)).collect()} == {10, 20}
+    assert files.encoding_of(files.find_file(at, "REAC")) == "cp1252"
+
+
+def test_encodings_of_broken_and_cut_sequences(spark, tmp_path):
+    """Against Python's own decoders over the whole file, read in few and in many splits."""
+    import codecs
+
+    cases = [b"", b"plain\n", "Grün\n語\n😀".encode(), b"\xef\xbb\xbfbom\n", b"caf\xe9\n", b"cut \xc3\nnext\n", b"cut at the end \xe8\xaa", b"\xc0\xaf overlong", b"\xed\xa0\x80 surrogate", b"\xf4\x90\x80\x80 beyond", b"hole \x81", b"ok\r\n\x9d\r\n", "é".encode() * 50_000 + b"\n" + b"a" * 50_000 + b"\xe9"]
+    for k, content in enumerate(cases):
+        at = tmp_path / f"{k}.txt"
+        at.write_bytes(content)
+
+        def decodes(name, content=content):
+            try:
+                codecs.decode(content, name)
+                return True
+            except UnicodeDecodeError:
+                return False
+
+        want = next((n for n in files.ENCODINGS if decodes(n)), None) if not content.startswith(codecs.BOM_UTF8) else "ascii"
+        if want:
+            assert files.encoding_of(at) == want, content[:20]
+        else:
+            with pytest.raises(IngestError):
+                files.encoding_of(at)
 
 
 def test_command_line(spark, tmp_path, capsys):
