@@ -9,6 +9,7 @@ capitals are gone, and with them its names, is found too.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -130,6 +131,17 @@ class Text:
         return _EDGE.sub("", self.words[i].decode()).lower()
 
 
+def _places(literal: np.ndarray, form: np.ndarray, open_form: np.ndarray) -> dict[int, set[int]]:
+    """Where a text has each window hash, of any kind."""
+    out: dict[int, set[int]] = defaultdict(set)
+    for h in (literal, form):
+        for p, x in enumerate(h.tolist()):
+            out[x].add(p)
+    for p in np.nonzero(open_form != form)[0].tolist():
+        out[int(open_form[p])].add(p)
+    return out
+
+
 def _roll(x: np.ndarray, size: int) -> np.ndarray:
     n = len(x) - size + 1
     if n <= 0:
@@ -143,14 +155,16 @@ def _roll(x: np.ndarray, size: int) -> np.ndarray:
 class Matcher:
     """Finds the benchmark items that a text has whole or nearly whole.
 
-    An item of placeholders alone has no template to be known by; only its literal words find it.
+    A text with enough of an item's windows has one of its rarest few, so only those find it; windows that
+    many items share, such as a closing instruction, are looked at for items that are found. An item of
+    placeholders alone has no template to be known by; only its literal words find it.
     """
 
     def __init__(self, items: list[tuple[int, str]], window: int = WINDOW, contained: float = CONTAINED):
-        self.contained, self.words, self.items, self.total = contained, _words(), {}, {}
-        self.posts: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
-        #: Windows of placeholders alone, which any row of numbers fits: they find no item, but count where others do.
-        self.blank: dict[int, list] = defaultdict(list)
+        self.contained, self.words, self.names, self.items, self.total = contained, _words(), [], [], []
+        #: Of each item, (window, kind, hash, size) of what is searched for; and what any row of numbers fits, which counts only beside that.
+        self.own: list[list] = []
+        self.blank: list[list] = []
         for name, text in items:
             t = Text(text, self.words)
             size = min(window, len(t.words))
@@ -158,14 +172,35 @@ class Matcher:
                 continue
             slots, open_slots = ([t.value(i) if s else None for i, s in enumerate(x.tolist())] for x in (t.slot, t.open_slot))
             literal, form, open_form = (w.tolist() for w in t.windows(size))
-            self.items[name], self.total[name] = (slots, open_slots), len(literal)
+            own, blank = [], []
             for i, (a, b, c) in enumerate(zip(literal, form, open_form, strict=True)):
-                self.posts[size][a].append((name, i, 0))
+                own.append((i, 0, a, size))
                 for kind, h, known, slot in ((1, b, a, t.slot), (2, c, b, t.open_slot)):
-                    if h != known and slot[i : i + size].all():
-                        self.blank[name].append((i, kind, h, size))
-                    elif h != known:
-                        self.posts[size][h].append((name, i, kind))
+                    if h != known:
+                        (blank if slot[i : i + size].all() else own).append((i, kind, h, size))
+            self.names.append(name)
+            self.items.append((slots, open_slots))
+            self.total.append(len(literal))
+            self.own.append(own)
+            self.blank.append(blank)
+        self._index()
+
+    def _index(self) -> None:
+        """Post each item under the rarest of its windows that any text with enough of them must have one of."""
+        common = Counter(h for own in self.own for *_, h, _ in own)
+        self.posts: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
+        for k, (own, blank) in enumerate(zip(self.own, self.blank, strict=True)):
+            seen: dict[int, int] = defaultdict(int)
+            for i, _, h, _ in own:
+                seen[i] = max(seen[i], common[h])
+            anybody = {i for i, *_ in blank}
+            sure = sorted((n, i) for i, n in seen.items() if i not in anybody)
+            # Of the windows with words of their own so many are needed, if all the others are there.
+            least = math.ceil(self.contained * self.total[k] - 1e-9) - len(anybody)
+            anchors = {i for _, i in sure[: len(sure) - least + 1]} if least > 0 else set(seen)
+            for i, _, h, size in own:
+                if i in anchors:
+                    self.posts[size][h].append(k)
         self.filters = {}
         for size, posts in self.posts.items():
             bits = np.zeros(1 << 22, bool)
@@ -177,27 +212,34 @@ class Matcher:
         if not text or not self.items:
             return []
         t = Text(text, self.words)
-        found: dict[int, list] = defaultdict(list)
-        forms = {}
+        forms, found = {}, set()
         for size, posts in self.posts.items():
             literal, form, open_form = forms[size] = t.windows(size)
             changed = np.nonzero(open_form != form)[0]
-            for at, h in ((None, literal), (None, form), (changed, open_form[changed])):
+            for h in (literal, form, open_form[changed]):
                 maybe = np.nonzero(self.filters[size][(h & np.uint64((1 << 22) - 1)).astype(np.int64)])[0]
-                for p, x in zip((maybe if at is None else at[maybe]).tolist(), h[maybe].tolist(), strict=True):
-                    for name, i, kind in posts.get(x, ()):
-                        found[name].append((p, i, kind, size))
-        out = []
-        for name in found.keys() & self.blank.keys():
-            for start in {p - i for p, i, *_ in found[name]}:
-                for i, kind, h, size in self.blank[name]:
-                    if 0 <= start + i < len(forms[size][kind]) and forms[size][kind][start + i] == h:
-                        found[name].append((start + i, i, kind, size))
-        for name, hits in found.items():
-            need = self.contained * self.total[name] - 1e-9
-            if len({h[1] for h in hits}) >= need and (best := self._best(name, sorted(set(hits)), t)) >= need:
-                out.append((name, best / self.total[name]))
-        return sorted(out)
+                for x in set(h[maybe].tolist()):
+                    found.update(posts.get(x, ()))
+        out: dict[int, float] = {}
+        places: dict[int, dict[int, set]] = {}
+        for k in found:
+            size = self.own[k][0][3]
+            if size not in places:
+                places[size] = _places(*forms[size])
+            at = places[size]
+            need = self.contained * self.total[k] - 1e-9
+            there = {i for i, _, h, _ in self.own[k] if h in at}
+            if not there or len(there | {i for i, *_ in self.blank[k]}) < need:
+                continue
+            hits = [(p, i, kind, size) for i, kind, h, _ in self.own[k] for p in at.get(h, ())]
+            if self.blank[k]:
+                for start in {p - i for p, i, *_ in hits}:
+                    for i, kind, h, _ in self.blank[k]:
+                        if 0 <= start + i < len(forms[size][kind]) and forms[size][kind][start + i] == h:
+                            hits.append((start + i, i, kind, size))
+            if len({h[1] for h in hits}) >= need and (best := self._best(k, sorted(set(hits)), t)) >= need:
+                out[self.names[k]] = max(out.get(self.names[k], 0.0), best / self.total[k])
+        return sorted(out.items())
 
     def _best(self, name: int, hits: list, t: Text) -> int:
         """The most windows of the item in one place of the text whose slots agree."""

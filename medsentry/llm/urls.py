@@ -109,12 +109,12 @@ class Index:
 
 
 def decided(fitting: Iterable[Rule]) -> tuple[str | None, str]:
-    """The name of the longest listed rule and its action, or none and what the others say; block is stronger."""
+    """The name of the longest listed rule and its action, or none and what the others say; block is stronger, also of two listed rules of one name."""
     best, verdict = None, "allow"
     for rule in fitting:
         if rule.name is None:
             verdict = "block" if "block" in (verdict, rule.action) else verdict
-        elif best is None or (len(rule.name), rule.name) > (len(best.name), best.name):
+        elif best is None or (len(rule.name), rule.name, rule.action) > (len(best.name), best.name, best.action):
             best = rule
     return (best.name, best.action) if best else (None, verdict)
 
@@ -139,7 +139,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = LISTED + WORDS, id_col: st
     index is a table: the distinct hosts and paths are joined with it by token and the fitting
     rules reduced to one for each; rules without a literal token run on every distinct host and path, in
     blocks of ``block`` of them. Both ways run the same regular expressions. Cases: null and malformed URLs have empty host and path, fit no rule
-    and are allowed; long URLs are read whole; without rules all are allowed; repeated rows each give
+    and are allowed; of listed rules that are equally long the later name wins, and of equal names block; long URLs are read whole; without rules all are allowed; repeated rows each give
     a row; other columns are not read.
     """
     wanted = {t for r in rules for t in r.tokens}
