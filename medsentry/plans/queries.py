@@ -737,6 +737,24 @@ def signal_run(c):
     return rounded(found.select("drug", "pt", "a", "b", "c", "d", "n_cases", "insufficient", "flag_ror", "flag_prr", "flag_bcpnn", "ror", "ic025"))
 
 
+@query(
+    """,
+q AS (SELECT quarter AS run_id, count(*) AS n, count(*) FILTER (WHERE sex = 'F') AS f, CAST(max(primaryid) AS DOUBLE) / 8 AS top, CAST(substr(quarter, 6, 1) AS INTEGER) AS k FROM published GROUP BY quarter)
+SELECT run_id, n AS n_cases, CASE WHEN k <> 2 THEN f END AS ror, CASE WHEN k <> 4 THEN f + 1 END AS ror_prr_bcpnn, CASE WHEN k <> 3 THEN top END AS alpha1, CASE WHEN k = 1 THEN 1 END AS bounds FROM q"""
+)
+def signal_records(c):
+    """Records of runs, of which some lack keys, have them under a former name, as null or as another type, become one table."""
+    at, quarter, k = _folder(c, "records"), F.col("quarter"), F.substring("quarter", 6, 1).cast("int")
+    q = c.publications().groupBy("quarter").agg(F.count("*").alias("n"), F.count_if(F.col("sex") == "F").alias("f"), (F.max("primaryid").cast("double") / 8).alias("top"))
+    counts = F.when(k == 1, F.to_json(F.struct(F.col("f").alias("ror"), (F.col("f") + 1).alias("three_of_four")))).when(k == 2, F.to_json(F.struct((F.col("f") + 1).alias("ror_prr_bcpnn"), F.lit(None).cast("string").alias("ror")), {"ignoreNullFields": "false"}))
+    counts = counts.when(k == 3, F.to_json(F.struct(F.col("f").alias("ror"), (F.col("f") + 1).alias("ror_prr_bcpnn"), F.lit(-1).alias("three_of_four")))).otherwise(F.to_json(F.struct(F.col("f").alias("ror"))))
+    prior = F.when(k == 3, F.lit('"none"')).otherwise(F.to_json(F.struct(F.col("top").alias("alpha1"), F.when(k == 1, F.array(F.lit("beta1"))).alias("on_boundary"))))
+    text = F.concat(F.lit('{\n "run_id": "'), quarter, F.lit('",\n "n_cases": '), F.col("n").cast("string"), F.lit(',\n "flag_counts": '), counts, F.lit(',\n "prior": '), prior, F.lit("\n}"))
+    q.select(quarter, text.alias("value")).repartition("quarter").write.partitionBy("quarter").text(at)
+    found = signals.record_table(c.spark.read.text(at, wholetext=True))
+    return found.select("run_id", "n_cases", "ror", "ror_prr_bcpnn", "alpha1", F.when(F.col("on_boundary").isNotNull(), F.size("on_boundary")).alias("bounds"))
+
+
 @query("SELECT primaryid, quarter, caseid, caseversion FROM cases")
 def stream_current_cases(c):
     """Publications arrive as files, the later ones in a second run of the stream, and keep a current table."""

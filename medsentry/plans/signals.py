@@ -108,6 +108,39 @@ def read_record(root: str | Path, run_id: str) -> dict:
     return load_json(f"{root}/records/{run_id}.json", FORMER)
 
 
+#: Columns of the table of records: type and where the value is; a second place is what early runs called it.
+_RECORD = {
+    "run_id": ("string", "run_id"),
+    "created_at": ("string", "created_at"),
+    "code": ("string", "code"),
+    "drug_key": ("string", "params.drug_key"),
+    "roles": ("string", "params.roles"),
+    "n_cases": ("bigint", "n_cases"),
+    "pairs_written": ("bigint", "pairs_written"),
+    **{f: ("bigint", f"flag_counts.{f}") for f in ("ror", "prr", "bcpnn", "mgps", "all_four")},
+    "ror_prr_bcpnn": ("bigint", "flag_counts.ror_prr_bcpnn", "flag_counts.three_of_four"),
+    **{f: ("double", f"ic_divergence.{f}") for f in ("max_gap", "median_gap", "share_above_one")},
+    **{f: ("double", f"prior.{f}") for f in (*mgps.NAMES, "nll")},
+    "on_boundary": ("array<string>", "prior.on_boundary"),
+    "seconds": ("double", "seconds"),
+}
+
+
+def record_table(texts: DataFrame) -> DataFrame:
+    """A row a run of its JSON record (value), under the present names. What a record lacks, or has of another type, is null: unmeasured isn't zero.
+
+    Text that is no JSON gives a row of nulls.
+    """
+    found = texts.select(F.try_parse_json("value").alias("r"))
+    own = lambda kind, *places: F.coalesce(*(F.try_variant_get("r", f"$.{p}", kind) for p in places))
+    return found.select(*(own(*spec).alias(name) for name, spec in _RECORD.items()))
+
+
+def records(spark: SparkSession, root: str) -> DataFrame:
+    """The records of all runs as a table, read by executors."""
+    return record_table(spark.read.text(f"{root}/records", wholetext=True, pathGlobFilter="*.json"))
+
+
 def adjudicated_counts(spark: SparkSession, root: str, run_id: str, diagnostic: dict) -> dict:
     """The conjunction's counts from stored flags, once a diagnostic shows that the bound is the optimum; else why they stay withheld."""
     if not diagnostic.get("bound_is_optimum"):
