@@ -525,3 +525,32 @@ def test_command_line(spark, tmp_path, capsys):
     assert call("artifact", "--out", str(tmp_path / "h.json"))[0] == 0 and len(json.loads((tmp_path / "h.json").read_text())["runs"]) == 1
     store.delete_quarter(spark, f"{root}/corpus", "drug", "2026Q2")
     assert not (tmp_path / "root/corpus/drug/quarter=2026Q2").exists() and (tmp_path / "root/corpus/case/quarter=2026Q2").exists()
+
+
+def test_a_quarter_like_the_published_slice(spark, tmp_path):
+    """A hand-made quarter with the counts of the 2013Q1 slice: units, sexes, lengths of dates and outcomes; CRLF, and a list of withdrawn cases."""
+    q, root = Quarter(2013, 1), str(tmp_path / "out")
+    spread = lambda counts: [v for v, n in counts for _ in range(n)]
+    units = spread([("YR", 75), ("", 24), ("DY", 4), ("HR", 4), ("MON", 4), ("DEC", 4), ("WK", 4), ("MIN", 1)])
+    weights = spread([("KG", 46), ("LBS", 3), ("GMS", 1), ("YEARS", 1), ("", 69)])
+    sexes = spread([("F", 68), ("M", 43), ("NS", 6), ("UNK", 3)])
+    dates = spread([("20130115", 60), ("", 29), ("201301", 18), ("2013", 13)])
+    codes = spread([("DE", 21), ("HO", 59), ("OT", 75), ("LT", 12), ("DS", 7), ("CA", 13), ("RI", 3)])
+    demo = [{"primaryid": f"{1000 + k}1", "caseid": str(1000 + k), "caseversion": "1", "fda_dt": "20130131", "event_dt": dates[k], "age": "5" if units[k] else "", "age_cod": units[k], "gndr_cod": sexes[k], "wt": "70" if weights[k] else "", "wt_cod": weights[k], "occr_country": "US"} for k in range(120)]
+    outc = [{"primaryid": f"{1000 + k % 110}1", "caseid": str(1000 + k % 110), "outc_cod": c} for k, c in enumerate(codes)]
+    at = tmp_path / "in" / "ascii"
+    at.mkdir(parents=True)
+    for table, rows in (("DEMO", demo), ("OUTC", outc)):
+        names = [f.source for f in schema.source_fields(table, q)]
+        (at / f"{table}13Q1.txt").write_bytes("\r\n".join(["$".join(names), *("$".join(r.get(n, "") for n in names) for r in rows), ""]).encode())
+    (tmp_path / "in" / "Deleted").mkdir()
+    (tmp_path / "in" / "Deleted" / "DELETE13Q1.txt").write_text(" \n1000\n1001\n999999\n")
+    report = ingest.ingest_quarter(spark, tmp_path / "in", root, q, ("DEMO", "OUTC"))
+    tally = report["tallies"]["DEMO"]
+    assert (tally["rows"], tally["weight_implausible_unit"], tally["sex_missing"], tally["age_missing_or_unconvertible"]) == (120, 1, 0, 0)
+    assert report["date_precision"] == {"day": 58, "missing": 29, "month": 18, "year": 13} and report["had_deleted_file"]
+    case = store.read_dataset(spark, root, "case")
+    assert case.count() == report["rows"]["case"] == 118 and case.filter("serious").count() == 108
+    kept = {r["primaryid"] for r in demo[2:]}
+    assert report["rows"]["outcome"] == sum(r["primaryid"] in kept for r in outc)
+    assert case.filter("serious_death").count() == 19 and case.filter("age_years is not null").count() == 94
