@@ -159,13 +159,11 @@ def bigram_counts(windows: DataFrame) -> np.ndarray:
 
 
 def batches_of(n: int, size: int, steps: int, rng: np.random.Generator) -> Iterator[np.ndarray]:
-    """All of ``n`` places in an order by chance, ``size`` at a time; then more of them until there are ``steps`` batches."""
+    """All of ``n`` places in an order by chance, ``size`` at a time, and all of them again until there are ``steps`` batches."""
     done = 0
     while done < steps:
-        order, first = rng.permutation(n), done == 0
+        order = rng.permutation(n)
         for at in range(0, n, size):
-            if done >= steps and not first:
-                return
             yield order[at : at + size]
             done += 1
 
@@ -173,7 +171,7 @@ def batches_of(n: int, size: int, steps: int, rng: np.random.Generator) -> Itera
 def train(windows: DataFrame, rate: float = 0.01, batch: int = 64, steps: int = STEPS) -> tuple[dict[str, np.ndarray], tuple[np.ndarray, np.ndarray]]:
     """Averaged parameters after ROUNDS rounds, and the tables of counts.
 
-    Every window is used in one round, in one slice; a slice with few of them repeats as many as make ``steps`` steps.
+    Every window is used in one round, in one slice; a slice of fewer than ``steps`` batches goes through all of them again.
     """
     sc = windows.sparkSession.sparkContext
     params, grams = net.fresh(), net.bigrams(bigram_counts(windows))
