@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from ..functions import drugnames, special, text
 from ..operators import chains, contingency, dedup, estimators, mgps, parse, rxnorm
-from ..sources import files, links, store
+from ..sources import files, links, standards, store
 from ..sources.quarter import Quarter
 from ..sources.schema import source_fields
-from ..storage import names, shared_dir, written
+from ..storage import shared_dir, written
 from ..streaming import cases as stream
 from . import accessors, analogue, quality, signals
 from .ingest import duplicates as duplicate_pass
+from .ingest import figures_from_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -440,6 +441,23 @@ def quality_rates(c):
     return c.spark.createDataFrame([(k, out[k]["flagged"], out[k]["of"], out[k]["rate"]) for k in ("stage1", "stage2", "overall")], "stage string, flagged bigint, whole bigint, rate double")
 
 
+@query(
+    _SIMILAR
+    + """,
+p AS (SELECT count(*) AS evaluated, count(*) FILTER (WHERE status = 'superseded') AS superseded, count(*) FILTER (WHERE status = 'null_key') AS null_key, count(*) FILTER (WHERE status = 'empty_drug_set') AS empty_drug_set, count(*) FILTER (WHERE status = 'eligible') AS eligible FROM status),
+f AS (SELECT count(DISTINCT primaryid) AS flagged, count(DISTINCT primaryid) FILTER (WHERE method = 'version') AS by_version, count(DISTINCT primaryid) FILTER (WHERE method = 'probabilistic') AS by_similarity, count(*) FILTER (WHERE cross_quarter) AS cross_quarter FROM flagged)
+SELECT *, CAST(NULL AS BIGINT) AS comparisons FROM p, f"""
+)
+def store_figures(c):
+    """What the stored corpus and duplicate table tell of a pass; comparisons are not measured there, which isn't zero."""
+    at = _folder(c, "duplicates")
+    store.write_whole(duplicate_pass(*_inputs(c))[0], at)
+    own = figures_from_store(*_inputs(c), c.spark.read.parquet(at))
+    names = ("evaluated", "superseded", "null_key", "empty_drug_set", "eligible", "flagged", "cross_quarter", "comparisons")
+    row = [*(own[n] for n in names), *(own["flagged_by_method"][m] for m in (dedup.VERSION, dedup.SIMILAR))]
+    return c.spark.createDataFrame([row], ", ".join(f"{n} bigint" for n in (*names, "by_version", "by_similarity")))
+
+
 # --- accessors ---
 
 
@@ -583,6 +601,13 @@ def text_fold(c):
     return c.table("part").select("p_partkey", text.fold(_messy(c)).alias("folded"))
 
 
+@query("SELECT p_partkey, CASE WHEN p_partkey % 5 > 1 THEN upper(trim(regexp_replace(p_name, '\\s+', ' ', 'g'))) END AS term FROM part")
+def text_terms(c):
+    """Terms with white space of several kinds; empty and blank ones are null."""
+    k, name = F.col("p_partkey") % 5, F.regexp_replace("p_name", " ", " \t\n")
+    return c.table("part").select("p_partkey", text.term(F.when(k == 0, "").when(k == 1, " \t ").otherwise(F.concat(F.lit(" "), name, F.lit("\r\n")))).alias("term"))
+
+
 @query(
     f""",
 f AS (SELECT p_partkey, p_partkey % 4 AS k, upper(trim(regexp_replace({_MESSY}, '\\s+', ' ', 'g'))) AS folded FROM part),
@@ -626,6 +651,17 @@ def rxnorm_match(c):
     return _matches(c).select("folded", F.col("occurrences").cast("bigint").alias("occurrences"), "method", "rxcui", F.get("ingredients", F.lit(0))["ingredient_name"].alias("ingredient"))
 
 
+@query(_MATCH + "SELECT folded, method, rxcui, ingredient AS name FROM r")
+def sink_normalization(c):
+    """The three tables of a normalization, written twice as a whole and joined again as they are stored."""
+    at = _folder(c, "normalization")
+    for _ in range(2):
+        rxnorm.store(_matches(c), at)
+    matches, link, concepts = rxnorm.stored(c.spark, at)
+    named = link.join(concepts.select("rxcui", "name"), "rxcui").select("folded", "name")
+    return matches.join(named, "folded", "left").select("folded", "method", "rxcui", "name")
+
+
 @query(
     _MATCH
     + """,
@@ -700,6 +736,33 @@ def source_encodings(c):
     return files.encodings(c.spark.read.text(at), "kind").select(F.col("kind").cast("bigint").alias("kind"), "lines", "encoding")
 
 
+@query("SELECT DISTINCT upper(p_name) AS folded, CASE WHEN length(p_name) % 2 = 0 THEN 'ingredient' ELSE 'not_a_drug' END AS disposition, CASE WHEN length(p_name) % 2 = 0 THEN concat('7', length(p_name)) END AS ingredient_rxcui FROM part")
+def source_overrides(c):
+    """Rulings on drug strings as a CSV of many files, in which strings come several times and differ in case and white space."""
+    at, even = _folder(c, "overrides"), F.length("p_name") % 2 == 0
+    rows = c.table("part").select(
+        F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("  "), F.lower("p_name"))).otherwise(F.regexp_replace("p_name", " ", "  ")).alias("raw"),
+        F.when(even, "ingredient").otherwise("not_a_drug").alias("disposition"),
+        F.when(even, F.concat(F.lit(" 7"), F.length("p_name").cast("string"))).alias("ingredient_rxcui"),
+        F.when(even, "NAME").alias("ingredient_name"),
+        F.lit('seen, "twice"').alias("note"),
+    )
+    rows.write.csv(at, header=True, escape='"')
+    return standards.overrides(c.spark, at).select("folded", "disposition", "ingredient_rxcui")
+
+
+@query("SELECT p_name AS drug_name, CASE WHEN p_partkey % 4 > 0 THEN CAST(p_partkey AS VARCHAR) END AS rxcui, upper(n_name) AS pt, CAST(p_size % 2 AS INTEGER) AS label FROM part JOIN nation ON n_regionkey = p_partkey % 5")
+def standards_pairs(c):
+    """A reference standard as a CSV of many files, checked against the numbers it is said to have, with its outcomes' terms."""
+    at, part = _folder(c, "standard"), c.table("part")
+    said = part.agg(F.count_if(F.col("p_size") % 2 == 1), F.count_if(F.col("p_size") % 2 == 0)).first()
+    rows = part.select(F.concat(F.lit(" "), "p_name").alias("drug_name"), F.when(F.col("p_partkey") % 4 > 0, F.concat(F.col("p_partkey").cast("string"), F.lit(" "))).alias("ingredient_rxcui"), F.concat(F.lit("o"), (F.col("p_partkey") % 5).cast("string")).alias("outcome_id"), (F.col("p_size") % 2).cast("string").alias("label"), F.lit("made").alias("source_note"))
+    rows.write.csv(at, header=True)
+    outcomes = c.table("nation").select(F.concat(F.lit("o"), F.col("n_regionkey").cast("string")).alias("outcome_id"), text.fold(F.col("n_name")).alias("pt"))
+    found = standards.reference_set(c.spark, "made", at, outcomes, {"made": tuple(said)})
+    return found.join(outcomes, "outcome_id").select("drug_name", F.col("ingredient_rxcui").alias("rxcui"), "pt", "label")
+
+
 @query(", l AS (SELECT CASE c_custkey % 3 WHEN 0 THEN concat(' ', c_custkey, chr(9)) WHEN 1 THEN CAST(c_custkey AS VARCHAR) ELSE concat('x', c_custkey) END AS line FROM customer) SELECT DISTINCT CAST(trim(line, concat(' ', chr(9))) AS BIGINT) AS caseid FROM l WHERE line NOT LIKE 'x%'")
 def source_deleted_cases(c):
     at, key = _folder(c, "deleted"), F.col("c_custkey").cast("string")
