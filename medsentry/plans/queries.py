@@ -446,16 +446,16 @@ def quality_rates(c):
     + """,
 p AS (SELECT count(*) AS evaluated, count(*) FILTER (WHERE status = 'superseded') AS superseded, count(*) FILTER (WHERE status = 'null_key') AS null_key, count(*) FILTER (WHERE status = 'empty_drug_set') AS empty_drug_set, count(*) FILTER (WHERE status = 'eligible') AS eligible FROM status),
 f AS (SELECT count(DISTINCT primaryid) AS flagged, count(DISTINCT primaryid) FILTER (WHERE method = 'version') AS by_version, count(DISTINCT primaryid) FILTER (WHERE method = 'probabilistic') AS by_similarity, count(*) FILTER (WHERE cross_quarter) AS cross_quarter FROM flagged)
-SELECT *, CAST(NULL AS BIGINT) AS comparisons FROM p, f"""
+SELECT *, FALSE AS compared FROM p, f"""
 )
 def store_figures(c):
     """What the stored corpus and duplicate table tell of a pass; comparisons are not measured there, which isn't zero."""
     at = _folder(c, "duplicates")
     store.write_whole(duplicate_pass(*_inputs(c))[0], at)
     own = figures_from_store(*_inputs(c), c.spark.read.parquet(at))
-    names = ("evaluated", "superseded", "null_key", "empty_drug_set", "eligible", "flagged", "cross_quarter", "comparisons")
-    row = [*(own[n] for n in names), *(own["flagged_by_method"][m] for m in (dedup.VERSION, dedup.SIMILAR))]
-    return c.spark.createDataFrame([row], ", ".join(f"{n} bigint" for n in (*names, "by_version", "by_similarity")))
+    names = ("evaluated", "superseded", "null_key", "empty_drug_set", "eligible", "flagged", "cross_quarter")
+    row = [*(own[n] for n in names), *(own["flagged_by_method"][m] for m in (dedup.VERSION, dedup.SIMILAR)), own["comparisons"] is not None]
+    return c.spark.createDataFrame([row], ", ".join(f"{n} bigint" for n in (*names, "by_version", "by_similarity")) + ", compared boolean")
 
 
 # --- accessors ---
@@ -803,7 +803,7 @@ def signal_run(c):
 @query(
     """,
 q AS (SELECT quarter AS run_id, count(*) AS n, count(*) FILTER (WHERE sex = 'F') AS f, CAST(max(primaryid) AS DOUBLE) / 8 AS top, CAST(substr(quarter, 6, 1) AS INTEGER) AS k FROM published GROUP BY quarter)
-SELECT run_id, n AS n_cases, CASE WHEN k <> 2 THEN f END AS ror, CASE WHEN k <> 4 THEN f + 1 END AS ror_prr_bcpnn, CASE WHEN k <> 3 THEN top END AS alpha1, CASE WHEN k = 1 THEN 1 END AS bounds FROM q"""
+SELECT run_id, n AS n_cases, CAST(CASE WHEN k <> 2 THEN f END AS VARCHAR) AS ror, CAST(CASE WHEN k <> 4 THEN f + 1 END AS VARCHAR) AS ror_prr_bcpnn, CASE WHEN k <> 3 THEN top END AS alpha1, CASE WHEN k = 1 THEN 'beta1' END AS bounds FROM q"""
 )
 def signal_records(c):
     """Records of runs, of which some lack keys, have them under a former name, as null or as another type, become one table."""
@@ -815,7 +815,7 @@ def signal_records(c):
     text = F.concat(F.lit('{\n "run_id": "'), quarter, F.lit('",\n "n_cases": '), F.col("n").cast("string"), F.lit(',\n "flag_counts": '), counts, F.lit(',\n "prior": '), prior, F.lit("\n}"))
     q.select(quarter, text.alias("value")).repartition("quarter").write.partitionBy("quarter").text(at)
     found = signals.record_table(c.spark.read.text(at, wholetext=True))
-    return found.select("run_id", "n_cases", "ror", "ror_prr_bcpnn", "alpha1", F.when(F.col("on_boundary").isNotNull(), F.size("on_boundary")).alias("bounds"))
+    return found.select("run_id", "n_cases", *(F.col(n).cast("string").alias(n) for n in ("ror", "ror_prr_bcpnn")), "alpha1", F.array_join("on_boundary", ",").alias("bounds"))
 
 
 @query("SELECT primaryid, quarter, caseid, caseversion FROM cases")
