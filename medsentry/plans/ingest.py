@@ -12,16 +12,17 @@ from ..operators import chains, dedup, parse
 from ..sources import files, store
 from ..sources.quarter import Quarter
 from ..sources.schema import TABLE_OF
-from ..storage import delete, shared_dir, written
+from ..storage import delete, discard, shared_dir, written
 
 
 def ingest_quarter(spark: SparkSession, folder: str | Path, root: str, quarter: Quarter, tables: tuple[str, ...] | None = None) -> dict:
     """Read, parse, reduce to surviving cases and write the seven datasets of an extracted quarter.
 
     Seriousness is attached before versions are resolved; the tallies cover every parsed row, the
-    date precisions the survivors. ``tables`` limits the work to source tables that are there.
+    date precisions the survivors. ``tables`` limits the work to source tables that are there. The text of
+    an extract is split into fields once and kept in columns; units, tallies and datasets read those they need.
     """
-    raw = {t: files.read_table(spark, files.find_file(folder, t), t, quarter) for t in (tables or tuple(sorted({*TABLE_OF.values()})))}
+    raw = {t: written(files.read_table(spark, files.find_file(folder, t), t, quarter), f"raw-{t.lower()}") for t in (tables or tuple(sorted({*TABLE_OF.values()})))}
     withdrawn_at = files.find_deleted(folder)
     parse.check_age_units(raw["DEMO"])
     tallies = {t: parse.tally(df, t).first().asDict() for t, df in raw.items() if parse.conditions(t)}
@@ -38,6 +39,7 @@ def ingest_quarter(spark: SparkSession, folder: str | Path, root: str, quarter:
             store.write_quarter(out, root, name, quarter.label)
             rows[name] = store.read_dataset(spark, root, name).filter(F.col("quarter") == quarter.label).count()
     precision = {r.value: r.n for r in kept.groupBy(F.col("event_dt_precision").alias("value")).agg(F.count("*").alias("n")).collect()}
+    discard(kept, *raw.values())
     return {"quarter": quarter.label, "rows": rows, "tallies": tallies, "date_precision": precision, "had_deleted_file": withdrawn_at is not None}
 
 

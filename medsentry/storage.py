@@ -31,6 +31,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made; nothing that reads them may be used any more."""
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            folder = file.rsplit("/", 1)[0]
+            if re.search(r"-[0-9a-f]{32}$", folder):  # a name that ``written`` gave
+                delete(folder)
+
+
 def _session() -> SparkSession | None:
     """The session, also in threads such as those of streams, which have none of their own."""
     return SparkSession.getActiveSession() or SparkSession._instantiatedSession
