@@ -63,6 +63,13 @@ def np_digamma(x: np.ndarray) -> np.ndarray:
     return np.log(y) - 0.5 / y - r * (1 / 12 - r * (1 / 120 - r * (1 / 252 - r * (1 / 240 - r / 132)))) - sum(1 / (x + k) for k in range(_LIFT))
 
 
+def np_trigamma(x: np.ndarray) -> np.ndarray:
+    x = np.asarray(x, float)
+    y = x + _LIFT
+    r = 1 / (y * y)
+    return 1 / y + 0.5 * r + r / y * (1 / 6 - r * (1 / 30 - r * (1 / 42 - r * (1 / 30 - r * (5 / 66))))) + sum(1 / ((x + k) * (x + k)) for k in range(_LIFT))
+
+
 def np_lgamma(x: np.ndarray) -> np.ndarray:
     x = np.asarray(x, float)
     y = x + _LIFT

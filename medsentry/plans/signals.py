@@ -47,7 +47,8 @@ def flag_counts(scored: DataFrame, flags: tuple[str, ...] = _FLAGS) -> DataFrame
 def ic_divergence(scored: DataFrame) -> DataFrame:
     """One row: how far the closed form lies from observed over expected, over pairs where both are finite; zeros if there are none."""
     gap = F.abs(F.col("ic_observed_expected") - F.col("ic"))
-    rows = scored.filter((F.col("ic_observed_expected") > float("-inf")) & (F.col("ic_observed_expected") < float("inf"))).select(gap.alias("gap"))
+    finite = scored.filter((F.col("ic_observed_expected") > float("-inf")) & (F.col("ic_observed_expected") < float("inf")))
+    rows = written(finite.select(gap.alias("gap")), "gaps")  # it is used twice, and pairs cost far more than gaps
     zero = lambda x: F.coalesce(x, F.lit(0.0))
     sums = rows.agg(zero(F.max("gap")).alias("max_gap"), zero(F.avg((F.col("gap") > 1).cast("double"))).alias("share_above_one"))
     middle = order_statistics(rows, "gap", {"median_gap": 0.5})

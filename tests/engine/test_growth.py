@@ -1,8 +1,13 @@
 """Steps whose work or traffic must not grow faster than their tables."""
 
+import math
 import random
+import statistics
 
-from medsentry.operators import chains
+import pytest
+
+from medsentry.operators import chains, estimators
+from medsentry.plans import signals
 
 
 def plan(df):
@@ -39,3 +44,16 @@ def test_cycles_take_few_rounds_and_no_broadcast(spark, monkeypatch):
     rounds.clear()
     assert chains.resolve(few).filter("on_cycle and closed").count() == 3000
     assert rounds.count("pointers") <= 5  # of 13 that many rows would take
+
+
+def test_divergence_scores_pairs_once(spark, monkeypatch):
+    """The gamma functions run in batches, and the pairs that they need are scored once for the mean and the median."""
+    cells = [(a, b, c, 1000 - a - b - c) for a in range(0, 9) for b in (0, 3, 50) for c in (0, 7)]
+    table = spark.createDataFrame(cells, "a bigint, b bigint, c bigint, d bigint")
+    plans, plain = [], signals.written
+    monkeypatch.setattr(signals, "written", lambda df, name: plans.append(plan(df)) or plain(df, name))
+    out = signals.ic_divergence(estimators.score(table))
+    assert [p.count("ArrowEvalPython") for p in plans] == [1] and "ArrowEvalPython" not in plan(out)
+    want = [abs(math.log2(a * 1000 / ((a + b) * (a + c))) - ic) for a, b, c, ic in ((r.a, r.b, r.c, r.ic) for r in estimators.score(table).collect()) if a]
+    row = out.first()
+    assert row.max_gap == pytest.approx(max(want)) and row.median_gap == pytest.approx(statistics.median(want)) and row.share_above_one == pytest.approx(sum(g > 1 for g in want) / len(want))
