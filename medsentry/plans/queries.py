@@ -616,7 +616,8 @@ SELECT p_partkey, folded, cleaned, CASE WHEN k = 2 THEN array_to_string(regexp_s
     CASE k WHEN 0 THEN 'trailing_punctuation|dose_and_form' WHEN 1 THEN 'dose_and_form|uninformative_brackets' WHEN 2 THEN 'combination_split' ELSE 'trailing_punctuation|uninformative_brackets' END AS steps FROM g"""
 )
 def text_clean_drug_strings(c):
-    rows = c.table("part").select("p_partkey", drugnames.clean(_messy(c)).alias("x"))
+    part = c.table("part").select("p_partkey", "p_name", "p_brand")
+    rows = drugnames.spread(part).select("p_partkey", drugnames.clean(_messy(c)).alias("x"))
     return rows.select("p_partkey", "x.folded", "x.cleaned", F.array_join("x.components", "|").alias("components"), F.array_join("x.steps", "|").alias("steps"))
 
 

@@ -6,6 +6,7 @@ import statistics
 
 import pytest
 
+from medsentry.functions import drugnames
 from medsentry.operators import chains, estimators
 from medsentry.plans import signals
 
@@ -57,3 +58,9 @@ def test_divergence_scores_pairs_once(spark, monkeypatch):
     want = [abs(math.log2(a * 1000 / ((a + b) * (a + c))) - ic) for a, b, c, ic in ((r.a, r.b, r.c, r.ic) for r in estimators.score(table).collect()) if a]
     row = out.first()
     assert row.max_gap == pytest.approx(max(want)) and row.median_gap == pytest.approx(statistics.median(want)) and row.share_above_one == pytest.approx(sum(g > 1 for g in want) / len(want))
+
+
+def test_cleaning_is_dealt_to_tasks_by_rows(spark):
+    one = spark.range(5_000).coalesce(1)
+    assert drugnames.spread(one).rdd.getNumPartitions() == 3 and drugnames.spread(one).count() == 5_000
+    assert drugnames.spread(one.limit(0)).count() == 0
