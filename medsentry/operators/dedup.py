@@ -59,25 +59,36 @@ def token_sets(rows: DataFrame, column: str, name: str) -> DataFrame:
 class Population:
     status: DataFrame  # primaryid, status
     compared: DataFrame  # the eligible rows that share their block with another
+    blocks: DataFrame  # the blocks of those rows, with their members
 
 
-def population(cases: DataFrame, drugs: DataFrame, reactions: DataFrame) -> Population:
+def needed(cases: DataFrame) -> DataFrame:
+    """The columns of cases that a pass reads, as a table: versions, classes and blocks go through them many times."""
+    return written(cases.select("primaryid", "caseid", "caseversion", "quarter", "fda_dt", "sex", "age_years", "country"), "latest")
+
+
+def population(cases: DataFrame, drugs: DataFrame, reactions: DataFrame, versions: DataFrame | None = None) -> Population:
     """Classify every case, in this order: superseded, null_key, empty_drug_set, eligible.
 
-    ``cases`` has one row a primaryid.
+    ``cases`` has one row a primaryid. ``versions``: the superseded ones among them, if there already; ``cases``
+    is a table then. The classified rows are a table too, as their sets are costly and several figures read them.
     """
-    old = superseded_versions(cases).select("primaryid", F.lit(True).alias("old"))
+    if versions is None:
+        cases = needed(cases)
+        versions = superseded_versions(cases)
+    old = versions.select("primaryid", F.lit(True).alias("old"))
     drug_sets = token_sets(drugs, "drugname_raw", "drugs")
     reaction_sets = token_sets(reactions, "pt", "reactions")
     rows = cases.withColumn("age_r", F.round("age_years")).join(old, "primaryid", "left").join(drug_sets, "primaryid", "left")
     key_missing = F.col("sex").isNull() | F.col("age_years").isNull() | F.col("country").isNull()
     status = F.when(F.col("old"), "superseded").when(key_missing, "null_key").when(F.col("drugs").isNull(), "empty_drug_set").otherwise("eligible")
     rows = rows.withColumn("status", status)
-    eligible = rows.filter("status = 'eligible'").join(reaction_sets, "primaryid", "left").withColumn("reactions", F.coalesce("reactions", F.array().cast("array<string>")))
+    rows = written(rows.select("primaryid", "caseid", *BLOCK, "quarter", F.coalesce(F.col("fda_dt").cast("string"), F.lit("")).alias("fda_dt"), "drugs", "status"), "population")
+    eligible = rows.filter("status = 'eligible'").drop("status")
     # Block sizes are counted and joined, not windowed: a window would bring a block's rows to one task.
     sizes = eligible.groupBy(*BLOCK).agg(F.count("*").alias("members")).filter("members > 1")
-    compared = eligible.join(sizes, list(BLOCK)).select("primaryid", "caseid", *BLOCK, "quarter", F.coalesce(F.col("fda_dt").cast("string"), F.lit("")).alias("fda_dt"), "drugs", "reactions")
-    return Population(rows.select("primaryid", "status"), compared)
+    compared = eligible.join(sizes.drop("members"), list(BLOCK)).join(reaction_sets, "primaryid", "left").withColumn("reactions", F.coalesce("reactions", F.array().cast("array<string>")))
+    return Population(rows.select("primaryid", "status"), compared.select("primaryid", "caseid", *BLOCK, "quarter", "fda_dt", "drugs", "reactions"), sizes)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -238,13 +249,13 @@ def accounting(p: Population) -> DataFrame:
     """One row: evaluated = superseded + null_key + empty_drug_set + eligible; eligible = compared + alone."""
     count = lambda s: F.count_if(F.col("status") == s).alias(s)
     states = p.status.agg(F.count("*").alias("evaluated"), count("superseded"), count("null_key"), count("empty_drug_set"), count("eligible"))
-    compared = p.compared.agg(F.count("*").alias("compared"))
+    compared = p.blocks.agg(F.coalesce(F.sum("members"), F.lit(0)).alias("compared"))
     return states.join(compared, F.lit(True)).withColumn("alone", F.col("eligible") - F.col("compared"))  # one row each
 
 
-def block_figures(compared: DataFrame) -> DataFrame:
+def block_figures(p: Population) -> DataFrame:
     """One row: blocks, the largest block, and the pairs that comparing all with all would take."""
-    n = compared.groupBy(*BLOCK).agg(F.count("*").alias("n"))
+    n = p.blocks.select(F.col("members").alias("n"))
     return n.agg(F.count("*").alias("blocks"), F.coalesce(F.max("n"), F.lit(0)).alias("largest_block"), F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).alias("naive_pairs"))
 
 

@@ -63,11 +63,12 @@ def ingest_archive(spark: SparkSession, archive: str, root: str, quarter: Quarte
 
 def duplicates(cases: DataFrame, drugs: DataFrame, reactions: DataFrame, start: str | None = None, end: str | None = None) -> tuple[DataFrame, dict[str, DataFrame]]:
     """(all duplicates, figures) of the corpus: versions over every quarter, re-reports within the range."""
-    versions = dedup.superseded_versions(dedup.latest_publication(cases))
-    p = dedup.population(dedup.latest_publication(cases, start, end), drugs, reactions)
+    latest = dedup.needed(dedup.latest_publication(cases))
+    versions = written(dedup.superseded_versions(latest), "versions")
+    p = dedup.population(dedup.latest_publication(cases, start, end), drugs, reactions) if start or end else dedup.population(latest, drugs, reactions, versions)
     s = dedup.similar(p.compared)
     found = dedup.canonical(s)
-    figures = {"population": dedup.accounting(p), "blocks": dedup.block_figures(p.compared), "pairs": dedup.pair_figures(s), "discarded": dedup.discarded(versions, found)}
+    figures = {"population": dedup.accounting(p), "blocks": dedup.block_figures(p), "pairs": dedup.pair_figures(s), "discarded": dedup.discarded(versions, found)}
     return dedup.combined(versions, found), figures
 
 

@@ -324,7 +324,7 @@ def dedup_accounting(c):
 
 @query(_DEDUP + "SELECT count(*) AS blocks, max(n) AS largest_block, CAST(sum(n * (n - 1) // 2) AS BIGINT) AS naive_pairs FROM (SELECT count(*) AS n FROM compared GROUP BY sex, age_r, country)")
 def dedup_block_figures(c):
-    return dedup.block_figures(_population(c).compared)
+    return dedup.block_figures(_population(c))
 
 
 _CLASSES = (
@@ -375,8 +375,7 @@ def dedup_pair_figures(c):
 
 @query(_SIMILAR + "SELECT count(*) AS discarded FROM best SEMI JOIN superseded USING (primaryid)")
 def dedup_discarded(c):
-    versions = dedup.superseded_versions(dedup.latest_publication(c.publications()))
-    return dedup.discarded(versions, dedup.canonical(dedup.similar(_population(c).compared)))
+    return duplicate_pass(*_inputs(c))[1]["discarded"]
 
 
 @query(_SIMILAR + "SELECT primaryid, canonical_primaryid, method, round(score, 6) AS score, round(drug_jaccard, 6) AS drug_jaccard, round(reaction_jaccard, 6) AS reaction_jaccard, cross_quarter FROM flagged")
@@ -436,8 +435,9 @@ SELECT stage, flagged, whole, round(flagged / whole, 6) AS rate FROM (SELECT unn
 @query(_RATES)
 def quality_rates(c):
     """The rates of the quality report, each with its own denominator."""
-    found = {r.method: r.flagged for r in dedup.method_figures(duplicate_pass(*_inputs(c))[0]).collect()}  # a row a method
-    out = quality.rates(dedup.accounting(_population(c)).first().asDict(), {m: found.get(m, 0) for m in (dedup.VERSION, dedup.SIMILAR)})
+    every, figures = duplicate_pass(*_inputs(c))
+    found = {r.method: r.flagged for r in dedup.method_figures(every).collect()}  # a row a method
+    out = quality.rates(figures["population"].first().asDict(), {m: found.get(m, 0) for m in (dedup.VERSION, dedup.SIMILAR)})
     return c.spark.createDataFrame([(k, out[k]["flagged"], out[k]["of"], out[k]["rate"]) for k in ("stage1", "stage2", "overall")], "stage string, flagged bigint, whole bigint, rate double")
 
 

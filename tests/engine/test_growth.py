@@ -1,14 +1,16 @@
 """Steps whose work or traffic must not grow faster than their tables."""
 
+import datetime
 import math
 import random
 import statistics
 
 import pytest
+from pyspark.sql import functions as F
 
 from medsentry.functions import drugnames
 from medsentry.operators import chains, estimators
-from medsentry.plans import signals
+from medsentry.plans import ingest, signals
 
 
 def plan(df):
@@ -64,3 +66,16 @@ def test_cleaning_is_dealt_to_tasks_by_rows(spark):
     one = spark.range(5_000).coalesce(1)
     assert drugnames.spread(one).rdd.getNumPartitions() == 3 and drugnames.spread(one).count() == 5_000
     assert drugnames.spread(one.limit(0)).count() == 0
+
+
+def test_a_pass_classifies_the_corpus_once(spark):
+    """Its results and figures read tables: neither publications are reduced again, nor sets collected from drugs and reactions."""
+    rows = [(i, i // 2, i % 2, "2020Q1", datetime.date(2020, 1, 1 + i), "F", 40.0 + i // 4 % 2, "US") for i in range(16)] + [(99, 99, 1, "2020Q1", datetime.date(2020, 2, 1), None, 40.0, "US")]
+    cases = spark.createDataFrame(rows, "primaryid bigint, caseid bigint, caseversion bigint, quarter string, fda_dt date, sex string, age_years double, country string")
+    drugs = spark.createDataFrame([(r[0], "A") for r in rows], "primaryid bigint, drugname_raw string")
+    every, figures = ingest.duplicates(cases, drugs, drugs.select("primaryid", F.lit("P").alias("pt")))
+    for df in (every, *figures.values()):
+        assert "ExistingRDD" not in plan(df) and "LocalTableScan" not in plan(df)
+    assert figures["population"].first().asDict() == {"evaluated": 17, "superseded": 8, "null_key": 1, "empty_drug_set": 0, "eligible": 8, "compared": 8, "alone": 0}
+    assert figures["blocks"].first().asDict() == {"blocks": 2, "largest_block": 4, "naive_pairs": 12}
+    assert {r.method: r.n for r in every.groupBy("method").agg(F.count("*").alias("n")).collect()} == {"version": 8, "probabilistic": 6} and figures["discarded"].first()[0] == 0
