@@ -1,8 +1,8 @@
 """Gamma-Poisson shrinkage: squashing, fitting and scoring in Spark.
 
 The zero-truncated likelihood depends on a pair only through its count and expected count, so
-millions of pairs become weighted points. Their likelihood and its derivatives are sums of Column
-expressions, so of each step of a fit six numbers a search reach the driver, however many points there
+millions of pairs become weighted points. Their likelihood and its derivatives are sums over batches
+of points, so of each step of a fit six numbers a search reach the driver, however many points there
 are. Searches begin where a coarse grid of the points, of bounded size, has its optimum and curvature.
 """
 
@@ -129,46 +129,26 @@ def log_likelihood(table: DataFrame, prior: Prior, weight: str | None = None) ->
     return parts.agg(F.sum("w").cast("bigint").alias("pairs"), F.sum(F.col("w") * (high + F.log1p(F.exp(F.least("l1", "l2") - high)))).alias("log_likelihood"))
 
 
-_CONSTANTS = [f"{x}{i}" for i in (1, 2) for x in ("shape", "rate", "gamma", "psi")]
-
-
-def _slopes() -> tuple[list[dict[str, Column]], list[Column]]:
-    """Columns for derivatives(), stage by stage, and their sums. They name no theta, so a fit makes them once."""
-    a, e, stages = F.col("a"), F.col("e"), []
-    for i in (1, 2):
-        shape, rate, log_p, log_zero, survive = F.col(f"t.shape{i}"), F.col(f"t.rate{i}"), F.col(f"log_p{i}"), F.col(f"log_zero{i}"), F.col(f"survive{i}")
-        stages.append({f"log_p{i}": F.log(rate) - F.log(e + rate)})
-        stages.append({f"log_zero{i}": shape * log_p})
-        stages.append({f"survive{i}": F.greatest(-F.expm1(log_zero), F.lit(1e-300))})
-        slope, odds = e / (rate * (rate + e)), F.exp(log_zero) / survive
-        own = F.log("t.p") if i == 1 else F.log1p(-F.col("t.p"))
-        density = lgamma(a + shape) - F.col(f"t.gamma{i}") - lgamma(a + 1) + log_zero + a * (F.log(e) - F.log(e + rate)) - F.log(survive)
-        stages.append({f"l{i}": own + density, f"by_shape{i}": digamma(a + shape) - F.col(f"t.psi{i}") + log_p * (odds + 1), f"by_rate{i}": shape * slope * (odds + 1) - a / (rate + e)})
-    high = F.greatest("l1", "l2")
-    stages.append({"total": high + F.log1p(F.exp(F.least("l1", "l2") - high))})
-    stages.append({f"u{i}": F.col("w") * F.exp(F.col(f"l{i}") - F.col("total")) for i in (1, 2)})
-    sums = [F.sum("w").cast("bigint").alias("pairs"), F.sum(F.col("w") * F.col("total")).alias("log_likelihood")]
-    sums += [F.sum(F.col(f"u{i}") * F.col(f"by_{x}{i}")).alias(f"by_{n}{i}") for i in (1, 2) for x, n in (("shape", "alpha"), ("rate", "beta"))]
-    return stages, [*sums, F.sum(F.col("u1") / F.col("t.p") - F.col("u2") / (1 - F.col("t.p"))).alias("by_p")]
-
-
-def derivatives(table: DataFrame, thetas: list[np.ndarray], weight: str | None = None, columns: tuple[list[dict[str, Column]], list[Column]] | None = None) -> DataFrame:
+def derivatives(table: DataFrame, thetas: list[np.ndarray], weight: str | None = None) -> DataFrame:
     """A row a theta (k): pairs, log_likelihood and its five derivatives (by_alpha1 ...) of a table (a, expected), truncated at zero.
 
-    The thetas are data, not code, so a fit compiles its aggregate once. A row of the table becomes one
-    for each theta inside the task and is summed there.
+    A batch of rows becomes one row for each theta inside the task, and those are summed. As Columns the gamma
+    functions made one method that is too large for the JVM to compile.
     """
 
-    def constants(theta: np.ndarray) -> list[float]:
-        return [float(x) for i in (0, 2) for x in (theta[i], theta[i + 1], np_lgamma(theta[i]), np_digamma(theta[i]))]
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            if len(rows):
+                n, e, w = (rows[c].to_numpy(float) for c in ("a", "e", "w"))
+                same = np.unique(n, return_inverse=True)
+                found = [nll(t, n, e, w, same) for t in thetas]
+                yield pd.DataFrame([(k, w.sum(), -v, *-g) for k, (v, g) in enumerate(found)], columns=["k", "pairs", "log_likelihood", *slopes])
 
-    values = ", ".join("named_struct('k', " + ", ".join([str(k), *(f"'{n}', {v!r}D" for n, v in zip([*_CONSTANTS, "p"], [*constants(t), float(t[4])], strict=True))]) + ")" for k, t in enumerate(thetas))
+    slopes = [f"by_{n}" for n in NAMES]
     weighted = F.lit(1.0) if weight is None else F.col(weight)
-    rows = table.select(F.col("a").cast("double").alias("a"), F.col("expected").alias("e"), weighted.alias("w"), F.explode(F.expr(f"array({values})")).alias("t"))
-    stages, sums = columns or _slopes()
-    for stage in stages:
-        rows = rows.withColumns(stage)
-    return rows.groupBy(F.col("t.k").alias("k")).agg(*sums)
+    rows = table.select(F.col("a").cast("double").alias("a"), F.col("expected").alias("e"), weighted.alias("w"))
+    parts = rows.mapInPandas(sums, "k int, pairs double, log_likelihood double, " + ", ".join(f"{x} double" for x in slopes))
+    return parts.groupBy("k").agg(F.sum("pairs").cast("bigint").alias("pairs"), *(F.sum(x).alias(x) for x in ("log_likelihood", *slopes)))
 
 
 #: What a search asks for (some thetas), what it is told (value and gradient of each), and its end: (theta, value, iterations, converged).
@@ -256,10 +236,9 @@ def minimize_together(rows: DataFrame, searches: list[Search]) -> list[tuple[np.
     """Searches over the points (a, expected, weight) of a table, side by side: each round is one aggregate for all that still run."""
     ends: list = [None] * len(searches)
     asked = {k: next(s) for k, s in enumerate(searches)}
-    columns = _slopes()
     while asked:
         thetas = [t for k in asked for t in asked[k]]
-        told = {r.k: r for r in derivatives(rows, thetas, "weight", columns).collect()}  # a row a theta
+        told = {r.k: r for r in derivatives(rows, thetas, "weight").collect()}  # a row a theta
         nothing = (0.0, np.zeros(5))
         value = [(-told[i].log_likelihood, -np.array([told[i][f"by_{n}"] for n in NAMES])) if i in told else nothing for i in range(len(thetas))]
         at = 0

@@ -5,11 +5,12 @@ import math
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from medsentry.functions import drugnames
-from medsentry.operators import chains, estimators
+from medsentry.operators import chains, estimators, mgps
 from medsentry.plans import ingest, signals
 
 
@@ -79,3 +80,14 @@ def test_a_pass_classifies_the_corpus_once(spark):
     assert figures["population"].first().asDict() == {"evaluated": 17, "superseded": 8, "null_key": 1, "empty_drug_set": 0, "eligible": 8, "compared": 8, "alone": 0}
     assert figures["blocks"].first().asDict() == {"blocks": 2, "largest_block": 4, "naive_pairs": 12}
     assert {r.method: r.n for r in every.groupBy("method").agg(F.count("*").alias("n")).collect()} == {"version": 8, "probabilistic": 6} and figures["discarded"].first()[0] == 0
+
+
+def test_derivatives_run_in_batches(spark):
+    table = spark.range(50).selectExpr("id % 7 + 1 AS a", "0.5 + id % 5 AS expected").coalesce(1)
+    theta = np.array([0.2, 0.06, 1.4, 1.8, 0.1])
+    out = mgps.derivatives(table, [theta])
+    assert "MapInPandas" in plan(out)
+    n, e = (np.array(x, float) for x in zip(*table.collect(), strict=True))
+    value, slope = mgps.nll(theta, n, e, np.ones(50))
+    row = out.first()
+    assert row.pairs == 50 and [row.log_likelihood, *row[3:]] == pytest.approx([-value, *-slope])
