@@ -73,12 +73,14 @@ def whole_windows(classes: np.ndarray, sizes: np.ndarray | None = None) -> np.nd
     """[n, CONTEXT + 1 + SCORED]: the consecutive windows of texts that stand one after another, each with the classes before its targets."""
     sizes = np.array([len(classes)]) if sizes is None else np.asarray(sizes)
     n = -(-sizes // SCORED)
-    lead = CONTEXT + 1
-    at = np.cumsum(lead + n * SCORED) - (lead + n * SCORED)  # where each text begins in ``padded``
-    padded = np.full(int((lead + n * SCORED).sum()), BLANK, np.uint8)
-    padded[np.arange(len(classes)) + np.repeat(at + lead - (np.cumsum(sizes) - sizes), sizes)] = classes
-    first = np.repeat(at - SCORED * (np.cumsum(n) - n), n) + SCORED * np.arange(n.sum())
-    return np.lib.stride_tricks.sliding_window_view(padded, lead + SCORED)[first]
+    lead, first = CONTEXT + 1, np.cumsum(n) - n  # of each text
+    targets = np.full((int(n.sum()), SCORED), BLANK, np.uint8)
+    targets.reshape(-1)[np.arange(len(classes)) + np.repeat(SCORED * first - (np.cumsum(sizes) - sizes), sizes)] = classes
+    full = np.empty((len(targets), lead + SCORED), np.uint8)
+    full[:, lead:] = targets
+    full[1:, :lead] = targets[:-1, SCORED - lead :]  # all of it lies in the window before
+    full[first[n > 0], :lead] = BLANK
+    return full
 
 
 def parts(full: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,23 +96,23 @@ def windows(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return parts(whole_windows(classes))
 
 
+#: Group of each class, and its number there; a blank counts as class 0.
+_GROUP, _MEMBER = (np.append(x, 0).astype(np.uint8) for x in np.divmod(np.arange(CLASSES), EACH))
+
+
 class _Targets:
     """Flat targets by group: ``order`` sorts them by group, ``runs`` are the groups' slices of that order."""
 
     def __init__(self, inputs: np.ndarray, targets: np.ndarray):
         t = targets.reshape(-1)
-        self.group, self.member = t // np.uint8(EACH), t % np.uint8(EACH)
-        blank = t == BLANK
-        if blank.any():
-            self.group[blank], self.member[blank] = 0, 0
+        self.group = _GROUP.take(t)
         self.order = np.argsort(self.group, kind="stable")
         ends = np.cumsum(np.bincount(self.group, minlength=GROUPS)).tolist()
         self.runs = [(g, a, b) for g, (a, b) in enumerate(zip([0, *ends], ends, strict=False)) if a < b]
         self.before = inputs[:, CONTEXT:].reshape(-1).astype(np.int64)
         self.inner_before = (self.before * GROUPS + self.group).take(self.order)
-        self.sorted_member = self.member.take(self.order)
         at = np.arange(len(t))
-        self.in_groups, self.in_members = at * GROUPS + self.group, at * EACH + self.sorted_member
+        self.in_groups, self.in_members = at * GROUPS + self.group, at * EACH + _MEMBER.take(t.take(self.order))
 
 
 def _sums(x: np.ndarray) -> np.ndarray:
@@ -145,7 +147,7 @@ def _logits(p: dict[str, np.ndarray], grams: tuple[np.ndarray, np.ndarray], f: n
     return y, z, fs
 
 
-def log_probs(p: dict[str, np.ndarray], grams: tuple[np.ndarray, np.ndarray], inputs: np.ndarray, targets: np.ndarray, chunk: int = 64) -> np.ndarray:
+def log_probs(p: dict[str, np.ndarray], grams: tuple[np.ndarray, np.ndarray], inputs: np.ndarray, targets: np.ndarray, chunk: int = 128) -> np.ndarray:
     """log of the probability of each target class, [n, SCORED]; blanks get that of class 0.
 
     In chunks whose arrays fit a core's cache.

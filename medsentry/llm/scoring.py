@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 from typing import NamedTuple
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import attention as net
 from .common import id_crc, stored
-from .subwords import word_bpe, word_ids
+from .subwords import runs, with_ends, word_bpe, word_ids, word_pieces
 
 END = 49407
 #: Frequent words that every worker holds with their ids and counts, at most; longer words than this many bytes are held by their SHA-256.
@@ -38,9 +37,8 @@ OWN_SHARE, SO_FAR, PRIOR = 0.4, 0.15, 5.0
 ROUNDS, SLICE, TOGETHER, STEPS = 4, 8_192, 256, 128
 #: Bytes of windows that a task holds at once, about, while it cuts or counts them.
 AT_ONCE = 2_000_000
-
-#: The end of a text is number 0 of a worker's table.
-_END_NUMBER = np.zeros(1, np.int64)
+#: Words, about, of texts whose windows are cut, or go through the model, together.
+WORDS = 20_000
 
 
 def held_out(id_col: str) -> Column:
@@ -55,14 +53,15 @@ def word_counts(rows: DataFrame) -> DataFrame:
     """(word, c) over the column ``text``; each task adds up its own words first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: Counter[bytes] = Counter()
+        count: dict[bytes, int] = {}
 
         def out():
             return pa.record_batch({"word": pa.array(count.keys(), pa.binary()), "c": pa.array(count.values(), pa.int64())})
 
         for batch in batches:
-            for text in batch.column(0):
-                count.update(words(text.as_py()))
+            for _, names, which, _ in word_pieces(batch.column(0)):
+                for word, n in zip(names, np.bincount(which, minlength=len(names)).tolist(), strict=True):
+                    count[word] = count.get(word, 0) + n
                 if len(count) > 400_000:
                     yield out()
                     count.clear()
@@ -100,20 +99,26 @@ def cut_windows(batches: Iterator[pa.RecordBatch], path: str, classes: np.ndarra
     out: dict[str, list] = {k: [] for k in _WINDOWS.names}
     size = 0
     for batch in batches:
-        for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            own = words(text.as_py())
-            cut = net.whole_windows(classes.take(table.ids(np.append(table.of(own), 0))[0]))
+        ids = batch.column(0).to_pylist()
+        for first, names, which, lengths in word_pieces(batch.column(1)):
+            number = with_ends(table.of(names).take(which), lengths)
+            for texts, places in runs(lengths + 1, WORDS):
+                own, n = table.ids(number[places])
+                sizes = np.add.reduceat(n, np.cumsum(lengths[texts] + 1) - (lengths[texts] + 1))
+                full, end = net.whole_windows(classes.take(own), sizes), 0
+                for name, many in zip(ids[first + texts.start : first + texts.stop], (-(-sizes // net.SCORED)).tolist(), strict=True):
+                    begin, end = end, end + many
+                    for at in range(0, many, TOGETHER):
+                        some = full[begin + at : min(begin + at + TOGETHER, end)]
+                        raw = some.tobytes()
+                        h = xxhash.xxh64_intdigest(raw, (name or 0) % 2**63 + at) >> 1
+                        for k, v in zip(out, (h % ROUNDS, h // ROUNDS, len(some), raw), strict=True):
+                            out[k].append(v)
+                        size += len(raw)
+                        if size >= AT_ONCE:
+                            yield pa.record_batch(out, schema=_WINDOWS)
+                            out, size = {k: [] for k in _WINDOWS.names}, 0
             table.trim()
-            for at in range(0, len(cut), TOGETHER):
-                some = cut[at : at + TOGETHER]
-                raw = some.tobytes()
-                h = xxhash.xxh64_intdigest(raw, (name or 0) % 2**63 + at) >> 1
-                for k, v in zip(out, (h % ROUNDS, h // ROUNDS, len(some), raw), strict=True):
-                    out[k].append(v)
-                size += len(raw)
-                if size >= AT_ONCE:
-                    yield pa.record_batch(out, schema=_WINDOWS)
-                    out, size = {k: [] for k in _WINDOWS.names}, 0
     yield pa.record_batch(out, schema=_WINDOWS)
 
 
@@ -301,39 +306,35 @@ def scored(rows: DataFrame, model: Learned, tokenizer_path: str, frequent: int =
 
         schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("word", pa.binary()), ("logp", pa.float64()), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
         for batch in batches:
-            at, texts = 0, batch.column(1)
-            while at < batch.num_rows:
-                first, numbers, size = at, [], 0
-                while at < batch.num_rows and size < 20_000:  # texts whose windows go through the model together
-                    numbers += (table.of(words(texts[at].as_py())), _END_NUMBER)
-                    size, at = size + len(numbers[-2]), at + 1
-                lengths = np.array([len(x) + 1 for x in numbers[::2]])
-                number = np.concatenate(numbers)
-                begin = np.cumsum(lengths) - lengths
-                place = np.arange(len(number)) - np.repeat(begin, lengths)
-                ids, n = table.ids(number)
+            for first, names, which, sizes in word_pieces(batch.column(1)):
+                numbers = with_ends(table.of(names).take(which), sizes)
                 if filled < len(table.names):
                     if len(table.names) > len(counts):
                         counts = np.concatenate((counts, np.zeros(len(table.names), np.int64)))
                     counts[filled : len(table.names)] = [known.long.get(_held(w), 0) if len(w) > LONGEST else 0 for w in table.names[filled:]]
                     filled = len(table.names)
-                full = net.whole_windows(of.take(ids), np.add.reduceat(n, begin))
-                inputs, targets, real = net.parts(full)
-                logp = np.cumsum(np.append(0.0, net.log_probs(p, grams, inputs, targets)[real].astype(float))) / math.log(10)
-                stops = np.cumsum(n)
-                c = counts.take(number)
-                spelled = logp[stops] - logp[stops - n] + np.add.reduceat(share.take(ids), stops - n)
-                share_of = SO_FAR * _earlier(number, place) / (place + PRIOR) + (1 - own - SO_FAR) * 10.0 ** np.maximum(spelled, -290)
-                share_of += own * c / max(total, 1)
-                value, sure = np.log10(share_of), c > 0
-                sums = [np.add.reduceat(np.where(sure, x, 0), begin) for x in (1, np.log10(c + 1.0) - per, value)]
-                k = len(lengths)
-                name, mark = batch.column(0).slice(first, k), batch.column(2).slice(first, k)
-                yield pa.record_batch([name, mark, pa.nulls(k, pa.binary()), pa.nulls(k, pa.float64()), pa.array(lengths, pa.int64()), pa.array(sums[0], pa.int64()), pa.array(sums[1], pa.float64()), pa.array(sums[2], pa.float64())], schema=schema)
-                rare = np.nonzero(~sure)[0]
-                if m := len(rare):
-                    text = pa.array(np.searchsorted(begin, rare, "right") - 1)
-                    yield pa.record_batch([name.take(text), mark.take(text), pa.array([table.names[i] for i in number[rare].tolist()], pa.binary()), pa.array(value[rare], pa.float64()), *(pa.nulls(m, f.type) for f in list(schema)[4:])], schema=schema)
+                for texts, places in runs(sizes + 1, WORDS):
+                    number, lengths = numbers[places], sizes[texts] + 1
+                    begin = np.cumsum(lengths) - lengths
+                    place = np.arange(len(number)) - np.repeat(begin, lengths)
+                    ids, n = table.ids(number)
+                    full = net.whole_windows(of.take(ids), np.add.reduceat(n, begin))
+                    inputs, targets, real = net.parts(full)
+                    logp = np.cumsum(np.append(0.0, net.log_probs(p, grams, inputs, targets)[real].astype(float))) / math.log(10)
+                    stops = np.cumsum(n)
+                    c = counts.take(number)
+                    spelled = logp[stops] - logp[stops - n] + np.add.reduceat(share.take(ids), stops - n)
+                    share_of = SO_FAR * _earlier(number, place) / (place + PRIOR) + (1 - own - SO_FAR) * 10.0 ** np.maximum(spelled, -290)
+                    share_of += own * c / max(total, 1)
+                    value, sure = np.log10(share_of), c > 0
+                    sums = [np.add.reduceat(np.where(sure, x, 0), begin) for x in (1, np.log10(c + 1.0) - per, value)]
+                    k = len(lengths)
+                    name, mark = batch.column(0).slice(first + texts.start, k), batch.column(2).slice(first + texts.start, k)
+                    yield pa.record_batch([name, mark, pa.nulls(k, pa.binary()), pa.nulls(k, pa.float64()), pa.array(lengths, pa.int64()), pa.array(sums[0], pa.int64()), pa.array(sums[1], pa.float64()), pa.array(sums[2], pa.float64())], schema=schema)
+                    rare = np.nonzero(~sure)[0]
+                    if m := len(rare):
+                        text = pa.array(np.searchsorted(begin, rare, "right") - 1)
+                        yield pa.record_batch([name.take(text), mark.take(text), pa.array([table.names[i] for i in number[rare].tolist()], pa.binary()), pa.array(value[rare], pa.float64()), *(pa.nulls(m, f.type) for f in list(schema)[4:])], schema=schema)
                 table.trim()
                 filled = min(filled, len(table.names))
 

@@ -12,11 +12,13 @@ import json
 import os
 import re
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Contractions, runs of letters, single digits, runs of other characters: the pre-tokenizer of
 #: the word BPE file, for the letters of ASCII and Latin-1 (fixed values).
@@ -180,6 +182,59 @@ class WordIds(dict):
             del self.names[keep:]
 
 
+def distinct_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of texts, A-Z lower-cased; each word's place among them; and how many words each text has.
+
+    Arrow splits at the same six bytes as ``bytes.split``, but has an empty word where white space
+    begins or ends a text, and one for an empty text; these are dropped.
+    """
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    encoded = lists.flatten().dictionary_encode()
+    which, lengths = encoded.indices.to_numpy(), pc.list_value_length(lists).to_numpy().astype(np.int64)
+    _, starts, raw = encoded.dictionary.cast(pa.large_binary()).buffers()
+    at, raw = np.frombuffer(starts, np.int64, len(encoded.dictionary) + 1).tolist(), raw.to_pybytes() if raw else b""
+    names = [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+    if b"" in names:
+        empty = names.index(b"")
+        real = which != empty
+        lengths -= np.bincount(np.repeat(np.arange(len(lengths)), lengths)[~real], minlength=len(lengths))
+        which = which[real]
+        which = which - (which > empty)
+        del names[empty]
+    return names, which, lengths
+
+
+def word_pieces(texts: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray]]:
+    """The place of a piece's first text, and its ``distinct_words``: texts of about ``most`` bytes together, or one.
+
+    A word that comes often in a piece is looked up in the large table of words once, not each time.
+    """
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    first = 0
+    while first < len(texts):
+        stop = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + most, "right")))
+        yield first, *distinct_words(texts.slice(first, stop - first))
+        first = stop
+
+
+def with_ends(numbers: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers of texts' words, with the number 0, a text's end, after each text."""
+    out = np.zeros(len(numbers) + len(lengths), np.int64)
+    out[np.arange(len(numbers)) + np.repeat(np.arange(len(lengths)), lengths)] = numbers
+    return out
+
+
+def runs(lengths: np.ndarray, most: int) -> Iterator[tuple[slice, slice]]:
+    """Which texts, and which of their places: consecutive texts of ``most`` places or the fewest above."""
+    ends = np.cumsum(lengths)
+    first = 0
+    while first < len(lengths):
+        begin = int(ends[first - 1]) if first else 0
+        stop = min(len(lengths), int(np.searchsorted(ends, begin + most)) + 1)
+        yield slice(first, stop), slice(begin, int(ends[stop - 1]))
+        first = stop
+
+
 @cache
 def word_bpe(path: str) -> WordBpe:
     """One for each process: Python workers run many tasks."""

@@ -149,6 +149,52 @@ def test_frequent_words_stay_in_the_table():
         assert table.names[1:5] == frequent and table.of(frequent).tolist() == [1, 2, 3, 4] and len(table.names) <= 10
 
 
+def test_a_word_is_looked_up_once_in_a_piece(monkeypatch):
+    import pyarrow as pa
+
+    from medsentry.llm import subwords
+
+    asked, of = [], subwords.WordIds.of
+    monkeypatch.setattr(subwords.WordIds, "of", lambda self, words: asked.append(len(words)) or of(self, words))
+    texts = pa.record_batch({"doc_id": pa.array(range(50), pa.int64()), "text": pa.array(["The cat sat on a mat. " * 100] * 50)})
+    classes = (np.arange(60_000) % attention.CLASSES).astype(np.uint8)
+    (cut,) = scoring.cut_windows(iter([texts]), BPE, classes)
+    assert sum(cut.column(2).to_pylist()) == 50 * -(-701 // attention.SCORED) and sum(asked) == 6
+
+
+@pytest.mark.parametrize("most", [1, 30, 10**6])
+def test_pieces_have_the_words_of_their_texts(most):
+    import pyarrow as pa
+
+    from medsentry.llm import subwords
+
+    texts = [" a  b\t\n\x0b\x0c\rC ", "", None, "   ", "\xc9\xa0x\u2003y\x85z \x1c\x1d\x1e\x1fq\x00r \xdcn\xef", "a A b", "\x85 \u0130I", " "]
+    for column in (pa.array(texts), pa.array(["x", *texts, "y"]).slice(1, len(texts)), pa.array(texts, pa.large_string())):
+        got, places = [], []
+        for first, names, which, lengths in subwords.word_pieces(column, most):
+            assert first == len(got) and len(set(names)) == len(names)
+            ends = np.cumsum(lengths)
+            got += [[names[k] for k in which[b - n : b]] for n, b in zip(lengths, ends, strict=True)]
+            numbers = subwords.with_ends(which + 1, lengths)
+            for rows, at in subwords.runs(lengths + 1, 3):
+                assert (numbers[at] == 0).sum() == rows.stop - rows.start and at.stop - at.start == (lengths[rows] + 1).sum()
+                places += numbers[at].tolist()
+        assert got == [scoring.words(t) for t in texts] and len(places) == sum(map(len, got)) + len(texts)
+    assert list(subwords.word_pieces(pa.array([], pa.string()))) == []
+
+
+def test_windows_of_texts_one_after_another():
+    rng = np.random.default_rng(0)
+    sizes = [1, 32, 33, 0, 100, 31, 64]
+    texts = [rng.integers(0, attention.CLASSES, n).astype(np.uint8) for n in sizes]
+    plain = []
+    for t in texts:
+        line = [attention.BLANK] * 17 + t.tolist() + [attention.BLANK] * attention.SCORED
+        plain += [line[at : at + 49] for at in range(0, len(t), attention.SCORED)]
+    assert attention.whole_windows(np.concatenate(texts), sizes).tolist() == plain
+    assert attention.whole_windows(np.zeros(0, np.uint8)).shape == (0, 49)
+
+
 def test_gradient():
     rng = np.random.default_rng(0)
     p, grams = a_model(2, np.float64)
